@@ -19,3 +19,22 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS big
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
+
+QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+wins AS (SELECT rid, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) >= 8),
+seen AS (SELECT rid, s, count(*) OVER (PARTITION BY rid, list_slice(w, s, s + 7)) AS n FROM wins),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(s, s + 8)) AS p FROM seen WHERE n > 1) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
+r AS (SELECT *, n_words < 20 AS b0, 100 * n_repeat_words > 30 * n_words AS b1, 10 * n_symbols > 3 * n_words AS b2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS b3,
+  n_letters >= 50 AND 10 * n_capitals > 4 * n_letters AS b4, n_words > 0 AND (word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS b5 FROM m)
+SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS word_chars, cast(n_symbols AS bigint) AS n_symbols, cast(n_lines AS bigint) AS n_lines,
+  cast(n_dup_lines AS bigint) AS n_dup_lines, cast(n_repeat_words AS bigint) AS n_repeat_words, cast(n_letters AS bigint) AS n_letters, cast(n_capitals AS bigint) AS n_capitals,
+  cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int AS bigint) AS mask, b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept
+FROM r
+"""
