@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality, sql
+from . import decontamination, pii, quality, sql
 from .common import table
 
 
@@ -13,11 +13,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
 }
