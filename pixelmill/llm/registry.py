@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, pii, quality, sql
+from . import decontamination, minhash, pii, quality, sql
 from .common import table
 
 
@@ -17,12 +17,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey", "uid")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_probminhash": op3_probminhash,
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
 }
