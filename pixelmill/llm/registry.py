@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, pii, quality, sql
+from . import decontamination, minhash, pii, quality, sql, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_probminhash": op3_probminhash,
     "op4_quality_rules": op4_quality_rules,
@@ -33,6 +38,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": sql.WARC,
     "op4_quality_rules": sql.QUALITY,
     "op9_decontamination": sql.DECONTAMINATION,
 }

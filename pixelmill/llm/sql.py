@@ -38,3 +38,15 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
   cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int AS bigint) AS mask, b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept
 FROM r
 """
+
+_QUINT = "cast('0x' || substr(h, 5 * i + 1, 5) AS bigint)"
+_CHAR = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(({q} >> {s}) & 31 AS int) + 1, 1)"
+_BASE32 = "list_reduce(list_transform(range(0, 8), lambda i: " + " || ".join(_CHAR.format(q=_QUINT, s=s) for s in (15, 10, 5, 0)) + "), lambda a, b: a || b)"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, cast(octet_length(encode(html)) AS bigint) AS payload_bytes, sha1(html) AS h FROM p),
+m AS (SELECT h, max(page_id) AS original FROM d GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d JOIN m USING (h)
+"""
