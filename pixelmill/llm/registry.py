@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, pii, quality, sql, warc
+from . import decontamination, minhash, pieces, pii, quality, sql, warc
 from .common import table
 
 
@@ -29,12 +29,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_probminhash": op3_probminhash,
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
