@@ -217,3 +217,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns for every row of ``documents``."""
     found = search(build_index(documents), benchmark)
     return judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``documents`` without the contaminated ones; columns as they are.
+
+    The verdict depends on the text alone, so it is looked up by the text's hash.
+    """
+    keyed = documents.withColumn("__key", F.xxhash64(text_col))
+    found = judge(search(build_index(keyed, "__key", text_col), benchmark))
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return keyed.join(F.broadcast(bad) if bad.count() <= 100_000 else bad, "__key", "left_anti").select(*documents.columns)

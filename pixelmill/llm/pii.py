@@ -227,7 +227,10 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = documents.withColumn("__key", F.xxhash64(text_col))
     spans = find(rows, "__key", text_col).where(F.size("all") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("all").alias("__spans"))
-    marked = rows.join(spans, "__key", "left").drop("__key")
+    spans = stored(spans, "spans")
+    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__spans")), F.lit(0)).alias("spans")).first()
+    few = size["rows"] <= 50_000 and size["spans"] <= 200_000  # some MB at most
+    marked = rows.join(F.broadcast(spans) if few else spans, "__key", "left").drop("__key")
     others = [c for c in documents.columns if c != text_col]
     hit = marked.where("__spans IS NOT NULL").select(F.col(text_col).alias("text"), "__spans", *others)
     schema = ", ".join(["text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != text_col]])
