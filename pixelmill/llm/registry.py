@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, minhash, pieces, pii, quality, secrets, sql, warc
+from . import decontamination, licenses, minhash, pieces, pii, quality, secrets, sql, urls, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -47,12 +51,14 @@ QUERIES = {
     "op3_probminhash": op3_probminhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
+    "op6_url_filter": sql.URLS,
     "op1_warc": sql.WARC,
     "op4_quality_rules": sql.QUALITY,
     "op9_decontamination": sql.DECONTAMINATION,

@@ -50,3 +50,37 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
 FROM d JOIN m USING (h)
 """
+
+_FIT = "((host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))"
+_PART = r"'(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?'"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), {_PART}, 1), '{ASCII_UPPER}', '{ASCII_LOWER}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), {_PART}, 2)"
+
+
+def _node(url: str) -> str:
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END || regexp_extract({url}, {_PART}, 3) END"
+
+
+URLS = rf"""
+WITH RECURSIVE r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+u AS (SELECT row_number() OVER () AS rid, page_id, url, html, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node FROM pages),
+best AS (SELECT rid, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(verdict, length(h) + length(p)) AS verdict FROM u, r WHERE {_FIT} GROUP BY rid),
+tags AS (SELECT url, host, path, node, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"''\s>]+)', 1)))) AS target FROM u WHERE url IS NOT NULL),
+whole AS (SELECT node AS src, CASE WHEN contains(target, '://') THEN replace(target, '&amp;', '&') WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target
+    WHEN starts_with(target, '#') THEN url ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS t FROM tags WHERE target <> ''),
+e AS (SELECT DISTINCT src, {_node("t")} AS dst FROM whole),
+both_ways AS (SELECT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst UNION SELECT dst, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+reach(a, b) AS (SELECT src, src FROM both_ways UNION SELECT reach.a, both_ways.dst FROM reach JOIN both_ways ON reach.b = both_ways.src),
+member AS (SELECT b, {_host("'http://' || b")} AS host, {_path("'http://' || b")} AS path FROM (SELECT DISTINCT b FROM reach)),
+own AS (SELECT b, arg_max(verdict, length(h) + length(p)) AS verdict FROM member, r WHERE {_FIT} GROUP BY b),
+taken AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' ELSE 'allow' END AS taken FROM reach LEFT JOIN own USING (b) GROUP BY a)
+SELECT page_id, host, path, rule, coalesce(best.verdict, taken.taken, 'allow') AS verdict FROM u LEFT JOIN best USING (rid) LEFT JOIN taken USING (node)
+"""
