@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import pixel_queries, pixel_sql, table_queries
+
+QUERIES: dict = {**pixel_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict = {**pixel_sql.ORACLES, **table_queries.ORACLES}
