@@ -7,10 +7,11 @@ work for a text of n shingles and m registers is about n + m ln m arrivals, not
 agree in a register with the probability Jaccard similarity of their weights.
 
 Texts with equal words form one class. Each band of a class representative's registers is a
-bucket key. A bucket is never expanded into pairs: its members are verified against one leader, and
-only a bucket that then still spans several components goes on to further, ever more, leaders
-until its members are one component or all of its pairs between components have been verified. So hot
-buckets of true copies cost one pair a member, and no link is lost to a cap.
+bucket key. A bucket is not expanded into pairs: its members are verified against one leader, its
+smallest id. A bucket that then still spans several components is compared in full: a small one by its
+pairs, where the registers' agreement estimates the similarity inside the join so that only pairs which
+may reach the threshold come out of it, a large one block by block, with incidence matrices and links
+as the only output. So hot buckets of true copies cost a pair a member, and no link is lost to a cap.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without a word (null, empty, signs only)
 are alike if they are equal, null as empty; repeated rows are one class; ids may repeat or be null,
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
@@ -37,6 +38,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 40 bands of 6: a pair of similarity 0.8 shares no band with probability 5e-6, one of 0.3 shares one with 0.03.
 BANDS, ROWS = 40, 6
+#: Bits of each register that a class's sketch keeps.
+SKETCH_BITS = 4
+#: A pair is verified only if its sketches differ in no more registers than a pair at the threshold does
+#: with so many standard deviations: it is passed over with probability 3e-6, less than by the banding.
+DEVIATIONS = 4.5
+#: The size up to which a bucket's pairs are listed; the members of a block beyond it.
+FEW, BLOCK = 16, 1000
 #: Class ids that may be broadcast: 16 bytes each.
 SMALL = 100_000
 
@@ -86,6 +94,35 @@ def _keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def _sketches(signature: np.ndarray) -> np.ndarray:
+    """The low bits of every register, bit plane after bit plane, in words of 64 bits."""
+    n, registers = signature.shape
+    planes = []
+    for bit in range(SKETCH_BITS):
+        flags = np.zeros((n, -(-registers // 64) * 64), dtype=bool)
+        flags[:, :registers] = (signature >> np.uint64(bit)) & np.uint64(1)
+        planes.append(np.packbits(flags, axis=1).view(np.int64))
+    return np.concatenate(planes, axis=1)
+
+
+def _differing(a: str, b: str, registers: int) -> Column:
+    """Registers in which two sketches differ."""
+    words = -(-registers // 64)
+    total = F.lit(0)
+    for w in range(words):
+        unlike = None
+        for plane in range(SKETCH_BITS):
+            one = F.col(a)[plane * words + w].bitwiseXOR(F.col(b)[plane * words + w])
+            unlike = one if unlike is None else unlike.bitwiseOR(one)
+        total = total + F.bit_count(unlike)
+    return total
+
+
+def _allowed(threshold: float, registers: int) -> int:
+    differ = (1 - threshold) * (1 - 2.0**-SKETCH_BITS)
+    return int(registers * differ + DEVIATIONS * (registers * differ * (1 - differ)) ** 0.5)
+
+
 def _sign(bands: int, per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
@@ -101,13 +138,15 @@ def _sign(bands: int, per_band: int):
                 sizes = np.array([len(s) for s, _ in shingles])
                 row = np.repeat(np.arange(n), sizes)
                 signature = signatures(row, np.concatenate([s for s, _ in shingles]), np.concatenate([c for _, c in shingles]).astype(np.float64), n, bands * per_band)
+                sketch = _sketches(signature)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1)))
                 keys = _keys(signature, bands).astype(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 # the class: a chain over all words in order; two chains make a collision of classes negligible
                 chain = [_chain(found[a:b]) if b > a else _raw(part[o:p]) for a, b, o, p in zip(cuts[:-1], cuts[1:], at[:-1] - at[0], at[1:] - at[0], strict=True)]
                 yield pa.record_batch(
-                    [pa.array(range(uid, uid + n), pa.int64()), batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(chain, pa.binary()), pa.array(counts), keys],
-                    names=["uid", "doc_id", "tkey", "words", "n_words", "keys"],
+                    [pa.array(range(uid, uid + n), pa.int64()), batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(chain, pa.binary()), pa.array(counts), keys, sketch],
+                    names=["uid", "doc_id", "tkey", "words", "n_words", "keys", "sketch"],
                 )
                 uid += n
 
@@ -149,20 +188,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above[common] / x[common] + below[common] / y[common])).sum())
 
 
-def _verify(threshold: float):
-    def weighted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        data, offsets = texts_of(column)
-        out = []
-        for first, last in blocks(offsets):
-            at = offsets[first : last + 1]
-            _, _, found, counts = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER)
-            cuts = np.concatenate([[0], np.cumsum(counts)])
-            out += [_weights(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
+def _weighted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted shingles of a column of texts."""
+    data, offsets = texts_of(column)
+    out = []
+    for first, last in blocks(offsets):
+        at = offsets[first : last + 1]
+        _, _, found, counts = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER)
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        out += [_weights(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
 
+def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = weighted(batch.column(2)), weighted(batch.column(3))
+        for batch in (whole.slice(at, 400) for whole in batches for at in range(0, whole.num_rows, 400)):
+            left, right = _weighted(batch.column(2)), _weighted(batch.column(3))
             alike = np.array([similarity(a, b) for a, b in zip(left, right, strict=True)])
             keep = np.flatnonzero(alike >= threshold)
             yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(alike[keep], pa.float64())], names=["src", "dst", "similarity"])
@@ -173,7 +214,7 @@ def _verify(threshold: float):
 def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """Every row with its key, its text's hash, its words' class and its band keys, written to the shared folder."""
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    return stored(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey bigint, words binary, n_words bigint, keys array<bigint>"), "signatures")
+    return stored(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey bigint, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
 
 
 def _key(column: str):
@@ -202,43 +243,119 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return stored(both.mapInArrow(_verify(threshold), "src binary, dst binary, similarity double"), "links")
 
 
-def link(documents: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the classes that have links, and the verified links (src, dst, similarity).
+def _cards(texts: DataFrame) -> DataFrame:
+    """The weighted shingles of classes: id, elements (sorted), weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _weighted(batch.column(1))
+            offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in cells])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([c[k] for c in cells]).astype(np.int64) if cells else np.zeros(0, np.int64))) for k in (0, 1)]
+            yield pa.record_batch([batch.column(0), *lists], names=["id", "elements", "weights"])
+
+    return texts.select("id", "text").mapInArrow(run, "id binary, elements array<bigint>, weights array<bigint>")
+
+
+def _block_links(threshold: float):
+    """Verified links between components in one pair of blocks of a bucket, by products of incidence matrices."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        ids, component, block, i, j = (table.column(c).to_pylist() for c in ("id", "component", "block", "i", "j"))
+        left = np.array([b == i[0] for b in block])
+        right = np.array([b == j[0] for b in block])
+        elements, weights = table.column("elements").combine_chunks(), table.column("weights").combine_chunks()
+        sizes = np.diff(elements.offsets.to_numpy())
+        flat, mass = elements.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy().astype(np.float64)
+        row = np.repeat(np.arange(n), sizes)
+        total = np.bincount(row, weights=mass, minlength=n)
+        values, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(often > 1) - 1  # an element of one member is in no intersection
+        keep = often[column] > 1
+        row_k, col_k, mass_k = row[keep], number[column[keep]], mass[keep]
+        order = np.argsort(col_k, kind="stable")
+        row_k, col_k, mass_k = row_k[order], col_k[order], mass_k[order]
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        shared, other = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))  # mass of the left one, and of the right one, in common elements
+        columns = int(col_k[-1]) + 1 if len(col_k) else 0
+        for at in range(0, columns, 2048):
+            lo, hi = np.searchsorted(col_k, [at, at + 2048])
+            there, heavy = (np.zeros((n, min(2048, columns - at)), np.float32) for _ in range(2))
+            there[row_k[lo:hi], col_k[lo:hi] - at] = 1
+            heavy[row_k[lo:hi], col_k[lo:hi] - at] = mass_k[lo:hi]
+            shared += heavy[a] @ there[b].T
+            other += there[a] @ heavy[b].T
+        # a common element wins both races only if it comes before the other text's own elements too: with common
+        # shares p and q that has probability pq / (q + (1 - q)p) at most, which is exact for equal weights
+        p, q = shared / total[a][:, None], other / total[b][None, :]
+        bound = p * q / np.maximum(np.maximum(q + (1 - q) * p, p + (1 - p) * q), 1e-9)
+        names = {c: k for k, c in enumerate(dict.fromkeys(component))}
+        group = np.array([names[c] for c in component])
+        may = (bound >= threshold - 1e-6) & (group[a][:, None] != group[b][None, :])
+        plain = total == sizes
+        size = sizes.astype(np.float64)
+        alike = np.where(may & plain[a][:, None] & plain[b][None, :], shared / np.maximum(size[a][:, None] + size[b][None, :] - shared, 1.0), 0.0)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        for x, y in zip(*np.nonzero(may & ~(plain[a][:, None] & plain[b][None, :])), strict=True):
+            alike[x, y] = similarity(*((flat[cuts[k] : cuts[k + 1]], mass[cuts[k] : cuts[k + 1]]) for k in (a[x], b[y])))
+        linked = alike >= threshold
+        out, label = [], np.arange(len(names))
+        of_a, of_b = group[a], group[b]
+        for x in np.flatnonzero(linked.any(axis=1)):  # of all links, those that join what is not joined yet
+            for y in np.flatnonzero(linked[x] & (label[of_b] != label[of_a[x]])):
+                old, new = label[of_b[y]], label[of_a[x]]
+                if old != new:
+                    label[label == old] = new
+                    out.append((*sorted((ids[a[x]], ids[b[y]])), float(alike[x, y])))
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["src", "dst", "similarity"])
+
+    return run
+
+
+def _open(rest: DataFrame, merged: DataFrame) -> DataFrame:
+    """Members in buckets that span several components, with the components."""
+    rest = rest.drop("component").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
+    return stored(rest.drop("n").join(mixed, "bucket"), "open")
+
+
+def _in_blocks(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All links between components in large buckets: members in blocks, every two blocks a bounded group."""
+    ids = stored(large.select("id").distinct(), "ids")
+    cards = stored(_cards(texts.join(_bounded(ids), "id")), "cards")
+    rows = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).cast("int").alias("i"), F.greatest(k, F.col("block")).cast("int").alias("j")))
+    spread = rows.select("bucket", "id", "component", "block", F.explode(turns).alias("t")).select("bucket", "id", "component", "block", "t.i", "t.j")
+    return stored(spread.join(cards, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), "src binary, dst binary, similarity double"), "links")
+
+
+def link(documents: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the classes that have links, and verified links (src, dst, similarity) that hold the components together.
 
     A class's id is its ``words``.
     """
-    reps = signed.where("n_words > 0").groupBy(F.col("words").alias("id")).agg(F.min_by(F.struct("doc_id", "tkey", "keys"), F.struct("doc_id", "uid")).alias("rep"))
+    reps = signed.where("n_words > 0").groupBy(F.col("words").alias("id")).agg(F.min_by(F.struct("doc_id", "tkey", "keys", "sketch"), F.struct("doc_id", "uid")).alias("rep"))
     reps = stored(reps, "classes")
     bands = reps.select("id", F.explode("rep.keys").alias("bucket"))
     crowded = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rest = stored(bands.join(crowded, "bucket"), "members")
     texts = _texts(documents, reps, rest.select("id").distinct(), id_col, text_col)
-    found = tried = merged = None
-    for turn in range(max_rounds):
-        # members not yet compared with their whole bucket, in buckets where such members are of several components
-        if merged is None:
-            rest = rest.withColumn("component", F.col("id"))
-        else:
-            rest = rest.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-            rest = stored(rest.join(mixed, "bucket"), "open")
-            if rest.isEmpty():
-                return merged, found
-        # round 0: the smallest id leads, so that a large group has one leader in all its buckets; then up to 4, 16, ... by hash
-        slots = 4**turn
-        order = F.col("id") if turn == 0 else F.xxhash64("bucket", "id", F.lit(turn)).cast("string").cast("binary")
-        heads = rest.groupBy("bucket", F.pmod(F.xxhash64("id", "bucket"), F.lit(slots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("h"))
-        heads = stored(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.component").alias("of")), "leaders")
-        pairs = rest.join(heads, "bucket").where("component <> of").select(F.least("id", "head").alias("src"), F.greatest("id", "head").alias("dst")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        linked = _verified(pairs, texts, threshold)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = linked if found is None else found.unionByName(linked)
-        merged = components(found)
-        rest = rest.drop("component").join(heads.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti")
-    raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+    # the smallest id leads, so that a large group has one leader in all its buckets
+    heads = rest.groupBy("bucket").agg(F.min("id").alias("head"))
+    pairs = rest.join(heads, "bucket").where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct()
+    tried = stored(pairs, "pairs")
+    found = _verified(tried, texts, threshold)
+    merged = components(found)
+    # where a bucket still spans several components, all its pairs between them: listed in small buckets, block by block in large ones
+    rest = _open(rest, merged)
+    sketches = reps.select("id", F.col("rep.sketch").alias("sketch"))
+    near = _differing("sketch", "other_sketch", registers) <= _allowed(threshold, registers)
+    few = rest.where(F.col("n") <= FEW).join(sketches, "id")
+    others = few.select("bucket", F.col("id").alias("other"), F.col("component").alias("of"), F.col("sketch").alias("other_sketch"))
+    pairs = few.join(others, "bucket").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & near)
+    pairs = stored(pairs.select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti"), "pairs")
+    found = found.unionByName(_verified(pairs, texts, threshold)).unionByName(_in_blocks(rest.where(F.col("n") > FEW), texts, threshold))
+    return components(found), found
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
