@@ -29,7 +29,9 @@ def matted(pixels: DataFrame, key: tuple[int, int, int] = MAGENTA) -> DataFrame:
     seen = F.col("_t") > 0
     new = {v: F.when(~seen, F.lit(0)).when(F.col("_s"), clean[v]).otherwise(F.col(v)).alias(v) for v in "rgb"}
     new["a"] = F.floor(F.col("a").cast("double") * F.col("_t")).cast("int").alias("a")
-    return rows.select(*(new.get(name, F.col(name)) for name in pixels.columns))
+    # a generator of one row: conditions on the new columns stay above it and are not spelt out again below
+    others = [name for name in pixels.columns if name not in new]
+    return rows.select(*others, F.inline(F.array(F.struct(*new.values())))).select(*pixels.columns)
 
 
 def background_key(pixels: DataFrame, width: int, height: int) -> DataFrame:
