@@ -38,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 40 bands of 6: a pair of similarity 0.8 shares no band with probability 5e-6, one of 0.3 shares one with 0.03.
 BANDS, ROWS = 40, 6
+#: Bytes of text that are signed at once: enough texts to share the cost of the arrival rounds.
+SIGN_BYTES = 1 << 20
 #: Bits of each register that a class's sketch keeps.
 SKETCH_BITS = 4
 #: A pair is verified only if its sketches differ in no more registers than a pair at the threshold does
@@ -128,7 +130,7 @@ def _sign(bands: int, per_band: int):
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = texts_of(batch.column(1))
-            for first, last in blocks(offsets):
+            for first, last in blocks(offsets, SIGN_BYTES):
                 at = offsets[first : last + 1]
                 part = data[at[0] : at[-1]]
                 _, _, found, counts = fingerprints(part, at - at[0], ALNUM, LOWER)
