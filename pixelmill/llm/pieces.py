@@ -12,8 +12,9 @@ path to each boundary is, and it is the library's segmentation. Whether two piec
 side is found by merging the two alone, and remembered.
 
 A boundary in front of a run of word marks always converges if no piece has a mark behind another
-character, and so does one beside a character of no piece; words between such boundaries are
-remembered with their ids (``MEMO`` words at most; longer stretches go through the window each time).
+character; so does one beside a line end, or between a Latin letter and something else, if no piece goes across. Words between
+such boundaries are remembered with their ids (the last ``MEMO`` words and those before them at most, some 100 MB; longer
+stretches go through the window each time).
 
 Defined cases: null text has no ids, as the empty text; characters of no piece become their UTF-8
 bytes' pieces, or the unknown id in models without byte pieces; a literal U+2581 is encoded as a space
@@ -24,6 +25,7 @@ extra columns are passed on; the new columns' names are the caller's.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from pyspark.sql import types as T
 #: Where this box keeps a public model; give another path for other models.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO, MEMO_CHARS = 1_000_000, 48
-PAIRS = 2_000_000
+MEMO, MEMO_CHARS = 200_000, 48
+PAIRS = 300_000
 
 
 def vocabulary(path: str = MODEL) -> dict:
@@ -73,15 +75,21 @@ class Trellis:
         self.unigram = objective == "unigram"
         self.floor = min(self.score.values(), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, bytes] = {}
-        marked_inside = any(MARK in p.lstrip(MARK) for p in self.id)
-        foreign = not any("\n" in p for p in self.id)
-        if marked_inside:
+        self.split: dict[str, tuple[str, str] | None] = {}
+        self.whole: set[str] = set()
+        self.memo: dict[str, bytes] = {}  # words met lately
+        self.older: dict[str, bytes] = {}  # words met before those; what is met again moves up
+        # where no piece goes across, all paths converge: in front of marks, around line ends, around Latin letters
+        latin = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]")
+        if any(MARK in p.lstrip(MARK) for p in self.id):
             self.cut = re.compile(r"(?s).+")
-        elif foreign:
+        elif any("\n" in p for p in self.id):
+            self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        elif any(len({latin.match(c) is None for c in p.lstrip(MARK)}) > 1 for p in self.id):
             self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         else:
-            self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+            letters = latin.pattern[1:-1]
+            self.cut = re.compile(f"{MARK}*[{letters}]+|{MARK}*[^{MARK}\n{letters}]+|{MARK}+|\n")
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: again and again the best-scored neighbours, leftmost first."""
@@ -97,15 +105,66 @@ class Trellis:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to make a piece; None if merging its characters makes something else."""
+        if piece not in self.split:
+            parts, found = list(piece), None
+            while len(parts) > 1:
+                scored = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score]
+                if not scored:
+                    break
+                at = min(scored)[1]
+                found = (parts[at], parts[at + 1])
+                parts[at : at + 2] = ["".join(found)]
+            self.split[piece] = found if len(parts) == 1 else None
+        return self.split[piece]
+
+    def _fits(self, left: str, right: str) -> bool:
+        """Whether merging the characters of two pieces gives the two pieces.
+
+        Merges are undone from the latest back; the pieces do not fit if at some moment the parts that
+        touch could have been joined before the merge that came next. Of equal scores the left one comes first.
+        """
+        score, until, first = self.score, float("-inf"), False
+        while True:
+            across = score.get(left + right)
+            if across is not None and (across > until or (first and across == until)):
+                return False
+            made_left = score[left] if len(left) > 1 else None
+            made_right = score[right] if len(right) > 1 else None
+            if made_left is None and made_right is None:
+                return True
+            if made_right is None or (made_left is not None and made_left < made_right):
+                until, first, left = made_left, False, self.split[left][1]
+            else:
+                until, first, right = made_right, True, self.split[right][0]
+
     def _side_by_side(self, left: str, right: str) -> bool:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+            if MARK + MARK in left or MARK + MARK in right or (left[-1:] == MARK and right[:1] == MARK):
+                known = self.merged(left + right) == [left, right]  # runs of marks share one score
+            elif any(len(p) > 1 and self._halves(p) is None for p in key):
+                known = False
+            else:
+                for p in key:
+                    self._ready(p)
+                known = self._fits(left, right)
+            self.pairs[key] = known
         return known
 
+    def _ready(self, piece: str) -> None:
+        """Fills in the parts that undoing a piece's merges will ask for."""
+        todo = [piece]
+        while todo:
+            part = todo.pop()
+            if len(part) > 1 and part not in self.whole:
+                self.whole.add(part)
+                todo += self._halves(part) or ()
+
     def _ids(self, piece: str) -> list[int]:
         found = self.id.get(piece)
         if found is not None:
@@ -189,14 +248,15 @@ class Trellis:
         return [i for piece in reversed(out) for i in self._ids(piece)]
 
     def _word(self, word: str) -> bytes:
-        found = self.memo.get(word)
+        found = self.older.get(word)
         if found is None:
             ids = self.stream(word) if self.unigram or len(word) > 2 * self.longest else self._short(word)
-            found = np.fromiter(ids, dtype=np.int32).tobytes()
-            if len(word) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = found
+            found = array("i", ids).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.older = self.memo.copy()
+                self.memo.clear()
+            self.memo[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
