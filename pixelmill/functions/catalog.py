@@ -157,3 +157,11 @@ def with_preset(states: DataFrame, name: str = "state") -> DataFrame:
     rows = states.join(exact, key == F.col("_e"), "left").join(base, base_state(F.col(name)) == F.col("_b"), "left")
     found = F.coalesce("_x", "_y")
     return rows.select(*states.columns, found["k"].alias("preset"), found["category"].alias("category"), found["frames"].alias("frames"), found["fps"].alias("fps"), found["loop"].alias("loop"))
+
+
+def search(spark: SparkSession, query: str) -> DataFrame:
+    """Categories in catalog order with the names of their presets that the words are part of; blank finds all."""
+    q = query.strip().lower()
+    rows = presets(spark).where(F.lower("name").contains(q) | F.lower("category").contains(q)) if q else presets(spark)
+    groups = rows.groupBy("category").agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda s: s["name"]).alias("names"))
+    return groups.orderBy("first").select("category", "names")

@@ -164,3 +164,29 @@ def body_heights(frames: DataFrame) -> DataFrame:
     """(image_id, frame, height): the tallest column's extent."""
     per = frames.where(on()).groupBy(*FRAME, "x").agg((F.max("y") - F.min("y") + 1).alias("h"))
     return frames.select(*FRAME).distinct().join(per.groupBy(*FRAME).agg(F.max("h").alias("height")), FRAME, "left").select(*FRAME, F.coalesce("height", F.lit(0)).alias("height"))
+
+
+def metrics(frames: DataFrame) -> DataFrame:
+    """(image_id, frame, residue, halo, edge, torso): counts of tinted, fringed and border pixels, mean column of the blue-ish."""
+    r, g, b = (F.col(c) for c in "rgb")
+    blue = on() & (b > 140) & (b - r > 40) & (g < 180)
+    return frames.groupBy(*FRAME).agg(
+        F.count_if(on() & (r > 150) & (b > 150) & (g < 130)).alias("residue"),
+        F.count_if(on() & (r - g > 40) & (b - g > 40) & ~((r > 200) & (b > 200) & (g < 80))).alias("halo"),
+        F.count_if(on() & F.col("x").isin(0, 1) | on() & (F.col("x") >= F.col("w") - 2)).alias("edge"),
+        F.coalesce(F.avg(F.when(blue, F.col("x"))), F.lit(0.0)).alias("torso"),
+    )
+
+
+def onion_skin(frames: DataFrame, alpha: int = 90) -> DataFrame:
+    """(image_id, x, y, r, g, b): a set's frames blended over each other in order, at a fixed alpha.
+
+    The fold needs a place's frames in order; a list holds as many values as the set has frames.
+    """
+    values = F.array_sort(F.collect_list(F.struct("frame", "r", "g", "b", "a")))
+    rows = frames.groupBy("image_id", "x", "y").agg(values.alias("v"))
+
+    def fold(c: str) -> Column:
+        return F.aggregate("v", F.lit(0), lambda under, p: F.when(p["a"] > ALPHA_T, color.blend(under, p[c], alpha)).otherwise(under))
+
+    return rows.select("image_id", "x", "y", *(fold(c).alias(c) for c in "rgb"))

@@ -80,3 +80,49 @@ def placement(contents: DataFrame, cell_w: int, cell_h: int, margin: int) -> Dat
     left = F.greatest(F.lit(0), (F.lit(cell_w / 2) - (F.col("cx") - F.col("min_x")) * F.col("scale") + 0.5).cast("int"))
     top = F.lit(cell_h - margin) - ((F.col("base") - F.col("bottom")) * F.col("scale") + 0.5).cast("int") - F.col("sh")
     return rows.select("image_id", "seg", F.round("scale", 6).alias("scale"), "sw", "sh", F.when(left + F.col("sw") > cell_w, F.lit(cell_w) - F.col("sw")).otherwise(left).alias("left"), F.greatest(F.lit(0), top).alias("top"))
+
+
+def cropped(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """A rectangle, moved to the origin."""
+    inside = pixels.where((F.col("x") >= x) & (F.col("x") < x + w) & (F.col("y") >= y) & (F.col("y") < y + h))
+    return inside.withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
+
+
+def tight(frames: DataFrame) -> DataFrame:
+    """Each frame cropped to its content's box."""
+    box = boxes(frames).where("w > 0").selectExpr("image_id", "frame", "x as bx", "y as by", "w as bw", "h as bh")
+    rows = frames.join(box, ["image_id", "frame"]).where("x >= bx AND x < bx + bw AND y >= by AND y < by + bh")
+    return rows.withColumns({"x": F.col("x") - F.col("bx"), "y": F.col("y") - F.col("by")}).drop("bx", "by", "bw", "bh")
+
+
+def scaled_down(pixels: DataFrame, factor: int) -> DataFrame:
+    """Every factor-th pixel of every factor-th row."""
+    rows = pixels.where((F.col("x") % factor == 0) & (F.col("y") % factor == 0))
+    return rows.withColumns({"x": F.floor(F.col("x") / factor).cast("int"), "y": F.floor(F.col("y") / factor).cast("int")})
+
+
+def scaled_up(pixels: DataFrame, factor: int) -> DataFrame:
+    """Every pixel as a square of its own."""
+    rows = pixels.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(factor * factor - 1))))
+    return rows.withColumns({"x": F.col("x") * factor + F.col("_p") % factor, "y": F.col("y") * factor + F.floor(F.col("_p") / factor).cast("int")}).drop("_p")
+
+
+def stacked(panels: DataFrame, gap: int, vertical: bool = False) -> DataFrame:
+    """Panels (panel, x, y, ...) beside or below each other, a gap apart."""
+    along = "y" if vertical else "x"
+    sizes = panels.groupBy("panel").agg((F.max(along) + 1).alias("size"))
+    before = Window.orderBy("panel").rowsBetween(Window.unboundedPreceding, -1)  # a row a panel
+    placed = sizes.select("panel", F.coalesce(F.sum(F.col("size") + gap).over(before), F.lit(0)).alias("at"))
+    return panels.join(F.broadcast(placed), "panel").withColumn(along, F.col(along) + F.col("at")).drop("at")
+
+
+def draw_rects(frames: DataFrame, cell: int, pad: int = 0) -> DataFrame:
+    """Where a frame (w, h; scale, dx, dy or nulls) is drawn in its cell: scaled about its foot, moved, inset by ``pad``.
+
+    Scales are kept within 0.5 and 1.5; a frame without a transform, or with the neutral one, is ``plain``.
+    """
+    s = F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.coalesce("scale", F.lit(1.0))))
+    dx, dy = (F.coalesce(c, F.lit(0.0)) for c in ("dx", "dy"))
+    w, h = F.col("w") * s, F.col("h") * s
+    plain = (F.coalesce("scale", F.lit(1.0)) == 1) & (dx == 0) & (dy == 0)
+    return frames.withColumns({"draw_x": F.lit(cell / 2) - w / 2 + dx + pad, "draw_y": F.lit(float(cell)) - h + dy + pad, "draw_w": w, "draw_h": h, "plain": plain})

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import ALPHA_T, CHROMA_IN, CHROMA_OUT, MAGENTA
+from ..constants import ALPHA_T, CHROMA_IN, CHROMA_OUT, FLOOD_TOL, MAGENTA
 from ..functions import color
+from . import kernels
 
 
 def key_of(rgb: tuple[int, int, int] = MAGENTA) -> Column:
     return color.ycc(*(F.lit(c) for c in rgb))
 
 
-def matted(pixels: DataFrame, key: tuple[int, int, int] = MAGENTA) -> DataFrame:
-    """Pixels with soft alpha, and key spill taken out of their colours; empty pixels are black."""
-    k = key_of(key)
+def matted(pixels: DataFrame, key: tuple[int, int, int] | Column = MAGENTA) -> DataFrame:
+    """Pixels with soft alpha, and key spill taken out of their colours; empty pixels are black.
+
+    ``key`` is one colour, or a struct column of each row's y, cb and cr (its image's own key).
+    """
+    k = key_of(key) if isinstance(key, tuple) else key
     c = color.ycc(F.col("r"), F.col("g"), F.col("b"))
     # plain columns, each used more than once, so that Catalyst keeps the steps apart and computes each once
     rows = pixels.select("*", *(c[v].alias(f"_{v}") for v in ("y", "cb", "cr")))
@@ -79,3 +83,38 @@ def cleaned(pixels: DataFrame, width: int, height: int) -> DataFrame:
     if width < 3 or height < 3:
         return pixels
     return rows.withColumn("a", F.when((F.col("_on") == 1) & (F.col("_nb") == 0), 0).when((F.col("_on") == 0) & (F.col("_nb") >= 7), 255).otherwise(F.col("a"))).drop("_on", "_row", "_nb")
+
+
+def _flooded_matte(pixels: DataFrame, key: Column) -> DataFrame:
+    """Matted pixels whose background, as far as it is connected to the border, is cleared."""
+    c = color.ycc(F.col("r"), F.col("g"), F.col("b"))
+    flagged = pixels.withColumn("is_key", color.chroma_distance(c, key) <= FLOOD_TOL)
+    outside = kernels.flooded(flagged).withColumn("_out", F.lit(True))
+    rows = matted(pixels, key).join(outside, ["image_id", "x", "y"], "left")
+    return rows.withColumn("a", F.when(F.col("_out"), F.lit(0)).otherwise(F.col("a"))).drop("_out")
+
+
+def without_background(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (image_id, x, y, r, g, b, a) with the background removed, whatever its key.
+
+    The image's own key is used; where that leaves too much (or the key is no magenta), pure magenta is
+    tried too, for those images alone, and the one with less residue is kept. Then alpha is cleaned up.
+    """
+    pixels = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
+    keys = background_key(pixels, width, height)
+    own = color.ycc(*(F.col(f"k{c}") for c in "rgb"))
+    named = keys.select("image_id", *(F.col(c).alias(f"k{c}") for c in "rgb"), color.is_magenta(*(F.col(c) for c in "rgb")).alias("magenta"))
+    keyed = pixels.join(named, "image_id")
+    first = _flooded_matte(keyed.select("image_id", "x", "y", "r", "g", "b", "a", own.alias("key")), F.col("key")).drop("key")
+    near = color.chroma_distance(color.ycc(F.col("r"), F.col("g"), F.col("b")), key_of()) < 55
+    measures = [F.avg((F.col("a") > ALPHA_T).cast("double")), F.avg(((F.col("a") > ALPHA_T) & near).cast("double"))]
+    one = first.groupBy("image_id").agg(measures[0].alias("frac"), measures[1].alias("residue")).join(named.select("image_id", "magenta"), "image_id")
+    doubtful = one.where((F.col("frac") > 0.60) | (F.col("residue") > 0.025) | ~F.col("magenta"))
+    second = _flooded_matte(pixels.join(doubtful.select("image_id"), "image_id"), key_of())
+    two = second.groupBy("image_id").agg(measures[0].alias("frac2"), measures[1].alias("residue2"))
+    both = doubtful.join(two, "image_id").where("frac2 > 0.02")
+    symptom = (F.col("frac") > 0.60) | (F.col("residue") > 0.025)
+    better = (F.col("frac2") < F.col("frac") - 0.03) | (F.col("residue2") < F.col("residue"))
+    again = both.where((symptom & better) | (~F.col("magenta") & (F.col("residue2") < F.col("residue")))).select("image_id")
+    chosen = first.join(again, "image_id", "left_anti").unionByName(second.join(again, "image_id"))
+    return cleaned(chosen, width, height)

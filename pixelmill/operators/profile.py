@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import ALPHA_T, BODY_SHARE, CUT_LAMBDA, CUT_MIN_SHARE, PEAK_SHARE, RUN_EPS, RUN_MASS, RUN_PEAK, VALLEY_SHARE, WIDE_RATIO
+from ..session import settled
 
 
 def projected(pixels: DataFrame, axis: str = "x", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -128,3 +129,42 @@ def owners(labelled: DataFrame, spans: DataFrame) -> DataFrame:
 
 def opaque(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("a") > ALPHA_T)
+
+
+def segments(profile: DataFrame, expected: DataFrame, width: int, min_run: int, most: int = 10) -> DataFrame:
+    """(image_id, seg, x0, x1): a strip's figures, from its smoothed profile.
+
+    Runs are split by their figures; a strip whose number then differs from ``expected`` (image_id,
+    expected) is cut into that many whole, where both its content and itself have 16 columns for each.
+    """
+    # profiles and runs are small beside the pixels and read many times over: settled, they are planned and made once
+    profile = settled(profile)
+    found = settled(runs(profile, min_run))
+    counted = settled(pose_counts(found, peaks(profile, found)))
+    parts = settled(_split(profile, counted, most))
+    totals = parts.groupBy("image_id").agg(F.count("*").alias("n_found"))
+    content = found.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("content"))
+    state = totals.join(content, "image_id").join(expected.select("image_id", "expected"), "image_id")
+    forced = state.where((F.col("n_found") != F.col("expected")) & (F.col("content") / F.col("expected") >= 16) & (F.floor(F.lit(width) / F.col("expected")) >= 16))
+    whole = forced.select("image_id", F.lit(0).alias("x0"), F.lit(width).alias("x1"), F.col("expected").cast("int").alias("n"))
+    every = parts.join(forced.select("image_id"), "image_id", "left_anti").unionByName(_split(profile, whole, most))
+    return every.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("x0")) - 1).alias("seg"), "x0", "x1")
+
+
+def _split(profile: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """(image_id, x0, x1) of parts (image_id, x0, x1, n) cut into n spans; evenly where no cut has room."""
+    many = parts.where("n > 1 AND x1 - x0 >= n").select("image_id", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"), "n")
+    placed = many.join(cuts(profile, many, most).select("image_id", "x0", "cuts"), ["image_id", "x0"])
+    even = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.col("x0") + F.floor((F.col("x1") - F.col("x0")) * i / F.col("n")).cast("int"))
+    edges = F.concat(F.array("x0"), F.coalesce("cuts", even), F.array("x1"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.struct(F.get("e", i).alias("x0"), F.get("e", i + 1).alias("x1")))
+    split = placed.withColumn("e", edges).select("image_id", F.explode(spans).alias("s")).select("image_id", "s.x0", "s.x1")
+    return parts.where("n <= 1 OR x1 - x0 < n").selectExpr("image_id", "cast(x0 as int) as x0", "cast(x1 as int) as x1").unionByName(split)
+
+
+def contents(labelled: DataFrame, owner: DataFrame) -> DataFrame:
+    """(image_id, seg, min_x, min_y, max_x, max_y, cx): what each span owns; ``labelled`` are pixels with alpha and label."""
+    rows = labelled.join(owner.where("owner >= 0"), ["image_id", "label"])
+    return rows.groupBy("image_id", F.col("owner").alias("seg")).agg(
+        F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), (F.sum(F.col("x") * F.col("a")) / F.sum("a")).alias("cx")
+    )

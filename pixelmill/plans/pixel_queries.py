@@ -290,9 +290,51 @@ def body_heights(spark, sf):
     return fr.body_heights(frames(spark, sf))
 
 
+def frame_metrics(spark, sf):
+    return fr.metrics(frames(spark, sf)).select("image_id", "frame", "residue", "halo", "edge", r6("torso").alias("torso"))
+
+
+def onion_skin(spark, sf):
+    return fr.onion_skin(frames(spark, sf)).groupBy("image_id").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgb"))
+
+
+def segment_strip(spark, sf):
+    return profile.segments(smooth(spark, sf), strips(spark, sf), WIDTH, MIN_RUN, 4)
+
+
+def extract_contents(spark, sf):
+    """What each figure's span owns, by components."""
+    m = mat(spark, sf).select("image_id", "x", "y", "a")
+    labelled = _labelled(spark, sf)
+    owned = profile.owners(labelled, segment_strip(spark, sf))
+    return profile.contents(labelled.join(m, ["image_id", "x", "y"]), owned).select("image_id", "seg", "min_x", "min_y", "max_x", "max_y", r6("cx").alias("cx"))
+
+
+def remove_background(spark, sf):
+    out = matte.without_background(pixels(spark, sf), WIDTH, HEIGHT)
+    return out.groupBy("image_id").agg(*(F.sum(F.when(F.col("a") > 0, F.col(c)).otherwise(0)).alias(f"sum_{c}") for c in "rgba"))
+
+
+def tight_crop(spark, sf):
+    return layout.tight(frames(spark, sf)).groupBy("image_id", "frame").agg(F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.sum(F.col("x") * F.col("a")).alias("mark"))
+
+
+def rescale_round_trip(spark, sf):
+    """Halved by subsampling and doubled again."""
+    out = layout.scaled_up(layout.scaled_down(mat(spark, sf).select("image_id", "x", "y", "r", "g", "b", "a"), 2), 2)
+    return out.groupBy("image_id").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * (F.col("y") + 1) * F.col("a")).alias("mark"))
+
+
+def draw_rects(spark, sf):
+    f = fr.boxes(frames(spark, sf)).where("w > 0")
+    moved = f.selectExpr("image_id", "frame", "w", "h", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE (image_id % 9) / 4.0D END AS scale", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE cast(frame as double) END AS dx", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE cast(-frame as double) END AS dy")
+    out = layout.draw_rects(moved, 64, 6)
+    return out.select("image_id", "frame", *(r6(c).alias(c) for c in ("draw_x", "draw_y", "draw_w", "draw_h")), "plain")
+
+
 _NAMES = """pixel_derive ycbcr_project ycc_round_trip matte_alpha despill bg_key_mode magenta_residue column_projection profile_smooth content_runs drop_minor_runs
 upper_median_width pose_peaks pose_counts dp_cut pose_count_accuracy row_bands bbox weighted_centroid body_extent components label_owner_rangejoin flood_clear alpha_cleanup
 hist64 loo_palette_similarity base_similarity frame_reports inspect_rules motion_presence pairwise_identity contact_score score_overall jitter_report distinct_colors gif_top255
 systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixel_scale block_mode mirror direction_set_union atlas_rects sheet_json strip_concat cell_placement
-equal_split_crossings frame_balance centroid_spread body_heights""".split()
+equal_split_crossings frame_balance centroid_spread body_heights frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

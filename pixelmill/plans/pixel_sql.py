@@ -121,6 +121,36 @@ def _extent(source: str, out: str, keys: str = "image_id") -> str:
 {out} AS (SELECT {keys}, coalesce(min(j.pos - i.pos + 1) FILTER (j.upto - (i.upto - i.mass) >= i.al * 0.8::double AND i.al > 0), 0)::int AS span FROM {out}_c i JOIN {out}_c j USING ({keys}) WHERE j.pos >= i.pos GROUP BY {keys})"""
 
 
+def _step(before: str, out: str, k: int, name: str) -> str:
+    """The k-th cut of parts (image_id, x0, x1, n, ideal, mw, last, cost, cuts)."""
+    price = "cost + mass + 0.0015::double * (pos - last - ideal) * (pos - last - ideal)"
+    return f"""
+{out} AS (SELECT * FROM (SELECT b.image_id, x0, x1, n, ideal, mw, pos AS last, {price} AS cost, list_append(cuts, pos) AS cuts, row_number() OVER (PARTITION BY b.image_id, x0, pos ORDER BY {price}, last) AS rn
+  FROM (SELECT * FROM {before} WHERE n > {k}) b JOIN smo ON smo.image_id = b.image_id AND pos >= last + mw AND pos >= x0 + {k} * mw AND pos <= x1 - (n - {k}) * mw) WHERE rn = 1)"""
+
+
+def _parted(parts: str, p: str) -> str:
+    """Spans of parts (image_id, x0, x1, n) cut into n: as {p}_sp."""
+    cols = "image_id, x0, x1, n, ideal, mw, last, cost, cuts"
+    return f"""
+{p}_0 AS (SELECT image_id, x0, x1, n, (x1 - x0)::double / n AS ideal, greatest(2, floor((x1 - x0)::double / n * 0.45::double)::int) AS mw, x0 AS last, 0::double AS cost, []::bigint[] AS cuts FROM {parts} WHERE n > 1 AND x1 - x0 >= n),
+{_step(p + '_0', p + '_1', 1, p)},{_step(p + '_1', p + '_2', 2, p)},{_step(p + '_2', p + '_3', 3, p)},
+{p}_e AS (SELECT {cols} FROM {p}_1 WHERE n = 2 UNION ALL SELECT {cols} FROM {p}_2 WHERE n = 3 UNION ALL SELECT {cols} FROM {p}_3 WHERE n = 4),
+{p}_c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x0 ORDER BY cost + 0.0015::double * (x1 - last - ideal) * (x1 - last - ideal), last) AS rn FROM {p}_e) WHERE rn = 1),
+{p}_b AS (SELECT z.image_id, z.x0 AS s0, list_concat([z.x0::bigint], coalesce({p}_c.cuts, list_transform(range(1, z.n), lambda i: z.x0 + (z.x1 - z.x0) * i // z.n)), [z.x1::bigint]) AS e FROM {p}_0 z LEFT JOIN {p}_c ON {p}_c.image_id = z.image_id AND {p}_c.x0 = z.x0),
+{p}_sp AS (SELECT image_id, unnest(list_transform(range(1, len(e)), lambda i: e[i])) AS x0, unnest(list_transform(range(1, len(e)), lambda i: e[i + 1])) AS x1 FROM {p}_b
+  UNION ALL SELECT image_id, x0, x1 FROM {parts} WHERE n <= 1 OR x1 - x0 < n)"""
+
+
+CNT = """me AS (SELECT image_id, list_sort(list(x1 - x0))[count(*) // 2 + 1] AS med, count(*) AS nr FROM run GROUP BY ALL), pn AS (SELECT image_id, x0, count(*) AS n FROM pk GROUP BY ALL),
+cap AS (SELECT run.image_id, run.x0, x1, nr, med, CASE WHEN nr > 1 THEN least(n, greatest(1, floor((x1 - run.x0)::double / med + 0.5::double)::int)) ELSE n END AS n FROM run JOIN pn ON run.image_id = pn.image_id AND run.x0 = pn.x0 JOIN me ON run.image_id = me.image_id),
+cnt AS (SELECT image_id, x0, x1, (CASE WHEN nr > 1 AND n = 1 AND x1 - x0 > med * 1.45::double THEN 2 ELSE n END)::int AS n FROM cap)"""
+SEG = f"""{CNT},{_parted('cnt', 'pa')},
+tot AS (SELECT image_id, count(*) AS nf FROM pa_sp GROUP BY ALL), wid AS (SELECT image_id, sum(x1 - x0) AS content FROM run GROUP BY ALL),
+frc AS (SELECT image_id, 0 AS x0, 96 AS x1, expected AS n FROM tot JOIN wid USING (image_id) JOIN s USING (image_id) WHERE nf <> expected AND content::double / expected >= 16 AND 96 // expected >= 16),
+{_parted('frc', 'pf')},
+segs AS (SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY x0) - 1)::int AS seg, x0::int AS x0, x1::int AS x1 FROM (SELECT * FROM pa_sp WHERE image_id NOT IN (SELECT image_id FROM frc) UNION ALL SELECT * FROM pf_sp))"""
+
 ORACLES = {
     "pixel_derive": f"WITH {PIX} SELECT image_id, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum((r * 31 + g * 17 + b) * (x + 1) * (y + 1))::bigint AS mark FROM pix GROUP BY ALL",
     "ycbcr_project": f"WITH {BASE} SELECT image_id, round(avg(yy), 6) AS y, round(avg(cb), 6) AS cb, round(avg(cr), 6) AS cr FROM yc GROUP BY ALL",
@@ -207,4 +237,23 @@ ORACLES = {
     "frame_balance": f"WITH {F_}, n AS (SELECT image_id, frame, count(*) FILTER (a > 10) AS n FROM fr GROUP BY ALL) SELECT image_id, min(n) AS least, max(n) AS most, round(CASE WHEN min(n) > 0 THEN max(n)::double / min(n) ELSE 999 END, 6) AS ratio FROM n GROUP BY ALL",
     "centroid_spread": f"WITH {F_}, c AS (SELECT image_id, frame, coalesce(avg(x) FILTER (a > 10), max(w) / 2) AS c FROM fr GROUP BY ALL) SELECT image_id, round(stddev_pop(c), 6) AS spread FROM c GROUP BY ALL",
     "body_heights": f"WITH {F_}, c AS (SELECT image_id, frame, x, max(y) FILTER (a > 10) - min(y) FILTER (a > 10) + 1 AS h FROM fr GROUP BY ALL) SELECT image_id, frame, coalesce(max(h), 0) AS height FROM c GROUP BY ALL",
+    "frame_metrics": f"""WITH {F_} SELECT image_id, frame, count(*) FILTER (a > 10 AND r > 150 AND b > 150 AND g < 130) AS residue, count(*) FILTER (a > 10 AND r - g > 40 AND b - g > 40 AND NOT (r > 200 AND b > 200 AND g < 80)) AS halo,
+      count(*) FILTER (a > 10 AND (x < 2 OR x >= w - 2)) AS edge, round(coalesce(avg(x) FILTER (a > 10 AND b > 140 AND b - r > 40 AND g < 180), 0), 6) AS torso FROM fr GROUP BY ALL""",
+    "onion_skin": f"""WITH RECURSIVE {F_}, on_(image_id, x, y, f, r, g, b) AS (SELECT DISTINCT image_id, x, y, -1, 0, 0, 0 FROM fr UNION ALL SELECT o.image_id, o.x, o.y, fr.frame, CASE WHEN fr.a > 10 THEN (o.r * 165 + fr.r * 90) // 255 ELSE o.r END,
+      CASE WHEN fr.a > 10 THEN (o.g * 165 + fr.g * 90) // 255 ELSE o.g END, CASE WHEN fr.a > 10 THEN (o.b * 165 + fr.b * 90) // 255 ELSE o.b END FROM on_ o JOIN fr ON fr.image_id = o.image_id AND fr.x = o.x AND fr.y = o.y AND fr.frame = o.f + 1)
+      SELECT image_id, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b FROM (SELECT * FROM on_ QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY f DESC) = 1) GROUP BY ALL""",
+    "segment_strip": f"WITH {R_},{PK},{SEG} SELECT * FROM segs",
+    "extract_contents": f"""WITH RECURSIVE {R_},{PK},{SEG},{CMP}, px AS (SELECT lb.image_id, label, y, unnest(range(lb.x0, lb.x1 + 1)) AS x FROM lb),
+      ow AS (SELECT px.image_id, label, seg, count(*) AS n FROM px JOIN segs ON segs.image_id = px.image_id AND px.x >= segs.x0 AND px.x < segs.x1 GROUP BY ALL), own AS (SELECT * FROM ow QUALIFY row_number() OVER (PARTITION BY image_id, label ORDER BY n DESC, seg) = 1)
+      SELECT px.image_id, seg, min(px.x)::int AS min_x, min(px.y)::int AS min_y, max(px.x)::int AS max_x, max(px.y)::int AS max_y, round(sum(px.x * a)::double / sum(a), 6) AS cx FROM px JOIN own ON own.image_id = px.image_id AND own.label = px.label JOIN mat ON mat.image_id = px.image_id AND mat.x = px.x AND mat.y = px.y GROUP BY px.image_id, seg""",
+    "tight_crop": f"WITH {F_},{BOX} SELECT fr.image_id, fr.frame, max(fr.x - box.x) AS max_x, max(fr.y - box.y) AS max_y, sum((fr.x - box.x) * a)::bigint AS mark FROM fr JOIN box ON fr.image_id = box.image_id AND fr.frame = box.frame WHERE box.w > 0 AND fr.x >= box.x AND fr.x < box.x + box.w AND fr.y >= box.y AND fr.y < box.y + box.h GROUP BY ALL",
+    "rescale_round_trip": f"WITH {M} SELECT m.image_id, count(*) AS n, sum((m.x + 1) * (m.y + 1) * o.a)::bigint AS mark FROM mat m JOIN mat o ON o.image_id = m.image_id AND o.x = m.x // 2 * 2 AND o.y = m.y // 2 * 2 GROUP BY ALL",
+    "draw_rects": f"""WITH {F_},{BOX}, t AS (SELECT image_id, frame, w, h, CASE WHEN image_id % 4 = 0 THEN 1 ELSE (image_id % 9)::double / 4 END AS sc, CASE WHEN image_id % 4 = 0 THEN 0 ELSE frame END AS d FROM box WHERE w > 0),
+      u AS (SELECT *, least(1.5, greatest(0.5, sc))::double AS s FROM t) SELECT image_id, frame, round(32 - w * s / 2 + d + 6, 6)::double AS draw_x, round(64 - h * s - d + 6, 6)::double AS draw_y, round(w * s, 6)::double AS draw_w, round(h * s, 6)::double AS draw_h, sc = 1 AND d = 0 AS plain FROM u""",
+    "remove_background": f"""WITH RECURSIVE {M}, ky AS MATERIALIZED (SELECT image_id, x, y FROM yd WHERE d <= 88),
+      fl(image_id, x, y) AS (SELECT image_id, x, y FROM ky WHERE x IN (0, 95) OR y IN (0, 31) UNION SELECT ky.image_id, ky.x, ky.y FROM fl, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy), ky WHERE ky.image_id = fl.image_id AND ky.x = fl.x + dx AND ky.y = fl.y + dy),
+      fm AS MATERIALIZED (SELECT mat.image_id, mat.x, mat.y, r, g, b, CASE WHEN fl.x IS NULL THEN a ELSE 0 END AS a FROM mat LEFT JOIN fl ON fl.image_id = mat.image_id AND fl.x = mat.x AND fl.y = mat.y),
+      nb AS (SELECT m.image_id, m.x + dx AS x, m.y + dy AS y, count(*) AS n FROM fm m, range(-1, 2) p(dx), range(-1, 2) q(dy) WHERE m.a > 10 AND (dx <> 0 OR dy <> 0) GROUP BY ALL),
+      ca AS (SELECT fm.image_id, r, g, b, CASE WHEN a > 10 AND coalesce(n, 0) = 0 THEN 0 WHEN a <= 10 AND coalesce(n, 0) >= 7 THEN 255 ELSE a END AS a FROM fm LEFT JOIN nb ON fm.image_id = nb.image_id AND fm.x = nb.x AND fm.y = nb.y)
+      SELECT image_id, sum(r) FILTER (a > 0)::bigint AS sum_r, sum(g) FILTER (a > 0)::bigint AS sum_g, sum(b) FILTER (a > 0)::bigint AS sum_b, sum(a)::bigint AS sum_a FROM ca GROUP BY ALL""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "pixelmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +36,14 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the cluster's shared folder (a new one where none is set, as in tests).
+
+    For small tables that a plan would otherwise contain many times over.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
