@@ -127,6 +127,20 @@ def owners(labelled: DataFrame, spans: DataFrame) -> DataFrame:
     return every.join(best, ["image_id", "label"], "left").select("image_id", "label", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
+def bands(pixels: DataFrame, expected: DataFrame, height: int) -> DataFrame:
+    """(image_id, band, y0, y1): a grid's rows, parted in the middle of the gaps between them.
+
+    Images whose content does not fall into exactly the ``rows`` (2 or more) of ``expected`` (image_id,
+    rows) are left out: they are to be taken as one row.
+    """
+    found = runs(smoothed(projected(pixels, "y"), max(3, height // 220)), max(4, height // 100))
+    order, whole = Window.partitionBy("image_id").orderBy("x0"), Window.partitionBy("image_id")
+    middle = F.floor((F.lag("x1").over(order) + F.col("x0")) / 2)
+    rows = found.select("image_id", (F.row_number().over(order) - 1).alias("band"), F.coalesce(middle, F.lit(0)).cast("int").alias("y0"), F.count("*").over(whole).alias("n"))
+    rows = rows.withColumn("y1", F.coalesce(F.lead("y0").over(Window.partitionBy("image_id").orderBy("band")), F.lit(height)))
+    return rows.join(expected.where("rows >= 2"), "image_id").where("n = rows").select("image_id", "band", "y0", "y1")
+
+
 def opaque(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("a") > ALPHA_T)
 

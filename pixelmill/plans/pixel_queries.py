@@ -290,6 +290,13 @@ def body_heights(spark, sf):
     return fr.body_heights(frames(spark, sf))
 
 
+def grid_bands(spark, sf):
+    """Two strips one below the other as a grid, and its rows found again."""
+    m = mat(spark, sf).selectExpr("image_id div 2 as image_id", "x", f"cast(y + {HEIGHT} * (image_id % 2) as int) as y", "a")
+    two = strips(spark, sf).selectExpr("image_id div 2 as image_id").groupBy("image_id").agg(F.lit(2).alias("rows"))
+    return profile.bands(m, two, 2 * HEIGHT)
+
+
 def frame_metrics(spark, sf):
     return fr.metrics(frames(spark, sf)).select("image_id", "frame", "residue", "halo", "edge", r6("torso").alias("torso"))
 
@@ -336,5 +343,5 @@ _NAMES = """pixel_derive ycbcr_project ycc_round_trip matte_alpha despill bg_key
 upper_median_width pose_peaks pose_counts dp_cut pose_count_accuracy row_bands bbox weighted_centroid body_extent components label_owner_rangejoin flood_clear alpha_cleanup
 hist64 loo_palette_similarity base_similarity frame_reports inspect_rules motion_presence pairwise_identity contact_score score_overall jitter_report distinct_colors gif_top255
 systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixel_scale block_mode mirror direction_set_union atlas_rects sheet_json strip_concat cell_placement
-equal_split_crossings frame_balance centroid_spread body_heights frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects""".split()
+equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -256,4 +256,7 @@ ORACLES = {
       nb AS (SELECT m.image_id, m.x + dx AS x, m.y + dy AS y, count(*) AS n FROM fm m, range(-1, 2) p(dx), range(-1, 2) q(dy) WHERE m.a > 10 AND (dx <> 0 OR dy <> 0) GROUP BY ALL),
       ca AS (SELECT fm.image_id, r, g, b, CASE WHEN a > 10 AND coalesce(n, 0) = 0 THEN 0 WHEN a <= 10 AND coalesce(n, 0) >= 7 THEN 255 ELSE a END AS a FROM fm LEFT JOIN nb ON fm.image_id = nb.image_id AND fm.x = nb.x AND fm.y = nb.y)
       SELECT image_id, sum(r) FILTER (a > 0)::bigint AS sum_r, sum(g) FILTER (a > 0)::bigint AS sum_g, sum(b) FILTER (a > 0)::bigint AS sum_b, sum(a)::bigint AS sum_a FROM ca GROUP BY ALL""",
+    "grid_bands": f"""WITH {M}, pro AS (SELECT image_id // 2 AS image_id, y + 32 * (image_id % 2) AS pos, sum(a)::double AS mass FROM mat GROUP BY ALL),{SMO},{_runs('smo', 'run')},
+      b AS (SELECT image_id, row_number() OVER o - 1 AS band, coalesce((lag(x1) OVER o + x0) // 2, 0) AS y0, count(*) OVER (PARTITION BY image_id) AS n FROM run WINDOW o AS (PARTITION BY image_id ORDER BY x0))
+      SELECT image_id, band::int AS band, y0::int AS y0, coalesce(lead(y0) OVER (PARTITION BY image_id ORDER BY band), 64)::int AS y1 FROM b WHERE n = 2""",
 }

@@ -59,6 +59,36 @@ def test_touching_bridge_is_cut_between_the_torsos(spark):
     assert len(peaks) == 2
 
 
+def test_grid_rows_are_found_and_a_single_row_is_not_split(spark):
+    grid, row = canvas(300, 200), canvas(300, 200)
+    for k in range(6):
+        x, y = 20 + 100 * (k % 3), 20 + 100 * (k // 3)
+        fill(grid, x, y, x + 60, y + 60, GREEN)
+    fill(row, 20, 40, 280, 160, GREEN)
+    want = spark.createDataFrame([(0, 2), (1, 2)], "image_id bigint, rows int")
+    found = profile.bands(matte.matted(table(spark, [grid, row])), want, 200).orderBy("band").collect()
+    assert [(r.image_id, r.y0, r.y1) for r in found] == [(0, 0, 100), (0, 100, 200)]
+
+
+def test_a_strip_without_gaps_is_cut_into_what_was_asked_for(spark):
+    image = fill(fill(canvas(400, 100), 40, 20, 141, 80, GREEN), 120, 20, 221, 80, GREEN)
+    prof = profile.smoothed(profile.projected(matte.matted(table(spark, [image]))), 3)
+    found = profile.segments(prof, spark.createDataFrame([(0, 2)], "image_id bigint, expected int"), 400, 4, 4).orderBy("seg").collect()
+    assert len(found) == 2 and found[0].x1 == found[1].x0 and (found[0].x0, found[1].x1) == (0, 400)
+
+
+def test_background_removal_keeps_a_figure_on_any_ground(spark):
+    images = [fill(canvas(60, 40), 20, 10, 40, 30, GREEN), fill(canvas(60, 40, (20, 30, 200)), 20, 10, 40, 30, (220, 180, 40))]
+    out = {(r.image_id, r.x, r.y): r.a for r in matte.without_background(table(spark, images), 60, 40).collect()}
+    assert all(out[i, 30, 20] > 200 and out[i, 2, 2] == 0 for i in (0, 1))
+
+
+def test_draw_rects_stand_on_the_bottom_centre(spark):
+    rows = spark.createDataFrame([(10.0, 20.0, None, None, None), (10.0, 20.0, 2.0, 3.0, -1.0)], "w double, h double, scale double, dx double, dy double")
+    a, b = layout.draw_rects(rows, 64, 2).collect()
+    assert (a.draw_x, a.draw_y, a.draw_w, a.draw_h, a.plain) == (29, 46, 10, 20, True) and (b.draw_x, b.draw_y, b.draw_w, b.draw_h, b.plain) == (29.5, 35, 15, 30, False)
+
+
 def test_extent_is_the_shortest_stretch(spark):
     rows = spark.createDataFrame([(0, i, m) for i, m in enumerate([1.0, 1.0, 10.0, 10.0, 10.0, 1.0, 1.0])], "image_id bigint, pos int, mass double")
     assert profile.extent(rows).first().span == 3
