@@ -249,6 +249,29 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in range(61)} == {0} and {found[100 + i] for i in range(31)} == {100} and found[201] == 200 and len(found) == 94
 
 
+def test_components_of_long_chains_in_random_order(spark):
+    names = np.random.default_rng(11).permutation(100_000)[:6000].reshape(3, 2000)
+    edges = [(int(a), int(b)) for chain in names for a, b in itertools.pairwise(chain)]
+    want = {int(i): int(chain.min()) for chain in names for i in chain}
+    assert {r.id: r.component for r in cc.components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()} == want
+    names = [f"{i:04d}" for i in range(500)]
+    found = cc.components(spark.createDataFrame(list(itertools.pairwise(names)), "src string, dst string"))
+    assert found.count() == 500 and {r.component for r in found.collect()} == {"0000"}
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(12)
+    edges = [(a, b) for a, b in rng.integers(0, 900, (600, 2)).tolist()]
+    boss = {x: x for e in edges for x in e}
+    for _ in range(900):
+        for a, b in edges:
+            boss[a] = boss[b] = min(boss[a], boss[b])
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint")
+    assert {r.id: r.component for r in cc.components(frame).collect()} == {x: boss[x] for x in nodes}
+    assert cc.components(frame.limit(0)).collect() == []
+
+
 # --- quality
 
 
