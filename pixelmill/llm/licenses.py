@@ -31,20 +31,33 @@ FAMILIES = [
     ("isc", "isc", "isc", "isc"),
     ("apache-1.1", "apache", "apache (?:software )?license (?:version )?1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version )?2(?: 0)?", "apache 2 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd", "freebsd", "bsd 2 clause freebsd"),
     ("bsd-3-clause", "bsd", "(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)", "0bsd"),
-    ("gpl-1.0", "gpl", "gpl ?v?1(?: 0)?", "gpl 1 0"),
+    ("gpl-1.0", "gpl", "gpl (?:version )?v?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
+    ("gpl-1.0", "gplv1", "gplv1(?: 0)?", "gplv1"),
+    ("gpl-1.0", "gpl1", "gpl1(?: 0)?", "gpl1"),
     ("gpl-2.0", "gpl", "gpl (?:version )?v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
+    ("gpl-2.0", "gplv2", "gplv2(?: 0)?", "gplv2"),
+    ("gpl-2.0", "gpl2", "gpl2(?: 0)?", "gpl2"),
     ("gpl-3.0", "gpl", "gpl (?:version )?v?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
+    ("gpl-3.0", "gplv3", "gplv3(?: 0)?", "gplv3"),
+    ("gpl-3.0", "gpl3", "gpl3(?: 0)?", "gpl3"),
     ("gpl-2.0", "general", "gnu general public license (?:version |v)2(?: 0)?", "gpl 2 0"),
     ("gpl-3.0", "general", "gnu general public license (?:version |v)3(?: 0)?", "gpl 3 0"),
     ("gpl", "general", "(?:gnu )?general public", "gpl"),
     ("lgpl-2.1", "lgpl", "lgpl (?:version )?v?2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", "lgplv2 1", "lgplv2 1"),
+    ("lgpl-2.1", "lgpl2", "lgpl2 1", "lgpl2 1"),
     ("lgpl-3.0", "lgpl", "lgpl (?:version )?v?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-3.0", "lgplv3", "lgplv3(?: 0)?", "lgplv3"),
+    ("lgpl-3.0", "lgpl3", "lgpl3(?: 0)?", "lgpl3"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
     ("agpl-3.0", "agpl", "agpl (?:version )?v?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
+    ("agpl-3.0", "agplv3", "agplv3(?: 0)?", "agplv3"),
+    ("agpl-3.0", "agpl3", "agpl3(?: 0)?", "agpl3"),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl"),
     ("gfdl", "documentation", "(?:gnu )?free documentation", "gfdl"),
     ("mpl-1.1", "mpl", "mpl (?:version )?1 1", "mpl 1 1"),
@@ -53,7 +66,8 @@ FAMILIES = [
     ("epl-1.0", "epl", "epl (?:version )?1(?: 0)?", "epl 1 0"),
     ("epl-2.0", "epl", "epl (?:version )?2(?: 0)?", "epl 2 0"),
     ("epl", "eclipse", "eclipse public", "epl"),
-    ("eupl-1.2", "eupl", "(?:european union public license|eupl)(?: v?1 2)?", "eupl 1 2"),
+    ("eupl-1.2", "eupl", "eupl(?: v?1 2)?", "eupl 1 2"),
+    ("eupl-1.2", "european", "european union public licen[cs]e(?: v?1 2)?", "eupl 1 2"),
     ("cddl-1.0", "cddl", "cddl(?: 1 0)?", "cddl 1 0"),
     ("cddl", "distribution", "common development and distribution", "cddl"),
     ("cpl-1.0", "common", "common public", "cpl 1 0"),
@@ -62,8 +76,8 @@ FAMILIES = [
     ("boost-1.0", "boost", "boost(?: software)?", "bsl 1 0"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "ofl", "(?:sil )?(?:open font|ofl)(?: 1 1)?", "ofl 1 1"),
-    ("ofl-1.1", "font", "(?:sil )?open font", "ofl 1 1"),
+    ("ofl-1.1", "ofl", "(?:sil )?ofl(?: 1 1)?", "ofl 1 1"),
+    ("ofl-1.1", "font", "(?:sil )?open font(?: 1 1)?", "ofl 1 1"),
     ("odbl-1.0", "database", "open (?:data commons open )?database", "odbl 1 0"),
     ("python-2.0", "python", "python(?: software foundation)?", "python 2 0"),
     ("php-3.01", "php", "php(?: 3 01)?", "php 3 01"),
@@ -96,17 +110,38 @@ SENTENCES = [
     ("licence", "{name} licence", 2, 0.8),
     ("license", "license (?:is )?(?:the )?{name}", 1, 0.6),
 ]
+# Sentences of the licenses' own texts. (label, two keywords, words)
+BODIES = [
+    ("mit", "hereby", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "hereby", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("boost-1.0", "hereby", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("bsd", "forms", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "permission", "endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "materials", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "compliance", "license", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "unless", "distributed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2.0", "mozilla", "license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("zlib", "liable", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "unencumbered", "released", "this is free and unencumbered software released into the public domain"),
+]
 # The base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 
 def rules() -> list[tuple]:
-    """(rule, label, priority, confidence, keyword, keyword, regex, base): base phrases first, then every family in every sentence."""
+    """(rule, label, priority, confidence, keyword, keyword, regex, base): base phrases first, then every family in every sentence, then bodies.
+
+    Every match of a regex must hold both of the rule's keywords as words; a name with several forms is a family for each.
+    """
     out = [(label, 2, 0.8, phrase.split()[0], "license", phrase, True) for phrase, label in BASE]
     for label, keyword, name, spdx in FAMILIES:
         for trigger, sentence, priority, confidence in SENTENCES:
             own = spdx.split()[0] if "{id}" in sentence else keyword
             out.append((label, priority, confidence, own, trigger, sentence.format(name=name, id=spdx), False))
+    out += [(label, 3, 0.95, own, trigger, regex, False) for label, own, trigger, regex in BODIES]
     return [(i, *rule) for i, rule in enumerate(out)]
 
 

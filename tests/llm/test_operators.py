@@ -321,6 +321,48 @@ def test_licenses_equal_brute_force(spark, sf, odd, none):
     assert licenses.report(none).count() == 0
 
 
+def matches_of(tree):
+    """All strings of a parsed regex of literals, groups, options, alternatives and small sets."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x) for _, x in arg]
+        elif name == "BRANCH":
+            more = [m for t in arg[1] for m in matches_of(t)]
+        elif name == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            more = ["", *matches_of(arg[2])]
+        else:
+            assert name == "SUBPATTERN"
+            more = matches_of(arg[-1])
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_match_of_a_license_rule_holds_its_keywords():
+    for _, _, _, _, own, trigger, regex, _ in licenses.rules():
+        for match in matches_of(re._parser.parse(regex)):
+            assert {own, trigger} <= set(match.split(" ")), (regex, match)
+
+
+def test_licenses_equal_brute_force_without_keywords(spark):
+    rules = licenses.rules()
+    want = {
+        "Released under the FreeBSD license.": "bsd-2-clause", "licensed under the European Union Public License v1.2": "eupl-1.2", "a GPLv1 license": "gpl-1.0", "GPLv2 license": "gpl-2.0", "licensed under GPLv3": "gpl-3.0",
+        "under the LGPLv3 license": "lgpl-3.0", "released under the AGPLv3": "agpl-3.0", "LGPLv2.1 license": "lgpl-2.1", "licensed under the SIL Open Font 1.1 license": "ofl-1.1",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    }
+    frame = spark.createDataFrame([(i, text) for i, text in enumerate(want)], "doc_id bigint, text string")
+    for r in licenses.report(frame).collect():
+        text = list(want)[r.doc_id]
+        norm = f" {' '.join(words(text))} "
+        ungated = {label for _, label, _, _, _, _, regex, _ in rules if re.search(f"(?<= ){regex}(?= )", norm)}
+        assert want[text] in r.labels.split(",") and want[text] in ungated and set(r.labels.split(",")) <= ungated, (text, r.labels)
+
+
 # --- URLs
 
 
