@@ -3,8 +3,9 @@
 The fixed forms (e-mail, ip, card, phone) give the seeds. Each mention, a seed or another string shaped
 like an identifier, stands in lexical patterns: the words left and right of it. Patterns and instances
 form a bipartite graph that Spark scores in rounds: a pattern's confidence for a kind is the share of
-its instances that are of the kind, an unseen instance's score is the noisy-or of the confident
-patterns that it stands in. Instances that reach ``ACCEPT`` become spans of the kind. A pattern
+its known instances that are of the kind, an unseen instance's score is the noisy-or of the confident
+patterns that it stands in. Unseen instances count by their score, those without one do not count, so scores only
+grow; rounds end when no score changes. Instances that reach ``ACCEPT`` become spans of the kind. A pattern
 needs ``SUPPORT`` different seeds, and a candidate must have the kind's shape.
 
 Defined cases: null text is the empty text (no spans); texts are searched whole; repeated rows give
@@ -28,7 +29,8 @@ KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
 CONFIDENT = 0.8
 ACCEPT = 0.8
-ROUNDS = 3
+#: A score that grows by less has settled.
+SETTLED = 1e-6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -160,7 +162,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stored(rows.mapInArrow(_scan, SCHEMA), "mentions")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def bootstrap(scanned: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """The pattern-instance graph, scored: (accepted instances by kind, patterns by kind with confidence)."""
     mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
     edges = stored(
@@ -169,15 +171,19 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT)
     seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
     graph = edges.withColumnRenamed("kind", "own").join(seeded, "pattern").where("own >= 0 OR (shapes & shiftleft(1, kind)) != 0")
     graph = stored(graph.select("pattern", "kind", "instance", "own", F.when(F.col("own") >= 0, (F.col("own") == F.col("kind")).cast("double")).otherwise(F.lit(0.0)).alias("score")), "graph")
-    patterns = None
-    for _ in range(rounds):
-        # one is added to the count: a pattern seen a few times is never certain
-        patterns = graph.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + 0.5)).alias("confidence"))
+    weight = F.when(F.col("own") >= 0, F.lit(1.0)).otherwise(F.col("score"))
+    while True:
+        # one half is added to the count: a pattern seen a few times is never certain
+        patterns = graph.groupBy("pattern", "kind").agg((F.sum("score") / (F.sum(weight) + 0.5)).alias("confidence"))
         strong = patterns.where(F.col("confidence") >= CONFIDENT)
         unseen = graph.where("own < 0").drop("score").join(strong, ["pattern", "kind"])
         scores = unseen.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found"))
         joined = graph.join(scores, ["instance", "kind"], "left")
-        graph = stored(joined.select("pattern", "kind", "instance", "own", F.when(F.col("own") < 0, F.coalesce("found", F.lit(0.0))).otherwise(F.col("score")).alias("score")), "graph")
+        score = F.when(F.col("own") < 0, F.coalesce("found", F.lit(0.0))).otherwise(F.col("score"))
+        scored = stored(joined.select("pattern", "kind", "instance", "own", score.alias("score"), (score > F.col("score") + SETTLED).alias("grew")), "graph")
+        graph = scored.drop("grew")
+        if scored.where("grew").isEmpty():
+            break
     accepted = graph.where((F.col("own") < 0) & (F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score"))
     return accepted, patterns
 

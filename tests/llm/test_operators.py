@@ -150,6 +150,16 @@ def test_pii_learns_contexts(spark):
     assert found[50].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_pii_learns_contexts_with_more_unseen_than_seeds(spark):
+    rows = [(i, f"dear all reach my desk phone +1 (201) 555-{1000 + 37 * i} thanks and regards") for i in range(12)]
+    rows += [(100 + i, f"dear all reach my desk phone 555-867-{5000 + i} thanks and regards") for i in range(40)]
+    # a context of several kinds teaches nothing
+    rows += [(300 + i, f"mixed field {x} follows") for i, x in enumerate(["+1 (201) 555-1000", "+1 (201) 555-1037", "+1 (201) 555-1074", "a@b.cd", "10.0.0.1", "c@d.ef", "555-867-9999"])]
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[12][1].index("555")
+    assert {found[100 + i] for i in range(40)} == {f"phone:{at}:{at + 12}"} and found[306] == ""
+
+
 def test_pii_redaction_keeps_rows_and_columns(spark, odd, none):
     rows = odd.unionByName(spark.createDataFrame([(90, "mail me at a.b@c.de or 10.0.0.1 now", "en", "s", 1, "k")], odd.schema))
     out = pii.redact(rows)
