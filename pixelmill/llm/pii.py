@@ -15,6 +15,7 @@ input columns other than the two named are not read, so names cannot clash.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
@@ -41,6 +43,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _MARK = re.compile(r"[0-9@]+")
 _DIGITS = re.compile(r"[0-9]")
+#: Groups of digits joined by single spaces, brackets, dots or hyphens.
+_RUN = re.compile(r"(?<![\w@])\(?[0-9]++(?:[().-]{0,2} ?[().-]{0,2}[0-9]++)*+")
+_GROUP = re.compile(r"[^ ]+")
 
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int32())])
 _MENTION = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("shapes", pa.int32()), ("patterns", pa.list_(pa.string()))])
@@ -92,9 +97,9 @@ def _shapes(word: str) -> int:
         out |= 1
     if re.fullmatch(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}", word) or re.fullmatch(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}", word):
         out |= 2
-    if 12 <= digits <= 19 and re.fullmatch(r"[0-9./_-]+", word):
+    if 12 <= digits <= 19 and re.fullmatch(r"[0-9 ./_-]+", word):
         out |= 4
-    if 7 <= digits <= 15 and re.fullmatch(r"[0-9().-]+", word):
+    if 7 <= digits <= 15 and re.fullmatch(r"[0-9 ().-]+", word):
         out |= 8
     return out
 
@@ -118,10 +123,36 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             last -= 1
         while i < len(taken) and taken[i][1] <= first:
             i += 1
-        if last - first > 64 or any(a < last and b > first for a, b, _ in taken[i : i + 8]):
+        if last <= first or (i < len(taken) and taken[i][0] < last) or len(_DIGITS.findall(text[first:last])) > 64:
             continue
         if shapes := _shapes(text[first:last]):
             out.append((first, last, shapes))
+    return out + _runs(text, base)
+
+
+def _runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, shapes) of groups of digits with single spaces between, outside of the base spans.
+
+    Any neighbouring groups may be an identifier; a start has few ends, as no shape has over 19 digits.
+    """
+    out, i = [], 0
+    for m in _RUN.finditer(text):
+        groups = [(m.start() + g.start(), m.start() + g.end(), len(_DIGITS.findall(g[0]))) for g in _GROUP.finditer(m[0])]
+        if m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] in "_@"):
+            groups.pop()
+        for k, (first, _, digits) in enumerate(groups):
+            while text[first] in ").-":
+                first += 1
+            while i < len(base) and base[i][1] <= first:
+                i += 1
+            for _, last, more in itertools.islice(groups, k + 1, k + 20):
+                digits += more
+                if digits > 19 or (i < len(base) and base[i][0] < last):
+                    break
+                while text[last - 1] in "().-":
+                    last -= 1
+                if shapes := _shapes(text[first:last]):
+                    out.append((first, last, shapes))
     return out
 
 
@@ -201,6 +232,9 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     accepted, _ = bootstrap(scanned)
     open_ = scanned.select("uid", F.explode("mentions").alias("m")).where("m.kind < 0").select("uid", "m.first", "m.last", "m.instance", "m.shapes")
     added = open_.join(accepted, "instance").where("(shapes & shiftleft(1, kind)) != 0")
+    # of spans of a kind that lie within each other the longest stays
+    wider = Window.partitionBy("uid", "kind").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reach", F.max("last").over(wider)).where("reach IS NULL OR reach < last")
     added = added.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "kind")).alias("more"))
     rows = scanned.select("uid", "doc_id", "base").join(added, "uid", "left")
     return rows.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("all"))

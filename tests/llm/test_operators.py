@@ -160,6 +160,26 @@ def test_pii_learns_contexts_with_more_unseen_than_seeds(spark):
     assert {found[100 + i] for i in range(40)} == {f"phone:{at}:{at + 12}"} and found[306] == ""
 
 
+def test_pii_candidates_of_several_groups():
+    def named(text):
+        return {text[a:b] for a, b, _ in pii._candidates(text, pii.find_base(text))}
+
+    for one in ["(201) 555-1000", "020 7946 0958", "4111 1111 1111 1112", "201.555 1000", "555 (201)-1000"]:
+        assert one in named(f"call {one}, or write") and one in named(one) and one in named(f"1234567890123456789 {one} 1234567890123456789")
+    assert named("a 12 34 b, 555  1000, x555 1000y, 1 2 3 4 5 6") == set()
+    assert not any(" " in x for x in named("+1 (201) 555-1000")) and named("a" * 80 + "@host") == {"a" * 80 + "@host"}
+
+
+def test_pii_learns_identifiers_of_several_groups(spark):
+    rows = [(i, f"dear all reach my desk phone +1 (201) 555-{1000 + 37 * i} thanks and regards") for i in range(12)]
+    rows += [(100, "reach my desk phone (201) 555-1000 thanks"), (101, "reach my desk phone 020 7946 0958 thanks"), (102, "the parts 020 7946 0958 are here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert found[100] == "phone:20:34" and found[101] == "phone:20:33"
+    texts = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id <> 102")).collect()}
+    assert texts[100] == texts[101] == "reach my desk phone [PHONE] thanks"
+
+
 def test_pii_redaction_keeps_rows_and_columns(spark, odd, none):
     rows = odd.unionByName(spark.createDataFrame([(90, "mail me at a.b@c.de or 10.0.0.1 now", "en", "s", 1, "k")], odd.schema))
     out = pii.redact(rows)
