@@ -7,6 +7,7 @@ of a character beyond ASCII is 0x80 or more, so both classes can be told byte by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,11 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 BLOCK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Words up to so many bytes are hashed eight bytes at a time, all words at once; longer ones one by one by BLAKE2.
+SHORT_BYTES = 64
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -28,18 +31,6 @@ BLANK = ~((_code == 0x20) | ((_code >= 0x09) & (_code <= 0x0D)))
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the next call."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(n, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit integers (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -72,6 +63,27 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each of the byte ranges: the length, then every eight bytes, each mixed into what came before.
+
+    Mixing is not linear in the bytes, so no family of ranges collides by construction; two given ranges of up to
+    eight bytes and one length never do.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP)
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero(size <= SHORT_BYTES)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix((out[live] ^ (eight[starts[live] + at] & _KEEP[np.minimum(left, 8)])) + _STEP)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > SHORT_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def fingerprints(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start byte, end byte, fingerprint of each word, and each row's number of words.
 
@@ -89,10 +101,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold:
     finishes = inside
     finishes[:-1] &= ~kind[data[1:]] | cut[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    found = mix((total[ends] - total[starts]) * down[starts])
+    found = _hashes(fold[data], starts, ends)
     counts = np.diff(np.searchsorted(starts, offsets))
     return starts, ends, found, counts
 
@@ -105,5 +114,5 @@ def windows(prints: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + prints[i : i + n]
+            out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + prints[i : i + n]
     return mix(out)
