@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
-def _trees(both: DataFrame) -> DataFrame:
+def _trees(both: DataFrame, stored) -> DataFrame:
     """(id, root) for every node of the symmetric ``both``; each root has two nodes at least."""
     hooks = stored(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("root")), "hooks")
     beyond = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
@@ -36,13 +36,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and self loops are left out (a node with self loops alone is not returned).
     """
+    with scratch(edges.sparkSession, "components") as keep:
+        return stored(_components(edges, keep), "labels")
+
+
+def _components(edges: DataFrame, stored) -> DataFrame:
     both = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     both = stored(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     if both.isEmpty():
         return both.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     rounds = []
     while not both.isEmpty():
-        trees = _trees(both)
+        trees = _trees(both, stored)
         rounds.append(trees)
         moved = both.join(trees.select(F.col("id").alias("src"), F.col("root").alias("from")), "src").join(trees.select(F.col("id").alias("dst"), F.col("root").alias("to")), "dst")
         both = stored(moved.where(F.col("from") != F.col("to")).select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct(), "edges")
@@ -51,4 +56,4 @@ def components(edges: DataFrame) -> DataFrame:
         later = labels.select(F.col("id").alias("root"), F.col("root").alias("last"))
         labels = stored(trees.join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root")), "labels")
     least = labels.groupBy("root").agg(F.min("id").alias("component"))
-    return stored(labels.join(least, "root").select("id", "component"), "labels")
+    return labels.join(least, "root").select("id", "component")
