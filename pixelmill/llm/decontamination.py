@@ -9,12 +9,15 @@ segments, orders each window's terms from the rarest, and in each segment inters
 moved by its term's offset, until nothing or the places of the phrase remain. With ``slop`` a term may
 stand that many words away from its place (proximity).
 
-Benchmarks are searched in blocks: a block's windows are broadcast only because a block is cut to at
-most ``BLOCK_CHARS`` characters (one longer item is a block of its own); results of blocks are merged.
-
-Defined cases: null text is a text without words (no window, never hit); repeated rows and repeated ids
-are kept apart, each row gives one result row; empty tables give empty results or no hits; other
-columns are neither read nor kept, so their names cannot clash; texts of any length stay whole.
+Benchmarks are searched in blocks of whole items, a pass over the index for each: a block is broadcast only because
+it is cut by a running sum of its texts' lengths to at most ``BLOCK_CHARS`` characters (one longer item is a block
+of its own). Results of blocks are merged by segment and text.
+
+Defined cases: null text is a text without words (no window, never hit) and as an item no item; an item with a
+null id hits words as any other, but is not counted or named in ``items``; items that share an id count once;
+repeated rows and repeated or null document ids are kept apart, each row gives one result row; empty tables give
+empty results or no hits; other columns are neither read nor kept, so their names cannot clash; texts of any length
+stay whole.
 """
 
 from __future__ import annotations
@@ -23,21 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import content_key, fresh, scratch, stored
 from .words import ALNUM, LOWER, blocks, fingerprints, texts_of
 
 WINDOW = 13
 SEGMENT_BYTES = 8 << 20
 BLOCK_CHARS = 4_000_000
+#: Contaminated texts' keys that may be broadcast, 32 bytes each.
+SMALL = 100_000
 
-SEGMENT = "doc_ids array<bigint>, doc_starts binary, terms binary, firsts binary, positions binary"
-HITS = "segment string, ordinal int, doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<bigint>"
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _segment(ids: list, counts: list[np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
+def _segment(number: int, ids: list[pa.Array], counts: list[np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
     found = np.concatenate(prints)
     starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
     order = np.argsort(found, kind="stable")
@@ -46,59 +51,67 @@ def _segment(ids: list, counts: list[np.ndarray], prints: list[np.ndarray]) -> p
     new[1:] = ordered[1:] != ordered[:-1]
     firsts = np.append(np.flatnonzero(new), len(ordered)).astype(np.int32)
     cells = [starts, ordered[firsts[:-1]], firsts, order.astype(np.int32)]
-    return pa.record_batch(
-        [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in cells)],
-        names=["doc_ids", "doc_starts", "terms", "firsts", "positions"],
-    )
+    keys = pa.concat_arrays(ids)
+    keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    return pa.record_batch([pa.array([number], pa.int64()), keys, *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=["segment", "doc_ids", "doc_starts", "terms", "firsts", "positions"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, counts, prints, size = [], [], [], 0
+    number = TaskContext.get().partitionId() << 33
+    ids, counts, prints, size, rows = [], [], [], 0, 0
     for batch in batches:
         data, offsets = texts_of(batch.column(1))
-        keys = batch.column(0).to_pylist()
         for first, last in blocks(offsets):
             at = offsets[first : last + 1]
-            _, _, found, number = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER)
-            ids += keys[first:last]
-            counts.append(number)
+            _, _, found, many = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER)
+            ids.append(batch.column(0).slice(first, last - first))
+            counts.append(many)
             prints.append(found)
             size += int(at[-1] - at[0])
-            if size >= SEGMENT_BYTES or len(ids) >= 100_000:
-                yield _segment(ids, counts, prints)
-                ids, counts, prints, size = [], [], [], 0
+            rows += last - first
+            if size >= SEGMENT_BYTES or rows >= 100_000:
+                yield _segment(number, ids, counts, prints)
+                number += 1
+                ids, counts, prints, size, rows = [], [], [], 0, 0
     if ids:
-        yield _segment(ids, counts, prints)
+        yield _segment(number, ids, counts, prints)
+
 
+def build_index(documents: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", keep=stored) -> DataFrame:
+    """The postings of all words of all texts, written to the shared folder: one row a segment.
 
-def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings of all words of all texts, written to the shared folder: one row a segment."""
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_index, SEGMENT), "postings", "snappy").withColumn("segment", F.concat(F.input_file_name(), F.lit(":"), F.xxhash64("doc_ids", "doc_starts")))
+    ``segment`` numbers them by task and place in the task. Ids may be of any type.
+    """
+    key = F.col(id_col).cast("bigint") if isinstance(id_col, str) else id_col
+    rows = documents.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return keep(rows.mapInArrow(_index, f"segment bigint, doc_ids array<{kind}>, doc_starts binary, terms binary, firsts binary, positions binary"), "postings")
 
 
-def _windows(items: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms; per window its item, its length and its terms' numbers (-1 fills up)."""
-    prints, owner = [], []
-    for batch in items.to_batches():
-        data, offsets = texts_of(batch.column(1))
-        _, _, found, counts = fingerprints(data, offsets, ALNUM, LOWER)
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        for key, a, b in zip(batch.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                prints.append(found[a:b])
-                owner.append(key)
-    terms, numbers = np.unique(np.concatenate(prints or [np.zeros(0, np.uint64)]), return_inverse=True)
-    rows, lengths, item, at = [], [], [], 0
-    for key, words in zip(owner, prints, strict=True):
-        mine, n = numbers[at : at + len(words)], min(size, len(words))
-        at += len(words)
-        view = np.lib.stride_tricks.sliding_window_view(mine, n)
-        rows.append(np.pad(view, ((0, 0), (0, size - n)), constant_values=-1))
-        lengths.append(np.full(len(view), n))
-        item += [key] * len(view)
-    table = np.concatenate(rows) if rows else np.zeros((0, size), dtype=np.int64)
-    return terms, np.array(item, dtype=np.int64), np.concatenate(lengths or [np.zeros(0, np.int64)]), table
+class Query:
+    """A block of items: its words as numbers of distinct terms, and how often the corpus has each term."""
+
+    def __init__(self, items: pa.Table, size: int):
+        prints, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in items.to_batches():
+            data, offsets = texts_of(batch.column(1))
+            _, _, found, counts = fingerprints(data, offsets, ALNUM, LOWER)
+            prints.append(found)
+            lengths.append(counts)
+        self.size = size
+        self.ids = items.column(0).to_pylist()
+        self.lengths = np.concatenate(lengths)
+        self.terms, numbers = np.unique(np.concatenate(prints), return_inverse=True)
+        self.words = numbers.astype(np.int32)
+        self.often = np.zeros(len(self.terms), dtype=np.int64)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window the item (its place in the block), the first word and the number of words."""
+        cut = np.cumsum(self.lengths) - self.lengths
+        n = np.minimum(self.lengths, self.size)
+        many = np.where(self.lengths > 0, self.lengths - n + 1, 0)
+        item = np.repeat(np.arange(len(many)), many)
+        return item, cut[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many), n[item]
 
 
 def _frequencies(terms):
@@ -107,7 +120,7 @@ def _frequencies(terms):
         for batch in batches:
             for i in range(batch.num_rows):
                 have, firsts = np.frombuffer(batch.column(0)[i].as_py(), np.uint64), np.frombuffer(batch.column(1)[i].as_py(), np.int32)
-                if len(have):
+                if len(have) and len(total):
                     at = np.minimum(np.searchsorted(have, terms.value), len(have) - 1)
                     total += np.where(have[at] == terms.value, np.diff(firsts)[at], 0)
         number = np.flatnonzero(total)
@@ -124,50 +137,72 @@ def _near(places: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
     return found
 
 
-def _search(query, slop: int):
+def _occurrences(query: Query, windows: tuple, have: np.ndarray, firsts: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first place, words) of every occurrence of the block's windows in one segment."""
+    item, start, length = windows
+    none = np.zeros(0, dtype=np.int64)
+    if not len(have) or not len(item):
+        return none, none, none
+    at = np.minimum(np.searchsorted(have, query.terms), len(have) - 1)
+    there = have[at] == query.terms
+    running = np.concatenate([[0], np.cumsum(there[query.words])])
+    out = []
+    for w in np.flatnonzero(running[start + length] - running[start] == length):
+        terms, places = query.words[start[w] : start[w] + length[w]], None
+        for offset in np.argsort(query.often[terms], kind="stable"):  # from the rarest
+            k = at[terms[offset]]
+            mine = positions[firsts[k] : firsts[k + 1]]
+            places = mine.astype(np.int64) - offset if places is None else places[_near(mine, places + offset, slop)]
+            if not len(places):
+                break
+        if len(places):
+            out.append((w, places))
+    if not out:
+        return none, none, none
+    which = np.repeat([w for w, _ in out], [len(p) for _, p in out])
+    return item[which], np.concatenate([p for _, p in out]), length[which]
+
+
+def _runs(mask: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Of each text the runs of set words, in the text's own places."""
+    n = len(mask)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[starts] = True
+    first = mask.copy()
+    first[1:] &= ~mask[:-1] | edge[1:n]
+    last = mask.copy()
+    last[:-1] &= ~mask[1:] | edge[1:n]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cuts = np.searchsorted(begin, starts)
+    base = starts[np.searchsorted(starts, begin, "right") - 1]
+    cells = pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), cells)
+
+
+def _search(shared, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, item, length, table, rarest = query.value
+        query: Query = shared.value
+        windows = query.windows()
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = dict(zip(batch.schema.names, (batch.column(k)[i] for k in range(batch.num_columns)), strict=True))
-                ids = cell["doc_ids"].as_py()
-                starts = np.frombuffer(cell["doc_starts"].as_py(), np.int32)
-                have = np.frombuffer(cell["terms"].as_py(), np.uint64)
-                firsts = np.frombuffer(cell["firsts"].as_py(), np.int32)
-                positions = np.frombuffer(cell["positions"].as_py(), np.int32)
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                if len(have) and len(table):
-                    at = np.minimum(np.searchsorted(have, terms), len(have) - 1)
-                    there = np.append(have[at] == terms, True)  # the last is for -1
-                    for w in np.flatnonzero(there[table].all(axis=1)):
-                        n, places = int(length[w]), None
-                        for offset in rarest[w, :n]:
-                            k = at[table[w, offset]]
-                            mine = positions[firsts[k] : firsts[k + 1]]
-                            places = mine.astype(np.int64) - offset if places is None else places[_near(mine, places + offset, slop)]
-                            if not len(places):
-                                break
-                        places = places[(places >= 0) & (places + n <= starts[-1])]
-                        doc = np.searchsorted(starts, places, "right") - 1
-                        whole = places + n <= starts[doc + 1]
-                        for d, p in zip(doc[whole].tolist(), places[whole].tolist(), strict=True):
-                            spans.setdefault(d, []).append((p - int(starts[d]), p - int(starts[d]) + n))
-                            items.setdefault(d, set()).add(int(item[w]))
-                merged = []
-                for d in range(len(ids)):
-                    out: list[dict] = []
-                    for a, b in sorted(set(spans.get(d, ()))):
-                        if out and a <= out[-1]["last"]:
-                            out[-1]["last"] = max(b, out[-1]["last"])
-                        else:
-                            out.append({"first": a, "last": b})
-                    merged.append(out)
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+                number, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                starts, have, firsts, positions = (np.frombuffer(batch.column(k)[i].as_py(), kind) for k, kind in zip(range(2, 6), (np.int32, np.uint64, np.int32, np.int32), strict=True))
+                n, total = len(ids), int(starts[-1])
+                item, place, length = _occurrences(query, windows, have, firsts, positions, slop)
+                inside = (place >= 0) & (place + length <= total)
+                item, place, length = item[inside], place[inside], length[inside]
+                doc = np.searchsorted(starts, place, "right") - 1
+                whole = place + length <= starts[doc + 1]
+                item, place, length, doc = item[whole], place[whole], length[whole], doc[whole]
+                change = np.bincount(place, minlength=total + 1)[: total + 1] - np.bincount(place + length, minlength=total + 1)[: total + 1]
+                named = [set() for _ in range(n)]
+                for d, k in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
+                    if query.ids[k] is not None:
+                        named[d].add(query.ids[k])
                 yield pa.record_batch(
                     [
-                        pa.array([cell["segment"].as_py()] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()),
-                        pa.array(np.diff(starts).astype(np.int64)), pa.array(merged, kind), pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64())),
+                        pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.diff(starts).astype(np.int64)),
+                        _runs(np.cumsum(change[:-1]) > 0, starts), pa.array([sorted(x) for x in named], pa.list_(pa.int64())),
                     ],
                     names=["segment", "ordinal", "doc_id", "n_words", "spans", "items"],
                 )
@@ -175,29 +210,48 @@ def _search(query, slop: int):
     return run
 
 
-def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per indexed text: doc_id, n_words, hit ``spans`` (word places, end exclusive) and ``items``.
+def _cut(most: int):
+    """Items with the block that each belongs to: a running sum of lengths, by task."""
 
-    Items without words, null texts and null ids are no items.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            numbers = []
+            for n in batch.column(2).to_pylist():
+                if held and held + n > most:
+                    block, held = block + 1, 0
+                held += n
+                numbers.append(block)
+            yield pa.record_batch([*batch.columns, pa.array(numbers, pa.int64())], names=["item", "text", "chars", "block"])
+
+    return run
+
+
+def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per indexed text: doc_id, n_words, hit ``spans`` (word places, end exclusive) and ``items``."""
     spark = index.sparkSession
-    wanted = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // block_chars))
-    found = None
-    for part in range(parts):
-        block = wanted.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else wanted
-        terms, item, length, table = _windows(block.toArrow(), window)
-        counts = index.select("terms", "firsts").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-        often = np.zeros(len(terms) + 1, dtype=np.int64)
-        for row in counts.toArrow().to_pylist():  # at most one row a term of the block
-            often[row["term"]] = row["n"]
-        often[-1] = np.iinfo(np.int64).max
-        rarest = np.argsort(often[table], axis=1, kind="stable").astype(np.int16)
-        query = spark.sparkContext.broadcast((terms, item, length, table.astype(np.int32), rarest))
-        hits = index.mapInArrow(_search(query, slop), HITS)
-        found = hits if found is None else found.unionByName(hits)
-    if parts > 1:
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    hits = f"segment bigint, ordinal int, doc_id {kind}, n_words bigint, spans array<struct<first:int,last:int>>, items array<bigint>"
+    wanted = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").withColumn("chars", F.length("text").cast("bigint"))
+    with scratch(spark, "items") as keep:
+        cut = keep(wanted.mapInArrow(_cut(block_chars), "item bigint, text string, chars bigint, block bigint"), "cut")
+        passes, held = [[]], 0
+        for row in cut.groupBy("block").agg(F.sum("chars").alias("n")).orderBy("block").collect():  # a row a block, not an item
+            if held and held + row["n"] > block_chars:
+                passes.append([])
+                held = 0
+            held += row["n"]
+            passes[-1].append(row["block"])
+        found = None
+        for some in passes:
+            query = Query(cut.where(F.col("block").isin(some)).select("item", "text").toArrow(), window)  # at most ``block_chars`` of text
+            terms = spark.sparkContext.broadcast(query.terms)
+            counts = index.select("terms", "firsts").mapInArrow(_frequencies(terms), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+            for row in counts.toArrow().to_pylist():  # at most one row a term of the block
+                query.often[row["term"]] = row["n"]
+            part = index.mapInArrow(_search(spark.sparkContext.broadcast(query), slop), hits)
+            found = part if found is None else found.unionByName(part)
+    if len(passes) > 1:
         found = found.groupBy("segment", "ordinal").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
@@ -207,9 +261,11 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
 
 def judge(found: DataFrame) -> DataFrame:
     """Counts and the verdict: a text is contaminated if 1 in 20 of its words, and one at least, is hit."""
-    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"] - 1))))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("reach"))
+    # spans of several blocks may overlap: what the earlier ones reach counts once
+    add = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["last"]).alias("reach"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    out = found.withColumn("n_hit", F.size(places).cast("bigint")).withColumn("n_items", F.size("items").cast("bigint"))
+    out = found.withColumn("n_hit", F.aggregate(F.array_sort("spans"), none, add, lambda a: a["n"])).withColumn("n_items", F.size("items").cast("bigint"))
     return out.withColumn("items_sha256", F.sha2(F.concat_ws(",", names), 256)).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -222,9 +278,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``documents`` without the contaminated ones; columns as they are.
 
-    The verdict depends on the text alone, so it is looked up by the text's hash.
+    The verdict depends on the text alone, so it is looked up by what names the text.
     """
-    keyed = documents.withColumn("__key", F.xxhash64(text_col))
-    found = judge(search(build_index(keyed, "__key", text_col), benchmark))
-    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return keyed.join(F.broadcast(bad) if bad.count() <= 100_000 else bad, "__key", "left_anti").select(*documents.columns)
+    (key,) = fresh(documents, "key")
+    with scratch(documents.sparkSession, "clean") as keep:
+        index = build_index(documents, content_key(text_col), text_col, keep)
+        bad = stored(judge(search(index, benchmark)).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    keyed = documents.withColumn(key, content_key(text_col))
+    return keyed.join(F.broadcast(bad) if bad.count() <= SMALL else bad, key, "left_anti").select(*documents.columns)
