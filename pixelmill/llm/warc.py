@@ -9,7 +9,12 @@ frames by their block headers, and decodes one at a time, so what is open at onc
 few tens of MB, see ``ARCHIVE_BYTES``) and one record.
 
 A record is refused, with the reason in ``error``, if its frame does not decode to its declared size,
-if its headers cannot be read, or if Content-Length, the payload's length or its digest disagree.
+if its headers cannot be read, or if Content-Length, the payload's length or its digest disagree. Reading goes on
+with the next frame; only where a frame's own bounds cannot be told (cut off, or no frame) does the rest of its
+archive become one refused row. A damaged dictionary refuses the records that need it.
+
+Equal payloads are found by their digests alone: of digests with several pages the largest id is looked up,
+by broadcast up to ``SMALL`` of them and by a join beyond it; payloads themselves are not shuffled up to then.
 
 Defined cases: null html is the empty payload, null url leaves WARC-Target-URI out; a null id leaves
 WARC-Record-ID out, and such a row is a response only if its payload has no row with an id; rows with
@@ -29,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, text_of
+from .common import new_path, stored, text_of
 
 #: Payload bytes in an archive, before compression.
 ARCHIVE_BYTES = 48 << 20
@@ -38,6 +43,8 @@ SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 4096, 32 << 10
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
+#: Digests with several pages that may be broadcast: 20 bytes and an id each.
+SMALL = 200_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload", "error"]
 SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string, payload binary, error string"
@@ -47,9 +54,10 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """Pages with ``record_type`` and ``refers_to``: of equal payloads of at least ``least_bytes`` the largest id is the response."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).cast("string").alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"))
+    first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    first = stored(first.where("n > 1").drop("n"), "originals")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    joined = rows.join(first, "digest", "left")
+    joined = rows.join(F.broadcast(first) if first.count() <= SMALL else first, "digest", "left")
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
@@ -117,14 +125,18 @@ def write(pages: DataFrame, path: str, **columns) -> None:
 
 def frame_end(data: memoryview, at: int) -> int:
     """Where the Zstandard frame that begins at ``at`` ends, told by its block headers."""
+    if at + 6 > len(data):
+        raise ValueError("a frame is cut off")
     descriptor = data[at + 4]
     end = at + zstandard.frame_header_size(data[at : at + 18])
     last = False
     while not last:
-        head = int.from_bytes(data[end : end + 3], "little")
         if end + 3 > len(data):
             raise ValueError("a frame is cut off")
+        head = int.from_bytes(data[end : end + 3], "little")
         last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        if kind == 3:
+            raise ValueError("a block of no known kind")
         end += 3 + (1 if kind == 1 else size)
     end += 4 * (descriptor >> 2 & 1)
     if end > len(data):
@@ -139,6 +151,14 @@ def _load_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw)
 
 
+def _decoded(frame: bytes, trained) -> tuple[bytes, str | None]:
+    declared = zstandard.get_frame_parameters(frame[:18]).content_size
+    unpacker = zstandard.ZstdDecompressor(dict_data=trained) if trained is not None else zstandard.ZstdDecompressor()
+    record = unpacker.decompressobj().decompress(frame)
+    unknown = declared in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR)
+    return record, None if unknown or len(record) == declared else f"{len(record)} bytes, {declared} declared"
+
+
 def records(content: bytes) -> Iterator[tuple[bytes, str | None]]:
     """(record, error) of every record frame of an archive."""
     data, at, trained = memoryview(content), 0, None
@@ -146,11 +166,14 @@ def records(content: bytes) -> Iterator[tuple[bytes, str | None]]:
         magic = int.from_bytes(data[at : at + 4], "little")
         if 0x184D2A50 <= magic <= 0x184D2A5F:
             size = int.from_bytes(data[at + 4 : at + 8], "little")
-            if at + 8 + size > len(data):
+            if at + 8 + size > len(data) or at + 8 > len(data):
                 yield b"", "a skippable frame is cut off"
                 return
             if magic == DICTIONARY_MAGIC and at == 0:
-                trained = _load_dictionary(bytes(data[8 : 8 + size]))
+                try:
+                    trained = _load_dictionary(bytes(data[8 : 8 + size]))
+                except zstandard.ZstdError as problem:
+                    yield b"", f"the dictionary: {problem}"
             at += 8 + size
             continue
         if magic != ZSTD_MAGIC:
@@ -158,15 +181,13 @@ def records(content: bytes) -> Iterator[tuple[bytes, str | None]]:
             return
         try:
             end = frame_end(data, at)
-            declared = zstandard.get_frame_parameters(data[at : at + 18]).content_size
-            unpacker = zstandard.ZstdDecompressor(dict_data=trained) if trained is not None else zstandard.ZstdDecompressor()
-            reader = unpacker.decompressobj()
-            record = reader.decompress(data[at:end])
-            unknown = declared in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR)
-            yield record, None if unknown or len(record) == declared else f"{len(record)} bytes, {declared} declared"
         except (zstandard.ZstdError, ValueError) as problem:
             yield b"", str(problem)
             return
+        try:
+            yield _decoded(bytes(data[at:end]), trained)
+        except zstandard.ZstdError as problem:
+            yield b"", str(problem)
         at = end
 
 
