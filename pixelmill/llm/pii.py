@@ -1,7 +1,8 @@
 """Personal data: fixed forms, and bootstrapped extraction from the words around them.
 
 The fixed forms (e-mail, ip, card, phone) give the seeds. Each mention, a seed or another string shaped
-like an identifier, stands in lexical patterns: the words left and right of it. Patterns and instances
+like an identifier, stands in lexical patterns: the whole words left and right of it (one of over ``LONG`` characters
+by its digest, so that no pattern is long and no two different words meet). Patterns and instances
 form a bipartite graph that Spark scores in rounds: a pattern's confidence for a kind is the share of
 its known instances that are of the kind, an unseen instance's score is the noisy-or of the confident
 patterns that it stands in. Unseen instances count by their score, those without one do not count, so scores only
@@ -10,11 +11,12 @@ needs ``SUPPORT`` different seeds, and a candidate must have the kind's shape.
 
 Defined cases: null text is the empty text (no spans); texts are searched whole; repeated rows give
 equal results each; places count code points, ends are exclusive; empty tables give empty results;
-input columns other than the two named are not read, so names cannot clash.
+input columns other than the two named are not read, and helper columns get names that the table does not have.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import content_key, fresh, scratch, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
@@ -33,6 +36,10 @@ CONFIDENT = 0.8
 ACCEPT = 0.8
 #: A score that grows by less has settled.
 SETTLED = 1e-6
+#: Characters of a word that a pattern spells out.
+LONG = 40
+#: Rows and spans that may be broadcast for redaction: some MB.
+FEW_ROWS, FEW_SPANS = 50_000, 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,10 +53,11 @@ _DIGITS = re.compile(r"[0-9]")
 #: Groups of digits joined by single spaces, brackets, dots or hyphens.
 _RUN = re.compile(r"(?<![\w@])\(?[0-9]++(?:[().-]{0,2} ?[().-]{0,2}[0-9]++)*+")
 _GROUP = re.compile(r"[^ ]+")
+_WORD = re.compile(r"\w+")
 
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int32())])
 _MENTION = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("shapes", pa.int32()), ("patterns", pa.list_(pa.string()))])
-SCHEMA = "uid bigint, doc_id bigint, base array<struct<first:int,last:int,kind:int>>, mentions array<struct<first:int,last:int,kind:int,instance:string,shapes:int,patterns:array<string>>>"
+SCHEMA = "uid bigint, doc_id {id}, base array<struct<first:int,last:int,kind:int>>, mentions array<struct<first:int,last:int,kind:int,instance:string,shapes:int,patterns:array<string>>>"
 
 
 def _luhn(digits: str) -> bool:
@@ -123,7 +131,7 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             last -= 1
         while i < len(taken) and taken[i][1] <= first:
             i += 1
-        if last <= first or (i < len(taken) and taken[i][0] < last) or len(_DIGITS.findall(text[first:last])) > 64:
+        if last <= first or (i < len(taken) and taken[i][0] < last):
             continue
         if shapes := _shapes(text[first:last]):
             out.append((first, last, shapes))
@@ -156,15 +164,33 @@ def _runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     return out
 
 
+def _named_word(word: str) -> str:
+    word = _DIGITS.sub("0", word.lower())
+    return word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
+def _left(text: str, at: int) -> tuple[str, int]:
+    """The last whole word before a place, and where it begins."""
+    while at and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    end = at
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return text[at:end], at
+
+
 def _patterns(text: str, first: int, last: int) -> list[str]:
-    """The lexical patterns of a place: words beside it, lower-cased, digits as 0."""
-    left = _DIGITS.sub("0", text[max(0, first - 80) : first].lower()).split()[-2:]
-    right = _DIGITS.sub("0", text[last : last + 60].lower()).split()[:1]
-    out = [f"{left[-1]} _"] if left else []
-    if len(left) == 2:
-        out.append(f"{left[0]} {left[1]} _")
-    if left and right:
-        out.append(f"{left[-1]} _ {right[0]}")
+    """The lexical patterns of a place: whole words beside it, lower-cased, digits as 0."""
+    near, at = _left(text, first)
+    if not near:
+        return []
+    far, after = _left(text, at)[0], _WORD.search(text, last)
+    near = _named_word(near)
+    out = [f"{near} _"]
+    if far:
+        out.append(f"{_named_word(far)} {near} _")
+    if after:
+        out.append(f"{near} _ {_named_word(after[0])}")
     return out
 
 
@@ -187,36 +213,36 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid += n
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and mentions of every text, written to the shared folder."""
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_scan, SCHEMA), "mentions")
+def scan(documents: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", keep=stored) -> DataFrame:
+    """Base spans and mentions of every text, written to the shared folder; ids may be of any type."""
+    key = F.col(id_col).cast("bigint") if isinstance(id_col, str) else id_col
+    rows = documents.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return keep(rows.mapInArrow(_scan, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())), "mentions")
 
 
 def bootstrap(scanned: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """The pattern-instance graph, scored: (accepted instances by kind, patterns by kind with confidence)."""
     mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
-    edges = stored(
-        mentions.select("instance", "kind", "shapes", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.max("shapes").alias("shapes")), "edges"
-    )
-    seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    graph = edges.withColumnRenamed("kind", "own").join(seeded, "pattern").where("own >= 0 OR (shapes & shiftleft(1, kind)) != 0")
-    graph = stored(graph.select("pattern", "kind", "instance", "own", F.when(F.col("own") >= 0, (F.col("own") == F.col("kind")).cast("double")).otherwise(F.lit(0.0)).alias("score")), "graph")
-    weight = F.when(F.col("own") >= 0, F.lit(1.0)).otherwise(F.col("score"))
-    while True:
-        # one half is added to the count: a pattern seen a few times is never certain
-        patterns = graph.groupBy("pattern", "kind").agg((F.sum("score") / (F.sum(weight) + 0.5)).alias("confidence"))
-        strong = patterns.where(F.col("confidence") >= CONFIDENT)
-        unseen = graph.where("own < 0").drop("score").join(strong, ["pattern", "kind"])
-        scores = unseen.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found"))
-        joined = graph.join(scores, ["instance", "kind"], "left")
-        score = F.when(F.col("own") < 0, F.coalesce("found", F.lit(0.0))).otherwise(F.col("score"))
-        scored = stored(joined.select("pattern", "kind", "instance", "own", score.alias("score"), (score > F.col("score") + SETTLED).alias("grew")), "graph")
-        graph = scored.drop("grew")
-        if scored.where("grew").isEmpty():
-            break
-    accepted = graph.where((F.col("own") < 0) & (F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    return accepted, patterns
+    with scratch(scanned.sparkSession, "bootstrap") as keep:
+        edges = mentions.select("instance", "kind", "shapes", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.max("shapes").alias("shapes"))
+        edges = keep(edges, "edges")
+        seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
+        graph = edges.withColumnRenamed("kind", "own").join(seeded, "pattern").where("own >= 0 OR (shapes & shiftleft(1, kind)) != 0")
+        graph = keep(graph.select("pattern", "kind", "instance", "own", F.when(F.col("own") >= 0, (F.col("own") == F.col("kind")).cast("double")).otherwise(F.lit(0.0)).alias("score")), "graph")
+        weight = F.when(F.col("own") >= 0, F.lit(1.0)).otherwise(F.col("score"))
+        grew = True
+        while grew:
+            # one half is added to the count: a pattern seen a few times is never certain
+            patterns = graph.groupBy("pattern", "kind").agg((F.sum("score") / (F.sum(weight) + 0.5)).alias("confidence"))
+            strong = patterns.where(F.col("confidence") >= CONFIDENT)
+            unseen = graph.where("own < 0").drop("score").join(strong, ["pattern", "kind"])
+            scores = unseen.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found"))
+            joined = graph.join(scores, ["instance", "kind"], "left")
+            score = F.when(F.col("own") < 0, F.coalesce("found", F.lit(0.0))).otherwise(F.col("score"))
+            scored = keep(joined.select("pattern", "kind", "instance", "own", score.alias("score"), (score > F.col("score") + SETTLED).alias("grew")), "graph")
+            graph, grew = scored.drop("grew"), not scored.where("grew").isEmpty()
+        accepted = graph.where((F.col("own") < 0) & (F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+        return stored(accepted, "accepted"), stored(patterns, "patterns")
 
 
 def _named(spans: Column) -> Column:
@@ -226,9 +252,9 @@ def _named(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", kinds[s["kind"]], s["first"], s["last"])))
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(documents: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", keep=stored) -> DataFrame:
     """Every row's base spans and all spans (``all``), each by start."""
-    scanned = scan(documents, id_col, text_col)
+    scanned = scan(documents, id_col, text_col, keep)
     accepted, _ = bootstrap(scanned)
     open_ = scanned.select("uid", F.explode("mentions").alias("m")).where("m.kind < 0").select("uid", "m.first", "m.last", "m.instance", "m.shapes")
     added = open_.join(accepted, "instance").where("(shapes & shiftleft(1, kind)) != 0")
@@ -248,32 +274,31 @@ def report(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("all")).alias("spans"))
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for value, spans in zip(batch.column(0), batch.column(1), strict=True):
-            text, parts, at = value.as_py(), [], 0
-            for s in sorted(spans.as_py(), key=lambda s: (s["first"], s["kind"], s["last"])):
-                if s["first"] >= at:
-                    parts += [text[at : s["first"]], f"[{KINDS[s['kind']].upper()}]"]
-                at = max(at, s["last"])
-            texts.append("".join([*parts, text[at:]]))
-        yield pa.record_batch([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+@F.arrow_udf(T.StringType())
+def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
+    texts = []
+    for value, cell in zip(text, spans, strict=True):
+        whole, parts, at = value.as_py(), [], 0
+        for s in sorted(cell.as_py(), key=lambda s: (s["first"], s["kind"], s["last"])):
+            if s["first"] >= at:
+                parts += [whole[at : s["first"]], f"[{KINDS[s['kind']].upper()}]"]
+            at = max(at, s["last"])
+        texts.append("".join([*parts, whole[at:]]))
+    return pa.array(texts, pa.string())
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """``documents`` with each span replaced by its kind in brackets; all rows and columns stay.
 
-    Spans depend on the text and the corpus alone, so they are looked up by the text's hash.
+    Spans depend on the text and the corpus alone, so they are looked up by what names the text.
     """
-    rows = documents.withColumn("__key", F.xxhash64(text_col))
-    spans = find(rows, "__key", text_col).where(F.size("all") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("all").alias("__spans"))
-    spans = stored(spans, "spans")
-    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__spans")), F.lit(0)).alias("spans")).first()
-    few = size["rows"] <= 50_000 and size["spans"] <= 200_000  # some MB at most
-    marked = rows.join(F.broadcast(spans) if few else spans, "__key", "left").drop("__key")
-    others = [c for c in documents.columns if c != text_col]
-    hit = marked.where("__spans IS NOT NULL").select(F.col(text_col).alias("text"), "__spans", *others)
-    schema = ", ".join(["text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != text_col]])
-    changed = hit.mapInArrow(_redact, schema).withColumnRenamed("text", text_col)
-    return marked.where("__spans IS NULL").select(*documents.columns).unionByName(changed.select(*documents.columns))
+    key, spans = fresh(documents, "key", "spans")
+    with scratch(documents.sparkSession, "redact") as keep:
+        found = find(documents, content_key(text_col), text_col, keep).where(F.size("all") > 0)
+        found = stored(found.groupBy(F.col("doc_id").alias(key)).agg(F.first("all").alias(spans)), "spans")
+    size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("spans")).first()
+    few = size["rows"] <= FEW_ROWS and size["spans"] <= FEW_SPANS
+    marked = documents.withColumn(key, content_key(text_col)).join(F.broadcast(found) if few else found, key, "left")
+    # only texts with spans go through Python
+    changed = marked.where(F.col(spans).isNotNull()).withColumn(text_col, _redacted(F.col(text_col), F.col(spans)))
+    return marked.where(F.col(spans).isNull()).select(*documents.columns).unionByName(changed.select(*documents.columns))
