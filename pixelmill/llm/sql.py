@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .quality import RULES, STOP_WORDS
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a text with A-Z lower-cased.
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -20,23 +22,36 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS big
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
-QUALITY = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+_BLANK = r"\x20\x09-\x0D"
+_MEASURED = rf"""
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w FROM documents),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[{_BLANK}]*[-*•]')) AS n_bullet_lines,
+    count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[{_BLANK}]*$')) AS n_ellipsis_lines, count(*) FILTER (len(regexp_extract_all(line, '[^{_BLANK}]+')) <= 3) AS n_short_lines
+  FROM lines WHERE regexp_matches(line, '[^{_BLANK}]') GROUP BY rid),
 wins AS (SELECT rid, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) >= 8),
 seen AS (SELECT rid, s, count(*) OVER (PARTITION BY rid, list_slice(w, s, s + 7)) AS n FROM wins),
 rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(s, s + 8)) AS p FROM seen WHERE n > 1) GROUP BY rid),
-m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+m AS (SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS bigint) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(text) AS n_chars,
+  length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(text, '[^.,;:!?]', '', 'g')) AS n_points, length(regexp_replace(text, '[^{{}}]', '', 'g')) AS n_braces,
+  length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS n_beyond_ascii, cast(len(list_distinct(w)) AS bigint) AS n_distinct_words,
+  cast(len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, x))) AS bigint) AS n_stop_words, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word,
+  cast(len(list_filter(w, lambda x: length(x) > 20)) AS bigint) AS n_long_words, cast(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS bigint) AS n_lettered_words,
+  coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines, coalesce(n_short_lines, 0) AS n_short_lines
   FROM d LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
-r AS (SELECT *, n_words < 20 AS b0, 100 * n_repeat_words > 30 * n_words AS b1, 10 * n_symbols > 3 * n_words AS b2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS b3,
-  n_letters >= 50 AND 10 * n_capitals > 4 * n_letters AS b4, n_words > 0 AND (word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS b5 FROM m)
-SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS word_chars, cast(n_symbols AS bigint) AS n_symbols, cast(n_lines AS bigint) AS n_lines,
-  cast(n_dup_lines AS bigint) AS n_dup_lines, cast(n_repeat_words AS bigint) AS n_repeat_words, cast(n_letters AS bigint) AS n_letters, cast(n_capitals AS bigint) AS n_capitals,
-  cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int AS bigint) AS mask, b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept
-FROM r
+r AS (SELECT *, cast({" + ".join(f"({condition})::bigint * {1 << bit}" for bit, (_, condition) in enumerate(RULES))} AS bigint) AS mask FROM m)
+"""
+#: Of the policy that ``kept`` follows, the bits of its rules.
+_BASE, _KEPT = 0b11, 0b111111
+QUALITY = f"WITH {_MEASURED} SELECT *, mask & {_BASE} <> 0 AS base_failed, mask & {_KEPT} = 0 AS kept FROM r"
+ABLATION = f"""
+WITH {_MEASURED},
+rules(rule, bit) AS (VALUES ('too_short', 1::bigint), ('repeats_itself', 2), ('symbol_noise', 4), ('repeated_lines', 8), ('shouting', 16), ('odd_word_length', 32))
+SELECT rule, bit, count(*) FILTER (mask & bit <> 0) AS fails, count(*) FILTER (mask & {_KEPT} = bit) AS fails_alone, count(*) FILTER ((mask & {_KEPT}) - (mask & bit) <> 0) AS rejected_without,
+    coalesce(bit_or(mask & {_KEPT}) FILTER (mask & bit <> 0), 0) AS seen_with
+FROM r, rules GROUP BY rule, bit
 """
 
 _QUINT = "cast('0x' || substr(h, 5 * i + 1, 5) AS bigint)"
@@ -47,7 +62,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, cast(octet_length(encode(html)) AS bigint) AS payload_bytes, sha1(html) AS h FROM p),
 m AS (SELECT h, max(page_id) AS original FROM d GROUP BY h)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
-  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to, cast(NULL AS varchar) AS error
 FROM d JOIN m USING (h)
 """
 
