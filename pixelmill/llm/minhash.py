@@ -6,12 +6,18 @@ Arrivals later than the latest register's earliest change nothing, so a process
 work for a text of n shingles and m registers is about n + m ln m arrivals, not n * m. Two texts
 agree in a register with the probability Jaccard similarity of their weights.
 
-Texts with equal words form one class. Each band of a class representative's registers is a
-bucket key. A bucket is not expanded into pairs: its members are verified against one leader, its
-smallest id. A bucket that then still spans several components is compared in full: a small one by its
-pairs, where the registers' agreement estimates the similarity inside the join so that only pairs which
-may reach the threshold come out of it, a large one block by block, with incidence matrices and links
-as the only output. So hot buckets of true copies cost a pair a member, and no link is lost to a cap.
+Texts with equal words form one class, named by one of its rows. Each band of a class's registers is a
+bucket key. A bucket is not expanded into pairs: its members are first held against one leader, its
+smallest id, and what is alike is merged into components. Only where a bucket then still spans several
+components are its members compared further, and only across components: those outside of the bucket's
+largest component with all others, in cells of at most ``BLOCK`` by ``BLOCK`` members, so that one stray among
+a million copies costs a million comparisons, not their square. Of the pairs that come out, the nearest of every two
+components is verified first; pairs that this leaves between components are verified all. So hot buckets of true
+copies cost a pair a member, and no link is lost to a cap.
+
+A pair goes to verification if its registers' agreement, estimated from sketches of a few bits a register inside the
+join, is not ``DEVIATIONS`` standard deviations below what the threshold gives; this rule is one for all buckets,
+whatever their size. Verification computes the probability Jaccard similarity of the two texts exactly.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without a word (null, empty, signs only)
 are alike if they are equal, null as empty; repeated rows are one class; ids may repeat or be null,
@@ -30,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import content_key, fresh, scratch, stored, text_of
 from .components import components
 from .words import ALNUM, LOWER, blocks, fingerprints, mix, texts_of, windows
 
@@ -45,10 +51,10 @@ SKETCH_BITS = 4
 #: A pair is verified only if its sketches differ in no more registers than a pair at the threshold does
 #: with so many standard deviations: it is passed over with probability 3e-6, less than by the banding.
 DEVIATIONS = 4.5
-#: The size up to which a bucket's pairs are listed; the members of a block beyond it.
-FEW, BLOCK = 16, 1000
-#: Class ids that may be broadcast: 16 bytes each.
-SMALL = 100_000
+#: Members of a bucket on each side of a cell of comparisons.
+BLOCK = 512
+#: Class ids that may be broadcast, 50 bytes each.
+SMALL = 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -203,25 +209,25 @@ def _weighted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _verify(threshold: float):
+    """Pairs at the threshold or over it; the rows of one left text come together and its shingles are weighed once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 400) for whole in batches for at in range(0, whole.num_rows, 400)):
-            left, right = _weighted(batch.column(2)), _weighted(batch.column(3))
-            alike = np.array([similarity(a, b) for a, b in zip(left, right, strict=True)])
-            keep = np.flatnonzero(alike >= threshold)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(alike[keep], pa.float64())], names=["src", "dst", "similarity"])
+            ids = batch.column(0).to_numpy()
+            new = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if len(ids) else 0))
+            left, right = _weighted(batch.column(2).take(pa.array(new))), _weighted(batch.column(3))
+            of = np.searchsorted(new, np.arange(len(ids)), "right") - 1
+            alike = np.array([similarity(left[k], b) for k, b in zip(of.tolist(), right, strict=True)])
+            keep = pa.array(np.flatnonzero(alike >= threshold))
+            yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(alike, pa.float64()).take(keep)], names=["src", "dst", "similarity"])
 
     return run
 
 
-def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """Every row with its key, its text's hash, its words' class and its band keys, written to the shared folder."""
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    return stored(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey bigint, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
-
-
-def _key(column: str):
-    """An id in a form that joins also if it is null."""
-    return F.coalesce(F.col(column).cast("bigint"), F.lit(-(1 << 62)))
+def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, keep=stored) -> DataFrame:
+    """Every row with a key of its own, what names its text, its words' class and its band keys, written to the shared folder."""
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("string").alias("text"), content_key(text_col).alias("tkey"))
+    return keep(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey binary, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -229,135 +235,89 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
-def _texts(documents: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The text of one row of each class in ``ids``, written to the shared folder."""
-    wanted = reps.join(ids, "id").select("id", F.col("rep.tkey").alias("tkey"), F.coalesce("rep.doc_id", F.lit(-(1 << 62))).alias("key"))
-    rows = documents.select(_key(id_col).alias("key"), text_of(text_col).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    # rows that repeat in id and text count once; the join has them in one place already
-    return stored(rows.join(wanted, ["tkey", "key"]).dropDuplicates(["tkey", "key"]).select("id", "text"), "texts")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    ids = stored(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "ids")
-    few = texts.join(_bounded(ids), "id")
-    left, right = (few.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text")) for end in ("src", "dst"))
-    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "src_text", "dst_text")
-    return stored(both.mapInArrow(_verify(threshold), "src binary, dst binary, similarity double"), "links")
-
-
-def _cards(texts: DataFrame) -> DataFrame:
-    """The weighted shingles of classes: id, elements (sorted), weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = _weighted(batch.column(1))
-            offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in cells])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([c[k] for c in cells]).astype(np.int64) if cells else np.zeros(0, np.int64))) for k in (0, 1)]
-            yield pa.record_batch([batch.column(0), *lists], names=["id", "elements", "weights"])
-
-    return texts.select("id", "text").mapInArrow(run, "id binary, elements array<bigint>, weights array<bigint>")
-
-
-def _block_links(threshold: float):
-    """Verified links between components in one pair of blocks of a bucket, by products of incidence matrices."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        ids, component, block, i, j = (table.column(c).to_pylist() for c in ("id", "component", "block", "i", "j"))
-        left = np.array([b == i[0] for b in block])
-        right = np.array([b == j[0] for b in block])
-        elements, weights = table.column("elements").combine_chunks(), table.column("weights").combine_chunks()
-        sizes = np.diff(elements.offsets.to_numpy())
-        flat, mass = elements.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy().astype(np.float64)
-        row = np.repeat(np.arange(n), sizes)
-        total = np.bincount(row, weights=mass, minlength=n)
-        values, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-        number = np.cumsum(often > 1) - 1  # an element of one member is in no intersection
-        keep = often[column] > 1
-        row_k, col_k, mass_k = row[keep], number[column[keep]], mass[keep]
-        order = np.argsort(col_k, kind="stable")
-        row_k, col_k, mass_k = row_k[order], col_k[order], mass_k[order]
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        shared, other = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))  # mass of the left one, and of the right one, in common elements
-        columns = int(col_k[-1]) + 1 if len(col_k) else 0
-        for at in range(0, columns, 2048):
-            lo, hi = np.searchsorted(col_k, [at, at + 2048])
-            there, heavy = (np.zeros((n, min(2048, columns - at)), np.float32) for _ in range(2))
-            there[row_k[lo:hi], col_k[lo:hi] - at] = 1
-            heavy[row_k[lo:hi], col_k[lo:hi] - at] = mass_k[lo:hi]
-            shared += heavy[a] @ there[b].T
-            other += there[a] @ heavy[b].T
-        # a common element wins both races only if it comes before the other text's own elements too: with common
-        # shares p and q that has probability pq / (q + (1 - q)p) at most, which is exact for equal weights
-        p, q = shared / total[a][:, None], other / total[b][None, :]
-        bound = p * q / np.maximum(np.maximum(q + (1 - q) * p, p + (1 - p) * q), 1e-9)
-        names = {c: k for k, c in enumerate(dict.fromkeys(component))}
-        group = np.array([names[c] for c in component])
-        may = (bound >= threshold - 1e-6) & (group[a][:, None] != group[b][None, :])
-        plain = total == sizes
-        size = sizes.astype(np.float64)
-        alike = np.where(may & plain[a][:, None] & plain[b][None, :], shared / np.maximum(size[a][:, None] + size[b][None, :] - shared, 1.0), 0.0)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        for x, y in zip(*np.nonzero(may & ~(plain[a][:, None] & plain[b][None, :])), strict=True):
-            alike[x, y] = similarity(*((flat[cuts[k] : cuts[k + 1]], mass[cuts[k] : cuts[k + 1]]) for k in (a[x], b[y])))
-        linked = alike >= threshold
-        out, label = [], np.arange(len(names))
-        of_a, of_b = group[a], group[b]
-        for x in np.flatnonzero(linked.any(axis=1)):  # of all links, those that join what is not joined yet
-            for y in np.flatnonzero(linked[x] & (label[of_b] != label[of_a[x]])):
-                old, new = label[of_b[y]], label[of_a[x]]
-                if old != new:
-                    label[label == old] = new
-                    out.append((*sorted((ids[a[x]], ids[b[y]])), float(alike[x, y])))
-        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["src", "dst", "similarity"])
-
-    return run
-
-
-def _open(rest: DataFrame, merged: DataFrame) -> DataFrame:
-    """Members in buckets that span several components, with the components."""
-    rest = rest.drop("component").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
-    return stored(rest.drop("n").join(mixed, "bucket"), "open")
-
-
-def _in_blocks(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All links between components in large buckets: members in blocks, every two blocks a bounded group."""
-    ids = stored(large.select("id").distinct(), "ids")
-    cards = stored(_cards(texts.join(_bounded(ids), "id")), "cards")
-    rows = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).cast("int").alias("i"), F.greatest(k, F.col("block")).cast("int").alias("j")))
-    spread = rows.select("bucket", "id", "component", "block", F.explode(turns).alias("t")).select("bucket", "id", "component", "block", "t.i", "t.j")
-    return stored(spread.join(cards, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), "src binary, dst binary, similarity double"), "links")
+class _Linker:
+    """The steps from classes to verified links; what they store goes at the end of the run's block."""
+
+    def __init__(self, documents: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float, registers: int, keep):
+        self.rows = documents.select(F.col(id_col).cast("bigint").alias("of"), content_key(text_col).alias("key"), text_of(text_col).cast("string").alias("text"))
+        self.reps, self.threshold, self.keep = reps, threshold, keep
+        self.differ = _differing("sketch", "other_sketch", registers)
+        self.allowed = _allowed(threshold, registers)
+        self.sketches = reps.select("id", "sketch")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs of ids those that may reach the threshold."""
+        other = self.sketches.select(F.col("id").alias("src"), F.col("sketch").alias("other_sketch"))
+        return pairs.join(self.sketches.withColumnRenamed("id", "dst"), "dst").join(other, "src").where(self.differ <= self.allowed).select("src", "dst")
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """The text of one row of each class in the pairs; a row that repeats counts once."""
+        ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+        ids = _bounded(self.keep(ends.join(self.reps.select("id", "doc_id", "tkey"), "id"), "ids"))
+        found = self.rows.join(ids, (self.rows["key"] == ids["tkey"]) & self.rows["of"].eqNullSafe(ids["doc_id"]))
+        return self.keep(found.select("id", "text").dropDuplicates(["id"]), "texts")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links (src, dst, similarity) among stored pairs."""
+        texts = self.texts(pairs)
+        heads = self.keep(pairs.select("src").distinct(), "heads")
+        left = texts.withColumnsRenamed({"id": "src", "text": "src_text"}).join(_bounded(heads), "src")
+        both = pairs.join(texts.withColumnsRenamed({"id": "dst", "text": "dst_text"}), "dst").join(left, "src").select("src", "dst", "src_text", "dst_text")
+        return self.keep(both.mapInArrow(_verify(self.threshold), "src bigint, dst bigint, similarity double"), "links")
+
+    def across(self, members: DataFrame, merged: DataFrame) -> DataFrame:
+        """Near pairs (src, dst, their components a < b, differing registers) of different components that share a bucket."""
+        rows = members.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = self.keep(rows, "placed")
+        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"))
+        mixed = self.keep(mixed.where("parts > 1").select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("strays")), "mixed")
+        rows = rows.join(mixed, "bucket").join(self.sketches, "id")
+
+        def block(size: str) -> Column:
+            return F.ceil(F.col(size) / BLOCK).cast("int")
+
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), block("strays")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), block("n")).cast("int"))
+        stray = rows.where("component <> main").withColumn("j", F.explode(F.sequence(F.lit(0), block("n") - 1)))
+        every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), block("strays") - 1)))
+        stray = stray.select("bucket", "i", "j", F.col("id").alias("one"), F.col("component").alias("part"), F.col("sketch").alias("other_sketch"))
+        crossing = (F.col("part") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("one") < F.col("id")))
+        pairs = stray.join(every, ["bucket", "i", "j"]).where(crossing & (self.differ <= self.allowed))
+        return pairs.select(
+            F.least("one", "id").alias("src"), F.greatest("one", "id").alias("dst"), F.least("part", "component").alias("a"), F.greatest("part", "component").alias("b"), self.differ.alias("differ")
+        ).distinct()
 
 
 def link(documents: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, component) of the classes that have links, and verified links (src, dst, similarity) that hold the components together.
 
-    A class's id is its ``words``.
+    A class's id is the smallest ``uid`` of its rows.
     """
-    reps = signed.where("n_words > 0").groupBy(F.col("words").alias("id")).agg(F.min_by(F.struct("doc_id", "tkey", "keys", "sketch"), F.struct("doc_id", "uid")).alias("rep"))
-    reps = stored(reps, "classes")
-    bands = reps.select("id", F.explode("rep.keys").alias("bucket"))
-    crowded = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rest = stored(bands.join(crowded, "bucket"), "members")
-    texts = _texts(documents, reps, rest.select("id").distinct(), id_col, text_col)
-    # the smallest id leads, so that a large group has one leader in all its buckets
-    heads = rest.groupBy("bucket").agg(F.min("id").alias("head"))
-    pairs = rest.join(heads, "bucket").where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct()
-    tried = stored(pairs, "pairs")
-    found = _verified(tried, texts, threshold)
-    merged = components(found)
-    # where a bucket still spans several components, all its pairs between them: listed in small buckets, block by block in large ones
-    rest = _open(rest, merged)
-    sketches = reps.select("id", F.col("rep.sketch").alias("sketch"))
-    near = _differing("sketch", "other_sketch", registers) <= _allowed(threshold, registers)
-    few = rest.where(F.col("n") <= FEW).join(sketches, "id")
-    others = few.select("bucket", F.col("id").alias("other"), F.col("component").alias("of"), F.col("sketch").alias("other_sketch"))
-    pairs = few.join(others, "bucket").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & near)
-    pairs = stored(pairs.select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti"), "pairs")
-    found = found.unionByName(_verified(pairs, texts, threshold)).unionByName(_in_blocks(rest.where(F.col("n") > FEW), texts, threshold))
-    return components(found), found
+    with scratch(documents.sparkSession, "link") as keep:
+        reps = signed.where("n_words > 0").groupBy("words").agg(F.min("uid").alias("id"), F.min_by(F.struct("doc_id", "tkey", "keys", "sketch"), "uid").alias("rep")).select("id", "rep.*")
+        reps = keep(reps, "classes")
+        bands = reps.select("id", F.explode("keys").alias("bucket"))
+        # the smallest id leads, so that a large group has one leader in all its buckets
+        heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+        members = keep(bands.join(heads, "bucket"), "members")
+        linker = _Linker(documents, reps, id_col, text_col, threshold, registers, keep)
+        tried = keep(members.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct(), "tried")
+        found = linker.verified(keep(linker.near(tried), "near"))
+        merged = components(found)
+        rest = linker.across(members.select("bucket", "id"), merged).join(tried, ["src", "dst"], "left_anti")
+        rest = keep(rest, "across")
+        if not rest.isEmpty():
+            nearest = rest.groupBy("a", "b").agg(F.min(F.struct("differ", "src", "dst")).alias("best")).select("best.src", "best.dst")
+            nearest = keep(nearest, "nearest")
+            found = keep(found.unionByName(linker.verified(nearest)), "links")
+            merged = components(found)
+            for end in ("src", "dst"):
+                rest = rest.join(merged.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part")), end, "left").withColumn(f"{end}_part", F.coalesce(f"{end}_part", end))
+            left = keep(rest.where("src_part <> dst_part").select("src", "dst").join(nearest, ["src", "dst"], "left_anti"), "left")
+            if not left.isEmpty():
+                found = found.unionByName(linker.verified(left))
+                merged = components(found)
+        return merged, stored(found, "links")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,8 +326,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     signed = sign(documents, id_col, text_col)
     merged, _ = link(documents, signed, id_col, text_col)
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    each = signed.groupBy("words").agg(lowest.alias("low"), F.count("*").alias("n"))
-    each = each.join(merged.withColumnRenamed("id", "words"), "words", "left").withColumn("component", F.coalesce("component", "words"))
+    each = signed.groupBy("words").agg(lowest.alias("low"), F.count("*").alias("n"), F.min("uid").alias("id"))
+    each = each.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
     whole = each.groupBy("component").agg(F.min("low").alias("best"), F.sum("n").alias("class_size"))
     named = each.join(whole, "component").select("words", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("best_uid"), "class_size")
     return signed.select("uid", "doc_id", "tkey", "words", "n_words").join(named, "words").select(
@@ -376,7 +336,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each group of near duplicates; columns as they are."""
-    kept = near_duplicates(documents, id_col, text_col).where("keep").select(_key("doc_id").alias("__key"), F.col("tkey").alias("__tkey"))
-    rows = documents.withColumn("__key", _key(id_col)).withColumn("__tkey", F.xxhash64(text_of(text_col)))
-    return rows.join(kept, ["__tkey", "__key"], "left_semi").dropDuplicates(["__tkey", "__key"]).select(*documents.columns)
+    """``documents`` with one row of each group of near duplicates; columns as they are.
+
+    Kept rows are found again by id (null as any other value) and by what names the text; rows that repeat in both count once.
+    """
+    key, text_key = fresh(documents, "key", "text_key")
+    kept = near_duplicates(documents, id_col, text_col).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("tkey").alias("kept_key"))
+    rows = documents.withColumn(key, F.col(id_col).cast("bigint")).withColumn(text_key, content_key(text_col))
+    kept = kept.toDF(*fresh(rows, "kept_id", "kept_key"))
+    same = rows[text_key].eqNullSafe(kept[kept.columns[1]]) & rows[key].eqNullSafe(kept[kept.columns[0]])
+    return rows.join(kept, same, "left_semi").dropDuplicates([text_key, key]).select(*documents.columns)
