@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import decontamination, minhash, pieces, pii, quality
-from pixelmill.llm.common import stored
+from pixelmill.llm.common import fresh, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    rows = quality.with_ledger(docs, "text", "__ledger")
-    return rows.where(quality.passes(F.col("__ledger.mask"), "v1")).drop("__ledger")
+    (ledger,) = fresh(docs, "ledger")
+    rows = quality.with_ledger(docs, "text", ledger)
+    return rows.where(quality.passes(F.col(ledger)["mask"], "v1")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
