@@ -24,8 +24,10 @@ def _trees(both: DataFrame, stored) -> DataFrame:
     top = (F.col("next") == F.col("id")) & (F.col("id") < F.col("root"))
     trees = stored(hooks.join(beyond, "root").select("id", F.when(top, F.col("id")).otherwise(F.col("root")).alias("root")), "trees")
     while True:
+        # two jumps at once: paths shrink to a quarter
         beyond = trees.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = stored(trees.join(beyond, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "trees")
+        after = trees.select(F.col("id").alias("next"), F.col("root").alias("last"))
+        jumped = stored(trees.join(beyond, "root").join(after, "next").select("id", F.col("last").alias("root"), (F.col("last") != F.col("root")).alias("moved")), "trees")
         trees = jumped.select("id", "root")
         if jumped.where("moved").isEmpty():
             return trees

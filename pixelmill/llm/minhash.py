@@ -7,17 +7,17 @@ work for a text of n shingles and m registers is about n + m ln m arrivals, not
 agree in a register with the probability Jaccard similarity of their weights.
 
 Texts with equal words form one class, named by one of its rows. Each band of a class's registers is a
-bucket key. A bucket is not expanded into pairs: its members are first held against one leader, its
-smallest id, and what is alike is merged into components. Only where a bucket then still spans several
-components are its members compared further, and only across components: those outside of the bucket's
-largest component with all others, in cells of at most ``BLOCK`` by ``BLOCK`` members, so that one stray among
-a million copies costs a million comparisons, not their square. Of the pairs that come out, the nearest of every two
-components is verified first; pairs that this leaves between components are verified all. So hot buckets of true
-copies cost a pair a member, and no link is lost to a cap.
-
-A pair goes to verification if its registers' agreement, estimated from sketches of a few bits a register inside the
-join, is not ``DEVIATIONS`` standard deviations below what the threshold gives; this rule is one for all buckets,
-whatever their size. Verification computes the probability Jaccard similarity of the two texts exactly.
+bucket key. A bucket is not expanded into pairs: its members are held against one leader, its smallest id, and
+what is alike is one group from then on. Where a bucket still spans several groups, those outside of its largest one
+are held against a member of that, in up to ``LEADERS`` rounds, as long as a quarter of the pairs turn out to be links.
+What then is left over is compared in full, but only across groups: strays with all other members, in cells of at most
+``BLOCK`` by ``BLOCK``, so that one stray among a million copies costs a million comparisons, not their square. A cell's
+pairs never leave it: sketches tell which members have a near pair there, incidence matrices of those give the
+similarities, and of the links only those that join groups come out. So hot buckets of true copies cost a pair a
+member, and no link is lost to a cap.
+
+A pair goes to verification if its registers' agreement, estimated from sketches of a few bits a
+register, is not ``DEVIATIONS`` standard deviations below what the threshold gives. Verification computes the probability Jaccard similarity of the two texts exactly.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without a word (null, empty, signs only)
 are alike if they are equal, null as empty; repeated rows are one class; ids may repeat or be null,
@@ -51,8 +51,8 @@ SKETCH_BITS = 4
 #: A pair is verified only if its sketches differ in no more registers than a pair at the threshold does
 #: with so many standard deviations: it is passed over with probability 3e-6, less than by the banding.
 DEVIATIONS = 4.5
-#: Members of a bucket on each side of a cell of comparisons.
-BLOCK = 512
+#: Rounds of leaders before cells; members of a bucket on each side of a cell.
+LEADERS, BLOCK = 4, 1000
 #: Class ids that may be broadcast, 50 bytes each.
 SMALL = 200_000
 
@@ -230,9 +230,110 @@ def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     return keep(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey binary, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """A broadcast hint where the (stored) ids are few enough, else none."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
+def _cards(texts: DataFrame) -> DataFrame:
+    """The weighted shingles of classes: id, elements (sorted), weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _weighted(batch.column(1))
+            offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in cells])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([c[k] for c in cells]).astype(np.int64) if cells else np.zeros(0, np.int64))) for k in (0, 1)]
+            yield pa.record_batch([batch.column(0), *lists], names=["id", "elements", "weights"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, elements array<bigint>, weights array<bigint>")
+
+
+def _shared_mass(a: np.ndarray, b: np.ndarray, row: np.ndarray, flat: np.ndarray, mass: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows a by rows b the mass of the first one, and of the second, in common elements: products of incidence matrices."""
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1  # an element of one member is in no intersection
+    keep = often[column] > 1
+    row, col, mass = row[keep], number[column[keep]], mass[keep]
+    order = np.argsort(col, kind="stable")
+    row, col, mass = row[order], col[order], mass[order]
+    shared, other = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+        lo, hi = np.searchsorted(col, [at, at + 2048])
+        there, heavy = (np.zeros((n, min(2048, int(col[-1]) + 1 - at)), np.float32) for _ in range(2))
+        there[row[lo:hi], col[lo:hi] - at] = 1
+        heavy[row[lo:hi], col[lo:hi] - at] = mass[lo:hi]
+        shared += heavy[a] @ there[b].T
+        other += there[a] @ heavy[b].T
+    return shared, other
+
+
+def _crossing(ids: np.ndarray, label: np.ndarray, in_main: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of strays ``a`` with members ``b`` are of two groups; of two strays the pair counts once."""
+    return (label[a][:, None] != label[b][None, :]) & (in_main[b][None, :] | (ids[a][:, None] < ids[b][None, :]))
+
+
+def _close(allowed: int):
+    """Of a cell the rows that have a near pair there, told by their sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label = (table.column(c).to_numpy() for c in ("id", "label"))
+        stray, in_main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "in_main"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
+        words, differ = sketch.shape[1] // SKETCH_BITS, np.zeros((len(a), len(b)), dtype=np.int32)
+        for w in range(words):
+            unlike = np.zeros((len(a), len(b)), dtype=np.uint64)
+            for plane in range(SKETCH_BITS):
+                unlike |= sketch[a, plane * words + w][:, None] ^ sketch[b, plane * words + w][None, :]
+            differ += np.bitwise_count(unlike)
+        near = (differ <= allowed) & _crossing(ids, label, in_main, a, b)
+        rows = np.sort(np.concatenate([a[near.any(axis=1)], b[near.any(axis=0)]]))
+        return table.drop_columns("sketch").take(pa.array(rows)).select(["bucket", "i", "j", "id", "label", "in_main", "stray"])
+
+    return run
+
+
+def _cell_links(threshold: float):
+    """Verified links that join groups, of one cell: its strays against its other side."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label = (table.column(c).to_numpy() for c in ("id", "label"))
+        stray, in_main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "in_main"))
+        elements, weights = table.column("elements").combine_chunks(), table.column("weights").combine_chunks()
+        sizes = np.diff(elements.offsets.to_numpy())
+        flat, mass = elements.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy().astype(np.float64)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        total = np.bincount(row, weights=mass, minlength=len(ids))
+        a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
+        shared, other = _shared_mass(a, b, row, flat, mass, len(ids))
+        # a common element wins both races only if it comes before the other text's own elements too: with common
+        # shares p and q that has probability pq / (q + (1 - q)p) at most, which is exact for equal weights
+        p, q = shared / total[a][:, None], other / total[b][None, :]
+        bound = p * q / np.maximum(np.maximum(q + (1 - q) * p, p + (1 - p) * q), 1e-9)
+        may = (bound >= threshold - 1e-6) & _crossing(ids, label, in_main, a, b)
+        even = (total == sizes)[a][:, None] & (total == sizes)[b][None, :]
+        size = sizes.astype(np.float64)
+        alike = np.where(may & even, shared / np.maximum(size[a][:, None] + size[b][None, :] - shared, 1.0), 0.0)
+        names, group = np.unique(label, return_inverse=True)
+        now, out = np.arange(len(names)), []
+        of_a, of_b = group[a], group[b]
+
+        def join(x: int, y: int, value: float) -> None:
+            now[now == now[of_b[y]]] = now[of_a[x]]
+            out.append((*sorted((int(ids[a[x]]), int(ids[b[y]]))), value))
+
+        linked = alike >= threshold
+        for x in np.flatnonzero(linked.any(axis=1)):  # of all links, those that join what is not joined yet
+            for y in np.flatnonzero(linked[x] & (now[of_b] != now[of_a[x]])):
+                if now[of_b[y]] != now[of_a[x]]:
+                    join(x, y, float(alike[x, y]))
+        # pairs with repeated shingles one by one, the likeliest first, as long as their groups are apart
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        left, right = np.nonzero(may & ~even & (now[of_a][:, None] != now[of_b][None, :]))
+        for k in np.argsort(-bound[left, right], kind="stable"):
+            x, y = int(left[k]), int(right[k])
+            if now[of_b[y]] != now[of_a[x]]:
+                value = similarity(*((flat[cuts[m] : cuts[m + 1]], mass[cuts[m] : cuts[m + 1]]) for m in (a[x], b[y])))
+                if value >= threshold:
+                    join(x, y, value)
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["src", "dst", "similarity"])
+
+    return run
 
 
 class _Linker:
@@ -250,42 +351,63 @@ class _Linker:
         other = self.sketches.select(F.col("id").alias("src"), F.col("sketch").alias("other_sketch"))
         return pairs.join(self.sketches.withColumnRenamed("id", "dst"), "dst").join(other, "src").where(self.differ <= self.allowed).select("src", "dst")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """The text of one row of each class in the pairs; a row that repeats counts once."""
-        ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-        ids = _bounded(self.keep(ends.join(self.reps.select("id", "doc_id", "tkey"), "id"), "ids"))
+    def texts(self, ids: DataFrame, most: int) -> DataFrame:
+        """The text of one row of each class in ``ids`` (at most ``most`` of them); a row that repeats counts once."""
+        ids = ids.join(self.reps.select("id", "doc_id", "tkey"), "id")
+        ids = F.broadcast(ids) if most <= SMALL else ids
         found = self.rows.join(ids, (self.rows["key"] == ids["tkey"]) & self.rows["of"].eqNullSafe(ids["doc_id"]))
         return self.keep(found.select("id", "text").dropDuplicates(["id"]), "texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (src, dst, similarity) among stored pairs."""
-        texts = self.texts(pairs)
-        heads = self.keep(pairs.select("src").distinct(), "heads")
-        left = texts.withColumnsRenamed({"id": "src", "text": "src_text"}).join(_bounded(heads), "src")
+        n = pairs.count()
+        if not n:
+            return pairs.withColumn("similarity", F.lit(1.0))
+        texts = self.texts(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), 2 * n)
+        left = texts.withColumnsRenamed({"id": "src", "text": "src_text"}).join(pairs.select("src").distinct(), "src", "left_semi")
         both = pairs.join(texts.withColumnsRenamed({"id": "dst", "text": "dst_text"}), "dst").join(left, "src").select("src", "dst", "src_text", "dst_text")
         return self.keep(both.mapInArrow(_verify(self.threshold), "src bigint, dst bigint, similarity double"), "links")
 
-    def across(self, members: DataFrame, merged: DataFrame) -> DataFrame:
-        """Near pairs (src, dst, their components a < b, differing registers) of different components that share a bucket."""
-        rows = members.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = self.keep(rows, "placed")
-        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"))
-        mixed = self.keep(mixed.where("parts > 1").select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("strays")), "mixed")
-        rows = rows.join(mixed, "bucket").join(self.sketches, "id")
+    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (src, dst, similarity) that join groups sharing a bucket, from all pairs between them."""
+        rows = _labelled(members, labels)
+        sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"))
+        mixed = mixed.where("parts > 1").select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("strays"))
+        open_ = self.keep(rows.join(mixed, "bucket"), "open")
 
-        def block(size: str) -> Column:
+        def blocks_of(size: str) -> Column:
             return F.ceil(F.col(size) / BLOCK).cast("int")
 
-        rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), block("strays")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), block("n")).cast("int"))
-        stray = rows.where("component <> main").withColumn("j", F.explode(F.sequence(F.lit(0), block("n") - 1)))
-        every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), block("strays") - 1)))
-        stray = stray.select("bucket", "i", "j", F.col("id").alias("one"), F.col("component").alias("part"), F.col("sketch").alias("other_sketch"))
-        crossing = (F.col("part") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("one") < F.col("id")))
-        pairs = stray.join(every, ["bucket", "i", "j"]).where(crossing & (self.differ <= self.allowed))
-        return pairs.select(
-            F.least("one", "id").alias("src"), F.greatest("one", "id").alias("dst"), F.least("part", "component").alias("a"), F.greatest("part", "component").alias("b"), self.differ.alias("differ")
-        ).distinct()
+        own = F.pmod(F.xxhash64("id"), blocks_of("n")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), blocks_of("strays")).cast("int")
+        cell = ["bucket", "i", "j", "id", "label", (F.col("label") == F.col("main")).alias("in_main")]
+        stray = open_.where("label <> main").withColumn("i", own[1]).withColumn("j", F.explode(F.sequence(F.lit(0), blocks_of("n") - 1))).select(*cell, F.lit(True).alias("stray"))
+        every = open_.withColumn("j", own[0]).withColumn("i", F.explode(F.sequence(F.lit(0), blocks_of("strays") - 1))).select(*cell, F.lit(False).alias("stray"))
+        cells = stray.unionByName(every).join(self.sketches, "id").groupBy("bucket", "i", "j")
+        close = self.keep(cells.applyInArrow(_close(self.allowed), "bucket bigint, i int, j int, id bigint, label bigint, in_main boolean, stray boolean"), "close")
+        n = close.count()
+        if not n:
+            return close.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
+        cards = self.keep(_cards(self.texts(close.select("id").distinct(), n)), "cards")
+        return self.keep(close.join(cards, "id").groupBy("bucket", "i", "j").applyInArrow(_cell_links(self.threshold), "src bigint, dst bigint, similarity double"), "links")
+
+    def lead(self, members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+        """(src, dst): members of buckets with several groups, outside of the largest one, beside one member of that."""
+        rows = _labelled(members, labels)
+        sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("head"))
+        mains = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "head"), F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        pairs = rows.join(mains.select("bucket", "main"), "bucket").where("label <> main.label").select(F.least("id", "main.head").alias("src"), F.greatest("id", "main.head").alias("dst")).distinct()
+        return self.keep(self.near(pairs.join(tried, ["src", "dst"], "left_anti")), "near")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """(id, label): ids that links join, as far as two steps to smaller ids tell; equal labels are of one component."""
+    low = links.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("label"))
+    return low.join(low.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
 
 
 def link(documents: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
@@ -301,23 +423,17 @@ def link(documents: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_c
         heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
         members = keep(bands.join(heads, "bucket"), "members")
         linker = _Linker(documents, reps, id_col, text_col, threshold, registers, keep)
-        tried = keep(members.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct(), "tried")
-        found = linker.verified(keep(linker.near(tried), "near"))
-        merged = components(found)
-        rest = linker.across(members.select("bucket", "id"), merged).join(tried, ["src", "dst"], "left_anti")
-        rest = keep(rest, "across")
-        if not rest.isEmpty():
-            nearest = rest.groupBy("a", "b").agg(F.min(F.struct("differ", "src", "dst")).alias("best")).select("best.src", "best.dst")
-            nearest = keep(nearest, "nearest")
-            found = keep(found.unionByName(linker.verified(nearest)), "links")
-            merged = components(found)
-            for end in ("src", "dst"):
-                rest = rest.join(merged.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part")), end, "left").withColumn(f"{end}_part", F.coalesce(f"{end}_part", end))
-            left = keep(rest.where("src_part <> dst_part").select("src", "dst").join(nearest, ["src", "dst"], "left_anti"), "left")
-            if not left.isEmpty():
-                found = found.unionByName(linker.verified(left))
-                merged = components(found)
-        return merged, stored(found, "links")
+        pairs = members.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct()
+        tried = near = keep(linker.near(pairs), "near")
+        members, found = members.select("bucket", "id"), linker.verified(near)
+        for turn in range(1, LEADERS):
+            near = linker.lead(members, _groups(found), tried, turn)
+            links = linker.verified(near)
+            tried, found = tried.unionByName(near), found.unionByName(links)
+            if 4 * links.count() < near.count():  # other members would not do much better: the rest is for the cells
+                break
+        found = stored(found.unionByName(linker.across(members, _groups(found))), "links")
+        return components(found), found
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
