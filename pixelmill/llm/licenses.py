@@ -1,12 +1,12 @@
 """License scans: ordered signature rules on normalised words, in DataFrame functions alone.
 
 A text is reduced to its words (0-9, A-Z, a-z and what is beyond ASCII), one space apart. Texts without
-any trigger word are done. For the others the set of keywords they hold is taken once, and a rule's
-regex runs only if both of its keywords are there. A detection is an interval of words; one that lies
+any further keyword are done. For the others the set of keywords they hold is taken once, and a rule's
+regex runs, once, only if its keyword and one of its further keywords are there. A detection is an interval of words; one that lies
 within another of the same or a higher priority is suppressed, and so is the later rule of two equal
 intervals of one priority. Base phrases are reported wherever they stand, suppressed or not.
 
-The text pass writes what it found (rule and gaps between matches) to the shared folder; positions,
+The text pass writes what it found (rule, and the spaces between and in its matches) to the shared folder; positions,
 suppression and labels are windows over those few rows, so no text is shuffled.
 
 Defined cases: null text is the empty text (no words, score 0, empty labels, null positions); texts
@@ -21,130 +21,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored, text_of
+from .signatures import CLASSES
 
-# Names of licenses as their words stand in normalised text.
-# (label, keyword, words of the name, words of the identifier)
-FAMILIES = [
-    ("mit", "mit", "mit", "mit"),
-    ("mit", "expat", "expat", "expat"),
-    ("mit-0", "attribution", "mit no attribution", "mit 0"),
-    ("isc", "isc", "isc", "isc"),
-    ("apache-1.1", "apache", "apache (?:software )?license (?:version )?1 1", "apache 1 1"),
-    ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version )?2(?: 0)?", "apache 2 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)", "bsd 2 clause"),
-    ("bsd-2-clause", "freebsd", "freebsd", "bsd 2 clause freebsd"),
-    ("bsd-3-clause", "bsd", "(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)", "0bsd"),
-    ("gpl-1.0", "gpl", "gpl (?:version )?v?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-1.0", "gplv1", "gplv1(?: 0)?", "gplv1"),
-    ("gpl-1.0", "gpl1", "gpl1(?: 0)?", "gpl1"),
-    ("gpl-2.0", "gpl", "gpl (?:version )?v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-2.0", "gplv2", "gplv2(?: 0)?", "gplv2"),
-    ("gpl-2.0", "gpl2", "gpl2(?: 0)?", "gpl2"),
-    ("gpl-3.0", "gpl", "gpl (?:version )?v?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-3.0", "gplv3", "gplv3(?: 0)?", "gplv3"),
-    ("gpl-3.0", "gpl3", "gpl3(?: 0)?", "gpl3"),
-    ("gpl-2.0", "general", "gnu general public license (?:version |v)2(?: 0)?", "gpl 2 0"),
-    ("gpl-3.0", "general", "gnu general public license (?:version |v)3(?: 0)?", "gpl 3 0"),
-    ("gpl", "general", "(?:gnu )?general public", "gpl"),
-    ("lgpl-2.1", "lgpl", "lgpl (?:version )?v?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-2.1", "lgplv2", "lgplv2 1", "lgplv2 1"),
-    ("lgpl-2.1", "lgpl2", "lgpl2 1", "lgpl2 1"),
-    ("lgpl-3.0", "lgpl", "lgpl (?:version )?v?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-3.0", "lgplv3", "lgplv3(?: 0)?", "lgplv3"),
-    ("lgpl-3.0", "lgpl3", "lgpl3(?: 0)?", "lgpl3"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
-    ("agpl-3.0", "agpl", "agpl (?:version )?v?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl-3.0", "agplv3", "agplv3(?: 0)?", "agplv3"),
-    ("agpl-3.0", "agpl3", "agpl3(?: 0)?", "agpl3"),
-    ("agpl", "affero", "(?:gnu )?affero general public", "agpl"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", "gfdl"),
-    ("mpl-1.1", "mpl", "mpl (?:version )?1 1", "mpl 1 1"),
-    ("mpl-2.0", "mpl", "mpl (?:version )?2(?: 0)?", "mpl 2 0"),
-    ("mpl", "mozilla", "mozilla public", "mpl"),
-    ("epl-1.0", "epl", "epl (?:version )?1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", "epl", "epl (?:version )?2(?: 0)?", "epl 2 0"),
-    ("epl", "eclipse", "eclipse public", "epl"),
-    ("eupl-1.2", "eupl", "eupl(?: v?1 2)?", "eupl 1 2"),
-    ("eupl-1.2", "european", "european union public licen[cs]e(?: v?1 2)?", "eupl 1 2"),
-    ("cddl-1.0", "cddl", "cddl(?: 1 0)?", "cddl 1 0"),
-    ("cddl", "distribution", "common development and distribution", "cddl"),
-    ("cpl-1.0", "common", "common public", "cpl 1 0"),
-    ("artistic-2.0", "artistic", "artistic(?: 2 0)?", "artistic 2 0"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("boost-1.0", "boost", "boost(?: software)?", "bsl 1 0"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "ofl", "(?:sil )?ofl(?: 1 1)?", "ofl 1 1"),
-    ("ofl-1.1", "font", "(?:sil )?open font(?: 1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "database", "open (?:data commons open )?database", "odbl 1 0"),
-    ("python-2.0", "python", "python(?: software foundation)?", "python 2 0"),
-    ("php-3.01", "php", "php(?: 3 01)?", "php 3 01"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("ms-pl", "microsoft", "microsoft public", "ms pl"),
-    ("bsl-1.1", "business", "business source(?: 1 1)?", "busl 1 1"),
-    ("sspl-1.0", "server", "server side public", "sspl 1 0"),
-    ("elastic-2.0", "elastic", "elastic(?: 2 0)?", "elastic 2 0"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc-by-4.0", "cc", "cc by(?: 4 0)?", "cc by 4 0"),
-    ("cc-by-sa-4.0", "cc", "cc by sa(?: 4 0)?", "cc by sa 4 0"),
-    ("cc-by-nd-4.0", "cc", "cc by nd(?: 4 0)?", "cc by nd 4 0"),
-    ("cc-by-nc-4.0", "cc", "cc by nc(?: 4 0)?", "cc by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "cc", "cc by nc sa(?: 4 0)?", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc", "cc by nc nd(?: 4 0)?", "cc by nc nd 4 0"),
-    ("cc-by", "creative", "creative commons attribution", "cc by"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", "cc by sa"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", "cc by nc"),
-    ("public-domain", "domain", "public domain", "public domain"),
-]
-# The sentences that names stand in. (keyword, sentence with {name} or {id}, priority, confidence)
-SENTENCES = [
-    ("spdx", "spdx license identifier {id}", 4, 1.0),
-    ("licensed", "licensed under (?:the )?(?:terms (?:of|and conditions of) (?:the )?)?{name}(?: license| licence)?", 3, 0.95),
-    ("released", "released under (?:the )?(?:terms of (?:the )?)?{name}(?: license| licence)?", 3, 0.95),
-    ("distributed", "distributed under (?:the )?(?:terms of (?:the )?)?{name}(?: license| licence)?", 3, 0.95),
-    ("license", "{name} license", 2, 0.8),
-    ("licence", "{name} licence", 2, 0.8),
-    ("license", "license (?:is )?(?:the )?{name}", 1, 0.6),
-]
-# Sentences of the licenses' own texts. (label, two keywords, words)
-BODIES = [
-    ("mit", "hereby", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "hereby", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("boost-1.0", "hereby", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("bsd", "forms", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "permission", "endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", "materials", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("apache-2.0", "compliance", "license", "you may not use this file except in compliance with the license"),
-    ("apache-2.0", "unless", "distributed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("gpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "redistribute", "license", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl-2.0", "mozilla", "license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("zlib", "liable", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("unlicense", "unencumbered", "released", "this is free and unencumbered software released into the public domain"),
-]
 # The base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 
 def rules() -> list[tuple]:
-    """(rule, label, priority, confidence, keyword, keyword, regex, base): base phrases first, then every family in every sentence, then bodies.
+    """(rule, label, priority, confidence, keyword, further keywords, regex, base): base phrases first, then the signatures.
 
-    Every match of a regex must hold both of the rule's keywords as words; a name with several forms is a family for each.
+    Every match of a regex holds the keyword and one of the further keywords as words.
     """
-    out = [(label, 2, 0.8, phrase.split()[0], "license", phrase, True) for phrase, label in BASE]
-    for label, keyword, name, spdx in FAMILIES:
-        for trigger, sentence, priority, confidence in SENTENCES:
-            own = spdx.split()[0] if "{id}" in sentence else keyword
-            out.append((label, priority, confidence, own, trigger, sentence.format(name=name, id=spdx), False))
-    out += [(label, 3, 0.95, own, trigger, regex, False) for label, own, trigger, regex in BODIES]
+    out = [(label, 2, 0.8, phrase.split()[0], ["license"], phrase, True) for phrase, label in BASE]
+    out += [(label, priority, confidence, own, further.split("|"), regex, False) for rows, priority, confidence in CLASSES for label, own, further, regex in rows]
     return [(i, *rule) for i, rule in enumerate(out)]
 
 
+def any_of(words: list[str]) -> str:
+    """A regex for one of several words, with what they begin with in common written once, so that few are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        heads.setdefault(word[:1], []).append(word[1:])
+    parts = [head + (any_of(tails) if tails != [""] else "") for head, tails in heads.items() if head]
+    if not parts:
+        return ""
+    return (parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})") if "" not in heads else f"(?:{'|'.join(parts)})?"
+
+
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -155,31 +58,29 @@ def _spaces(text: Column) -> Column:
 
 def _literal(rows: list[tuple]) -> Column:
     """The rules as one constant."""
-    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("own"), F.lit(b).alias("trigger"), F.lit(f"(?<= ){regex}(?= )").alias("regex")) for i, _, _, _, a, b, regex, _ in rows])
+    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("own"), F.array(*map(F.lit, b)).alias("further"), F.lit(f"(?<= )(?:{regex})(?= )").alias("regex")) for i, _, _, _, a, b, regex, _ in rows])
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: list[tuple] | None = None) -> DataFrame:
-    """Per row its key, n_words and, for each rule that matched, the words before, between and in the matches."""
+    """Per row its key, n_words and, for each rule that matched, the spaces before the first match, in it, before the second, and so on."""
     rows = rows or rules()
-    triggers = sorted({r[5] for r in rows})
-    keywords = sorted({r[4] for r in rows} | set(triggers))
+    further = sorted({word for r in rows for word in r[5]})
+    keywords = sorted({r[4] for r in rows} | set(further))
     words = F.trim(F.regexp_replace(text_of(text_col), _BETWEEN, " "))
     base = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), words.alias("words")).withColumn("uid", F.monotonically_increasing_id())
     base = base.withColumn("n_words", F.when(F.col("words") == "", F.lit(0)).otherwise(_spaces(F.col("words")) + 1).cast("bigint"))
-    gate = F.col("words").rlike(rf"(?i)\b(?:{'|'.join(triggers)})\b")
+    gate = F.col("words").rlike(rf"(?i)\b{any_of(further)}\b")
     base = base.withColumn("norm", F.when(gate, F.concat(F.lit(" "), F.translate("words", _UPPER, _LOWER), F.lit(" "))))
-    base = base.withColumn("held", F.array_distinct(F.regexp_extract_all("norm", F.lit(rf"(?<= )({'|'.join(sorted(keywords, key=len, reverse=True))})(?= )"), F.lit(0))))
+    base = base.withColumn("held", F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?<= )({any_of(keywords)})(?= )"), F.lit(0))))
     norm, held = F.col("norm"), F.col("held")
 
     def matched(rule: Column) -> Column:
-        return F.struct(
-            rule["rule"].alias("rule"),
-            F.transform(F.split(norm, rule["regex"], -1), lambda p: _spaces(p)).alias("gaps"),
-            F.transform(F.regexp_extract_all(norm, rule["regex"], F.lit(0)), lambda m: _spaces(m)).alias("inner"),
-        )
-
-    wanted = F.filter(_literal(rows), lambda r: F.array_contains(held, r["own"]) & F.array_contains(held, r["trigger"]))
-    found = F.when(norm.isNotNull(), F.filter(F.transform(wanted, matched), lambda m: F.size(m["inner"]) > 0))
+        # words hold no control characters, so two of them can mark where matches begin and end
+        parts = F.split(F.regexp_replace(norm, rule["regex"], F.lit("\u0001$0\u0002")), "[\u0001\u0002]", -1)
+        return F.struct(rule["rule"].alias("rule"), F.transform(parts, lambda p: _spaces(p)).alias("spaces"))
+
+    wanted = F.filter(_literal(rows), lambda r: F.array_contains(held, r["own"]) & F.arrays_overlap(held, r["further"]))
+    found = F.when(norm.isNotNull(), F.filter(F.transform(wanted, matched), lambda m: F.size(m["spaces"]) > 1))
     return stored(base.select("uid", "doc_id", "n_words", found.alias("found")), "licenses")
 
 
@@ -188,15 +89,14 @@ def detections(scanned: DataFrame, rows: list[tuple] | None = None) -> DataFrame
     rows = rows or rules()
     spark = scanned.sparkSession
     facts = F.broadcast(spark.createDataFrame([(r[0], r[1], r[2], r[3], r[7]) for r in rows], "rule int, label string, priority int, confidence double, base boolean"))  # the fixed rules
-    flat = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.rule", F.posexplode(F.arrays_zip("f.gaps", "f.inner")).alias("k", "m")).where("m.inner IS NOT NULL")
-    run = Window.partitionBy("uid", "rule").orderBy("k")
-    before = F.sum("m.gaps").over(run) + F.coalesce(F.sum("m.inner").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hits = flat.select("uid", "rule", (before - 1).alias("first"), F.col("m.inner").alias("more")).withColumn("last", F.col("first") + F.col("more")).join(facts, "rule")
+    flat = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.rule", F.posexplode("f.spaces").alias("k", "n"))
+    before = F.sum("n").over(Window.partitionBy("uid", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    hits = flat.withColumn("first", before - 1).where("k % 2 = 1").select("uid", "rule", "first", (F.col("first") + F.col("n")).alias("last")).join(facts, "rule")
     earlier = Window.partitionBy("uid").orderBy("first", F.desc("last"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.lit(None).cast("bigint")
     for level in sorted({r[2] for r in rows}):
         covered = F.when(F.col("priority") == level, F.max(F.when(F.col("priority") >= level, F.col("last"))).over(earlier)).otherwise(covered)
-    return hits.withColumn("suppressed", F.coalesce(covered >= F.col("last"), F.lit(False))).drop("more")
+    return hits.withColumn("suppressed", F.coalesce(covered >= F.col("last"), F.lit(False)))
 
 
 def report(documents: DataFrame) -> DataFrame:
