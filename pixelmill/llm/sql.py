@@ -89,9 +89,13 @@ best AS (SELECT rid, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(ver
 tags AS (SELECT url, host, path, node, unnest(list_concat(
     list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
     list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"''\s>]+)', 1)))) AS target FROM u WHERE url IS NOT NULL),
-whole AS (SELECT node AS src, CASE WHEN contains(target, '://') THEN replace(target, '&amp;', '&') WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target
-    WHEN starts_with(target, '#') THEN url ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS t FROM tags WHERE target <> ''),
-e AS (SELECT DISTINCT src, {_node("t")} AS dst FROM whole),
+whole AS (SELECT node AS src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t END WHEN t[1:2] = '//' THEN 'x:' || t WHEN t[1] = '#' THEN url
+    WHEN t[1] = '?' THEN 'x://' || host || path || t WHEN t[1] = '/' THEN 'x://' || host || t ELSE 'x://' || host || '/' || array_to_string(string_split(path, '/')[2:-2] || [t], '/') END AS t
+  FROM (SELECT node, url, host, path, replace(target, '&amp;', '&') AS t FROM tags WHERE target <> '')),
+parted AS (SELECT src, {_host("t")} AS host, string_split({_path("t")}, '/')[2:] AS steps, regexp_extract(t, {_PART}, 3) AS query FROM whole WHERE t IS NOT NULL),
+walked AS (SELECT src, host, query, list_reduce(list_prepend('', steps), lambda done, s: CASE WHEN s = '.' THEN done WHEN s = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END)
+    || CASE WHEN steps[-1] IN ('.', '..') THEN '/' ELSE '' END AS path FROM parted),
+e AS (SELECT DISTINCT src, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS dst FROM walked),
 both_ways AS (SELECT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst UNION SELECT dst, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
 reach(a, b) AS (SELECT src, src FROM both_ways UNION SELECT reach.a, both_ways.dst FROM reach JOIN both_ways ON reach.b = both_ways.src),
 member AS (SELECT b, {_host("'http://' || b")} AS host, {_path("'http://' || b")} AS path FROM (SELECT DISTINCT b FROM reach)),

@@ -6,6 +6,9 @@ found in a distributed way; a URL without a rule of its own takes its component'
 if any member has an allow rule (explicit allow goes first), else block if any member has a block rule,
 else allow.
 
+A link's target is resolved against its page's URL by the rules of RFC 3986 (schemes are told at the start of the target only,
+relative paths are merged, dot segments go); a target of another scheme than http or https is no page.
+
 Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; links that
 point nowhere are left out; equal URLs are one node, so repeated rows and copies share a decision; null
 html has no links; empty tables give empty results; other columns are not read. Of two rules of one
@@ -59,17 +62,26 @@ def link_targets(html: Column) -> Column:
     return F.filter(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its "." and ".." segments."""
+    none = F.array().cast("array<string>")
+    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
+    kept = F.aggregate(steps, none, lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s)))
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(F.size(steps) == 0, path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
 def resolved(url: Column, target: Column) -> Column:
-    """A link's target as a whole URL, seen from the page's own URL."""
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    host = F.concat(F.lit("http://"), host_of(url))
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(host, target))
-        .when(target.startswith("#"), url)
-        .otherwise(F.concat(host, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+    """A link's target as a whole URL, seen from the page's own URL; null if it is of another scheme than the web's."""
+    host, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    own, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_replace(target, r"^[^?#]*", "")
+    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), r"[^/]*$", "")
+    scheme = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    whole = F.when(scheme, F.when(target.rlike(r"(?i)^https?://"), target)).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    whole = whole.when(target.startswith("#"), url).when(target.startswith("?"), F.concat(host, path, target))
+    whole = whole.when(target.startswith("/"), F.concat(host, target)).otherwise(F.concat(host, folder, own, rest))
+    query = F.regexp_extract(whole, _PARTS, 3)
+    return F.concat(F.lit("http://"), host_of(whole), without_dots(path_of(whole)), query)
 
 
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
