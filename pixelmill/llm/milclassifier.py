@@ -6,9 +6,10 @@ bytes. A hidden layer makes a representation h of each passage; a gated attentio
 w . (tanh(V h) * sigmoid(U h)), weighs a text's passages; the weighed representation gives the score.
 Only texts have labels: which passages matter is learned from them.
 
-The model is fitted on the driver on a sample whose size is bounded by ``SAMPLE`` rows, taken by hash from
-all labelled rows that are for training, and at most ``SAMPLE_PASSAGES`` passages of each; scoring reads every
-passage of every text, on the executors. The fitted weights are some 10,000s of numbers.
+The model is fitted on the driver on a sample of whole texts, bounded by ``SAMPLE`` rows and ``SAMPLE_PASSAGES``
+passages in all: labelled rows that are for training are taken in the order of a hash, as long as they fit (a text that
+does not fit is passed over whole, never cut). Scoring reads every passage of every text, on the executors. The
+fitted weights are some 10,000s of numbers.
 
 Defined cases: null text is the empty text, a text without words is one passage of zeros and gets a
 score as any other; labels that are null are left out, repeated labels of one document count once (the
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import scratch, text_of
 from .words import BLANK, SAME, blocks, fingerprints, texts_of
 
 PASSAGE_WORDS = 64
-SAMPLE, SAMPLE_PASSAGES = 4000, 24
-HASHED = 48
+SAMPLE, SAMPLE_PASSAGES = 4000, 60_000
+HASHED = 96
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 64, 0.01, 1e-4, 7
 
@@ -170,25 +171,28 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(documents: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> dict:
-    """Fits on at most ``sample`` labelled rows of the training folds, chosen by hash of the id."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, number = encode(batch.column(2))
+        cuts = np.concatenate([[0], np.cumsum(number)])
+        cells = [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(number), pa.array(cells, pa.binary())], names=["doc_id", "target", "n", "bag"])
+
+
+def train(documents: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> dict:
+    """Fits on at most ``sample`` labelled rows of the training folds, chosen by hash of the id, of at most ``passages`` passages in all."""
     marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("target"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", text_of("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
     rows = rows.groupBy("doc_id", "target").agg(F.min("text").alias("text"))  # a repeated id counts once
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, number = encode(batch.column(2))
-            cells, at = [], 0
-            for n in number:
-                # of a long text passages at even distances
-                take = at + (np.arange(min(n, SAMPLE_PASSAGES)) * n // min(n, SAMPLE_PASSAGES))
-                cells.append(x[take].astype(np.float32).tobytes())
-                at += n
-            yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "target", "bag"])
-
-    found = rows.mapInArrow(bags, "doc_id bigint, target int, bag binary").orderBy("doc_id").toArrow()
+    with scratch(documents.sparkSession, "bags") as keep:
+        bags = keep(rows.mapInArrow(_bags, "doc_id bigint, target int, n bigint, bag binary"), "bags")
+        fitting, held = [], 0
+        for row in bags.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most ``sample`` rows
+            if held + row["n"] <= passages:
+                held += row["n"]
+                fitting.append(row["doc_id"])
+        found = bags.where(F.col("doc_id").isin(fitting)).orderBy("doc_id").select("target", "bag").toArrow()
     cells = [np.frombuffer(c, np.float32).reshape(-1, FEATURES) for c in found.column("bag").to_pylist()]
     x = np.concatenate(cells or [np.zeros((0, FEATURES), np.float32)]).astype(np.float64)
     return fit(x, np.array([len(c) for c in cells], dtype=np.int64), np.array(found.column("target").to_pylist(), dtype=np.float64))
