@@ -16,4 +16,5 @@ PEAK_SHARE, VALLEY_SHARE, WIDE_RATIO = 0.45, 0.62, 1.45
 CUT_LAMBDA, CUT_MIN_SHARE = 0.0015, 0.45
 BODY_SHARE = 0.80
 NEAR_CHANNEL = 12
+MUCH_SEEN, MUCH_RESIDUE, SEEN_LESS, LITTLE_SEEN = 0.60, 0.025, 0.03, 0.02  # shares of pixels that make another key worth a try
 MAGENTA = (255, 0, 255)

@@ -10,7 +10,6 @@ from ..constants import (
     ALPHA_T, BASE_ERROR, BASE_WARN, DRIFT_ERROR, DRIFT_WARN, EDGE_MARGIN, EDGE_MAX, KEY_DIST, KEY_MAX, LARGE_RATIO, MAGENTA, MIN_CONTENT, MIN_CONTENT_SHARE, SMALL_RATIO,
 )
 from ..functions import color
-from .profile import upper_median
 
 FRAME = ["image_id", "frame"]
 
@@ -43,15 +42,37 @@ def histograms(frames: DataFrame) -> DataFrame:
     return binned.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*FRAME))).drop("n")
 
 
+def _cells(frames: DataFrame, key: tuple[int, int, int]) -> DataFrame:
+    """One row a frame and colour bin (null: its empty pixels), with what the inspection counts; dealt by set.
+
+    Everything further is windows over a set's few rows, so a set's frames meet in one partition and pixels stay where they are.
+    """
+    r, g, b = (F.col(c) for c in "rgb")
+    near = (color.rgb_distance(r, g, b, key) <= KEY_DIST) & color.key_tinted(r, g, b, key)
+    m = EDGE_MARGIN
+    edge = (F.col("x") < m) | (F.col("x") >= F.col("w") - m) | (F.col("y") < m) | (F.col("y") >= F.col("h") - m)
+    cells = frames.groupBy(*FRAME, F.when(on(), color.hist_bin(r, g, b)).alias("bin")).agg(
+        F.max("w").alias("width"), F.max("h").alias("height"), F.count_if(on()).alias("n"), F.count_if(on() & edge).alias("edge"), F.count_if(on() & near).alias("residue")
+    )
+    frame, bins, whole = Window.partitionBy(*FRAME), Window.partitionBy("image_id", "bin"), Window.partitionBy("image_id")
+    cells = cells.repartition("image_id").withColumn("frames", F.size(F.collect_set("frame").over(whole)))
+    cells = cells.withColumn("share", F.when(F.col("bin").isNotNull(), F.col("n") / F.sum("n").over(frame)))
+    rest = (F.sum("share").over(bins) - F.col("share")) / (F.col("frames") - 1)
+    return cells.withColumn("common", F.when(F.col("frames") > 1, F.least(F.col("share"), rest)))
+
+
 def palette_similarity(frames: DataFrame) -> DataFrame:
     """(image_id, frame, similarity): each frame's histogram against the mean of the set's others."""
-    hist = histograms(frames)
-    per_bin = Window.partitionBy("image_id", "bin")
-    ids = frames.select(*FRAME).distinct()
-    number = ids.groupBy("image_id").agg(F.count("*").alias("n"))
-    rest = hist.withColumn("rest", F.sum("share").over(per_bin) - F.col("share")).join(number, "image_id").where("n > 1")
-    found = rest.groupBy(*FRAME).agg(F.sum(F.least(F.col("share"), F.col("rest") / (F.col("n") - 1))).alias("similarity"))
-    return ids.join(number.where("n > 1"), "image_id").select(*FRAME).join(found, FRAME, "left").select(*FRAME, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    cells = _cells(_sized(frames), MAGENTA).where("frames > 1")
+    return cells.groupBy(*FRAME).agg(F.coalesce(F.sum("common"), F.lit(0.0)).alias("similarity"))
+
+
+def _sized(frames: DataFrame) -> DataFrame:
+    """Frames with their width and height, which are taken from the pixels where no column tells."""
+    if "w" in frames.columns and "h" in frames.columns:
+        return frames
+    whole = Window.partitionBy(*FRAME)
+    return frames.withColumn("w", F.max("x").over(whole) + 1).withColumn("h", F.max("y").over(whole) + 1)
 
 
 def base_similarity(frames: DataFrame, base: DataFrame) -> DataFrame:
@@ -65,26 +86,36 @@ def base_similarity(frames: DataFrame, base: DataFrame) -> DataFrame:
 
 def reports(frames: DataFrame, key: tuple[int, int, int] = MAGENTA) -> DataFrame:
     """(image_id, frame, width, height, content, edge, residue): one pass of conditional counts."""
-    sized = frames.groupBy(*FRAME)
     r, g, b = (F.col(c) for c in "rgb")
-    whole = Window.partitionBy(*FRAME)
     near = (color.rgb_distance(r, g, b, key) <= KEY_DIST) & color.key_tinted(r, g, b, key)
-    if "w" not in frames.columns or "h" not in frames.columns:
-        frames = frames.withColumn("w", F.max("x").over(whole) + 1).withColumn("h", F.max("y").over(whole) + 1)
-        sized = frames.groupBy(*FRAME)
     m = EDGE_MARGIN
     edge = (F.col("x") < m) | (F.col("x") >= F.col("w") - m) | (F.col("y") < m) | (F.col("y") >= F.col("h") - m)
+    sized = _sized(frames).groupBy(*FRAME)
     return sized.agg(F.max("w").alias("width"), F.max("h").alias("height"), F.count_if(on()).alias("content"), F.count_if(on() & edge).alias("edge"), F.count_if(on() & near).alias("residue"))
 
 
+#: Rule -> what to ask for when a set is made again; a hint is given once a set.
+HINTS = {
+    "empty": "fill every column", "edge": "keep clear of the edges", "residue": "avoid the key colour", "less_content": "keep one size", "too_small": "keep one scale",
+    "too_large": "keep figures apart", "drift": "keep the character's colours", "other_character": "copy the reference",
+}
+
+
 def inspected(frames: DataFrame, key: tuple[int, int, int] = MAGENTA, base: DataFrame | None = None) -> DataFrame:
-    """(image_id, frame, ..., errors, warnings): every rule of the inspection, as arrays of rule names."""
-    rep = reports(frames, key)
+    """(image_id, frame, ..., errors, warnings): every rule of the inspection, as arrays of rule names.
+
+    One aggregation of the pixels; the rest are windows over a set's rows.
+    """
+    rows = _cells(_sized(frames), key).groupBy(*FRAME).agg(
+        F.max("width").alias("width"), F.max("height").alias("height"), *(F.sum(c).alias(c) for c in ("edge", "residue")), F.sum("n").alias("content"),
+        F.max("frames").alias("frames"), F.sum("common").alias("common"),
+    )
+    rows = rows.withColumn("similarity", F.when(F.col("frames") > 1, F.coalesce("common", F.lit(0.0))))
     whole = Window.partitionBy("image_id")
-    per = rep.groupBy("image_id").agg(upper_median("content").alias("median"), F.count("*").alias("n"), F.expr("sum(width * height) div count(*)").alias("mean_area"))
-    rows = rep.join(per, "image_id").join(palette_similarity(frames), FRAME, "left")
-    cutoff = F.floor(F.col("mean_area") * F.lit(MIN_CONTENT_SHARE)).cast("int")
-    ratio = F.when((F.col("n") >= 3) & (F.col("median") > 0), F.col("content") / F.col("median"))
+    sorted_ = F.sort_array(F.collect_list("content").over(whole))
+    rows = rows.withColumn("median", F.element_at(sorted_, F.floor(F.size(sorted_) / 2).cast("int") + 1)).withColumn("area", F.floor(F.sum(F.col("width") * F.col("height")).over(whole) / F.col("frames")))
+    cutoff = F.floor(F.col("area") * F.lit(MIN_CONTENT_SHARE)).cast("int")
+    ratio = F.when((F.col("frames") >= 3) & (F.col("median") > 0), F.col("content") / F.col("median"))
     faint = F.col("content") < F.greatest(F.lit(MIN_CONTENT), F.expr("width * height div 100"))
     errors = [("empty", faint), ("residue", F.col("residue") > KEY_MAX), ("drift", F.col("similarity") < DRIFT_ERROR)]
     warnings = [
@@ -99,53 +130,69 @@ def inspected(frames: DataFrame, key: tuple[int, int, int] = MAGENTA, base: Data
     return rows.select(*FRAME, "content", "edge", "residue", "similarity", named[0].alias("errors"), named[1].alias("warnings"))
 
 
-def _adjacent(frames: DataFrame) -> DataFrame:
-    """Pixels beside the previous frame's at the same place; frames of a set share a size and partitioning."""
-    place = Window.partitionBy("image_id", "x", "y").orderBy("frame")
-    rows = frames.select(*FRAME, "x", "y", "r", "g", "b", "a", *(F.lag(c).over(place).alias(f"p{c}") for c in "rgba"))
-    return rows.where(F.col("pa").isNotNull() & ((F.col("a") > ALPHA_T) | (F.col("pa") > ALPHA_T)))
-
+def hints(inspected: DataFrame) -> DataFrame:
+    """(image_id, hints): what to ask for when a set is made again, each rule's hint once, in the order of ``HINTS``."""
+    failed = inspected.groupBy("image_id").agg(F.flatten(F.collect_list(F.concat("errors", "warnings"))).alias("rules"))
+    every = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(hint).alias("hint")) for rule, hint in HINTS.items()])
+    return failed.select("image_id", F.transform(F.filter(every, lambda h: F.array_contains("rules", h["rule"])), lambda h: h["hint"]).alias("hints"))
 
-def motion(frames: DataFrame) -> DataFrame:
-    """(image_id, motion): mean change between neighbouring frames, 0 to 1; differences are summed as integers."""
-    change = sum((F.abs(F.col(c) - F.col(f"p{c}")) for c in "rgba"), F.lit(0))
-    pairs = _adjacent(frames).groupBy(*FRAME).agg((F.sum(change) / 1020.0 / F.count("*")).alias("m"))
-    return _averaged(frames, pairs, "m", "motion")
 
+def _compared(frames: DataFrame) -> DataFrame:
+    """(image_id, frame, h, top, bottom, motion, likeness): each frame beside the one before, in one pass.
 
-def identity(frames: DataFrame) -> DataFrame:
-    """(image_id, identity): mean likeness of neighbouring frames."""
+    Frames are compared if their numbers follow each other and their sizes are equal; pixels that are empty in both do not
+    count. Pixels are dealt by set once.
+    """
+    place = Window.partitionBy("image_id", "x", "y").orderBy("frame")
+    rows = _sized(frames).repartition("image_id")
+    rows = rows.select(*FRAME, "x", "y", "r", "g", "b", "a", "w", "h", *(F.lag(c).over(place).alias(f"p{c}") for c in ("frame", "w", "h", *"rgba")))
+    pair = (F.col("pframe") == F.col("frame") - 1) & (F.col("pw") == F.col("w")) & (F.col("ph") == F.col("h")) & (on() | (F.col("pa") > ALPHA_T))
+    change = sum((F.abs(F.col(c) - F.col(f"p{c}")) for c in "rgba"), F.lit(0))
     r, g, b, a = ((F.col(c) - F.col(f"p{c}")).cast("double") for c in "rgba")
     d = F.sqrt(F.lit(0.299) * r * r + F.lit(0.587) * g * g + F.lit(0.114) * b * b) + F.lit(0.5) * F.abs(a)
-    pairs = _adjacent(frames).groupBy(*FRAME).agg((1 - F.avg(F.least(d / 382.5, F.lit(1.0)))).alias("i"))
-    return _averaged(frames, pairs, "i", "identity")
-
+    return rows.groupBy(*FRAME).agg(
+        F.max("h").alias("h"), F.min(F.when(on(), F.col("y"))).alias("top"), F.max(F.when(on(), F.col("y"))).alias("bottom"),
+        (F.sum(F.when(pair, change)) / 1020.0 / F.count_if(pair)).alias("motion"), (1 - F.avg(F.when(pair, F.least(d / 382.5, F.lit(1.0))))).alias("likeness"),
+    )
 
-def _averaged(frames: DataFrame, pairs: DataFrame, value: str, name: str) -> DataFrame:
-    ids = frames.select("image_id").distinct()
-    return ids.join(pairs.groupBy("image_id").agg(F.avg(value).alias(name)), "image_id", "left").select("image_id", F.coalesce(name, F.lit(0.0)).alias(name))
 
-
-def contact(frames: DataFrame) -> DataFrame:
-    """(image_id, contact): how steady feet and head stand."""
-    per = frames.groupBy(*FRAME).agg(F.min(F.when(on(), F.col("y"))).alias("top"), F.max(F.when(on(), F.col("y"))).alias("bottom"), (F.max("y") + 1).alias("h"))
+def _parts(frames: DataFrame) -> DataFrame:
+    """(image_id, n, identity, motion, contact): identity and motion are means over the pairs of neighbouring frames that can be compared, contact tells how steady feet and head stand.
+    """
     whole = Window.partitionBy("image_id")
-    off = per.select("image_id", "h", *(F.abs(F.col(c) - F.avg(c).over(whole)).alias(c) for c in ("top", "bottom")))
-    mean = off.groupBy("image_id").agg(F.avg("top").alias("top"), F.avg("bottom").alias("bottom"), F.max("h").alias("h"))
+    per = _compared(frames)
+    off = per.withColumns({f"{c}_off": F.abs(F.col(c) - F.avg(c).over(whole)) for c in ("top", "bottom")})
+    mean = off.groupBy("image_id").agg(
+        F.count("*").alias("n"), F.avg("likeness").alias("identity"), F.avg("motion").alias("motion"), F.avg("top_off").alias("top"), F.avg("bottom_off").alias("bottom"), F.max("h").alias("h")
+    )
 
     def part(c: str, share: float) -> Column:
         return 1 - F.least(F.col(c) / F.greatest(F.col("h") * F.lit(share), F.lit(2.0)), F.lit(1.0))
 
-    return mean.select("image_id", F.coalesce(F.lit(0.75) * part("bottom", 0.10) + F.lit(0.25) * part("top", 0.28), F.lit(0.0)).alias("contact"))
+    found = {"identity": F.col("identity"), "motion": F.col("motion"), "contact": F.lit(0.75) * part("bottom", 0.10) + F.lit(0.25) * part("top", 0.28)}
+    return mean.select("image_id", "n", *(F.coalesce(v, F.lit(0.0)).alias(c) for c, v in found.items()))
 
 
 def scores(frames: DataFrame) -> DataFrame:
     """(image_id, identity, motion, contact, overall); zeros for sets of one frame."""
-    number = frames.groupBy("image_id").agg(F.countDistinct("frame").alias("n"))
-    rows = number.join(identity(frames), "image_id").join(motion(frames), "image_id").join(contact(frames), "image_id")
     parts = {c: F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col(c)) for c in ("identity", "motion", "contact")}
     overall = F.lit(0.5) * parts["identity"] + F.lit(0.3) * parts["motion"] + F.lit(0.2) * parts["contact"]
-    return rows.select("image_id", *(v.alias(k) for k, v in parts.items()), overall.alias("overall"))
+    return _parts(frames).select("image_id", *(v.alias(k) for k, v in parts.items()), overall.alias("overall"))
+
+
+def motion(frames: DataFrame) -> DataFrame:
+    """(image_id, motion): mean change between neighbouring frames, 0 to 1; differences are summed as integers."""
+    return _parts(frames).select("image_id", "motion")
+
+
+def identity(frames: DataFrame) -> DataFrame:
+    """(image_id, identity): mean likeness of neighbouring frames."""
+    return _parts(frames).select("image_id", "identity")
+
+
+def contact(frames: DataFrame) -> DataFrame:
+    """(image_id, contact): how steady feet and head stand."""
+    return _parts(frames).select("image_id", "contact")
 
 
 def balance(frames: DataFrame) -> DataFrame:
@@ -166,6 +213,17 @@ def body_heights(frames: DataFrame) -> DataFrame:
     return frames.select(*FRAME).distinct().join(per.groupBy(*FRAME).agg(F.max("h").alias("height")), FRAME, "left").select(*FRAME, F.coalesce("height", F.lit(0)).alias("height"))
 
 
+def mean_body_height(frames: DataFrame, skip: int = -1) -> DataFrame:
+    """(image_id, height): mean of a set's body heights, but for the frame ``skip``; 0 where none is left."""
+    per = body_heights(frames)
+    return per.groupBy("image_id").agg(F.coalesce(F.avg(F.when(F.col("frame") != skip, F.col("height"))), F.lit(0.0)).alias("height"))
+
+
+def torso_spread(frames: DataFrame) -> DataFrame:
+    """(image_id, spread): standard deviation (of a population) of the blue-ish pixels' mean columns (0 in a frame without any)."""
+    return metrics(frames).groupBy("image_id").agg(F.stddev_pop("torso").alias("spread"))
+
+
 def metrics(frames: DataFrame) -> DataFrame:
     """(image_id, frame, residue, halo, edge, torso): counts of tinted, fringed and border pixels, mean column of the blue-ish."""
     r, g, b = (F.col(c) for c in "rgb")

@@ -1,49 +1,76 @@
 """Kernels over whole rasters, for what has no cheap relational form: flood fill and components.
 
-Spark groups the pixels by image; one image is one group, whose size is that of the image.
+A kernel sees one image at a time. Where each image's pixels come together in a task already (``clustered``: they
+were made there from a row an image, or read from a raster), they are taken as they come and nothing is
+shuffled; else Spark groups them by image. Both work on runs of pixels in rows, not on single pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _spread(mask: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """What of ``mask`` is 4-connected to ``seed``."""
-    reached = mask & seed
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's component: roots hook onto smaller ones, then paths are halved."""
+    root = np.arange(n)
     while True:
-        more = reached.copy()
-        more[1:] |= reached[:-1]
-        more[:-1] |= reached[1:]
-        more[:, 1:] |= reached[:, :-1]
-        more[:, :-1] |= reached[:, 1:]
-        more &= mask
-        if (more == reached).all():
-            return reached
-        reached = more
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _run_labels(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end, component) of the mask's runs by rows; components are 4-connected and named by their first run."""
+    height, width = mask.shape
+    framed = np.zeros((height, width + 2), dtype=np.int8)
+    framed[:, 1:-1] = mask
+    step = np.diff(framed, axis=1)
+    row, first = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    # runs of a row begin in order, so those of the row above that overlap a run are neighbours in the list
+    key, span = row * (width + 1), width + 1
+    lo = np.searchsorted(key + end, key - span + first, "right")
+    hi = np.searchsorted(key + first, key - span + end, "left")
+    many = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(row)), many)
+    above = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return row, first, end, _joined(len(row), below, above)
+
+
+def _painted(shape: tuple[int, int], row: np.ndarray, first: np.ndarray, end: np.ndarray, value: np.ndarray, empty: int) -> np.ndarray:
+    """A raster with each run's value."""
+    out = np.full(shape, empty, dtype=np.int64)
+    size = end - first
+    x = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(row, size), x] = np.repeat(value, size)
+    return out
 
 
 def _labels(mask: np.ndarray) -> np.ndarray:
     """4-connected components, numbered from 0 in the order of their first pixel by rows; -1 outside."""
+    row, first, end, component = _run_labels(mask)
+    return _painted(mask.shape, row, first, end, np.unique(component, return_inverse=True)[1] if len(row) else component, -1)
+
+
+def _outside(mask: np.ndarray) -> np.ndarray:
+    """What of a mask is connected to the border through itself; nothing in images under 3 pixels wide or high."""
     height, width = mask.shape
-    big = height * width
-    label = np.where(mask, np.arange(big).reshape(mask.shape), big)
-    while True:
-        low = label.copy()
-        low[1:] = np.minimum(low[1:], label[:-1])
-        low[:-1] = np.minimum(low[:-1], label[1:])
-        low[:, 1:] = np.minimum(low[:, 1:], label[:, :-1])
-        low[:, :-1] = np.minimum(low[:, :-1], label[:, 1:])
-        low = np.where(mask, low, big)
-        flat = np.append(low.reshape(-1), big)
-        low = np.where(mask, np.minimum(low, flat[low]), big)  # a label's own label: long shapes close quickly
-        if (low == label).all():
-            break
-        label = low
-    roots = np.unique(label[mask])
-    return np.where(mask, np.searchsorted(roots, label), -1)
+    if min(height, width) < 3:
+        return np.zeros_like(mask)
+    row, first, end, component = _run_labels(mask)
+    edge = (row == 0) | (row == height - 1) | (first == 0) | (end == width)
+    hit = np.isin(component, component[edge])
+    return _painted(mask.shape, row, first, end, hit, 0) > 0
 
 
 def _raster(table: pa.Table, flag: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,27 +80,51 @@ def _raster(table: pa.Table, flag: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return x, y, mask
 
 
-def flooded(pixels: DataFrame, flag: str = "is_key") -> DataFrame:
-    """(image_id, x, y): pixels with the flag that are connected to the border through such pixels."""
+def _per_image(pixels: DataFrame, run: Callable[[pa.Table], pa.Table], added: list[T.StructField], clustered: bool) -> DataFrame:
+    schema = T.StructType([*pixels.schema.fields, *added])
+    if not clustered:
+        return pixels.groupBy("image_id").applyInArrow(run, schema)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            image = batch.column("image_id").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if held and held[-1].column("image_id")[0].as_py() != image[a]:
+                        yield from run(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return pixels.mapInArrow(stream, schema)
+
+
+def with_flood(pixels: DataFrame, flags: dict[str, str], clustered: bool = False) -> DataFrame:
+    """``pixels`` with a boolean column for each flag: whether the pixel is connected to the border through pixels with the flag."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, mask = _raster(table, flag)
-        edge = np.zeros_like(mask)
-        edge[0], edge[-1], edge[:, 0], edge[:, -1] = True, True, True, True
-        hit = _spread(mask, edge)[y, x] if min(mask.shape) >= 3 else np.zeros(len(x), dtype=bool)
-        return table.select(["image_id", "x", "y"]).filter(pa.array(hit))
+        for out, flag in flags.items():
+            x, y, mask = _raster(table, flag)
+            table = table.append_column(out, pa.array(_outside(mask)[y, x]))
+        return table
+
+    return _per_image(pixels, run, [T.StructField(name, T.BooleanType()) for name in flags], clustered)
 
-    rows = pixels.select("image_id", "x", "y", flag)
-    return rows.groupBy("image_id").applyInArrow(run, "image_id bigint, x int, y int")
+
+def flooded(pixels: DataFrame, flag: str = "is_key", clustered: bool = False) -> DataFrame:
+    """(image_id, x, y): pixels with the flag that are connected to the border through such pixels."""
+    return with_flood(pixels.select("image_id", "x", "y", flag), {"hit": flag}, clustered).where("hit").select("image_id", "x", "y")
 
 
-def components(pixels: DataFrame, flag: str = "is_opaque") -> DataFrame:
-    """(image_id, x, y, label) of the pixels with the flag; labels count from 0 in scan order."""
+def components(pixels: DataFrame, flag: str = "is_opaque", clustered: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, x, y, also, label) of the pixels with the flag; labels count from 0 in scan order."""
 
     def run(table: pa.Table) -> pa.Table:
         x, y, mask = _raster(table, flag)
-        label = _labels(mask)[y, x].astype(np.int32)
-        return table.select(["image_id", "x", "y"]).append_column("label", pa.array(label)).filter(pa.array(label >= 0))
+        return table.append_column("label", pa.array(_labels(mask)[y, x].astype(np.int32)))
 
-    rows = pixels.select("image_id", "x", "y", flag)
-    return rows.groupBy("image_id").applyInArrow(run, "image_id bigint, x int, y int, label int")
+    rows = pixels.select("image_id", "x", "y", *also, F.coalesce(flag, F.lit(False)).alias(flag))
+    return _per_image(rows, run, [T.StructField("label", T.IntegerType())], clustered).where("label >= 0").drop(flag)

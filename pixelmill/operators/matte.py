@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import ALPHA_T, CHROMA_IN, CHROMA_OUT, FLOOD_TOL, MAGENTA
+from ..constants import ALPHA_T, CHROMA_IN, CHROMA_OUT, FLOOD_TOL, LITTLE_SEEN, MAGENTA, MUCH_RESIDUE, MUCH_SEEN, SEEN_LESS
 from ..functions import color
 from . import kernels
 
@@ -38,6 +38,19 @@ def matted(pixels: DataFrame, key: tuple[int, int, int] | Column = MAGENTA) -> D
     return rows.select(*others, F.inline(F.array(F.struct(*new.values())))).select(*pixels.columns)
 
 
+def cut_by_distance(pixels: DataFrame, key: tuple[int, int, int] = MAGENTA, tolerance: float = 120.0) -> DataFrame:
+    """The plain way: pixels within an RGB distance of the key become empty, their colours stay."""
+    d = sum(((F.col(c) - k) * (F.col(c) - k) for c, k in zip("rgb", key, strict=True)), F.lit(0))
+    return pixels.withColumn("a", F.when(d <= tolerance * tolerance, F.lit(0)).otherwise(F.col("a")))
+
+
+def shaded(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Colours darkened along the diagonal, from 0.6 to 1.0, but for the key's family."""
+    f = F.lit(0.6) + F.lit(0.4) * (F.col("x") + F.col("y")).cast("double") / (width + height)
+    keyed = (F.col("r") > 200) & (F.col("b") > 200) & (F.col("g") < 80)
+    return pixels.withColumns({c: F.when(keyed, F.col(c)).otherwise(F.least(F.lit(255), F.floor(F.col(c) * f + 0.5).cast("int"))) for c in "rgb"})
+
+
 def background_key(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """(image_id, r, g, b): the mode of the border's chroma, or magenta where 12 % of the samples are of its family.
 
@@ -74,47 +87,41 @@ def cleaned(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Alpha with lone opaque pixels removed and pinholes (7 or 8 opaque neighbours) filled.
 
     Neighbour sums are separable: a row window of three columns, then a column window of three rows of
-    those sums; both windows share the image's partitioning.
+    those sums. Pixels are dealt by image once, which both windows can work with.
     """
     on = (F.col("a") > ALPHA_T).cast("int")
     across = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1)
     down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
-    rows = pixels.withColumn("_on", on).withColumn("_row", F.sum("_on").over(across)).withColumn("_nb", F.sum("_row").over(down) - F.col("_on"))
+    rows = pixels.repartition("image_id").withColumn("_on", on).withColumn("_row", F.sum("_on").over(across)).withColumn("_nb", F.sum("_row").over(down) - F.col("_on"))
     if width < 3 or height < 3:
         return pixels
     return rows.withColumn("a", F.when((F.col("_on") == 1) & (F.col("_nb") == 0), 0).when((F.col("_on") == 0) & (F.col("_nb") >= 7), 255).otherwise(F.col("a"))).drop("_on", "_row", "_nb")
 
 
-def _flooded_matte(pixels: DataFrame, key: Column) -> DataFrame:
-    """Matted pixels whose background, as far as it is connected to the border, is cleared."""
-    c = color.ycc(F.col("r"), F.col("g"), F.col("b"))
-    flagged = pixels.withColumn("is_key", color.chroma_distance(c, key) <= FLOOD_TOL)
-    outside = kernels.flooded(flagged).withColumn("_out", F.lit(True))
-    rows = matted(pixels, key).join(outside, ["image_id", "x", "y"], "left")
-    return rows.withColumn("a", F.when(F.col("_out"), F.lit(0)).otherwise(F.col("a"))).drop("_out")
-
-
-def without_background(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def without_background(pixels: DataFrame, width: int, height: int, clustered: bool = False) -> DataFrame:
     """Pixels (image_id, x, y, r, g, b, a) with the background removed, whatever its key.
 
-    The image's own key is used; where that leaves too much (or the key is no magenta), pure magenta is
-    tried too, for those images alone, and the one with less residue is kept. Then alpha is cleaned up.
+    The image's own key is used; where that leaves too much (or the key is no magenta) and pure magenta leaves less
+    residue, magenta is. Both are tried in one pass: a row carries both mattes, the kernel floods both, and windows over
+    the image, which has one partition from there on, choose. Then alpha is cleaned up. ``clustered`` as in ``kernels``.
     """
     pixels = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
     keys = background_key(pixels, width, height)
     own = color.ycc(*(F.col(f"k{c}") for c in "rgb"))
-    named = keys.select("image_id", *(F.col(c).alias(f"k{c}") for c in "rgb"), color.is_magenta(*(F.col(c) for c in "rgb")).alias("magenta"))
-    keyed = pixels.join(named, "image_id")
-    first = _flooded_matte(keyed.select("image_id", "x", "y", "r", "g", "b", "a", own.alias("key")), F.col("key")).drop("key")
-    near = color.chroma_distance(color.ycc(F.col("r"), F.col("g"), F.col("b")), key_of()) < 55
-    measures = [F.avg((F.col("a") > ALPHA_T).cast("double")), F.avg(((F.col("a") > ALPHA_T) & near).cast("double"))]
-    one = first.groupBy("image_id").agg(measures[0].alias("frac"), measures[1].alias("residue")).join(named.select("image_id", "magenta"), "image_id")
-    doubtful = one.where((F.col("frac") > 0.60) | (F.col("residue") > 0.025) | ~F.col("magenta"))
-    second = _flooded_matte(pixels.join(doubtful.select("image_id"), "image_id"), key_of())
-    two = second.groupBy("image_id").agg(measures[0].alias("frac2"), measures[1].alias("residue2"))
-    both = doubtful.join(two, "image_id").where("frac2 > 0.02")
-    symptom = (F.col("frac") > 0.60) | (F.col("residue") > 0.025)
-    better = (F.col("frac2") < F.col("frac") - 0.03) | (F.col("residue2") < F.col("residue"))
-    again = both.where((symptom & better) | (~F.col("magenta") & (F.col("residue2") < F.col("residue")))).select("image_id")
-    chosen = first.join(again, "image_id", "left_anti").unionByName(second.join(again, "image_id"))
-    return cleaned(chosen, width, height)
+    named = keys.select("image_id", *(F.col(c).alias(f"k{c}") for c in "rgb")).select("image_id", own.alias("key"), color.is_magenta(*(F.col(f"k{c}") for c in "rgb")).alias("magenta"))
+    rows = pixels.join(named, "image_id")
+    c = color.ycc(F.col("r"), F.col("g"), F.col("b"))
+    rows = rows.withColumns({"own_is_key": color.chroma_distance(c, F.col("key")) <= FLOOD_TOL, "pure_is_key": color.chroma_distance(c, key_of()) <= FLOOD_TOL, **{f"{v}0": F.col(v) for v in "rgba"}})
+    rows = matted(rows, F.col("key")).drop("key").withColumnsRenamed({v: f"{v}1" for v in "rgba"})
+    rows = matted(rows.withColumnsRenamed({f"{v}0": v for v in "rgba"})).withColumnsRenamed({v: f"{v}2" for v in "rgba"})
+    rows = kernels.with_flood(rows, {"own_out": "own_is_key", "pure_out": "pure_is_key"}, clustered).repartition("image_id")
+    whole = Window.partitionBy("image_id")
+    for i, out in ((1, "own_out"), (2, "pure_out")):
+        rows = rows.withColumn(f"a{i}", F.when(F.col(out), F.lit(0)).otherwise(F.col(f"a{i}")))
+        seen = F.col(f"a{i}") > ALPHA_T
+        near = color.chroma_distance(color.ycc(*(F.col(f"{v}{i}") for v in "rgb")), key_of()) < 55
+        rows = rows.withColumns({f"seen{i}": F.avg(seen.cast("double")).over(whole), f"left{i}": F.avg((seen & near).cast("double")).over(whole)})
+    symptom = (F.col("seen1") > MUCH_SEEN) | (F.col("left1") > MUCH_RESIDUE)
+    better = (F.col("seen2") < F.col("seen1") - SEEN_LESS) | (F.col("left2") < F.col("left1"))
+    again = (F.col("seen2") > LITTLE_SEEN) & ((symptom & better) | (~F.col("magenta") & (F.col("left2") < F.col("left1"))))
+    return cleaned(rows.select("image_id", "x", "y", *(F.when(again, F.col(f"{v}2")).otherwise(F.col(f"{v}1")).alias(v) for v in "rgba")), width, height)

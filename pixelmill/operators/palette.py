@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,20 +104,24 @@ def applied(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return rows.select(*others, *(F.when(kept, F.col(f"p{c}")).otherwise(F.lit(0)).alias(c) for c in "rgb"), F.when(kept, F.lit(255)).otherwise(F.lit(0)).alias("a"))
 
 
-def run_lengths(pixels: DataFrame, most: int) -> DataFrame:
-    """(image_id, length, n): runs of like pixels in rows and columns, but for the last one of each line."""
-    found = None
+def run_lengths(pixels: DataFrame, most: int | None, keys: tuple[str, ...] = ("image_id",), limit: Column | None = None, where: Column | None = None) -> DataFrame:
+    """(keys, length, n): runs of like pixels in rows and columns, but for the last one of each line.
+
+    Runs of 2 to ``most`` pixels count, or to ``limit`` where that depends on the image; ``where`` leaves images out.
+    """
+    pixels = (pixels if where is None else pixels.where(where)).withColumn("limit", F.lit(most) if limit is None else limit)
+    found, pixels = None, pixels.repartition("image_id")
     for line, along in (("y", "x"), ("x", "y")):
-        order = Window.partitionBy("image_id", line).orderBy(along)
+        order = Window.partitionBy(*keys, line).orderBy(along)
         before = [F.lag(c).over(order) for c in "rgba"]
         now = [F.col(c) for c in "rgba"]
         like = ((now[3] <= ALPHA_T) & (before[3] <= ALPHA_T)) | ((now[3] > ALPHA_T) & (before[3] > ALPHA_T) & color.near_rgb(now[:3], before[:3]))
         rows = pixels.withColumn("new", F.when(F.coalesce(like, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-        lengths = rows.groupBy("image_id", line, "island").agg(F.count("*").alias("length"))
-        last = F.max("island").over(Window.partitionBy("image_id", line))
-        part = lengths.withColumn("last", last).where(f"island < last AND length BETWEEN 2 AND {most}").select("image_id", "length")
+        lengths = rows.groupBy(*keys, line, "island").agg(F.count("*").alias("length"), F.max("limit").alias("limit"))
+        last = F.max("island").over(Window.partitionBy(*keys, line))
+        part = lengths.withColumn("last", last).where("island < last AND length BETWEEN 2 AND limit").select(*keys, "length")
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("image_id", "length").agg(F.count("*").alias("n"))
+    return found.groupBy(*keys, "length").agg(F.count("*").alias("n"))
 
 
 def pixel_scale(pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -148,3 +152,22 @@ def pixelized(pixels: DataFrame, scale: int, width: int, height: int) -> DataFra
     return rows.select("image_id", "frame", "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"), F.when(F.col("r").isNull(), 0).otherwise(255).alias("a"))
 
 
+def post_processed(frames: DataFrame, palette: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, frame, x, y, r, g, b, a): a set's frames in its palette, snapped to the grid that most of them show.
+
+    ``palette`` (image_id, ord, r, g, b) as from ``shared_palette``; ``sizes`` (image_id, w, h) of the frames. The grid's scale is
+    the upper median of the frames' own; sets with a scale under 2 keep their pixels.
+    """
+    coloured = applied(frames.select("image_id", "frame", "x", "y", "r", "g", "b", "a"), palette)
+    lengths = run_lengths(coloured.join(sizes, "image_id"), None, ("image_id", "frame"), F.least(F.lit(32), F.floor(F.least("w", "h") / 8)), F.least("w", "h") >= 32)
+    best = lengths.groupBy("image_id", "frame").agg(F.max_by("length", F.struct(F.col("n") * F.col("length"), -F.col("length"))).alias("scale"))
+    every = frames.select("image_id", "frame").distinct().join(best, ["image_id", "frame"], "left").withColumn("scale", F.coalesce("scale", F.lit(1)))
+    median = every.groupBy("image_id").agg(F.expr("element_at(array_sort(collect_list(scale)), cast(count(*) div 2 as int) + 1)").cast("int").alias("scale"))
+    rows = coloured.join(median, "image_id").join(sizes, "image_id")
+    rows = rows.withColumns({"bx": F.floor(F.col("x") / F.col("scale")), "by": F.floor(F.col("y") / F.col("scale"))})
+    counted = rows.where(F.col("a") > ALPHA_T).groupBy("image_id", "frame", "bx", "by", "r", "g", "b").agg(F.count("*").alias("n"), F.max(F.least("scale", F.col("w") - F.col("bx") * F.col("scale")) * F.least("scale", F.col("h") - F.col("by") * F.col("scale"))).alias("area"))
+    top = counted.groupBy("image_id", "frame", "bx", "by").agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("r"), -F.col("g"), -F.col("b"))).alias("c"), F.sum("n").alias("n"), F.max("area").alias("area"))
+    top = top.where("2 * n >= area").select("image_id", "frame", "bx", "by", "c")
+    snapped = rows.join(top, ["image_id", "frame", "bx", "by"], "left")
+    own = F.col("scale") < 2
+    return snapped.select("image_id", "frame", "x", "y", *(F.when(own, F.col(v)).otherwise(F.coalesce(F.col("c")[v], F.lit(0))).alias(v) for v in "rgb"), F.when(own, F.col("a")).when(F.col("c").isNull(), 0).otherwise(255).alias("a"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..constants import ALPHA_T, BODY_SHARE, CUT_LAMBDA, CUT_MIN_SHARE, PEAK_SHARE, RUN_EPS, RUN_MASS, RUN_PEAK, VALLEY_SHARE, WIDE_RATIO
-from ..session import settled
+from ..constants import ALPHA_T, BODY_SHARE, RUN_EPS, RUN_MASS, RUN_PEAK
+from . import lines as ln
 
 
 def projected(pixels: DataFrame, axis: str = "x", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -15,6 +16,24 @@ def projected(pixels: DataFrame, axis: str = "x", keys: tuple[str, ...] = ("imag
     return pixels.groupBy(*keys, F.col(axis).alias("pos")).agg(F.sum("a").cast("double").alias("mass"))
 
 
+def opaque_columns(pixels: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys, pos, mass): how many opaque pixels each column has."""
+    return pixels.groupBy(*keys, F.col("x").alias("pos")).agg(F.count_if(F.col("a") > ALPHA_T).cast("double").alias("mass"))
+
+
+def gap_runs(profile: DataFrame, gap: int = 6) -> DataFrame:
+    """(image_id, x0, x1): stretches of columns with content, parted by ``gap`` empty columns or more."""
+    order = Window.partitionBy("image_id").orderBy("pos")
+    filled = profile.where("mass > 0").withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > gap).cast("int"), F.lit(1)))
+    return filled.withColumn("run", F.sum("new").over(order)).groupBy("image_id", "run").agg(F.min("pos").alias("x0"), (F.max("pos") + 1).alias("x1")).drop("run")
+
+
+def filled(profile: DataFrame, first: int, last: int) -> DataFrame:
+    """(image_id, pos, mass) with every place from first to last; a missing one has no mass."""
+    axis = profile.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("pos"))
+    return axis.join(profile, ["image_id", "pos"], "left").select("image_id", "pos", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+
+
 def smoothed(profile: DataFrame, win: int) -> DataFrame:
     """Centred moving average over 2 * (win // 2) + 1 places, shorter at the ends."""
     half = win // 2
@@ -42,76 +61,65 @@ def upper_median(column: str):
     return F.expr(f"element_at(array_sort(collect_list({column})), cast(count({column}) div 2 as int) + 1)")
 
 
-def peaks(profile: DataFrame, found: DataFrame) -> DataFrame:
+def peaks(profile: DataFrame, min_width: int) -> DataFrame:
     """(image_id, x0, x1, pos): prominent local maxima of each run; a run without one has its first candidate or middle."""
-    spans = found.select("image_id", "x0", "x1")
-    joined = profile.join(spans, "image_id").where("pos >= x0 AND pos < x1")
-    run = Window.partitionBy("image_id", "x0")
-    order = run.orderBy("pos")
-    joined = joined.withColumn("before", F.lag("mass").over(order)).withColumn("after", F.lead("mass").over(order)).withColumn("most", F.max("mass").over(run))
-    cand = joined.where("before IS NOT NULL AND after IS NOT NULL AND mass >= before AND mass > after").where(F.col("mass") >= F.lit(PEAK_SHARE) * F.col("most")).select("image_id", "x0", "x1", "pos", "mass")
-    rival = cand.select("image_id", "x0", F.col("pos").alias("other"), F.col("mass").alias("height"))
-    pairs = cand.join(rival, ["image_id", "x0"]).where("pos <> other AND height >= mass")
-    inside = joined.select("image_id", "x0", F.col("pos").alias("at"), F.col("mass").alias("low"))
-    valley = pairs.join(inside, ["image_id", "x0"]).where("at BETWEEN least(pos, other) AND greatest(pos, other)").groupBy("image_id", "x0", "pos", "other", "mass").agg(F.min("low").alias("low"))
-    shallow = valley.where(F.col("low") > F.lit(VALLEY_SHARE) * F.col("mass")).select("image_id", "x0", "pos").distinct()
-    kept = cand.join(shallow, ["image_id", "x0", "pos"], "left_anti").select("image_id", "x0", "x1", "pos")
-    first = cand.groupBy("image_id", "x0", "x1").agg(F.min("pos").alias("pos"))
-    middle = spans.select("image_id", "x0", "x1", F.expr("cast((x0 + x1) div 2 as int)").alias("pos"))
-    lone = first.join(kept, ["image_id", "x0"], "left_anti")
-    none = middle.join(cand, ["image_id", "x0"], "left_anti")
-    return kept.unionByName(lone).unionByName(none)
-
-
-def pose_counts(found: DataFrame, peaked: DataFrame) -> DataFrame:
+
+    def found(mass):
+        return [{"x0": a, "x1": b, "peaks": ln.peaks_of(mass, a, b)} for a, b in ln.runs_of(mass, min_width)]
+
+    kind = T.ArrayType(T.StructType([*ln.SPAN.fields, T.StructField("peaks", T.ArrayType(T.IntegerType()))]))
+    rows = ln.lines(profile).select("image_id", F.explode(ln.on_lines(found, kind)("pos", "mass")).alias("s"))
+    return rows.select("image_id", "s.x0", "s.x1", F.explode("s.peaks").alias("pos"))
+
+
+def pose_counts(profile: DataFrame, min_width: int) -> DataFrame:
     """(image_id, x0, x1, n): figures in each run: its peaks, but no more than its width has room for."""
-    counted = found.select("image_id", "x0", "x1").join(peaked.groupBy("image_id", "x0").agg(F.count("*").cast("int").alias("n")), ["image_id", "x0"])
-    per = found.groupBy("image_id").agg(upper_median("x1 - x0").alias("med"), F.count("*").alias("n_runs"))
-    rows = counted.join(per, "image_id").withColumn("w", F.col("x1") - F.col("x0"))
-    room = F.greatest(F.lit(1), F.floor(F.col("w") / F.col("med") + 0.5).cast("int"))
-    several = F.col("n_runs") > 1
-    rows = rows.withColumn("n", F.when(several, F.least("n", room)).otherwise(F.col("n")))
-    return rows.select("image_id", "x0", "x1", F.when(several & (F.col("n") == 1) & (F.col("w") > F.col("med") * F.lit(WIDE_RATIO)), 2).otherwise(F.col("n")).alias("n"))
 
+    def found(mass):
+        return [{"x0": a, "x1": b, "n": n} for a, b, n in ln.counted_of(mass, min_width)]
+
+    kind = T.ArrayType(T.StructType([*ln.SPAN.fields, T.StructField("n", T.IntegerType())]))
+    return ln.lines(profile).select("image_id", F.inline(ln.on_lines(found, kind)("pos", "mass")))
 
-def cuts(profile: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-    """(image_id, cuts): the cheapest columns that part [x0, x1) into n spans; null where there is no room.
 
-    The cost of a cut is the profile's mass there plus a penalty on uneven widths. One range join of
-    boundaries for each cut (``most`` spans at most); of equally cheap ways the leftmost wins.
+def cuts(profile: DataFrame, parts: DataFrame) -> DataFrame:
+    """(image_id, x0, cuts): the cheapest columns that part [x0, x1) into n spans; null where there is no room, or one span.
+
+    The cost of a cut is the profile's mass there plus a penalty on uneven widths; of equally cheap ways the leftmost wins.
     """
-    spec = parts.where("n > 1 AND x1 - x0 >= n").withColumn("ideal", (F.col("x1") - F.col("x0")).cast("double") / F.col("n"))
-    spec = spec.withColumn("least", F.greatest(F.lit(2), F.floor(F.col("ideal") * CUT_MIN_SHARE).cast("int")))
-    columns = profile.select("image_id", F.col("pos").alias("at"), F.col("mass"))
-    state = spec.select("image_id", "x0", "x1", "n", "ideal", "least", F.col("x0").cast("int").alias("last"), F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("cuts"))
-    done = None
-
-    def penalty(width):
-        return F.lit(CUT_LAMBDA) * (width - F.col("ideal")) * (width - F.col("ideal"))
-
-    for k in range(1, most):
-        active = state.where(F.col("n") > k)
-        step = active.join(columns, "image_id").where((F.col("at") >= F.col("last") + F.col("least")) & (F.col("at") >= F.col("x0") + k * F.col("least")) & (F.col("at") <= F.col("x1") - (F.col("n") - k) * F.col("least")))
-        cost = F.col("cost") + F.col("mass") + penalty((F.col("at") - F.col("last")).cast("double"))
-        step = step.withColumn("total", cost)
-        best = step.groupBy("image_id", "x0", "x1", "n", "ideal", "least", "at").agg(F.min_by(F.struct("total", "cuts"), F.struct("total", "last")).alias("b"))
-        state = best.select("image_id", "x0", "x1", "n", "ideal", "least", F.col("at").cast("int").alias("last"), F.col("b.total").alias("cost"), F.concat("b.cuts", F.array(F.col("at").cast("int"))).alias("cuts"))
-        final = state.where(F.col("n") == k + 1).withColumn("total", F.col("cost") + penalty((F.col("x1") - F.col("last")).cast("double")))
-        ended = final.groupBy("image_id", "x0").agg(F.min_by("cuts", F.struct("total", "last")).alias("cuts"))
-        done = ended if done is None else done.unionByName(ended)
-    return parts.select("image_id", "x0").join(done, ["image_id", "x0"], "left")
-
-
-def extent(profile: DataFrame, share: float = BODY_SHARE) -> DataFrame:
-    """(image_id, span): the shortest stretch that holds the share of the mass (0 where there is none)."""
-    order = Window.partitionBy("image_id").orderBy("pos")
-    rows = profile.withColumn("upto", F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("below", F.col("upto") - F.col("mass"))
-    rows = rows.withColumn("all", F.sum("mass").over(Window.partitionBy("image_id")))
-    left = rows.select("image_id", F.col("pos").alias("i"), "below", "all")
-    right = rows.select("image_id", F.col("pos").alias("j"), "upto")
-    found = left.join(right, "image_id").where((F.col("j") >= F.col("i")) & (F.col("all") > 0) & (F.col("upto") - F.col("below") >= F.col("all") * F.lit(share)))
-    spans = found.groupBy("image_id").agg(F.min(F.col("j") - F.col("i") + 1).cast("int").alias("span"))
-    return profile.select("image_id").distinct().join(spans, "image_id", "left").select("image_id", F.coalesce("span", F.lit(0)).alias("span"))
+
+    def cheapest(mass, x0, x1, n):
+        return ln.cuts_of(mass, x0, x1, n) if n > 1 and x1 - x0 >= n else None
+
+    rows = parts.select("image_id", *(F.col(c).cast("int").alias(c) for c in ("x0", "x1", "n"))).join(ln.lines(profile), "image_id", "left")
+    return rows.select("image_id", "x0", ln.on_lines(cheapest, T.ArrayType(T.IntegerType()))("pos", "mass", "x0", "x1", "n").alias("cuts"))
+
+
+def _sides(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, x, y): columns and rows with mass, each as an array of (pos, mass), from one aggregation of the pixels."""
+    axes = F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("pos")) for i, c in enumerate("xy")])
+    mass = pixels.where("a > 0").select(*keys, "a", F.inline(axes)).groupBy(*keys, "axis", "pos").agg(F.sum("a").cast("double").alias("mass"))
+    rows = mass.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("axis", "pos", "mass"))).alias("c"))
+    return rows.select(*keys, F.filter("c", lambda s: s["axis"] == 0).alias("x"), F.filter("c", lambda s: s["axis"] == 1).alias("y"))
+
+
+def _span(side: str, share: float):
+    found = ln.on_lines(lambda m: ln.extent_of(m, share), T.IntegerType())
+    return found(F.transform(side, lambda v: v["pos"]), F.transform(side, lambda v: v["mass"]))
+
+
+def extents(pixels: DataFrame, keys: tuple[str, ...] = ("image_id",), share: float = BODY_SHARE) -> DataFrame:
+    """(keys, body_w, body_h): the shortest stretches of columns and of rows that hold the share of the mass (0 where there is none)."""
+    found = _sides(pixels, keys).select(*keys, _span("x", share).alias("body_w"), _span("y", share).alias("body_h"))
+    return pixels.select(*keys).distinct().join(found, list(keys), "left").select(*keys, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("body_w", "body_h")))
+
+
+def measured(owned: DataFrame, share: float = BODY_SHARE) -> DataFrame:
+    """``boxed`` and ``extents`` of each span's own pixels, from one aggregation."""
+    total = lambda side, value: F.aggregate(side, F.lit(0.0), lambda t, v: t + value(v))
+    ends = [(F.element_at(side, at)["pos"]).alias(f"{name}_{side}") for name, at in (("min", 1), ("max", -1)) for side in ("x", "y")]
+    cx = total("x", lambda v: v["pos"] * v["mass"]) / total("x", lambda v: v["mass"])
+    return _sides(owned, ("image_id", "seg")).select("image_id", "seg", *ends, cx.alias("cx"), _span("x", share).alias("body_w"), _span("y", share).alias("body_h"))
 
 
 def owners(labelled: DataFrame, spans: DataFrame) -> DataFrame:
@@ -145,40 +153,42 @@ def opaque(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("a") > ALPHA_T)
 
 
-def segments(profile: DataFrame, expected: DataFrame, width: int, min_run: int, most: int = 10) -> DataFrame:
+def segments(profile: DataFrame, expected: DataFrame, width: int, min_run: int) -> DataFrame:
     """(image_id, seg, x0, x1): a strip's figures, from its smoothed profile.
 
     Runs are split by their figures; a strip whose number then differs from ``expected`` (image_id,
     expected) is cut into that many whole, where both its content and itself have 16 columns for each.
     """
-    # profiles and runs are small beside the pixels and read many times over: settled, they are planned and made once
-    profile = settled(profile)
-    found = settled(runs(profile, min_run))
-    counted = settled(pose_counts(found, peaks(profile, found)))
-    parts = settled(_split(profile, counted, most))
-    totals = parts.groupBy("image_id").agg(F.count("*").alias("n_found"))
-    content = found.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("content"))
-    state = totals.join(content, "image_id").join(expected.select("image_id", "expected"), "image_id")
-    forced = state.where((F.col("n_found") != F.col("expected")) & (F.col("content") / F.col("expected") >= 16) & (F.floor(F.lit(width) / F.col("expected")) >= 16))
-    whole = forced.select("image_id", F.lit(0).alias("x0"), F.lit(width).alias("x1"), F.col("expected").cast("int").alias("n"))
-    every = parts.join(forced.select("image_id"), "image_id", "left_anti").unionByName(_split(profile, whole, most))
-    return every.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("x0")) - 1).alias("seg"), "x0", "x1")
-
-
-def _split(profile: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-    """(image_id, x0, x1) of parts (image_id, x0, x1, n) cut into n spans; evenly where no cut has room."""
-    many = parts.where("n > 1 AND x1 - x0 >= n").select("image_id", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"), "n")
-    placed = many.join(cuts(profile, many, most).select("image_id", "x0", "cuts"), ["image_id", "x0"])
-    even = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.col("x0") + F.floor((F.col("x1") - F.col("x0")) * i / F.col("n")).cast("int"))
-    edges = F.concat(F.array("x0"), F.coalesce("cuts", even), F.array("x1"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.struct(F.get("e", i).alias("x0"), F.get("e", i + 1).alias("x1")))
-    split = placed.withColumn("e", edges).select("image_id", F.explode(spans).alias("s")).select("image_id", "s.x0", "s.x1")
-    return parts.where("n <= 1 OR x1 - x0 < n").selectExpr("image_id", "cast(x0 as int) as x0", "cast(x1 as int) as x1").unionByName(split)
+
+    def found(mass, n):
+        return [{"x0": a, "x1": b} for a, b in ln.segments_of(mass, n, width, min_run)]
+
+    rows = ln.lines(profile).join(expected.select("image_id", F.col("expected").cast("int").alias("expected")), "image_id")
+    return rows.select("image_id", F.posexplode(ln.on_lines(found, T.ArrayType(ln.SPAN))("pos", "mass", "expected")).alias("seg", "s")).select("image_id", "seg", "s.x0", "s.x1")
 
 
 def contents(labelled: DataFrame, owner: DataFrame) -> DataFrame:
     """(image_id, seg, min_x, min_y, max_x, max_y, cx): what each span owns; ``labelled`` are pixels with alpha and label."""
-    rows = labelled.join(owner.where("owner >= 0"), ["image_id", "label"])
-    return rows.groupBy("image_id", F.col("owner").alias("seg")).agg(
+    return boxed(labelled.join(owner.where("owner >= 0"), ["image_id", "label"]).withColumnRenamed("owner", "seg"))
+
+
+def boxed(owned: DataFrame) -> DataFrame:
+    """(image_id, seg, min_x, min_y, max_x, max_y, cx) of pixels with their span; cx is weighed by alpha."""
+    return owned.groupBy("image_id", "seg").agg(
         F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), (F.sum(F.col("x") * F.col("a")) / F.sum("a")).alias("cx")
     )
+
+
+def owned_pixels(labelled: DataFrame, spans: DataFrame) -> DataFrame:
+    """Opaque pixels (image_id, x, y, a, seg) of each span: those of the components it owns.
+
+    If that leaves a span of an image without any, the image's spans are taken as plain columns instead, and spans without content go.
+    """
+    columns = spans.select("image_id", "seg", "x0", "x1")
+    owner = owners(labelled, columns).withColumnRenamed("owner", "seg").where("seg >= 0")
+    held = owner.groupBy("image_id").agg(F.countDistinct("seg").alias("held")).join(columns.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "right")
+    clipped = held.select("image_id", (F.coalesce("held", F.lit(0)) < F.col("n")).alias("clipped"))
+    rows = labelled.select("image_id", "x", "y", "a", "label").join(clipped, "image_id").join(owner, ["image_id", "label"], "left")
+    by_owner = rows.where("NOT clipped AND seg IS NOT NULL").select("image_id", "x", "y", "a", "seg")
+    by_column = rows.where("clipped").drop("seg").join(columns, "image_id").where("x >= x0 AND x < x1").select("image_id", "x", "y", "a", "seg")
+    return by_owner.unionByName(by_column)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,24 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's shared folder (a new one where none is set, as in tests).
-
-    For small tables that a plan would otherwise contain many times over.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a new one in local mode where none is set, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_dir(spark)}/pixelmill-{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: for small tables that a plan would otherwise make many times over."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint()
