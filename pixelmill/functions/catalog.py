@@ -165,3 +165,25 @@ def search(spark: SparkSession, query: str) -> DataFrame:
     rows = presets(spark).where(F.lower("name").contains(q) | F.lower("category").contains(q)) if q else presets(spark)
     groups = rows.groupBy("category").agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda s: s["name"]).alias("names"))
     return groups.orderBy("first").select("category", "names")
+
+
+# Directions in which a figure shows its back.
+BACKS = ["north", "north-east", "north-west"]
+# Services, what they are called, and the model that is taken where none is named.
+SERVICES = [
+    ("gemini", "Gemini", "gemini-3-pro-image"), ("openai", "OpenAI", "gpt-image-2"), ("openrouter", "OpenRouter", "google/gemini-3-pro-image-preview"),
+    ("fal", "fal.ai", "fal-ai/nano-banana-pro"), ("byteplus", "BytePlus", "seedream-4-0-250828"), ("replicate", "Replicate", "google/nano-banana-2"),
+]
+
+
+def shows_back(direction: Column) -> Column:
+    return F.coalesce(direction.isin(BACKS), F.lit(False))
+
+
+def service(name: Column) -> Column:
+    """struct(label, model) of a service; an unknown one is the first."""
+    found = None
+    for key, label, model in SERVICES[1:]:
+        row = F.struct(F.lit(label).alias("label"), F.lit(model).alias("model"))
+        found = F.when(name == key, row) if found is None else found.when(name == key, row)
+    return found.otherwise(F.struct(F.lit(SERVICES[0][1]).alias("label"), F.lit(SERVICES[0][2]).alias("model")))

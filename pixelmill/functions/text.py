@@ -83,3 +83,73 @@ def first_filled(*columns: Column) -> Column:
 
 def palette_size(style: Column) -> Column:
     return F.when(style == "retro16", 16).when(style == "pixel", 32).otherwise(0)
+
+
+# Words that name the view, and phrases that contradict another view or a chosen direction.
+VIEWS = {"iso": "high-angle", "": "side-view"}
+TURNED = [" facing right", " facing left"]
+FLAT = [", at eye level", "; strictly 2D profile, no perspective rotation"]
+# A request's words for canvas shapes.
+CANVAS = {
+    "1:1": "Render on a square 1:1 canvas.", "16:9": "Render on a wide 16:9 landscape canvas, much wider than tall.",
+    "21:9": "Render on an extra-wide 21:9 panorama canvas, with plenty of horizontal room for a long row of poses.",
+}
+PIXEL_WORDS = ["pixel", "sprite", "mmorpg"]
+
+
+def is_iso(perspective: Column) -> Column:
+    """Whether a perspective is the tilted one; null, blank and "flat" are not."""
+    return F.coalesce(F.lower(F.trim(perspective)) == "iso", F.lit(False))
+
+
+def view_word(perspective: Column) -> Column:
+    return F.when(is_iso(perspective), VIEWS["iso"]).otherwise(VIEWS[""])
+
+
+def with_view(text: Column, perspective: Column) -> Column:
+    """{view} in a text, by the perspective's word."""
+    return F.replace(text, F.lit("{view}"), view_word(perspective))
+
+
+def without_phrases(text: Column, phrases: list[str]) -> Column:
+    for phrase in phrases:
+        text = F.replace(text, F.lit(phrase), F.lit(""))
+    return text
+
+
+def style_of(key: Column, custom: Column, styles: dict[str, str], default: str = "pixel") -> Column:
+    """The caller's own style if it is not blank, else the one that the key names in ``styles``, else the default one."""
+    known = F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in styles.items()), F.lit(styles[default]))
+    return F.when(F.trim(F.coalesce(custom, F.lit(""))) != "", F.trim(custom)).otherwise(known)
+
+
+def wants_pixels(style: Column) -> Column:
+    """Whether a style's text asks for pixel art."""
+    low = F.lower(style)
+    return low.contains(PIXEL_WORDS[0]) | low.contains(PIXEL_WORDS[1]) | low.contains(PIXEL_WORDS[2])
+
+
+def spare_cells(frames: Column) -> Column:
+    """Cells of the grid that hold no figure."""
+    g = grid(frames)
+    return g["rows"] * g["cols"] - F.greatest(frames, F.lit(1))
+
+
+def canvas_words(aspect: Column) -> Column:
+    named = F.when(F.coalesce(aspect, F.lit("")) == "", CANVAS["1:1"])
+    for shape, words in CANVAS.items():
+        named = named.when(aspect == shape, words)
+    return named.otherwise(F.concat(F.lit("Render on a wide "), aspect, F.lit(" landscape canvas.")))
+
+
+def first_output(answer: Column) -> Column:
+    """The text of a JSON answer that is a string, or the first of a list of strings; else the empty text."""
+    body = F.trim(answer)
+    plain = F.when(body.rlike(r'^"'), F.get_json_object(F.concat(F.lit('{"v":'), body, F.lit("}")), "$.v"))
+    listed = F.when(body.rlike(r"^\["), F.get(F.from_json(body, "array<string>"), F.lit(0)))
+    return F.coalesce(plain, listed, F.lit(""))
+
+
+def stamp(moment: Column, number: Column) -> Column:
+    """A file name's part from a time (to the second) and a running number modulo 1000."""
+    return F.concat_ws("-", F.date_format(moment, "yyyyMMdd-HHmmss"), F.lpad((number % 1000).cast("string"), 3, "0"))

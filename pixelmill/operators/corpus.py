@@ -29,13 +29,55 @@ def quality_report(results: DataFrame, category: str = "category") -> DataFrame:
     )
 
 
+def accuracy(found: DataFrame, target: float = 0.85) -> DataFrame:
+    """(expected, strips, exact, found, accuracy, passed) of strips (expected, found), and over all (expected null).
+
+    ``passed``: whether the share of exact numbers reaches the target.
+    """
+    exact = F.col("found") == F.col("expected")
+    share = F.avg(exact.cast("double"))
+    return found.rollup("expected").agg(F.count("*").alias("strips"), F.count_if(exact).alias("exact"), F.sum("found").alias("found"), F.round(share, 6).alias("accuracy"), (share >= target).alias("passed"))
+
+
+def compared(now: DataFrame, before: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """An old report beside a new one: keys, each value, its old value and the change; rows that only one has keep nulls."""
+    old = before.select(*keys, *(F.col(v).alias(f"old_{v}") for v in values))
+    rows = now.select(*keys, *values).join(old, keys, "full")
+    return rows.select(*keys, *(c for v in values for c in (F.col(v), F.col(f"old_{v}"), (F.col(v) - F.col(f"old_{v}")).alias(f"{v}_change"))))
+
+
+def roster(best: DataFrame, character: str) -> DataFrame:
+    """(character, states, ok, frames, quality, ready): each character's states by status, from their best attempts."""
+    kinds = [F.count_if(F.col("status") == k).alias(k) for k in ("ok", "frames", "quality")]
+    return best.groupBy(character).agg(F.count("*").alias("states"), *kinds).withColumn("ready", F.col("ok") == F.col("states"))
+
+
+def gallery(best: DataFrame, state: str = "state") -> DataFrame:
+    """(state, html): a card for a page of results; what is a name in it is escaped."""
+    name = F.col(state).cast("string")
+    for sign, word in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        name = F.replace(name, F.lit(sign), F.lit(word))
+    told = F.concat(F.lit('<figure class="'), F.col("status"), F.lit('"><figcaption>'), name, F.lit(": "), F.col("found"), F.lit("/"), F.col("expected"), F.lit(", "), F.col("n_errors"), F.lit(" errors</figcaption></figure>"))
+    return best.select(state, told.alias("html"))
+
+
+def named_selection(rows: DataFrame, column: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose name is asked for, names asked for that no row has)."""
+    asked = rows.sparkSession.createDataFrame([(n.strip().lower(),) for n in names if n.strip()], "asked string").distinct()
+    key = F.lower(F.trim(F.col(column)))
+    return rows.join(F.broadcast(asked), key == F.col("asked"), "left_semi"), asked.join(rows.select(key.alias("asked")).distinct(), "asked", "left_anti")  # the caller's list
+
+
 def first_per_group(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each group; Spark prunes each partition before the shuffle."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
 def crossings(profile: DataFrame, parts: DataFrame) -> DataFrame:
-    """(image_id, crossed): even cut lines of ``parts`` (image_id, n, width) that meet more than 6 % of the largest mass."""
+    """(image_id, crossed): even cut lines of ``parts`` (image_id, n, width) that meet more than 6 % of the largest mass.
+
+    ``profile`` counts opaque pixels by column.
+    """
     top = profile.groupBy("image_id").agg(F.max("mass").alias("top"))
     lines = parts.where("n > 1").select("image_id", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"), "n", "width").selectExpr("image_id", "cast(k * width div n as int) as pos")
     met = lines.join(profile, ["image_id", "pos"]).join(top, "image_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,24 +39,38 @@ def atlas(frames: DataFrame, states: DataFrame, cell_w: int, cell_h: int) -> Dat
     )
 
 
-def sheet_json(cells: DataFrame, cell_w: int, cell_h: int) -> DataFrame:
-    """(sheet, n_frames, json): a sprite sheet's frames in row order and the tags of its states.
+def sheet_json(cells: DataFrame, cell_w: int, cell_h: int, image: str = "sheet.png") -> DataFrame:
+    """(sheet, n_frames, json): a sprite sheet's frames in row order, the tags of its states, and what the sheet is.
 
+    ``cells`` may have ``loop`` (a state without it, or with null, loops); a state that does not is tagged to play once.
     A sheet is one character's, so its list is bounded by the sheet.
     """
     order = Window.partitionBy("sheet").orderBy("row", "image_id", "frame")
-    rows = cells.withColumn("index", F.row_number().over(order) - 1)
-    rect = F.struct(F.col("x"), F.col("y"), F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h"))
-    own = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h"))
+    rows = cells if "loop" in cells.columns else cells.withColumn("loop", F.lit(True))
+    rows = rows.withColumn("index", F.row_number().over(order) - 1)
+    size = F.struct(F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h"))
     cell = F.struct(
-        F.concat_ws(" ", F.col("image_id"), F.col("frame")).alias("filename"), rect.alias("frame"), F.lit(False).alias("rotated"), F.lit(False).alias("trimmed"),
-        own.alias("spriteSourceSize"), F.struct(F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h")).alias("sourceSize"), F.col("duration"),
+        F.concat_ws(" ", F.col("image_id"), F.col("frame")).alias("filename"), F.struct(F.col("x"), F.col("y"), F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h")).alias("frame"),
+        F.lit(False).alias("rotated"), F.lit(False).alias("trimmed"), F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(cell_w).alias("w"), F.lit(cell_h).alias("h")).alias("spriteSourceSize"),
+        size.alias("sourceSize"), F.col("duration"),
     )
-    tags = rows.groupBy("sheet", "row", "image_id").agg(F.min("index").alias("from"), F.max("index").alias("to"))
-    tag = F.struct("row", F.struct(F.col("image_id").cast("string").alias("name"), F.col("from"), F.col("to"), F.lit("forward").alias("direction")).alias("t"))
+    tags = rows.groupBy("sheet", "row", "image_id").agg(F.min("index").alias("from"), F.max("index").alias("to"), F.bool_and(F.coalesce("loop", F.lit(True))).alias("loop"))
+    once = F.when(~F.col("loop"), F.lit("1"))  # a null field is left out of the text
+    tag = F.struct("row", F.struct(F.col("image_id").cast("string").alias("name"), F.col("from"), F.col("to"), F.lit("forward").alias("direction"), once.alias("repeat")).alias("t"))
     tagged = tags.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(tag)), lambda s: s["t"]).alias("frameTags"))
-    listed = rows.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", cell.alias("c")))), lambda s: s["c"]).alias("frames"), F.count("*").alias("n_frames"))
-    return listed.join(tagged, "sheet").select("sheet", "n_frames", F.to_json(F.struct("frames", F.struct("frameTags").alias("meta"))).alias("json"))
+    listed = rows.groupBy("sheet").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("index", cell.alias("c")))), lambda s: s["c"]).alias("frames"), F.count("*").alias("n_frames"),
+        (F.max("x") + cell_w).alias("width"), (F.max("y") + cell_h).alias("height"),
+    )
+    whole = F.struct(F.col("width").alias("w"), F.col("height").alias("h"))
+    meta = F.struct(F.lit("pixelmill").alias("app"), F.lit("1.0").alias("version"), F.lit(image).alias("image"), F.lit("RGBA8888").alias("format"), whole.alias("size"), F.lit("1").alias("scale"), F.col("frameTags"))
+    return listed.join(tagged, "sheet").select("sheet", "n_frames", F.to_json(F.struct("frames", meta.alias("meta"))).alias("json"))
+
+
+def sheet_pixels(frames: DataFrame, states: DataFrame, cell_w: int, cell_h: int) -> DataFrame:
+    """(sheet, x, y, r, g, b, a): the frames' pixels at their cells' places; what leaves its cell is clipped."""
+    rows = frames.where((F.col("x") < cell_w) & (F.col("y") < cell_h)).join(states.select("image_id", "sheet", "row"), "image_id")
+    return rows.select("sheet", (F.col("frame") * cell_w + F.col("x")).alias("x"), (F.col("row") * cell_h + F.col("y")).alias("y"), "r", "g", "b", "a")
 
 
 def concatenated(frames: DataFrame) -> DataFrame:
@@ -82,6 +96,56 @@ def placement(contents: DataFrame, cell_w: int, cell_h: int, margin: int) -> Dat
     return rows.select("image_id", "seg", F.round("scale", 6).alias("scale"), "sw", "sh", F.when(left + F.col("sw") > cell_w, F.lit(cell_w) - F.col("sw")).otherwise(left).alias("left"), F.greatest(F.lit(0), top).alias("top"))
 
 
+def box_placement(boxes: DataFrame, cell_w: int, cell_h: int, margin: int, shared: bool) -> DataFrame:
+    """Where plainer ways put contents (image_id, seg, min_x, min_y, max_x, max_y): centred by their boxes, on the cell's floor.
+
+    ``shared``: one scale a set, from its largest box and lowest bottom; else each box is fitted by its own height.
+    """
+    whole = Window.partitionBy("image_id")
+    rows = boxes.withColumn("w", F.col("max_x") - F.col("min_x") + 1).withColumn("h", F.col("max_y") - F.col("min_y") + 1)
+    room_w, room_h = F.lit(float(cell_w - 2 * margin)), F.lit(float(cell_h - 2 * margin))
+    if shared:
+        rows = rows.withColumn("base", F.max("max_y").over(whole))
+        scale = F.least(F.lit(1.0), room_w / F.max("w").over(whole), room_h / F.max(F.col("h") + F.col("base") - F.col("max_y")).over(whole))
+    else:
+        rows, scale = rows.withColumn("base", F.col("max_y")), F.least(F.lit(1.0), room_h / F.col("h"))
+    rows = rows.withColumn("scale", scale)
+    side = [(F.col(c) * F.col("scale") + 0.5).cast("int") for c in "wh"]
+    raised = ((F.col("base") - F.col("max_y")) * F.col("scale") + 0.5).cast("int")
+    left = ((F.lit(cell_w) - F.col("sw")) / 2).cast("int")
+    top = F.lit(cell_h - margin) - raised - F.col("sh")
+    rows = rows.withColumns({"sw": side[0], "sh": side[1]})
+    return rows.select("image_id", "seg", F.round("scale", 6).alias("scale"), "sw", "sh", left.alias("left"), (F.greatest(F.lit(0), top) if shared else top).alias("top"))
+
+
+def over(under: DataFrame, upper: DataFrame, keys: tuple[str, ...] = ("image_id", "x", "y")) -> DataFrame:
+    """``upper``'s pixels composed over ``under``'s by alpha; where one has no pixel the other stays."""
+    top = upper.select(*keys, *(F.col(c).alias(f"u{c}") for c in "rgba"))
+    rows = under.select(*keys, *"rgba").join(top, list(keys), "full")
+    ua, a = F.coalesce("ua", F.lit(0)), F.coalesce("a", F.lit(0))
+    whole = ua * 255 + a * (255 - ua)  # 255 times the alpha of both
+
+    def mixed(c: str) -> Column:
+        parts = F.coalesce(f"u{c}", F.lit(0)) * ua * 255 + F.coalesce(c, F.lit(0)) * a * (255 - ua)
+        return F.when(whole > 0, F.floor(parts / F.when(whole > 0, whole) + 0.5)).otherwise(0).cast("int")
+
+    return rows.select(*keys, *(mixed(c).alias(c) for c in "rgb"), F.floor(whole / 255 + 0.5).cast("int").alias("a"))
+
+
+def silhouette(frames: DataFrame, colour: tuple[int, int, int]) -> DataFrame:
+    """Frames in one colour, alpha as it is."""
+    return frames.withColumns({c: F.when(F.col("a") > 0, F.lit(v)).otherwise(0) for c, v in zip("rgb", colour, strict=True)})
+
+
+def outline(frames: DataFrame, thickness: int = 1) -> DataFrame:
+    """(image_id, frame, x, y): places within ``thickness`` of an opaque pixel (in both directions) that are empty themselves."""
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-thickness, thickness + 1) for j in range(-thickness, thickness + 1) if i or j])
+    solid = frames.where("a > 0")
+    near = solid.select("image_id", "frame", "x", "y", "w", "h", F.explode(shifts).alias("s")).selectExpr("image_id", "frame", "x + s.i as x", "y + s.j as y", "w", "h")
+    inside = near.where("x >= 0 AND y >= 0 AND x < w AND y < h").select("image_id", "frame", "x", "y").distinct()
+    return inside.join(solid.select("image_id", "frame", "x", "y"), ["image_id", "frame", "x", "y"], "left_anti")
+
+
 def cropped(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """A rectangle, moved to the origin."""
     inside = pixels.where((F.col("x") >= x) & (F.col("x") < x + w) & (F.col("y") >= y) & (F.col("y") < y + h))
@@ -107,13 +171,13 @@ def scaled_up(pixels: DataFrame, factor: int) -> DataFrame:
     return rows.withColumns({"x": F.col("x") * factor + F.col("_p") % factor, "y": F.col("y") * factor + F.floor(F.col("_p") / factor).cast("int")}).drop("_p")
 
 
-def stacked(panels: DataFrame, gap: int, vertical: bool = False) -> DataFrame:
-    """Panels (panel, x, y, ...) beside or below each other, a gap apart."""
+def stacked(panels: DataFrame, gap: int, vertical: bool = False, sheet: str = "sheet") -> DataFrame:
+    """Panels (sheet, panel, x, y, ...) of each sheet beside or below each other, a gap apart."""
     along = "y" if vertical else "x"
-    sizes = panels.groupBy("panel").agg((F.max(along) + 1).alias("size"))
-    before = Window.orderBy("panel").rowsBetween(Window.unboundedPreceding, -1)  # a row a panel
-    placed = sizes.select("panel", F.coalesce(F.sum(F.col("size") + gap).over(before), F.lit(0)).alias("at"))
-    return panels.join(F.broadcast(placed), "panel").withColumn(along, F.col(along) + F.col("at")).drop("at")
+    sizes = panels.groupBy(sheet, "panel").agg((F.max(along) + 1).alias("size"))
+    before = Window.partitionBy(sheet).orderBy("panel").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select(sheet, "panel", F.coalesce(F.sum(F.col("size") + gap).over(before), F.lit(0)).alias("at"))
+    return panels.join(placed, [sheet, "panel"]).withColumn(along, F.col(along) + F.col("at")).drop("at")
 
 
 def draw_rects(frames: DataFrame, cell: int, pad: int = 0) -> DataFrame:
@@ -126,3 +190,27 @@ def draw_rects(frames: DataFrame, cell: int, pad: int = 0) -> DataFrame:
     w, h = F.col("w") * s, F.col("h") * s
     plain = (F.coalesce("scale", F.lit(1.0)) == 1) & (dx == 0) & (dy == 0)
     return frames.withColumns({"draw_x": F.lit(cell / 2) - w / 2 + dx + pad, "draw_y": F.lit(float(cell)) - h + dy + pad, "draw_w": w, "draw_h": h, "plain": plain})
+
+
+def view_transforms(frames: DataFrame, k: float) -> DataFrame:
+    """Transforms (scale, dx, dy) in cell pixels as those of a view ``k`` times as large: moves grow, scales stay."""
+    return frames.withColumns({c: F.col(c) * k for c in ("dx", "dy")})
+
+
+def baked(frames: DataFrame, cell: int, pad: int = 0) -> DataFrame:
+    """Pixels of frames (w, h; scale, dx, dy or nulls) drawn into a cell of ``cell`` and ``pad`` on each side, by nearest pixels.
+
+    A place takes the source pixel under its middle; places that no source covers are left out.
+    """
+    s = F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.coalesce("scale", F.lit(1.0))))
+    rows = draw_rects(frames.withColumn("_s", s), cell, pad)
+    side = cell + 2 * pad
+
+    def reach(at: str, c: str) -> Column:
+        """The places of the canvas whose middles lie in a source pixel."""
+        low, high = F.col(at) + F.col(c) * F.col("_s"), F.col(at) + (F.col(c) + 1) * F.col("_s")
+        first, last = F.greatest(F.ceil(low - 0.5), F.lit(0)), F.least(F.ceil(high - 0.5) - 1, F.lit(side - 1))
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    rows = rows.withColumn("_x", F.explode(reach("draw_x", "x"))).withColumn("_y", F.explode(reach("draw_y", "y")))
+    return rows.withColumns({"x": F.col("_x").cast("int"), "y": F.col("_y").cast("int")}).drop("_x", "_y", "_s", "draw_x", "draw_y", "draw_w", "draw_h", "plain")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .. import session
 from ..constants import ALPHA_T, FLOOD_TOL
 from ..functions import color
-from ..operators import corpus, frames as fr, kernels, layout, matte, palette, profile
+from ..operators import corpus, extract, frames as fr, kernels, layout, matte, palette, profile
+from ..sources import images
 from ..sources.strips import HEIGHT, WIDTH, pixels, strips
 
 SMOOTH, MIN_RUN = max(3, WIDTH // 220), max(4, WIDTH // 100)
@@ -86,24 +89,23 @@ def upper_median_width(spark, sf):
 
 
 def pose_peaks(spark, sf):
-    return profile.peaks(smooth(spark, sf), found_runs(spark, sf)).select("image_id", "x0", "pos")
+    return profile.peaks(smooth(spark, sf), MIN_RUN).select("image_id", "x0", "pos")
 
 
 def pose_counts(spark, sf):
-    found = found_runs(spark, sf)
-    return profile.pose_counts(found, profile.peaks(smooth(spark, sf), found)).select("image_id", "x0", "x1", "n")
+    return profile.pose_counts(smooth(spark, sf), MIN_RUN)
 
 
 def dp_cut(spark, sf):
     parts = strips(spark, sf).select("image_id", F.lit(0).alias("x0"), F.lit(WIDTH).alias("x1"), F.col("expected").alias("n"))
-    return profile.cuts(smooth(spark, sf), parts, 4).select("image_id", F.concat_ws(",", "cuts").alias("cuts"))
+    return profile.cuts(smooth(spark, sf), parts).select("image_id", F.concat_ws(",", "cuts").alias("cuts"))
 
 
 def pose_count_accuracy(spark, sf):
-    """The flagship: figures that a strip's pixels show, against those that were drawn, by that number."""
-    n = found_runs(spark, sf).groupBy("image_id").agg(F.count("*").alias("found"))
-    rows = strips(spark, sf).join(n, "image_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return rows.groupBy("expected").agg(F.count("*").alias("strips"), F.count_if(F.col("found") == F.col("expected")).alias("exact"), F.sum("found").alias("found"), r6(F.avg((F.col("found") == F.col("expected")).cast("double"))).alias("accuracy"))
+    """The flagship: figures that a strip's pixels show, against those that were drawn, by that number and over all."""
+    n = segment_strip(spark, sf).groupBy("image_id").agg(F.count("*").alias("found"))
+    rows = strips(spark, sf).select("image_id", "expected").join(n, "image_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return corpus.accuracy(rows)
 
 
 def row_bands(spark, sf):
@@ -120,13 +122,12 @@ def weighted_centroid(spark, sf):
 
 
 def body_extent(spark, sf):
-    m = mat(spark, sf)
-    both = [profile.extent(profile.projected(m, axis)).select("image_id", F.greatest("span", F.lit(1)).alias(name)) for axis, name in (("x", "body_w"), ("y", "body_h"))]
-    return both[0].join(both[1], "image_id")
+    return profile.extents(mat(spark, sf)).select("image_id", *(F.greatest(c, F.lit(1)).alias(c) for c in ("body_w", "body_h")))
 
 
 def _labelled(spark, sf):
-    return kernels.components(mat(spark, sf).withColumn("is_opaque", F.col("a") > ALPHA_T))
+    """Components of the matted strips; a strip's pixels are made in one task and stay there."""
+    return kernels.components(mat(spark, sf).withColumn("is_opaque", F.col("a") > ALPHA_T), clustered=True, also=("a",))
 
 
 def components(spark, sf):
@@ -140,7 +141,7 @@ def label_owner_rangejoin(spark, sf):
 
 def flood_clear(spark, sf):
     d = color.chroma_distance(color.ycc(F.col("r"), F.col("g"), F.col("b")), matte.key_of())
-    hit = kernels.flooded(pixels(spark, sf).withColumn("is_key", d <= FLOOD_TOL))
+    hit = kernels.flooded(pixels(spark, sf).withColumn("is_key", d <= FLOOD_TOL), clustered=True)
     return hit.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * WIDTH + F.col("x")).alias("mark"))
 
 
@@ -242,7 +243,7 @@ def direction_set_union(spark, sf):
 
 
 def _cells(spark, sf):
-    states = strips(spark, sf).selectExpr("image_id", "cast(image_id div 4 as bigint) as sheet", "cast(image_id % 4 as int) as row", "cast(4 + image_id % 3 * 4 as int) as fps")
+    states = strips(spark, sf).selectExpr("image_id", "cast(image_id div 4 as bigint) as sheet", "cast(image_id % 4 as int) as row", "cast(4 + image_id % 3 * 4 as int) as fps", "image_id % 3 <> 0 as loop")
     return layout.atlas(frames(spark, sf), states, 64, 32)
 
 
@@ -251,12 +252,13 @@ def atlas_rects(spark, sf):
 
 
 def sheet_json(spark, sf):
-    """Each sheet's number of frames, and from its JSON, read back, the tags and durations."""
-    cells = layout.sheet_json(_cells(spark, sf), 64, 32)
-    kind = "frames array<struct<duration:int,frame:struct<x:int,y:int,w:int,h:int>>>, meta struct<frameTags:array<struct<name:string,`from`:int,`to`:int>>>"
+    """Each sheet's number of frames, and from its JSON, read back, the tags, durations and size."""
+    loops = strips(spark, sf).selectExpr("image_id", "image_id % 3 <> 0 as loop")
+    cells = layout.sheet_json(_cells(spark, sf).join(loops, "image_id"), 64, 32)
+    kind = "frames array<struct<duration:int,frame:struct<x:int,y:int,w:int,h:int>>>, meta struct<size:struct<w:int,h:int>,frameTags:array<struct<name:string,`from`:int,`to`:int,repeat:string>>>"
     back = cells.withColumn("j", F.from_json("json", kind))
-    tags = F.concat_ws(",", F.transform("j.meta.frameTags", lambda t: F.concat_ws("-", t["name"], t["from"], t["to"])))
-    return back.select("sheet", "n_frames", tags.alias("tags"), F.aggregate("j.frames", F.lit(0), lambda a, f: a + f["duration"]).alias("ms"))
+    tags = F.concat_ws(",", F.transform("j.meta.frameTags", lambda t: F.concat_ws("-", t["name"], t["from"], t["to"], t["repeat"])))
+    return back.select("sheet", "n_frames", tags.alias("tags"), F.aggregate("j.frames", F.lit(0), lambda a, f: a + f["duration"]).alias("ms"), F.col("j.meta.size.w").alias("width"), F.col("j.meta.size.h").alias("height"))
 
 
 def strip_concat(spark, sf):
@@ -266,16 +268,12 @@ def strip_concat(spark, sf):
 
 def cell_placement(spark, sf):
     f = frames(spark, sf)
-    box = fr.boxes(f).where("w > 0")
-    c = fr.centroids(f).select("image_id", "frame", "cx")
-    body = [profile.extent(profile.projected(f, axis, ("image_id", "frame")).selectExpr("image_id * 10 + frame as image_id", "pos", "mass")).select("image_id", F.col("span").alias(n)) for axis, n in (("x", "body_w"), ("y", "body_h"))]
-    both = body[0].join(body[1], "image_id").selectExpr("image_id div 10 as image_id", "cast(image_id % 10 as int) as frame", "body_w", "body_h")
-    rows = box.join(c, ["image_id", "frame"]).join(both, ["image_id", "frame"])
+    rows = fr.boxes(f).where("w > 0").join(fr.centroids(f).select("image_id", "frame", "cx"), ["image_id", "frame"]).join(profile.extents(f, ("image_id", "frame")), ["image_id", "frame"])
     return layout.placement(rows.selectExpr("image_id", "frame as seg", "x as min_x", "w", "h", "cx", "y + h - 1 as bottom", "body_w", "body_h"), 32, 32, 4)
 
 
 def equal_split_crossings(spark, sf):
-    return corpus.crossings(profile.projected(mat(spark, sf)), strips(spark, sf).select("image_id", F.col("expected").alias("n"), F.lit(WIDTH).alias("width")))
+    return corpus.crossings(profile.opaque_columns(mat(spark, sf)), strips(spark, sf).select("image_id", F.col("expected").alias("n"), F.lit(WIDTH).alias("width")))
 
 
 def frame_balance(spark, sf):
@@ -306,19 +304,17 @@ def onion_skin(spark, sf):
 
 
 def segment_strip(spark, sf):
-    return profile.segments(smooth(spark, sf), strips(spark, sf), WIDTH, MIN_RUN, 4)
+    return profile.segments(smooth(spark, sf), strips(spark, sf), WIDTH, MIN_RUN)
 
 
 def extract_contents(spark, sf):
     """What each figure's span owns, by components."""
-    m = mat(spark, sf).select("image_id", "x", "y", "a")
     labelled = _labelled(spark, sf)
-    owned = profile.owners(labelled, segment_strip(spark, sf))
-    return profile.contents(labelled.join(m, ["image_id", "x", "y"]), owned).select("image_id", "seg", "min_x", "min_y", "max_x", "max_y", r6("cx").alias("cx"))
+    return profile.contents(labelled, profile.owners(labelled, segment_strip(spark, sf))).select("image_id", "seg", "min_x", "min_y", "max_x", "max_y", r6("cx").alias("cx"))
 
 
 def remove_background(spark, sf):
-    out = matte.without_background(pixels(spark, sf), WIDTH, HEIGHT)
+    out = matte.without_background(pixels(spark, sf), WIDTH, HEIGHT, clustered=True)
     return out.groupBy("image_id").agg(*(F.sum(F.when(F.col("a") > 0, F.col(c)).otherwise(0)).alias(f"sum_{c}") for c in "rgba"))
 
 
@@ -339,9 +335,135 @@ def draw_rects(spark, sf):
     return out.select("image_id", "frame", *(r6(c).alias(c) for c in ("draw_x", "draw_y", "draw_w", "draw_h")), "plain")
 
 
+def extract_frames(spark, sf):
+    """A strip's figures placed in cells, and how many were found."""
+    return extract.extracted(mat(spark, sf), strips(spark, sf), WIDTH, HEIGHT, 32, 4).select("image_id", "seg", "found", "scale", "sw", "sh", "left", "top")
+
+
+def opaque_columns(spark, sf):
+    return profile.opaque_columns(mat(spark, sf))
+
+
+def _gap_boxes(spark, sf):
+    """Boxes of the stretches between gaps."""
+    m = mat(spark, sf)
+    found = profile.gap_runs(profile.opaque_columns(m), 6).withColumn("seg", F.row_number().over(Window.partitionBy("image_id").orderBy("x0")) - 1)
+    return profile.boxed(m.where(F.col("a") > ALPHA_T).join(found, "image_id").where("x >= x0 AND x < x1")).drop("cx")
+
+
+def gap_run_boxes(spark, sf):
+    return _gap_boxes(spark, sf)
+
+
+def shared_box_placement(spark, sf):
+    return layout.box_placement(_gap_boxes(spark, sf), 32, 32, 4, shared=True)
+
+
+def equal_split_placement(spark, sf):
+    """Even parts of a strip, each centred by its box."""
+    parts = strips(spark, sf).select("image_id", F.col("expected").alias("n"))
+    own = mat(spark, sf).where(F.col("a") > ALPHA_T).join(parts, "image_id").withColumn("seg", F.expr(f"cast(((x + 1) * n - 1) div {WIDTH} as int)"))
+    return layout.box_placement(profile.boxed(own).drop("cx"), 32, 32, 4, shared=False)
+
+
+def mean_body_height(spark, sf):
+    return fr.mean_body_height(frames(spark, sf), skip=0).select("image_id", r6("height").alias("height"))
+
+
+def torso_spread(spark, sf):
+    return fr.torso_spread(frames(spark, sf)).select("image_id", r6("spread").alias("spread"))
+
+
+def body_extent_ratio(spark, sf):
+    """How much smaller figures come out by their boxes than by their bodies: the least ratios of mean heights, a top list of 12."""
+    plain = shared_box_placement(spark, sf).groupBy("image_id").agg(F.avg("sh").alias("plain"), F.count("*").alias("n"))
+    own = cell_placement(spark, sf).groupBy("image_id").agg(F.avg("sh").alias("own"))
+    ratio = plain.where("n >= 2").join(own, "image_id").where("own > 0").select("image_id", r6(F.col("plain") / F.col("own")).alias("ratio"))
+    return ratio.orderBy("ratio", "image_id").limit(12)
+
+
+def plain_cut(spark, sf):
+    out = matte.cut_by_distance(pixels(spark, sf), tolerance=150.0)
+    return out.groupBy("image_id").agg(F.count_if(F.col("a") > ALPHA_T).alias("opaque"), *(F.sum(F.when(F.col("a") > 0, F.col(c))).alias(f"sum_{c}") for c in "rgb"))
+
+
+def shade_gradient(spark, sf):
+    return matte.shaded(pixels(spark, sf), WIDTH, HEIGHT).groupBy("image_id").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgb"), F.countDistinct("r", "g", "b").alias("colours"))
+
+
+def over_ground(spark, sf):
+    """Matted strips over a grey ground."""
+    ground = strips(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("p"))
+    ground = ground.selectExpr("image_id", f"cast(p % {WIDTH} as int) as x", f"cast(p div {WIDTH} as int) as y", "200 as r", "204 as g", "210 as b", "255 as a")
+    return layout.over(ground, mat(spark, sf)).groupBy("image_id").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgba"))
+
+
+def silhouette_outline(spark, sf):
+    """Outlines of frames, and what their silhouettes sum to in one colour."""
+    f = frames(spark, sf)
+    ring = layout.outline(f, 1).groupBy("image_id", "frame").agg(F.count("*").alias("ring"), F.sum(F.col("y") * 100 + F.col("x")).alias("mark"))
+    tint = layout.silhouette(f, (250, 120, 30)).groupBy("image_id", "frame").agg(F.sum(F.col("r") + F.col("g") + F.col("b")).alias("tint"))
+    return tint.join(ring, ["image_id", "frame"], "left")
+
+
+def baked_frames(spark, sf):
+    """Frames scaled, moved and drawn into a padded cell."""
+    f = frames(spark, sf).selectExpr("*", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE 0.5D + (image_id % 3) / 2.0D END AS scale", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE cast(frame * 3 as double) END AS dx", "CASE WHEN image_id % 4 = 0 THEN NULL ELSE -2.0D END AS dy")
+    out = layout.baked(layout.view_transforms(f, 0.5), 40, 4)
+    return out.groupBy("image_id", "frame").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * (F.col("y") + 3) * F.col("a")).alias("mark"))
+
+
+def stacked_panels(spark, sf):
+    """A strip's frames beside each other, a gap apart, and below each other."""
+    f = frames(spark, sf).withColumnsRenamed({"frame": "panel"})
+    wide, high = (layout.stacked(f, 3, vertical, "image_id").groupBy("image_id").agg(F.sum(F.col(c) * F.col("a")).alias(f"mark_{c}"), (F.max(c) + 1).alias(f"size_{c}")) for c, vertical in (("x", False), ("y", True)))
+    return wide.join(high, "image_id")
+
+
+def crop_window(spark, sf):
+    return layout.cropped(mat(spark, sf), 8, 4, 40, 20).groupBy("image_id").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * (F.col("y") + 1) * F.col("a")).alias("mark"))
+
+
+def sheet_raster(spark, sf):
+    states = strips(spark, sf).selectExpr("image_id", "cast(image_id div 4 as bigint) as sheet", "cast(image_id % 4 as int) as row")
+    return layout.sheet_pixels(frames(spark, sf), states, 40, 30).groupBy("sheet").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * (F.col("y") + 1) * F.col("a")).alias("mark"))
+
+
+def retry_hints(spark, sf):
+    return fr.hints(fr.inspected(frames(spark, sf))).select("image_id", F.concat_ws("; ", "hints").alias("hints"))
+
+
+def base_rules(spark, sf):
+    """The inspection of a strip's later figures against its first one."""
+    f = frames(spark, sf)
+    rows = fr.inspected(f.where("frame > 0"), base=f.where("frame = 0").drop("frame"))
+    return rows.select("image_id", "frame", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+def post_process(spark, sf):
+    """Frames in a palette of eight colours, on the grid that they show."""
+    f = frames(spark, sf)
+    top = palette.gif_palette(mat(spark, sf), 8).withColumnRenamed("rank", "ord")
+    sizes = strips(spark, sf).select("image_id", F.col("slot").alias("w"), F.lit(HEIGHT).alias("h"))
+    return palette.post_processed(f, top, sizes).groupBy("image_id", "frame").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgba"))
+
+
+def file_round_trip(spark, sf):
+    """Strips written as PNG files to the shared folder, listed, read and decoded again: what each file holds."""
+    made = images.rasters_of(pixels(spark, sf))
+    folder = session.shared_path(spark, "strips")
+    images.write_files(images.png_bytes(made).select(F.concat(F.lit("strip-"), F.col("image_id"), F.lit(".png")).alias("name"), "content"), folder).count()
+    listed = images.listing(spark, folder, most=None)
+    read = images.decoded(images.contents(spark, folder)).join(listed.select("path", "name"), "path").withColumn("image_id", F.regexp_extract("name", "([0-9]+)", 1).cast("bigint"))
+    marks = images.pixels_of(read).groupBy("image_id").agg(*(F.sum(F.col(c) * (F.col("x") + 1)).alias(f"mark_{c}") for c in "rgba"))
+    return read.select("image_id", "w", "h", "error").join(marks, "image_id", "left")
+
+
 _NAMES = """pixel_derive ycbcr_project ycc_round_trip matte_alpha despill bg_key_mode magenta_residue column_projection profile_smooth content_runs drop_minor_runs
 upper_median_width pose_peaks pose_counts dp_cut pose_count_accuracy row_bands bbox weighted_centroid body_extent components label_owner_rangejoin flood_clear alpha_cleanup
 hist64 loo_palette_similarity base_similarity frame_reports inspect_rules motion_presence pairwise_identity contact_score score_overall jitter_report distinct_colors gif_top255
 systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixel_scale block_mode mirror direction_set_union atlas_rects sheet_json strip_concat cell_placement
-equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects""".split()
+equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
+extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
+baked_frames stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

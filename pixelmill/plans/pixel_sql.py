@@ -25,6 +25,7 @@ mat AS (SELECT image_id, expected, slot, pose, lx, x, y, CASE WHEN NOT seen THEN
   CASE WHEN NOT seen THEN 0 WHEN spilt THEN b2 ELSE b END AS b, al AS a FROM m3)"""
 FRM = "fr AS MATERIALIZED (SELECT image_id, pose AS frame, lx AS x, y, r, g, b, a, slot AS w, 32 AS h FROM mat)"
 PRO = "pro AS (SELECT image_id, x AS pos, sum(a)::double AS mass FROM mat GROUP BY ALL)"
+OPQ = "pro AS (SELECT image_id, x AS pos, count(*) FILTER (a > 10)::double AS mass FROM mat GROUP BY ALL)"
 SMO = "smo AS MATERIALIZED (SELECT image_id, pos, avg(mass) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mass FROM pro)"
 
 
@@ -176,8 +177,8 @@ ORACLES = {
       cap AS (SELECT run.image_id, run.x0, x1, nr, med, CASE WHEN nr > 1 THEN least(n, greatest(1, floor((x1 - run.x0)::double / med + 0.5::double)::int)) ELSE n END AS n FROM run JOIN pn ON run.image_id = pn.image_id AND run.x0 = pn.x0 JOIN me ON run.image_id = me.image_id)
       SELECT image_id, x0, x1, (CASE WHEN nr > 1 AND n = 1 AND x1 - x0 > med * 1.45::double THEN 2 ELSE n END)::int AS n FROM cap""",
     "dp_cut": f"WITH {P_},{CUT} SELECT image_id, array_to_string(cuts, ',') AS cuts FROM cut",
-    "pose_count_accuracy": f"""WITH {R_}, n AS (SELECT image_id, count(*) AS found FROM run GROUP BY ALL), j AS (SELECT expected, coalesce(found, 0) AS found FROM s LEFT JOIN n USING (image_id))
-      SELECT expected, count(*) AS strips, count(*) FILTER (found = expected) AS exact, sum(found)::bigint AS found, round(avg((found = expected)::int), 6) AS accuracy FROM j GROUP BY ALL""",
+    "pose_count_accuracy": f"""WITH {R_},{PK},{SEG}, n AS (SELECT image_id, count(*) AS found FROM segs GROUP BY ALL), j AS (SELECT expected, coalesce(found, 0) AS found FROM s LEFT JOIN n USING (image_id))
+      SELECT expected, count(*) AS strips, count(*) FILTER (found = expected) AS exact, sum(found)::bigint AS found, round(avg((found = expected)::int), 6) AS accuracy, avg((found = expected)::int) >= 0.85 AS passed FROM j GROUP BY ROLLUP (expected)""",
     "row_bands": f"""WITH {M}, pro AS (SELECT image_id, y AS pos, sum(a)::double AS mass FROM mat GROUP BY ALL),{SMO},{_runs('smo', 'run', False)} SELECT image_id, x0 AS y0, x1 AS y1 FROM run""",
     "bbox": f"WITH {F_},{BOX} SELECT * FROM box",
     "weighted_centroid": f"WITH {F_} SELECT image_id, frame, round(sum(x * a)::double / sum(a), 6) AS cx, round(sum(y * a)::double / sum(a), 6) AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM fr WHERE a > 10 GROUP BY ALL",
@@ -224,7 +225,8 @@ ORACLES = {
       al AS (SELECT direction, false AS mirrored, image_id, x, a FROM g0 UNION ALL SELECT goal, true, image_id, w - 1 - x, a FROM g0 JOIN mi USING (direction)) SELECT direction, mirrored, count(DISTINCT image_id) AS images, sum(x * a)::bigint AS mark FROM al GROUP BY ALL""",
     "atlas_rects": f"WITH {F_},{BOX},{ATL} SELECT * FROM atl",
     "sheet_json": f"""WITH {F_},{BOX},{ATL}, ix AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row, image_id, frame) - 1 AS i FROM atl), tg AS (SELECT sheet, row, image_id, min(i) AS f, max(i) AS t FROM ix GROUP BY ALL),
-      tl AS (SELECT sheet, string_agg(image_id || '-' || f || '-' || t, ',' ORDER BY row) AS tags FROM tg GROUP BY ALL) SELECT sheet, count(*) AS n_frames, any_value(tags) AS tags, sum(duration)::int AS ms FROM ix JOIN tl USING (sheet) GROUP BY ALL""",
+      tl AS (SELECT sheet, string_agg(image_id || '-' || f || '-' || t || CASE WHEN image_id % 3 = 0 THEN '-1' ELSE '' END, ',' ORDER BY row) AS tags FROM tg GROUP BY ALL)
+      SELECT sheet, count(*) AS n_frames, any_value(tags) AS tags, sum(duration)::int AS ms, (max(x) + 64)::int AS width, (max(y) + 32)::int AS height FROM ix JOIN tl USING (sheet) GROUP BY ALL""",
     "strip_concat": f"WITH {F_} SELECT image_id, max(frame * w + x) + 1 AS width, sum((frame * w + x) * a)::bigint AS mark FROM fr GROUP BY ALL",
     "cell_placement": f"""WITH {F_},{BOX}, px AS (SELECT image_id, frame, x AS pos, sum(a)::double AS mass FROM fr GROUP BY ALL), py AS (SELECT image_id, frame, y AS pos, sum(a)::double AS mass FROM fr GROUP BY ALL),{_extent('px', 'ex', 'image_id, frame')},{_extent('py', 'ey', 'image_id, frame')},
       ce AS (SELECT image_id, frame, sum(x * a)::double / sum(a) AS cx FROM fr WHERE a > 10 GROUP BY ALL),
@@ -232,7 +234,7 @@ ORACLES = {
       k1 AS (SELECT *, least(least(1, 24::double / max(bw) OVER p, 24::double / max(bh) OVER p), 24::double / w, 24::double / h) AS sc, max(bottom) OVER p AS base FROM j WINDOW p AS (PARTITION BY image_id)),
       k2 AS (SELECT *, greatest(1, trunc(w * sc + 0.5::double)::int) AS sw, greatest(1, trunc(h * sc + 0.5::double)::int) AS sh, greatest(0, trunc(16::double - (cx - x) * sc + 0.5::double)::int) AS lf FROM k1)
       SELECT image_id, frame AS seg, round(sc, 6) AS scale, sw, sh, CASE WHEN lf + sw > 32 THEN 32 - sw ELSE lf END AS "left", greatest(0, 28 - trunc((base - bottom) * sc + 0.5::double)::int - sh) AS top FROM k2""",
-    "equal_split_crossings": f"""WITH {M},{PRO}, li AS (SELECT image_id, unnest(range(1, expected)) AS kk2, expected FROM s), tp AS (SELECT image_id, max(mass) AS top FROM pro GROUP BY ALL)
+    "equal_split_crossings": f"""WITH {M},{OPQ}, li AS (SELECT image_id, unnest(range(1, expected)) AS kk2, expected FROM s), tp AS (SELECT image_id, max(mass) AS top FROM pro GROUP BY ALL)
       SELECT image_id, count(*) FILTER (mass > 0.06::double * top) AS crossed FROM li JOIN tp USING (image_id) JOIN pro ON pro.image_id = li.image_id AND pro.pos = kk2 * 96 // expected GROUP BY ALL""",
     "frame_balance": f"WITH {F_}, n AS (SELECT image_id, frame, count(*) FILTER (a > 10) AS n FROM fr GROUP BY ALL) SELECT image_id, min(n) AS least, max(n) AS most, round(CASE WHEN min(n) > 0 THEN max(n)::double / min(n) ELSE 999 END, 6) AS ratio FROM n GROUP BY ALL",
     "centroid_spread": f"WITH {F_}, c AS (SELECT image_id, frame, coalesce(avg(x) FILTER (a > 10), max(w) / 2) AS c FROM fr GROUP BY ALL) SELECT image_id, round(stddev_pop(c), 6) AS spread FROM c GROUP BY ALL",
@@ -260,3 +262,81 @@ ORACLES = {
       b AS (SELECT image_id, row_number() OVER o - 1 AS band, coalesce((lag(x1) OVER o + x0) // 2, 0) AS y0, count(*) OVER (PARTITION BY image_id) AS n FROM run WINDOW o AS (PARTITION BY image_id ORDER BY x0))
       SELECT image_id, band::int AS band, y0::int AS y0, coalesce(lead(y0) OVER (PARTITION BY image_id ORDER BY band), 64)::int AS y1 FROM b WHERE n = 2""",
 }
+
+_PLACED = """k2 AS (SELECT *, greatest(1, trunc(w * sc + 0.5::double)::int) AS sw, greatest(1, trunc(h * sc + 0.5::double)::int) AS sh, greatest(0, trunc(16::double - (cx - x) * sc + 0.5::double)::int) AS lf FROM k1)"""
+_GAPS = f"""{M}, gc AS (SELECT DISTINCT image_id, x AS pos FROM mat WHERE a > 10), gn AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY image_id ORDER BY pos) <= 6 THEN 0 ELSE 1 END AS new FROM gc),
+gr AS (SELECT image_id, run, min(pos) AS x0, max(pos) AS x1 FROM (SELECT *, sum(new) OVER (PARTITION BY image_id ORDER BY pos) AS run FROM gn) GROUP BY ALL),
+gx AS (SELECT gr.image_id, (row_number() OVER (PARTITION BY gr.image_id ORDER BY x0) - 1)::int AS seg, x0, x1 FROM gr),
+gap AS (SELECT gx.image_id, seg, min(x)::int AS min_x, min(y)::int AS min_y, max(x)::int AS max_x, max(y)::int AS max_y FROM gx JOIN mat ON mat.image_id = gx.image_id AND mat.a > 10 AND mat.x BETWEEN gx.x0 AND gx.x1 GROUP BY ALL)"""
+_RULES = "rules(o, rule, hint) AS (VALUES (1, 'empty', 'fill every column'), (2, 'edge', 'keep clear of the edges'), (3, 'residue', 'avoid the key colour'), (4, 'less_content', 'keep one size'), (5, 'too_small', 'keep one scale'), (6, 'too_large', 'keep figures apart'), (7, 'drift', 'keep the character''s colours'), (8, 'other_character', 'copy the reference'))"
+
+
+def _frame_lengths(line: str, along: str, name: str) -> str:
+    return f"""
+{name}_l AS (SELECT image_id, frame, least(32, least(w, h) // 8) AS lim, {line} AS ln, {along} AS p, a, abs(r - lag(r) OVER o) <= 12 AND abs(g - lag(g) OVER o) <= 12 AND abs(b - lag(b) OVER o) <= 12 AS near, lag(a) OVER o AS pa FROM pp WHERE least(w, h) >= 32 WINDOW o AS (PARTITION BY image_id, frame, {line} ORDER BY {along})),
+{name}_n AS (SELECT *, sum(CASE WHEN (a <= 10 AND pa <= 10) OR (a > 10 AND pa > 10 AND near) THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, frame, ln ORDER BY p) AS isl FROM {name}_l),
+{name} AS (SELECT image_id, frame, length FROM (SELECT image_id, frame, ln, isl, max(lim) AS lim, count(*) AS length, max(isl) OVER (PARTITION BY image_id, frame, ln) AS last FROM {name}_n GROUP BY image_id, frame, ln, isl) WHERE isl < last AND length BETWEEN 2 AND lim)"""
+
+
+ORACLES |= {
+    "opaque_columns": f"WITH {M},{OPQ} SELECT * FROM pro",
+    "gap_run_boxes": f"WITH {_GAPS} SELECT * FROM gap",
+    "shared_box_placement": f"""WITH {_GAPS}, w1 AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, max(max_y) OVER (PARTITION BY image_id) AS base FROM gap),
+      w2 AS (SELECT *, least(1.0::double, 24::double / max(w) OVER p, 24::double / max(h + base - max_y) OVER p) AS sc FROM w1 WINDOW p AS (PARTITION BY image_id)), w3 AS (SELECT *, trunc(w * sc + 0.5::double)::int AS sw, trunc(h * sc + 0.5::double)::int AS sh FROM w2)
+      SELECT image_id, seg, round(sc, 6) AS scale, sw, sh, trunc((32 - sw)::double / 2)::int AS "left", greatest(0, 28 - trunc((base - max_y) * sc + 0.5::double)::int - sh) AS top FROM w3""",
+    "equal_split_placement": f"""WITH {M}, e AS (SELECT image_id, (((x + 1) * expected - 1) // 96)::int AS seg, x, y FROM mat WHERE a > 10), w1 AS (SELECT image_id, seg, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM e GROUP BY ALL),
+      w2 AS (SELECT *, least(1.0::double, 24::double / h) AS sc FROM w1), w3 AS (SELECT *, trunc(w * sc + 0.5::double)::int AS sw, trunc(h * sc + 0.5::double)::int AS sh FROM w2) SELECT image_id, seg, round(sc, 6) AS scale, sw, sh, trunc((32 - sw)::double / 2)::int AS "left", 28 - sh AS top FROM w3""",
+    "mean_body_height": f"""WITH {F_}, c AS (SELECT image_id, frame, x, max(y) FILTER (a > 10) - min(y) FILTER (a > 10) + 1 AS h FROM fr GROUP BY ALL), d AS (SELECT image_id, frame, coalesce(max(h), 0) AS h FROM c GROUP BY ALL)
+      SELECT image_id, round(coalesce(avg(h) FILTER (frame <> 0), 0), 6) AS height FROM d GROUP BY ALL""",
+    "torso_spread": f"WITH {F_}, t AS (SELECT image_id, frame, coalesce(avg(x) FILTER (a > 10 AND b > 140 AND b - r > 40 AND g < 180), 0) AS t FROM fr GROUP BY ALL) SELECT image_id, round(stddev_pop(t), 6) AS spread FROM t GROUP BY ALL",
+    "plain_cut": f"""WITH {PIX}, c AS (SELECT *, CASE WHEN (r - 255) ** 2 + g ** 2 + (b - 255) ** 2 <= 22500 THEN 0 ELSE a END AS al FROM pix)
+      SELECT image_id, count(*) FILTER (al > 10) AS opaque, sum(r) FILTER (al > 0)::bigint AS sum_r, sum(g) FILTER (al > 0)::bigint AS sum_g, sum(b) FILTER (al > 0)::bigint AS sum_b FROM c GROUP BY ALL""",
+    "shade_gradient": f"""WITH {PIX}, f AS (SELECT *, 0.6::double + 0.4::double * (x + y)::double / 128 AS f, r > 200 AND b > 200 AND g < 80 AS k FROM pix),
+      o AS (SELECT image_id, CASE WHEN k THEN r ELSE least(255, floor(r * f + 0.5::double)::int) END AS r, CASE WHEN k THEN g ELSE least(255, floor(g * f + 0.5::double)::int) END AS g, CASE WHEN k THEN b ELSE least(255, floor(b * f + 0.5::double)::int) END AS b FROM f)
+      SELECT image_id, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, count(DISTINCT (r, g, b)) AS colours FROM o GROUP BY ALL""",
+    "over_ground": f"""WITH {M}, o AS (SELECT image_id, floor((r * a * 255 + 200 * 255 * (255 - a))::double / 65025 + 0.5)::int AS r, floor((g * a * 255 + 204 * 255 * (255 - a))::double / 65025 + 0.5)::int AS g, floor((b * a * 255 + 210 * 255 * (255 - a))::double / 65025 + 0.5)::int AS b FROM mat)
+      SELECT image_id, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, (count(*) * 255)::bigint AS sum_a FROM o GROUP BY ALL""",
+    "silhouette_outline": f"""WITH {F_}, so AS (SELECT image_id, frame, x, y FROM fr WHERE a > 0), nr AS (SELECT DISTINCT so.image_id, so.frame, x + dx AS x, y + dy AS y FROM so, range(-1, 2) p(dx), range(-1, 2) q(dy)),
+      rg AS (SELECT fr.image_id, fr.frame, count(*) AS ring, sum(fr.y * 100 + fr.x)::bigint AS mark FROM fr JOIN nr ON nr.image_id = fr.image_id AND nr.frame = fr.frame AND nr.x = fr.x AND nr.y = fr.y WHERE fr.a = 0 GROUP BY ALL)
+      SELECT fr.image_id, fr.frame, (count(*) FILTER (a > 0) * 400)::bigint AS tint, any_value(ring) AS ring, any_value(mark) AS mark FROM fr LEFT JOIN rg ON rg.image_id = fr.image_id AND rg.frame = fr.frame GROUP BY fr.image_id, fr.frame""",
+    "baked_frames": f"""WITH {F_}, t AS (SELECT *, CASE WHEN image_id % 4 = 0 THEN 1 ELSE 0.5::double + (image_id % 3) / 2::double END AS s, CASE WHEN image_id % 4 = 0 THEN 0 ELSE frame * 1.5::double END AS dx, CASE WHEN image_id % 4 = 0 THEN 0 ELSE -1 END AS dy FROM fr),
+      u AS (SELECT *, 24 - w * s / 2 + dx AS px, 44 - h * s + dy AS py FROM t), v AS (SELECT image_id, frame, a, tx, ty FROM u, range(48) p(tx), range(48) q(ty) WHERE tx + 0.5 >= px + x * s AND tx + 0.5 < px + (x + 1) * s AND ty + 0.5 >= py + y * s AND ty + 0.5 < py + (y + 1) * s)
+      SELECT image_id, frame, count(*) AS n, sum((tx + 1) * (ty + 3) * a)::bigint AS mark FROM v GROUP BY ALL""",
+    "stacked_panels": f"WITH {F_} SELECT image_id, sum((x + frame * (w + 3)) * a)::bigint AS mark_x, max(x + frame * (w + 3)) + 1 AS size_x, sum((y + frame * 35) * a)::bigint AS mark_y, max(y + frame * 35) + 1 AS size_y FROM fr GROUP BY ALL",
+    "crop_window": f"WITH {M} SELECT image_id, count(*) AS n, sum((x - 7) * (y - 3) * a)::bigint AS mark FROM mat WHERE x >= 8 AND x < 48 AND y >= 4 AND y < 24 GROUP BY ALL",
+    "sheet_raster": f"WITH {F_} SELECT image_id // 4 AS sheet, count(*) AS n, sum((frame * 40 + x + 1) * (image_id % 4 * 30 + y + 1) * a)::bigint AS mark FROM fr WHERE x < 40 AND y < 30 GROUP BY ALL",
+    "file_round_trip": f"WITH {PIX} SELECT image_id, 96 AS w, 32 AS h, NULL::varchar AS error, sum(r * (x + 1))::bigint AS mark_r, sum(g * (x + 1))::bigint AS mark_g, sum(b * (x + 1))::bigint AS mark_b, sum(a * (x + 1))::bigint AS mark_a FROM pix GROUP BY ALL",
+    "retry_hints": f"""WITH ins AS ({ORACLES["inspect_rules"]}), {_RULES}, hit AS (SELECT DISTINCT image_id, o, hint FROM ins JOIN rules ON contains(',' || errors || ',' || warnings || ',', ',' || rule || ','))
+      SELECT i.image_id, coalesce(string_agg(hint, '; ' ORDER BY o), '') AS hints FROM (SELECT DISTINCT image_id FROM ins) i LEFT JOIN hit ON hit.image_id = i.image_id GROUP BY i.image_id""",
+    "base_rules": f"""WITH {M}, fa AS MATERIALIZED (SELECT image_id, pose AS frame, lx AS x, y, r, g, b, a, slot AS w, 32 AS h FROM mat), fr AS MATERIALIZED (SELECT * FROM fa WHERE frame > 0),{HST},{LOO},{REP},
+      sh AS (SELECT image_id FROM fa WHERE frame = 0 GROUP BY ALL HAVING avg((a <= 10)::int) >= 0.05), bb AS (SELECT image_id, ((r >> 6) << 4) + ((g >> 6) << 2) + (b >> 6) AS bin, count(*) AS n FROM fa WHERE frame = 0 AND a > 10 GROUP BY ALL),
+      bs AS (SELECT image_id, bin, n::double / sum(n) OVER (PARTITION BY image_id) AS ref FROM bb), sm AS (SELECT image_id, frame, sum(least(share, ref)) AS v FROM hs JOIN bs USING (image_id, bin) GROUP BY ALL),
+      bq AS (SELECT image_id, avg(coalesce(v, 0)) AS base FROM ids JOIN sh USING (image_id) LEFT JOIN sm USING (image_id, frame) GROUP BY ALL),
+      pe AS (SELECT image_id, list_sort(list(content))[count(*) // 2 + 1] AS med, count(*) AS n, sum(width * height) // count(*) AS area FROM rep GROUP BY ALL),
+      j AS (SELECT rep.*, CASE WHEN n > 1 THEN similarity END AS similarity, base, med, n, floor(area * 0.25::double)::int AS co, CASE WHEN n >= 3 AND med > 0 THEN content::double / med END AS ratio FROM rep JOIN pe USING (image_id) LEFT JOIN loo USING (image_id, frame) LEFT JOIN bq USING (image_id))
+      SELECT image_id, frame, concat_ws(',', CASE WHEN content < greatest(400, width * height // 100) THEN 'empty' END, CASE WHEN residue > 120 THEN 'residue' END, CASE WHEN similarity < 0.45 THEN 'drift' END, CASE WHEN base < 0.4 THEN 'other_character' END) AS errors,
+      concat_ws(',', CASE WHEN edge > 24 THEN 'edge' END, CASE WHEN co > 0 AND content < co THEN 'less_content' END, CASE WHEN ratio < 0.35 THEN 'too_small' END, CASE WHEN ratio > 2.75 THEN 'too_large' END, CASE WHEN similarity >= 0.45 AND similarity < 0.65 THEN 'drift' END,
+        CASE WHEN base >= 0.4 AND base < 0.6 THEN 'near_character' END) AS warnings FROM j""",
+    "post_process": f"""WITH {F_},{GIF},{NEA}, sz AS (SELECT image_id, 96 // expected AS sw FROM s),
+      pp AS MATERIALIZED (SELECT fr.image_id, fr.frame, fr.x, fr.y, sz.sw AS w, 32 AS h, CASE WHEN a >= 128 THEN pr ELSE 0 END AS r, CASE WHEN a >= 128 THEN pg ELSE 0 END AS g, CASE WHEN a >= 128 THEN pb ELSE 0 END AS b, CASE WHEN a >= 128 THEN 255 ELSE 0 END AS a
+        FROM fr JOIN sz USING (image_id) LEFT JOIN nea ON nea.image_id = fr.image_id AND nea.r = fr.r AND nea.g = fr.g AND nea.b = fr.b),{_frame_lengths("y", "x", "fa_")},{_frame_lengths("x", "y", "fb_")},
+      ln AS (SELECT image_id, frame, length, count(*) AS n FROM (SELECT * FROM fa_ UNION ALL SELECT * FROM fb_) GROUP BY ALL), be AS (SELECT * FROM ln QUALIFY row_number() OVER (PARTITION BY image_id, frame ORDER BY n * length DESC, length) = 1),
+      fs AS (SELECT i.image_id, i.frame, coalesce(length, 1) AS sc FROM (SELECT DISTINCT image_id, frame FROM fr) i LEFT JOIN be ON be.image_id = i.image_id AND be.frame = i.frame), me AS (SELECT image_id, list_sort(list(sc))[count(*) // 2 + 1] AS sc FROM fs GROUP BY ALL),
+      bl AS (SELECT pp.*, sc, x // sc AS bx, y // sc AS bq FROM pp JOIN me USING (image_id)), bc AS (SELECT image_id, frame, bx, bq, r, g, b, count(*) AS n, any_value(least(sc, w - bx * sc) * least(sc, h - bq * sc)) AS area FROM bl WHERE a > 10 GROUP BY ALL),
+      bt AS (SELECT *, sum(n) OVER (PARTITION BY image_id, frame, bx, bq) AS al FROM bc QUALIFY row_number() OVER (PARTITION BY image_id, frame, bx, bq ORDER BY n DESC, r, g, b) = 1), bk AS (SELECT * FROM bt WHERE 2 * al >= area),
+      fin AS (SELECT bl.image_id, bl.frame, CASE WHEN sc < 2 THEN bl.r ELSE coalesce(bk.r, 0) END AS r, CASE WHEN sc < 2 THEN bl.g ELSE coalesce(bk.g, 0) END AS g, CASE WHEN sc < 2 THEN bl.b ELSE coalesce(bk.b, 0) END AS b, CASE WHEN sc < 2 THEN bl.a WHEN bk.r IS NULL THEN 0 ELSE 255 END AS a
+        FROM bl LEFT JOIN bk ON bk.image_id = bl.image_id AND bk.frame = bl.frame AND bk.bx = bl.bx AND bk.bq = bl.bq)
+      SELECT image_id, frame, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum(a)::bigint AS sum_a FROM fin GROUP BY ALL""",
+    "extract_frames": f"""WITH RECURSIVE {R_},{PK},{SEG},{CMP}, px AS (SELECT lb.image_id, label, y, unnest(range(lb.x0, lb.x1 + 1)) AS x FROM lb),
+      ow AS (SELECT px.image_id, label, seg, count(*) AS n FROM px JOIN segs ON segs.image_id = px.image_id AND px.x >= segs.x0 AND px.x < segs.x1 GROUP BY ALL), own AS (SELECT * FROM ow QUALIFY row_number() OVER (PARTITION BY image_id, label ORDER BY n DESC, seg) = 1),
+      hl AS (SELECT segs.image_id, count(DISTINCT own.seg) < count(DISTINCT segs.seg) AS clipped FROM segs LEFT JOIN own ON own.image_id = segs.image_id AND own.seg = segs.seg GROUP BY segs.image_id),
+      op AS (SELECT px.image_id, px.x, px.y, own.seg FROM px JOIN hl ON hl.image_id = px.image_id AND NOT clipped JOIN own ON own.image_id = px.image_id AND own.label = px.label
+        UNION ALL SELECT px.image_id, px.x, px.y, segs.seg FROM px JOIN hl ON hl.image_id = px.image_id AND clipped JOIN segs ON segs.image_id = px.image_id AND px.x >= segs.x0 AND px.x < segs.x1),
+      oa AS MATERIALIZED (SELECT op.image_id, op.seg, op.x, op.y, a FROM op JOIN mat ON mat.image_id = op.image_id AND mat.x = op.x AND mat.y = op.y),
+      qx AS (SELECT image_id, seg, x AS pos, sum(a)::double AS mass FROM oa GROUP BY ALL), qy AS (SELECT image_id, seg, y AS pos, sum(a)::double AS mass FROM oa GROUP BY ALL),{_extent('qx', 'ex', 'image_id, seg')},{_extent('qy', 'ey', 'image_id, seg')},
+      bb AS (SELECT image_id, seg, min(x) AS x, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, max(y) AS bottom, sum(x * a)::double / sum(a) AS cx FROM oa GROUP BY ALL),
+      k1 AS (SELECT *, least(least(1, 24::double / max(bw) OVER p, 24::double / max(bh) OVER p), 24::double / w, 24::double / h) AS sc, max(bottom) OVER p AS base FROM (SELECT bb.*, ex.span AS bw, ey.span AS bh FROM bb JOIN ex USING (image_id, seg) JOIN ey USING (image_id, seg)) WINDOW p AS (PARTITION BY image_id)),{_PLACED}
+      SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY seg) - 1)::int AS seg, count(*) OVER (PARTITION BY image_id) AS found, round(sc, 6) AS scale, sw, sh, CASE WHEN lf + sw > 32 THEN 32 - sw ELSE lf END AS "left", greatest(0, 28 - trunc((base - bottom) * sc + 0.5::double)::int - sh) AS top FROM k2""",
+}
+ORACLES["body_extent_ratio"] = f"""WITH a AS ({ORACLES["shared_box_placement"]}), b AS ({ORACLES["cell_placement"]}), pa AS (SELECT image_id, avg(sh) AS plain, count(*) AS n FROM a GROUP BY ALL), pb AS (SELECT image_id, avg(sh) AS own FROM b GROUP BY ALL)
+      SELECT image_id, round(plain / own, 6) AS ratio FROM pa JOIN pb USING (image_id) WHERE n >= 2 AND own > 0 ORDER BY ratio, image_id LIMIT 12"""

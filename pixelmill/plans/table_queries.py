@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import session
 from ..functions import catalog, text
 from ..operators import corpus, profile
-from ..sources.settings import pairs_of
+from ..sources.settings import load_session, merged, pairs_of, save_session
 
 STATES = [row[1] for row in catalog.preset_rows()]
+DIRECTIONS_ = [d[0] for d in catalog.DIRECTIONS]
+PERSPECTIVES = ["iso", " ISO ", "flat", "", None]
+ANSWERS = ['"one"', '["two", "three"]', "[]", '{"q": 1}', "", ' "four" ', "[1]"]
+SERVICE_NAMES = [*(row[0] for row in catalog.SERVICES), "unknown"]
+RANGE = 4096
 SUFFIXES = ["", *(f"-{d[0]}" for d in catalog.DIRECTIONS), "-up"]
 
 
@@ -76,10 +82,10 @@ def settings_pairs(spark, sf):
 
 
 def event_minute_runs(spark, sf):
-    """Stretches of busy minutes of each kind of event, found as figures in a strip are: smoothing, islands, minor runs dropped."""
+    """Stretches of busy minutes of the day of each kind of event, found as figures in a strip are: smoothing, islands, minor runs dropped."""
     e = _read(spark, sf, "events").select("event_type", F.expr("cast(hour(ts) * 60 + minute(ts) as int)").alias("pos"))
     counted = e.groupBy(F.col("event_type").alias("image_id"), "pos").agg(F.count("*").cast("double").alias("mass"))
-    return profile.runs(profile.smoothed(counted, 9), 4).select(F.col("image_id").alias("event_type"), "x0", "x1", _r6("mass").alias("mass"))
+    return profile.runs(profile.smoothed(profile.filled(counted, 0, 1439), 9), 4).select(F.col("image_id").alias("event_type"), "x0", "x1", _r6("mass").alias("mass"))
 
 
 def lineitem_centroid(spark, sf):
@@ -88,10 +94,18 @@ def lineitem_centroid(spark, sf):
 
 
 def embedding_neighbours(spark, sf):
-    """Mean absolute change from each vector to the next one of its label."""
-    e = _read(spark, sf, "embeddings").withColumn("before", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("before IS NOT NULL")
+    """Mean absolute change from each vector to the next one of its label.
+
+    Vectors are compared inside ranges of ids; of each range only the first and last vectors meet those of its neighbours, so no
+    label is a task of its own.
+    """
+    e = _read(spark, sf, "embeddings").select("label", "vec_id", "embedding", F.floor(F.col("vec_id") / RANGE).alias("part"))
+    inside = e.select("label", "embedding", F.lag("embedding").over(Window.partitionBy("label", "part").orderBy("vec_id")).alias("before"))
+    edges = e.groupBy("label", "part").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.max_by("embedding", "vec_id").alias("last"))
+    across = edges.select("label", "embedding", F.lag("last").over(Window.partitionBy("label").orderBy("part")).alias("before"))
+    pairs = inside.unionByName(across).where("before IS NOT NULL")
     d = F.aggregate(F.zip_with("embedding", "before", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v) / F.size("embedding")
-    return e.groupBy("label").agg(_r6(F.avg(d)).alias("change"), F.count("*").alias("n"))
+    return pairs.groupBy("label").agg(_r6(F.avg(d)).alias("change"), F.count("*").alias("n"))
 
 
 def report_by_source(spark, sf):
@@ -100,7 +114,76 @@ def report_by_source(spark, sf):
     return d.orderBy(F.desc("chars"), "source").limit(8)
 
 
-QUERIES = {f.__name__: f for f in (base_state_name, preset_lookup_fallback, sanitize_name, aspect_for_frames, first_n_per_category, best_attempt, quality_report_rollup, settings_pairs, event_minute_runs, lineitem_centroid, embedding_neighbours, report_by_source)}
+def facing_words(spark, sf):
+    """Words of a request by direction and perspective."""
+    directions, views = (F.array(*[F.lit(v) for v in values]) for values in (DIRECTIONS_, PERSPECTIVES))
+    answers = F.array(*[F.lit(v) for v in ANSWERS])
+    k = F.col("p_partkey")
+    rows = _read(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") % 13).cast("int").alias("n"), directions[(k % len(DIRECTIONS_)).cast("int")].alias("direction"), views[(k % len(PERSPECTIVES)).cast("int")].alias("perspective"),
+        answers[(k % len(ANSWERS)).cast("int")].alias("answer"), F.concat(F.lit("a {view} of "), F.col("p_name"), F.lit(" facing right, at eye level")).alias("words"), "p_type",
+    )
+    words, iso = text.with_view(F.col("words"), F.col("perspective")), text.is_iso(F.col("perspective"))
+    style = text.style_of(F.col("direction"), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("p_type"))), {"north": "flat sprite", "south": "soft paint", "pixel": "true pixels"})
+    return rows.select(
+        "p_partkey", catalog.shows_back(F.col("direction")).alias("back"), F.when(catalog.shows_back(F.col("direction")), text.without_phrases(words, text.TURNED)).otherwise(words).alias("turned"),
+        F.when(iso, text.without_phrases(words, text.FLAT)).otherwise(words).alias("tilted"), text.spare_cells(F.col("n")).alias("spare"), text.canvas_words(text.aspect(F.col("n"))).alias("canvas"),
+        text.first_output(F.col("answer")).alias("output"), style.alias("style"), text.wants_pixels(style).alias("pixels"),
+    )
+
+
+def service_models(spark, sf):
+    names = F.array(*[F.lit(v) for v in SERVICE_NAMES])
+    c = _read(spark, sf, "customer").select(catalog.service(names[(F.col("c_custkey") % len(SERVICE_NAMES)).cast("int")]).alias("s"))
+    return c.groupBy("s.label", "s.model").agg(F.count("*").alias("n"))
+
+
+def event_stamps(spark, sf):
+    e = _read(spark, sf, "events")
+    return e.select("event_id", text.stamp(F.col("ts"), F.col("event_id")).alias("stamp"))
+
+
+def settings_merged(spark, sf):
+    """Settings in the documents of all sources: of a key the first source that has it decides."""
+    lines = _read(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return merged(pairs_of(lines, also=("source",)))
+
+
+def session_round_trip(spark, sf):
+    """Conversations saved as sessions in the shared folder and loaded again."""
+    rows = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    path = session.shared_path(spark, "sessions")
+    save_session(rows, path)
+    return load_session(spark, path, ", ".join(f"{n} {k}" for n, k in rows.dtypes))
+
+
+def roster_report(spark, sf):
+    tries = _attempts(spark, sf).withColumn("character", F.expr("state % 100"))
+    return corpus.roster(corpus.best_attempts(tries, ("character", "state")), "character")
+
+
+def gallery_cards(spark, sf):
+    return corpus.gallery(corpus.best_attempts(_attempts(spark, sf)))
+
+
+def report_change(spark, sf):
+    """The report of even orders beside that of odd ones."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("state"), F.col("o_orderpriority").alias("category"), (F.col("o_custkey") % 101).alias("score"), (F.col("o_custkey") % 50 / 1000).alias("motion"))
+    best = corpus.best_attempts(_attempts(spark, sf)).join(o, "state")
+    now, before = (corpus.quality_report(best.where(F.col("state") % 2 == i)).where("category IS NOT NULL") for i in (0, 1))
+    return corpus.compared(now, before, ["category"], ["total", "passed", "pass_rate"]).withColumn("pass_rate_change", _r6("pass_rate_change"))
+
+
+def named_states(spark, sf):
+    """States asked for by name: those that the parts' presets have, and those that none has."""
+    presets = catalog.with_preset(_states(spark, sf)).where("preset IS NOT NULL").select("preset").distinct()
+    kept, missing = corpus.named_selection(presets, "preset", [" Idle", "WALK", "attack", "no such state", "", "zz"])
+    return kept.select(F.col("preset").alias("name"), F.lit(True).alias("known")).unionByName(missing.select(F.col("asked").alias("name"), F.lit(False).alias("known")))
+
+
+_NAMED = (base_state_name, preset_lookup_fallback, sanitize_name, aspect_for_frames, first_n_per_category, best_attempt, quality_report_rollup, settings_pairs, event_minute_runs, lineitem_centroid, embedding_neighbours, report_by_source,
+          facing_words, service_models, event_stamps, settings_merged, session_round_trip, roster_report, gallery_cards, report_change, named_states)
+QUERIES = {f.__name__: f for f in _NAMED}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
 _ENDS = "[" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]"
@@ -131,7 +214,8 @@ ORACLES = {
       count(*) FILTER (motion < 0.02) AS static FROM j GROUP BY ROLLUP (category)""",
     "settings_pairs": r"""WITH l AS (SELECT trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents), f AS (SELECT CASE WHEN starts_with(line, 'export ') THEN substr(line, 8) ELSE line END AS line FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, '=')),
       k AS (SELECT trim(substr(line, 1, strpos(line, '=') - 1)) AS key, trim(trim(substr(line, strpos(line, '=') + 1)), '"''') AS value FROM f) SELECT key, value, count(*) AS n FROM k WHERE key <> '' AND value <> '' GROUP BY ALL""",
-    "event_minute_runs": """WITH c AS (SELECT event_type, cast(hour(ts) * 60 + minute(ts) AS int) AS pos, count(*)::double AS mass FROM events GROUP BY ALL), m AS (SELECT event_type, pos, avg(mass) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mass FROM c),
+    "event_minute_runs": """WITH o AS (SELECT event_type, cast(hour(ts) * 60 + minute(ts) AS int) AS pos, count(*)::double AS mass FROM events GROUP BY ALL),
+      c AS (SELECT k.event_type, p AS pos, coalesce(mass, 0) AS mass FROM (SELECT DISTINCT event_type FROM events) k CROSS JOIN range(1440) r(p) LEFT JOIN o ON o.event_type IS NOT DISTINCT FROM k.event_type AND o.pos = p), m AS (SELECT event_type, pos, avg(mass) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mass FROM c),
       t AS (SELECT *, max(mass) OVER (PARTITION BY event_type) AS top FROM m), i AS (SELECT *, pos - row_number() OVER (PARTITION BY event_type ORDER BY pos) AS isl FROM t WHERE mass > 0.045::double * top),
       g AS (SELECT event_type, min(pos) AS x0, max(pos) + 1 AS x1, sum(mass) AS mass, max(mass) AS peak, any_value(top) AS top FROM i GROUP BY event_type, isl), k AS (SELECT *, max(mass) OVER (PARTITION BY event_type) AS most FROM g WHERE x1 - x0 >= 4 AND peak >= 0.18::double * top)
       SELECT event_type, x0, x1, round(mass, 6) AS mass FROM k WHERE mass >= most * 0.2::double""",
@@ -140,3 +224,28 @@ ORACLES = {
       d AS (SELECT label, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(embedding[i]::double - before[i]::double))) / len(embedding) AS d FROM e WHERE before IS NOT NULL) SELECT label, round(avg(d), 6) AS change, count(*) AS n FROM d GROUP BY ALL""",
     "report_by_source": "SELECT source, count(*) AS n, sum(n_chars)::bigint AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY ALL ORDER BY chars DESC, source LIMIT 8",
 }
+
+_DIRS = "[" + ", ".join(f"'{d}'" for d in DIRECTIONS_) + "]"
+_ANS = "[" + ", ".join(f"'{a}'" for a in ANSWERS) + "]"
+ORACLES |= {
+    "facing_words": f"""WITH p AS (SELECT p_partkey, p_type, p_size % 13 AS n, {_DIRS}[p_partkey % {len(DIRECTIONS_)} + 1] AS dir, ['iso', ' ISO ', 'flat', '', NULL][p_partkey % 5 + 1] AS per, {_ANS}[p_partkey % {len(ANSWERS)} + 1] AS ans, 'a {{view}} of ' || p_name || ' facing right, at eye level' AS w FROM part),
+      q AS (SELECT *, coalesce(lower(trim(per)) = 'iso', false) AS iso, starts_with(dir, 'north') AS back, CASE WHEN greatest(n, 1) <= 3 THEN 1 ELSE 2 END AS rows, CASE WHEN greatest(n, 1) <= 3 THEN greatest(n, 1) ELSE (n + 1) // 2 END AS cols FROM p),
+      r AS (SELECT *, replace(w, '{{view}}', CASE WHEN iso THEN 'high-angle' ELSE 'side-view' END) AS v, CASE WHEN n <= 1 THEN '1:1' WHEN rows = 2 THEN (cols // gcd(cols, 2)) || ':' || (2 // gcd(cols, 2)) ELSE floor(least(4, greatest(16::double / 9, n * 0.6::double)) * 9 + 0.5::double)::int || ':9' END AS asp,
+        CASE WHEN p_partkey % 3 = 0 AND trim(p_type) <> '' THEN trim(p_type) WHEN dir = 'north' THEN 'flat sprite' WHEN dir = 'south' THEN 'soft paint' ELSE 'true pixels' END AS style FROM q)
+      SELECT p_partkey, back, CASE WHEN back THEN replace(replace(v, ' facing right', ''), ' facing left', '') ELSE v END AS turned, CASE WHEN iso THEN replace(v, ', at eye level', '') ELSE v END AS tilted, (rows * cols - greatest(n, 1))::int AS spare,
+      CASE asp WHEN '1:1' THEN 'Render on a square 1:1 canvas.' WHEN '16:9' THEN 'Render on a wide 16:9 landscape canvas, much wider than tall.' WHEN '21:9' THEN 'Render on an extra-wide 21:9 panorama canvas, with plenty of horizontal room for a long row of poses.' ELSE 'Render on a wide ' || asp || ' landscape canvas.' END AS canvas,
+      CASE p_partkey % 7 WHEN 0 THEN 'one' WHEN 1 THEN 'two' WHEN 5 THEN 'four' WHEN 6 THEN '1' ELSE '' END AS output, style, regexp_matches(lower(style), 'pixel|sprite|mmorpg') AS pixels FROM r""",
+    "service_models": """WITH v(k, label, model) AS (VALUES (0, 'Gemini', 'gemini-3-pro-image'), (1, 'OpenAI', 'gpt-image-2'), (2, 'OpenRouter', 'google/gemini-3-pro-image-preview'), (3, 'fal.ai', 'fal-ai/nano-banana-pro'), (4, 'BytePlus', 'seedream-4-0-250828'), (5, 'Replicate', 'google/nano-banana-2'), (6, 'Gemini', 'gemini-3-pro-image'))
+      SELECT label, model, count(*) AS n FROM customer JOIN v ON k = c_custkey % 7 GROUP BY ALL""",
+    "event_stamps": "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || lpad((event_id % 1000)::varchar, 3, '0') AS stamp FROM events",
+    "settings_merged": r"""WITH l AS (SELECT coalesce(source, '') AS source, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents), f AS (SELECT source, CASE WHEN starts_with(line, 'export ') THEN substr(line, 8) ELSE line END AS line FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, '=')),
+      k AS (SELECT source, trim(substr(line, 1, strpos(line, '=') - 1)) AS key, trim(trim(substr(line, strpos(line, '=') + 1)), '"''') AS value FROM f) SELECT key, value FROM k WHERE key <> '' AND trim(value) <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY source, value) = 1""",
+    "session_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
+    "roster_report": f"WITH {_BEST} SELECT state % 100 AS character, count(*) AS states, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'frames') AS frames, count(*) FILTER (status = 'quality') AS quality, bool_and(status = 'ok') AS ready FROM bs GROUP BY ALL",
+    "gallery_cards": f"""WITH {_BEST} SELECT state, '<figure class="' || status || '"><figcaption>' || state || ': ' || found || '/' || expected || ', ' || n_errors || ' errors</figcaption></figure>' AS html FROM bs""",
+    "report_change": f"""WITH {_BEST}, j AS (SELECT o_orderpriority AS category, state % 2 AS old, count(*) AS total, count(*) FILTER (status = 'ok') AS passed, round(avg((status = 'ok')::int), 6) AS pass_rate FROM bs JOIN orders ON o_orderkey = state GROUP BY ALL)
+      SELECT category, n.total, o.total AS old_total, n.total - o.total AS total_change, n.passed, o.passed AS old_passed, n.passed - o.passed AS passed_change, n.pass_rate, o.pass_rate AS old_pass_rate, round(n.pass_rate - o.pass_rate, 6) AS pass_rate_change
+      FROM (SELECT * FROM j WHERE old = 0) n FULL JOIN (SELECT * FROM j WHERE old = 1) o USING (category) WHERE category IS NOT NULL""",
+    "named_states": f"""WITH {_CATALOG}, {_BASED}, have AS (SELECT DISTINCT coalesce(x.name, y.name) AS name FROM ba LEFT JOIN cat x ON x.name = state LEFT JOIN cat y ON y.name = base), a(name) AS (VALUES ('idle'), ('walk'), ('attack'), ('no such state'), ('zz'))
+      SELECT name, name IN (SELECT name FROM have WHERE name IS NOT NULL) AS known FROM a""",
+}

@@ -16,26 +16,40 @@ from pyspark.sql import functions as F
 
 # File name endings of images and their media types; the largest file that is read.
 MEDIA = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp"}
-MOST_BYTES, MOST_FILES = 64 << 20, 2000
+MOST_BYTES, MOST_FILES = 64 << 20, 2000  # of a listing for a person; None for all of a folder
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
-def listing(spark: SparkSession, folder: str, newest_first: bool = False) -> DataFrame:
-    """(path, name, length, modified) of a folder's images: the first 2000 by name, then by name or newest first."""
+def listing(spark: SparkSession, folder: str, newest_first: bool = False, most: int | None = MOST_FILES) -> DataFrame:
+    """(path, name, length, modified) of a folder's images: the first ``most`` by name (None: all), then by name or newest first."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
     files = files.where(F.regexp_extract(F.lower("name"), r"(\.[a-z]+)$", 1).isin(list(MEDIA)))
-    first = files.orderBy("name").limit(MOST_FILES)
+    first = files.orderBy("name").limit(most) if most else files
     return first.orderBy(F.desc("modified"), "name") if newest_first else first.orderBy("name")
 
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content, error): bytes of files within the size limit; the others carry an error."""
-    files = spark.read.format("binaryFile").load(folder)
-    fits = F.col("length") <= MOST_BYTES
+def contents(spark: SparkSession, folder: str, most: int | None = MOST_BYTES) -> DataFrame:
+    """(path, content, error): bytes of image files of at most ``most`` bytes (None: any); the others carry an error."""
+    files = spark.read.format("binaryFile").load(folder).where(F.regexp_extract(F.lower("path"), r"(\.[a-z]+)$", 1).isin(list(MEDIA)))
+    fits = F.col("length") <= most if most else F.lit(True)
     return files.select("path", F.when(fits, F.col("content")).alias("content"), F.when(~fits, F.lit("too large")).alias("error"))
 
 
+def frame_counts(spark: SparkSession, folder: str, stem: str = "frame-") -> DataFrame:
+    """(folder, n): how many PNG files with the stem each folder under ``folder`` has."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    found = files.where(name.startswith(stem) & F.lower(name).endswith(".png"))
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def strip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(name, frames, path) of a JSON list of strips."""
+    listed = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "array<struct<name:string,frames:int,path:string>>").alias("v"))
+    return listed.select(F.inline("v"))
+
+
 def data_url(content: Column, media: Column) -> Column:
     """Whole bytes as a data URL (needs spark.sql.chunkBase64String.enabled=false for one line)."""
     return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))

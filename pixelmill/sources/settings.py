@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def pairs_of(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(key, value) of lines: blanks and # comments are skipped, ``export`` and quotes taken off, empty values dropped."""
+def pairs_of(lines: DataFrame, column: str = "line", also: tuple[str, ...] = ()) -> DataFrame:
+    """(also, key, value) of lines: blanks and # comments are skipped, ``export`` and quotes taken off, empty values dropped."""
     line = F.trim(F.col(column))
-    rows = lines.select(line.alias("line")).where("line <> '' AND NOT startswith(line, '#') AND contains(line, '=')")
+    rows = lines.select(*also, line.alias("line")).where("line <> '' AND NOT startswith(line, '#') AND contains(line, '=')")
     bare = F.when(F.col("line").startswith("export "), F.substr("line", F.lit(8))).otherwise(F.col("line"))
     parts = F.split(bare, "=", 2)
-    rows = rows.select(F.trim(parts[0]).alias("key"), F.regexp_replace(F.trim(parts[1]), "^[\"']+|[\"']+$", "").alias("value"))
+    rows = rows.select(*also, F.trim(parts[0]).alias("key"), F.regexp_replace(F.trim(parts[1]), "^[\"']+|[\"']+$", "").alias("value"))
     return rows.where("key <> '' AND value <> ''")
 
 
@@ -23,3 +23,19 @@ def read_env(spark: SparkSession, paths: list[str]) -> DataFrame:
         rows = pairs_of(spark.read.text(path).withColumnRenamed("value", "line")).withColumn("i", F.lit(i))
         found = rows if found is None else found.unionByName(rows)
     return found.groupBy("key").agg(F.max_by("value", "i").alias("value"))
+
+
+def merged(pairs: DataFrame, order: str = "source") -> DataFrame:
+    """(key, value) of (order, key, value): of a key the value of the first source in order that gives it one."""
+    given = pairs.where("value IS NOT NULL AND trim(value) <> ''")
+    return given.groupBy("key").agg(F.min_by("value", F.struct(order, "value")).alias("value"))
+
+
+def save_session(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, a session a line."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_session(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Saved sessions; a line that cannot be read is a row of nulls, and a path without files has no rows."""
+    return spark.read.text(path).select(F.from_json("value", schema).alias("s")).select("s.*")

@@ -34,4 +34,4 @@ def test_flagship(spark):
 
     if Path(entry.SF_SMALL).is_dir():
         out = entry.entry(spark)
-        assert out.columns == ["expected", "strips", "exact", "found", "accuracy"] and out.count() > 0
+        assert out.columns == ["expected", "strips", "exact", "found", "accuracy", "passed"] and out.count() > 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.operators import frames as fr
-from pixelmill.operators import kernels, layout, matte, palette, profile
+from pixelmill.operators import extract, kernels, layout, lines, matte, palette, profile
 
 from strip_helpers import canvas, fill, table
 
@@ -53,9 +53,9 @@ def test_touching_bridge_is_cut_between_the_torsos(spark):
     image = fill(fill(fill(canvas(400, 60), 40, 5, 110, 55, GREEN), 110, 28, 250, 32, GREEN), 250, 5, 330, 55, GREEN)
     prof = _runs(spark, image)
     parts = spark.createDataFrame([(0, 40, 330, 2)], "image_id bigint, x0 int, x1 int, n int")
-    (cut,) = profile.cuts(prof, parts, 2).first().cuts
+    (cut,) = profile.cuts(prof, parts).first().cuts
     assert 111 <= cut <= 249
-    peaks = profile.peaks(prof, profile.runs(prof, 4)).collect()
+    peaks = profile.peaks(prof, 4).collect()
     assert len(peaks) == 2
 
 
@@ -73,7 +73,7 @@ def test_grid_rows_are_found_and_a_single_row_is_not_split(spark):
 def test_a_strip_without_gaps_is_cut_into_what_was_asked_for(spark):
     image = fill(fill(canvas(400, 100), 40, 20, 141, 80, GREEN), 120, 20, 221, 80, GREEN)
     prof = profile.smoothed(profile.projected(matte.matted(table(spark, [image]))), 3)
-    found = profile.segments(prof, spark.createDataFrame([(0, 2)], "image_id bigint, expected int"), 400, 4, 4).orderBy("seg").collect()
+    found = profile.segments(prof, spark.createDataFrame([(0, 2)], "image_id bigint, expected int"), 400, 4).orderBy("seg").collect()
     assert len(found) == 2 and found[0].x1 == found[1].x0 and (found[0].x0, found[1].x1) == (0, 400)
 
 
@@ -90,8 +90,170 @@ def test_draw_rects_stand_on_the_bottom_centre(spark):
 
 
 def test_extent_is_the_shortest_stretch(spark):
-    rows = spark.createDataFrame([(0, i, m) for i, m in enumerate([1.0, 1.0, 10.0, 10.0, 10.0, 1.0, 1.0])], "image_id bigint, pos int, mass double")
-    assert profile.extent(rows).first().span == 3
+    mass = [1.0, 1.0, 10.0, 10.0, 10.0, 1.0, 1.0]
+    assert lines.extent_of(np.array(mass), 0.8) == 3 and lines.extent_of(np.zeros(4), 0.8) == 0 and lines.extent_of(np.zeros(0), 0.8) == 0
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        m = rng.integers(0, 6, rng.integers(1, 30)).astype(float)
+        want = min((j - i + 1 for i in range(len(m)) for j in range(i, len(m)) if m.sum() and m[i : j + 1].sum() >= 0.8 * m.sum()), default=0)
+        assert lines.extent_of(m, 0.8) == want
+    image = fill(canvas(40, 30, alpha=0), 5, 6, 25, 16, GREEN)
+    row = profile.extents(table(spark, [image])).first()
+    assert (row.body_w, row.body_h) == (16, 8)
+
+
+def brute_cuts(mass, x0, x1, n):
+    """The cheapest cuts by trying all."""
+    import itertools
+
+    ideal = (x1 - x0) / n
+    least = max(2, int(ideal * 0.45))
+    best = None
+    for cuts in itertools.combinations(range(x0 + least, x1), n - 1):
+        edges = [x0, *cuts, x1]
+        widths = [b - a for a, b in zip(edges[:-1], edges[1:])]
+        if min(widths) < least:
+            continue
+        cost = sum(mass[c] for c in cuts) + sum(0.0015 * (w - ideal) ** 2 for w in widths)
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, list(cuts))
+    return best[1] if best else None
+
+
+def test_cuts_are_the_cheapest_for_any_number(spark):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 4):
+        for _ in range(10):
+            mass = rng.integers(0, 9, 26).astype(float)
+            assert lines.cuts_of(mass, 2, 25, n) == brute_cuts(mass, 2, 25, n)
+    assert lines.cuts_of(np.zeros(10), 0, 10, 6) is None
+    # fifteen figures that touch, in a strip of 4,096 columns
+    mass = np.full(4096, 50.0)
+    gaps = [273 * k for k in range(1, 15)]
+    mass[gaps] = 1.0
+    assert lines.cuts_of(mass, 0, 4095, 15) == gaps
+    rows = spark.createDataFrame([(0, i, float(m)) for i, m in enumerate(mass)], "image_id bigint, pos int, mass double")
+    found = profile.segments(rows, spark.createDataFrame([(0, 15)], "image_id bigint, expected int"), 4096, 40).orderBy("seg").collect()
+    assert len(found) == 15 and all(abs(r.x1 - r.x0 - 273) <= 2 for r in found)
+
+
+def test_peaks_of_a_wide_profile_equal_the_plain_rule():
+    rng = np.random.default_rng(5)
+    for width in (40, 300, 4096):
+        mass = np.convolve(rng.random(width), np.ones(5) / 5, "same") * 100
+        cand = [i for i in range(1, width - 1) if mass[i] >= mass[i - 1] and mass[i] > mass[i + 1] and mass[i] >= 0.45 * mass.max()]
+        if width > 300:
+            cand = cand[:60]
+            mass = mass[: cand[-1] + 3]
+            cand = [i for i in range(1, len(mass) - 1) if mass[i] >= mass[i - 1] and mass[i] > mass[i + 1] and mass[i] >= 0.45 * mass.max()]
+        kept = [c for c in cand if not any(o != c and mass[o] >= mass[c] and mass[min(c, o) : max(c, o) + 1].min() > 0.62 * mass[c] for o in cand)]
+        assert lines.peaks_of(mass, 0, len(mass)) == (kept or cand[:1] or [len(mass) // 2])
+
+
+def test_frames_of_other_sizes_or_with_gaps_are_not_compared(spark):
+    same = [fill(canvas(40, 40, (0, 0, 0), 0), 8, 8, 24, 30, c) for c in (BLUE, GREEN)]
+    small = fill(canvas(30, 40, (0, 0, 0), 0), 8, 8, 24, 30, BLUE)
+    rows = table(spark, [same[0], small, same[1]], frames=True)
+    assert fr.scores(rows).first().motion == 0 and fr.scores(rows).first().identity == 0
+    gap = table(spark, [same[0], same[0], same[1]], frames=True).where("frame <> 1")
+    assert fr.scores(gap).first().motion == 0
+    both = table(spark, [same[0], same[1], small, small], frames=True)
+    want = fr.scores(table(spark, same, frames=True)).first().identity
+    assert abs(fr.scores(both).first().identity - (want + 1) / 2) < 1e-9
+
+
+def test_kernels_over_clustered_pixels_equal_grouped_ones(spark):
+    rng = np.random.default_rng(6)
+    images = [canvas(33, 21, GREEN, 0) for _ in range(4)]
+    for image in images:
+        image[..., 3] = np.where(rng.random((21, 33)) < 0.6, 255, 0)
+    rows = table(spark, images).withColumn("is_opaque", F.col("a") > 10).coalesce(1)
+    a, b = (kernels.components(rows, clustered=c, also=("a",)) for c in (False, True))
+    assert a.count() == b.count() == a.intersect(b).count()
+    a, b = (kernels.flooded(rows, "is_opaque", clustered=c) for c in (False, True))
+    assert 0 < a.count() == b.count() == a.intersect(b).count()
+
+
+def test_a_spiral_is_one_component():
+    n = 201
+    mask, x, y, dx, dy = np.zeros((n, n), bool), 0, 0, 1, 0
+    for _ in range(n * n):
+        mask[y, x] = True
+        ahead = (x + 2 * dx, y + 2 * dy)
+        if not (0 <= x + dx < n and 0 <= y + dy < n) or (0 <= ahead[0] < n and 0 <= ahead[1] < n and mask[ahead[1], ahead[0]]):
+            dx, dy = -dy, dx
+            if mask[y + dy, x + dx] or (0 <= y + 2 * dy < n and 0 <= x + 2 * dx < n and mask[y + 2 * dy, x + 2 * dx]):
+                break
+        x, y = x + dx, y + dy
+    label = kernels._labels(mask)
+    assert mask.sum() > n * 50 and set(np.unique(label)) == {-1, 0} and (kernels._outside(mask) == mask).all()
+
+
+def test_contents_fall_back_to_columns_when_a_span_owns_nothing(spark):
+    bar = fill(canvas(60, 20, alpha=0), 5, 5, 55, 15, GREEN)
+    labelled = kernels.components(table(spark, [bar]).withColumn("is_opaque", F.col("a") > 10), also=("a",))
+    spans = spark.createDataFrame([(0, 0, 0, 30), (0, 1, 30, 60)], "image_id bigint, seg int, x0 int, x1 int")
+    found = profile.measured(profile.owned_pixels(labelled, spans)).orderBy("seg").collect()
+    assert [(r.min_x, r.max_x, r.min_y, r.max_y) for r in found] == [(5, 29, 5, 14), (30, 54, 5, 14)]
+
+
+def test_grids_are_extracted_row_by_row(spark):
+    grid = canvas(300, 200, alpha=0)
+    for k in range(5):
+        x, y = 20 + 100 * (k % 3), 20 + 100 * (k // 3)
+        fill(grid, x, y, x + 60, y + 60, GREEN)
+    want = spark.createDataFrame([(0, 5)], "image_id bigint, expected int")
+    rows = extract.figures(table(spark, [grid]), want, 300, 200).orderBy("seg").collect()
+    assert [(r.seg, r.min_x, r.min_y) for r in rows] == [(0, 20, 20), (1, 120, 20), (2, 220, 20), (3, 20, 20), (4, 120, 20)]
+    placed = extract.extracted(table(spark, [grid]), want, 300, 200, 64, 4).collect()
+    assert len(placed) == 5 and {r.found for r in placed} == {5} and all(r.left >= 0 and r.left + r.sw <= 64 and r.top + r.sh == 60 for r in placed)
+
+
+def test_states_that_play_once_are_tagged(spark):
+    import json
+
+    sets = _set(spark, [(4, 4, 20, 30)] * 2).unionByName(_set(spark, [(4, 4, 20, 30)] * 3).withColumn("image_id", F.lit(1).cast("bigint")))
+    states = spark.createDataFrame([(0, 7, 0, 8), (1, 7, 1, 12)], "image_id bigint, sheet bigint, row int, fps int")
+    cells = layout.atlas(sets, states, 32, 32).withColumn("loop", F.col("image_id") == 0)
+    meta = json.loads(layout.sheet_json(cells, 32, 32).first().json)["meta"]
+    assert [t.get("repeat") for t in meta["frameTags"]] == [None, "1"] and meta["size"] == {"w": 96, "h": 64} and meta["format"] == "RGBA8888"
+
+
+def test_panels_crops_and_gaps(spark):
+    image = fill(fill(canvas(40, 10, alpha=0), 2, 2, 8, 8, GREEN), 16, 2, 20, 8, GREEN)
+    rows = table(spark, [image])
+    assert [(r.x0, r.x1) for r in profile.gap_runs(profile.opaque_columns(rows), 6).orderBy("x0").collect()] == [(2, 8), (16, 20)]
+    assert [(r.x0, r.x1) for r in profile.gap_runs(profile.opaque_columns(rows), 9).orderBy("x0").collect()] == [(2, 20)]
+    crop = layout.cropped(rows, 2, 2, 6, 6)
+    assert crop.count() == 36 and crop.agg(F.max("x"), F.max("y"), F.min("a")).first() == (5, 5, 255)
+    panels = rows.withColumn("sheet", F.lit(0)).withColumn("panel", F.lit(0)).unionByName(crop.withColumn("sheet", F.lit(0)).withColumn("panel", F.lit(1)))
+    wide, high = (layout.stacked(panels, 4, vertical).where("panel = 1").agg(F.min("x"), F.min("y")).first() for vertical in (False, True))
+    assert tuple(wide) == (44, 0) and tuple(high) == (0, 14)
+
+
+def test_composing_over_a_ground(spark):
+    under = table(spark, [canvas(4, 4, (10, 20, 30))])
+    top = canvas(4, 4, (200, 100, 0), 0)
+    top[1, 1, 3], top[2, 2, 3] = 255, 128
+    found = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in layout.over(under, table(spark, [top])).collect()}
+    assert found[0, 0] == (10, 20, 30, 255) and found[1, 1] == (200, 100, 0, 255) and found[2, 2] == (105, 60, 15, 255)
+    clear = table(spark, [canvas(2, 1, (9, 9, 9), 0)])
+    assert {r.a for r in layout.over(clear, clear).collect()} == {0}
+
+
+def test_snapping_to_the_grid_that_a_set_shows(spark):
+    rng = np.random.default_rng(8)
+    frames = []
+    for _ in range(2):
+        blocks = rng.integers(0, 2, (10, 10))
+        image = canvas(40, 40, GREEN)
+        image[np.kron(blocks, np.ones((4, 4), int)) > 0, :3] = BLUE
+        image[3, 5, :3] = GREEN if (image[3, 5, :3] == BLUE).all() else BLUE  # one pixel off the grid
+        frames.append(image)
+    rows = table(spark, frames, frames=True)
+    sizes = spark.createDataFrame([(0, 40, 40)], "image_id bigint, w int, h int")
+    out = palette.post_processed(rows, palette.shared_palette(rows, 8), sizes)
+    assert out.count() == 3200 and out.groupBy("frame", F.expr("x div 4"), F.expr("y div 4")).agg(F.countDistinct("r", "g", "b").alias("n")).where("n > 1").count() == 0
 
 
 def test_components_in_scan_order_and_flood(spark):
