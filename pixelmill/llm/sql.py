@@ -29,8 +29,9 @@ lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[{_BLANK}]*[-*•]')) AS n_bullet_lines,
     count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[{_BLANK}]*$')) AS n_ellipsis_lines, count(*) FILTER (len(regexp_extract_all(line, '[^{_BLANK}]+')) <= 3) AS n_short_lines
   FROM lines WHERE regexp_matches(line, '[^{_BLANK}]') GROUP BY rid),
-wins AS (SELECT rid, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) >= 8),
-seen AS (SELECT rid, s, count(*) OVER (PARTITION BY rid, list_slice(w, s, s + 7)) AS n FROM wins),
+wd AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM d),
+wins AS (SELECT rid, s, lead(word, 7) OVER o AS far, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 8))}) AS g FROM wd WINDOW o AS (PARTITION BY rid ORDER BY s)),
+seen AS (SELECT rid, s, count(*) OVER (PARTITION BY rid, g) AS n FROM wins WHERE far IS NOT NULL),
 rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(s, s + 8)) AS p FROM seen WHERE n > 1) GROUP BY rid),
 m AS (SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS bigint) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
