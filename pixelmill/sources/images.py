@@ -46,7 +46,7 @@ def frame_counts(spark: SparkSession, folder: str, stem: str = "frame-") -> Data
 
 def strip_entries(spark: SparkSession, path: str) -> DataFrame:
     """(name, frames, path) of a JSON list of strips."""
-    listed = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "array<struct<name:string,frames:int,path:string>>").alias("v"))
+    listed = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<name:string,frames:int,path:string>>").alias("v"))
     return listed.select(F.inline("v"))
 
 
@@ -102,24 +102,25 @@ def decode_png(content: bytes) -> np.ndarray:
 
 
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A line without its filter; only the two that depend on the pixel before in a way that is no sum go pixel by pixel."""
     if kind == 0:
         return line
+    if kind == 1:
+        return (line.reshape(-1, step).cumsum(axis=0) & 255).reshape(-1)
     if kind == 2:
         return (line + above) & 255
-    out = line.copy()
-    for i in range(len(line)):
+    out, before = [], above.tolist()
+    for i, value in enumerate(line.tolist()):
         left = out[i - step] if i >= step else 0
-        if kind == 1:
-            guess = left
-        elif kind == 3:
-            guess = (left + above[i]) >> 1
+        up = before[i]
+        if kind == 3:
+            guess = (left + up) >> 1
         else:
-            corner = above[i - step] if i >= step else 0
-            p = left + above[i] - corner
-            a, b, c = abs(p - left), abs(p - above[i]), abs(p - corner)
-            guess = left if a <= b and a <= c else above[i] if b <= c else corner
-        out[i] = (line[i] + guess) & 255
-    return out
+            corner = before[i - step] if i >= step else 0
+            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if a <= b and a <= c else up if b <= c else corner
+        out.append((value + guess) & 255)
+    return np.array(out, dtype=np.int64)
 
 
 def _chunk(kind: bytes, part: bytes) -> bytes:
