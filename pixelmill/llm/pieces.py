@@ -164,7 +164,7 @@ class Trellis:
         self.marks = marks
         self.lone_mark = self.id.get(MARK, self.other)
         self._index()
-        self.pairs = Table(21)
+        self.pairs: Table | None = None  # made where it is used, so that it does not travel
 
     def _index(self) -> None:
         """The pieces as a tree over characters, the joins of two pieces, and the characters that stand side by side."""
@@ -244,6 +244,8 @@ class Trellis:
     def side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two pieces may stand beside each other on an admitted path (the start and unknown characters always may)."""
         keys = left.astype(np.int64) * self.base + right
+        if self.pairs is None:
+            self.pairs = Table(21)
         out = self.pairs.get(keys)
         out[(left < 0) | (left == self.other) | (right == self.other)] = 1
         new = np.flatnonzero(out < 0)
