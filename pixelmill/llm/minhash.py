@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import content_key, fresh, scratch, stored, text_of
 from .components import components
-from .words import ALNUM, LOWER, blocks, fingerprints, mix, texts_of, windows
+from .words import ALNUM, LOWER, blocks, fingerprints, mix, new_key, texts_of, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -131,7 +131,7 @@ def _allowed(threshold: float, registers: int) -> int:
     return int(registers * differ + DEVIATIONS * (registers * differ * (1 - differ)) ** 0.5)
 
 
-def _sign(bands: int, per_band: int):
+def _sign(bands: int, per_band: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -139,7 +139,7 @@ def _sign(bands: int, per_band: int):
             for first, last in blocks(offsets, SIGN_BYTES):
                 at = offsets[first : last + 1]
                 part = data[at[0] : at[-1]]
-                _, _, found, counts = fingerprints(part, at - at[0], ALNUM, LOWER)
+                _, _, found, counts = fingerprints(part, at - at[0], ALNUM, LOWER, key)
                 n = last - first
                 cuts = np.concatenate([[0], np.cumsum(counts)])
                 shingles = [_weights(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -196,26 +196,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above[common] / x[common] + below[common] / y[common])).sum())
 
 
-def _weighted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The weighted shingles of a column of texts."""
+def _weighted(column: pa.Array, key: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted shingles of a column of texts; they meet under one ``key`` only."""
     data, offsets = texts_of(column)
     out = []
     for first, last in blocks(offsets):
         at = offsets[first : last + 1]
-        _, _, found, counts = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER)
+        _, _, found, counts = fingerprints(data[at[0] : at[-1]], at - at[0], ALNUM, LOWER, key)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         out += [_weights(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, key: int):
     """Pairs at the threshold or over it; the rows of one left text come together and its shingles are weighed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 400) for whole in batches for at in range(0, whole.num_rows, 400)):
             ids = batch.column(0).to_numpy()
             new = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if len(ids) else 0))
-            left, right = _weighted(batch.column(2).take(pa.array(new))), _weighted(batch.column(3))
+            left, right = _weighted(batch.column(2).take(pa.array(new)), key), _weighted(batch.column(3), key)
             of = np.searchsorted(new, np.arange(len(ids)), "right") - 1
             alike = np.array([similarity(left[k], b) for k, b in zip(of.tolist(), right, strict=True)])
             keep = pa.array(np.flatnonzero(alike >= threshold))
@@ -227,15 +227,16 @@ def _verify(threshold: float):
 def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, keep=stored) -> DataFrame:
     """Every row with a key of its own, what names its text, its words' class and its band keys, written to the shared folder."""
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("string").alias("text"), content_key(text_col).alias("tkey"))
-    return keep(rows.mapInArrow(_sign(bands, per_band), "uid bigint, doc_id bigint, tkey binary, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
+    return keep(rows.mapInArrow(_sign(bands, per_band, new_key()), "uid bigint, doc_id bigint, tkey binary, words binary, n_words bigint, keys array<bigint>, sketch array<bigint>"), "signatures")
 
 
 def _cards(texts: DataFrame) -> DataFrame:
     """The weighted shingles of classes: id, elements (sorted), weights."""
+    key = new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = _weighted(batch.column(1))
+            cells = _weighted(batch.column(1), key)
             offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in cells])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([c[k] for c in cells]).astype(np.int64) if cells else np.zeros(0, np.int64))) for k in (0, 1)]
             yield pa.record_batch([batch.column(0), *lists], names=["id", "elements", "weights"])
@@ -366,7 +367,7 @@ class _Linker:
         texts = self.texts(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), 2 * n)
         left = texts.withColumnsRenamed({"id": "src", "text": "src_text"}).join(pairs.select("src").distinct(), "src", "left_semi")
         both = pairs.join(texts.withColumnsRenamed({"id": "dst", "text": "dst_text"}), "dst").join(left, "src").select("src", "dst", "src_text", "dst_text")
-        return self.keep(both.mapInArrow(_verify(self.threshold), "src bigint, dst bigint, similarity double"), "links")
+        return self.keep(both.mapInArrow(_verify(self.threshold, new_key()), "src bigint, dst bigint, similarity double"), "links")
 
     def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Links (src, dst, similarity) that join groups sharing a bucket, from all pairs between them."""

@@ -1,8 +1,9 @@
 """Personal data: fixed forms, and bootstrapped extraction from the words around them.
 
 The fixed forms (e-mail, ip, card, phone) give the seeds. Each mention, a seed or another string shaped
-like an identifier, stands in lexical patterns: the whole words left and right of it (one of over ``LONG`` characters
-by its digest, so that no pattern is long and no two different words meet). Patterns and instances
+like an identifier, stands in lexical patterns: the words left and right of it, whole or as far as the mention leaves
+them (one of over ``LONG`` characters by a keyed digest, so that no pattern is long and no two different words meet).
+A text is cut into words once and a long word is read once, however many mentions stand in it. Patterns and instances
 form a bipartite graph that Spark scores in rounds: a pattern's confidence for a kind is the share of
 its known instances that are of the kind, an unseen instance's score is the noisy-or of the confident
 patterns that it stands in. Unseen instances count by their score, those without one do not count, so scores only
@@ -16,9 +17,10 @@ input columns other than the two named are not read, and helper columns get name
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import content_key, fresh, scratch, stored
+from .words import new_key
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
@@ -164,60 +167,86 @@ def _runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     return out
 
 
-def _named_word(word: str) -> str:
-    word = _DIGITS.sub("0", word.lower())
-    return word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
-
-
-def _left(text: str, at: int) -> tuple[str, int]:
-    """The last whole word before a place, and where it begins."""
-    while at and not (text[at - 1].isalnum() or text[at - 1] == "_"):
-        at -= 1
-    end = at
-    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
-        at -= 1
-    return text[at:end], at
-
-
-def _patterns(text: str, first: int, last: int) -> list[str]:
-    """The lexical patterns of a place: whole words beside it, lower-cased, digits as 0."""
-    near, at = _left(text, first)
-    if not near:
-        return []
-    far, after = _left(text, at)[0], _WORD.search(text, last)
-    near = _named_word(near)
-    out = [f"{near} _"]
-    if far:
-        out.append(f"{_named_word(far)} {near} _")
-    if after:
-        out.append(f"{near} _ {_named_word(after[0])}")
-    return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        base_col, mention_col = [], []
-        for value in batch.column(1):
-            text = value.as_py() or ""
-            if not _HINT.search(text):
-                base_col.append([])
-                mention_col.append([])
-                continue
-            base = find_base(text)
-            rows = [(a, b, k, 0) for a, b, k in base] + [(a, b, -1, s) for a, b, s in _candidates(text, base)]
-            base_col.append([{"first": a, "last": b, "kind": k} for a, b, k in base])
-            mention_col.append([{"first": a, "last": b, "kind": k, "instance": text[a:b].lower(), "shapes": s, "patterns": _patterns(text, a, b)} for a, b, k, s in rows])
-        n = batch.num_rows
-        yield pa.record_batch([pa.array(range(uid, uid + n), pa.int64()), batch.column(0), pa.array(base_col, pa.list_(_SPAN)), pa.array(mention_col, pa.list_(_MENTION))], names=["uid", "doc_id", "base", "mentions"])
-        uid += n
+class _Contexts:
+    """The words of one text, and the lexical patterns of places in it."""
+
+    PRIME = (1 << 127) - 1
+
+    def __init__(self, text: str, places: list[tuple[int, int]], key: int):
+        self.text, self.base = text, (key << 60) | 3
+        self.starts, self.ends = array("q"), array("q")
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+        self.sums: dict[int, int] = {}
+        cuts = sorted({x for place in places for x in place})
+        done = -1
+        for x in cuts:  # running sums of the long words that a place touches or stands beside
+            for k in (bisect_left(self.starts, x) - 2, bisect_left(self.starts, x) - 1, bisect_right(self.ends, x)):
+                if done < k < len(self.starts) and self.ends[k] - self.starts[k] > LONG:
+                    self._sum(self.starts[k], self.ends[k], cuts)
+                    done = k
+
+    def _sum(self, start: int, end: int, cuts: list[int]) -> None:
+        value, at, prime, base = 0, start, self.PRIME, self.base
+        for cut in [start, *cuts[bisect_right(cuts, start) : bisect_left(cuts, end)], end]:
+            for c in self.text[at:cut]:
+                value = (value * base + (48 if "0" <= c <= "9" else ord(c.lower()[0]))) % prime
+            self.sums[cut], at = value, cut
+
+    def word(self, start: int, end: int) -> str:
+        """A word or a part of one: lower-cased, digits as 0; if long, by its digest."""
+        if end - start <= LONG:
+            return _DIGITS.sub("0", self.text[start:end].lower())
+        return f"#{end - start}.{(self.sums[end] - self.sums[start] * pow(self.base, end - start, self.PRIME)) % self.PRIME:x}"
+
+    def patterns(self, first: int, last: int) -> list[str]:
+        k = bisect_left(self.starts, first) - 1
+        if k < 0:
+            return []
+        near = self.word(self.starts[k], min(self.ends[k], first))
+        out = [f"{near} _"]
+        if k:
+            out.append(f"{self.word(self.starts[k - 1], self.ends[k - 1])} {near} _")
+        after = bisect_right(self.ends, last)
+        if after < len(self.ends):
+            out.append(f"{near} _ {self.word(max(self.starts[after], last), self.ends[after])}")
+        return out
+
+
+def _patterns(text: str, first: int, last: int, key: int = 0) -> list[str]:
+    """The lexical patterns of one place."""
+    return _Contexts(text, [(first, last)], key).patterns(first, last)
+
+
+def _scan(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            base_col, mention_col = [], []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                if not _HINT.search(text):
+                    base_col.append([])
+                    mention_col.append([])
+                    continue
+                base = find_base(text)
+                rows = [(a, b, k, 0) for a, b, k in base] + [(a, b, -1, s) for a, b, s in _candidates(text, base)]
+                words = _Contexts(text, [r[:2] for r in rows], key) if rows else None
+                base_col.append([{"first": a, "last": b, "kind": k} for a, b, k in base])
+                mention_col.append([{"first": a, "last": b, "kind": k, "instance": text[a:b].lower(), "shapes": s, "patterns": words.patterns(a, b)} for a, b, k, s in rows])
+            n = batch.num_rows
+            yield pa.record_batch([pa.array(range(uid, uid + n), pa.int64()), batch.column(0), pa.array(base_col, pa.list_(_SPAN)), pa.array(mention_col, pa.list_(_MENTION))], names=["uid", "doc_id", "base", "mentions"])
+            uid += n
+
+    return run
 
 
 def scan(documents: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", keep=stored) -> DataFrame:
     """Base spans and mentions of every text, written to the shared folder; ids may be of any type."""
     key = F.col(id_col).cast("bigint") if isinstance(id_col, str) else id_col
     rows = documents.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return keep(rows.mapInArrow(_scan, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())), "mentions")
+    return keep(rows.mapInArrow(_scan(new_key()), SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())), "mentions")
 
 
 def bootstrap(scanned: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
@@ -279,6 +308,9 @@ def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
     texts = []
     for value, cell in zip(text, spans, strict=True):
         whole, parts, at = value.as_py(), [], 0
+        if whole is None:
+            texts.append(None)
+            continue
         for s in sorted(cell.as_py(), key=lambda s: (s["first"], s["kind"], s["last"])):
             if s["first"] >= at:
                 parts += [whole[at : s["first"]], f"[{KINDS[s['kind']].upper()}]"]
@@ -299,6 +331,6 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("spans")).first()
     few = size["rows"] <= FEW_ROWS and size["spans"] <= FEW_SPANS
     marked = documents.withColumn(key, content_key(text_col)).join(F.broadcast(found) if few else found, key, "left")
-    # only texts with spans go through Python
-    changed = marked.where(F.col(spans).isNotNull()).withColumn(text_col, _redacted(F.col(text_col), F.col(spans)))
-    return marked.where(F.col(spans).isNull()).select(*documents.columns).unionByName(changed.select(*documents.columns))
+    # only texts with spans are sent to Python; the others pass as null
+    changed = _redacted(F.when(F.col(spans).isNotNull(), F.col(text_col)), F.col(spans))
+    return marked.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(changed)).select(*documents.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .words import BLANK, SAME, blocks, fingerprints, mix, texts_of, windows
+from .words import BLANK, SAME, blocks, fingerprints, mix, new_key, texts_of, windows
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals",
@@ -82,6 +82,8 @@ _HEAD = (_code & 0xC0) != 0x80  # the first byte of a character
 _BEYOND = _code >= 0xC0
 _BULLET = _bytes("-*")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words and lines are compared within a text only, so every worker may have a key of its own.
+_KEY = new_key()
 _ROUND, _DOTS = np.frombuffer("•".encode(), np.uint8), np.frombuffer("…".encode(), np.uint8)
 
 
@@ -102,7 +104,7 @@ def _distinct(prints: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def _stop_prints() -> np.ndarray:
     data, offsets = texts_of(pa.array(STOP_WORDS))
-    return fingerprints(data, offsets, BLANK, SAME)[2]
+    return fingerprints(data, offsets, BLANK, SAME, _KEY)[2]
 
 
 def _repeated(prints: np.ndarray, of_word: np.ndarray, rows: int) -> np.ndarray:
@@ -133,7 +135,7 @@ def _measure_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     rows = len(offsets) - 1
     if not len(data):
         return [np.zeros(rows, dtype=np.int64)] * len(MEASURES)
-    begins, finishes, prints, n_words = fingerprints(data, offsets, BLANK, SAME)
+    begins, finishes, prints, n_words = fingerprints(data, offsets, BLANK, SAME, _KEY)
     of_word = np.repeat(np.arange(rows), n_words)
     head = _HEAD[data]
     chars = _running(head)
@@ -142,7 +144,7 @@ def _measure_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     longest = np.zeros(rows, dtype=np.int64)
     np.maximum.at(longest, of_word, size)
 
-    starts, ends, lines, n_lines = fingerprints(data, offsets, _LINE, SAME)
+    starts, ends, lines, n_lines = fingerprints(data, offsets, _LINE, SAME, _KEY)
     first, last = np.searchsorted(begins, starts), np.searchsorted(begins, ends)  # the words of each line
     wordy = last > first
     of_line = np.repeat(np.arange(rows), n_lines)[wordy]

@@ -3,11 +3,15 @@
 Two word classes are in use. ``ALNUM``: after lower-casing A-Z, runs of 0-9, a-z and everything
 beyond ASCII. ``BLANK``: runs of anything but space and the controls 0x09 to 0x0D. Every UTF-8 byte
 of a character beyond ASCII is 0x80 or more, so both classes can be told byte by byte.
+
+Fingerprints that decide results are keyed: the driver draws a key for each run and hands it to the tasks, so whoever
+writes texts cannot know which words would meet. What is left is chance, 5e-20 for a pair of words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,7 @@ BLOCK_BYTES = 1 << 19
 SHORT_BYTES = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,31 +68,43 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each of the byte ranges: the length, then every eight bytes, each mixed into what came before.
+def new_key() -> int:
+    """A key for one run; tasks whose fingerprints meet must share it."""
+    return secrets.randbits(64)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """64 bits for each of the byte ranges, of the length and every eight bytes.
 
-    Mixing is not linear in the bytes, so no family of ranges collides by construction; two given ranges of up to
-    eight bytes and one length never do.
+    Two lanes of 64 bits take in the same bytes in different ways, each step is mixed with parts of the key, and
+    both lanes meet only at the end: eight bytes that make one lane equal leave the other one apart, and without the
+    key neither can be computed.
     """
     size = ends - starts
-    out = mix(size.astype(np.uint64) * _STEP)
+    one, two, three = mix(np.uint64(key) + _STEP * np.arange(1, 4, dtype=np.uint64))
+    a = mix(size.astype(np.uint64) * _STEP ^ one)
+    b = mix(size.astype(np.uint64) + two)
     eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     live = np.flatnonzero(size <= SHORT_BYTES)
     at = 0
     while len(live):
         left = size[live] - at
-        out[live] = mix((out[live] ^ (eight[starts[live] + at] & _KEEP[np.minimum(left, 8)])) + _STEP)
+        block = eight[starts[live] + at] & _KEEP[np.minimum(left, 8)]
+        a[live] = mix((a[live] ^ block) + one)
+        b[live] = mix((b[live] + (block ^ three)) * _ODD ^ two)
         at += 8
         live = live[left > 8]
+    out = mix(a ^ (b << np.uint64(32) | b >> np.uint64(32)))
+    secret = int(three).to_bytes(8, "little")
     for i in np.flatnonzero(size > SHORT_BYTES):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=secret).digest(), "little")
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fingerprints(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start byte, end byte, fingerprint of each word, and each row's number of words.
 
-    ``kind`` says which bytes are of a word, ``fold`` maps bytes before they are hashed.
+    ``kind`` says which bytes are of a word, ``fold`` maps bytes before they are hashed; words meet under one ``key`` only.
     """
     n = len(data)
     if not n:
@@ -101,7 +118,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold:
     finishes = inside
     finishes[:-1] &= ~kind[data[1:]] | cut[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    found = _hashes(fold[data], starts, ends)
+    found = _hashes(fold[data], starts, ends, key)
     counts = np.diff(np.searchsorted(starts, offsets))
     return starts, ends, found, counts
 
@@ -114,5 +131,5 @@ def windows(prints: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + prints[i : i + n]
+            out = (out ^ (out >> np.uint64(32))) * _ODD + prints[i : i + n]
     return mix(out)

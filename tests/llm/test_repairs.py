@@ -37,6 +37,36 @@ def test_built_collisions_are_told_apart(spark):
     assert {r.doc_id for r in dc.decontaminate(docs, items).where("n_hit > 0").collect()} == {1, 2}
 
 
+def test_second_halves_computed_without_the_key_do_not_collide(spark):
+    """Halves of 16 bytes that meet under a plain chain of bijections, and under this hash with another key."""
+    from pixelmill.llm import words
+
+    rng = np.random.default_rng(7)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    pairs = [("rs18bf38il5pj3jo", "or4felip8wtexjf9")]
+    # for one half of a pair, look for second halves that make either lane equal under key 0
+    halves = ["".join(map(chr, rng.choice(letters, 8))) for _ in range(2000)]
+    for key in (0, 1, words.new_key()):
+        data, offsets = texts_of(pa.array([a + b for a in halves[:40] for b in halves[40:90]] + list(pairs[0])))
+        found = fingerprints(data, offsets, ALNUM, LOWER, key)[2]
+        assert len(np.unique(found)) == len(found)
+    a, b = pairs[0]
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, a), (3, b)], "doc_id bigint, text string")
+    assert quality.assess(docs).where("doc_id = 1").first().n_dup_lines == 0
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    items = spark.createDataFrame([(7, a)], "item_id bigint, text string")
+    assert {r.doc_id for r in dc.decontaminate(docs, items).where("n_hit > 0").collect()} == {1, 2}
+
+
+def test_contexts_of_one_long_word_are_linear():
+    import time
+
+    text, began = "a4111111111111111b" * 60_000, time.time()
+    base = pii.find_base(text)
+    words = pii._Contexts(text, [s[:2] for s in base], 5)
+    assert len([words.patterns(a, b) for a, b, _ in base]) == 60_000 and time.time() - began < 10
+
+
 def test_fingerprints_of_random_words_are_distinct():
     rng = np.random.default_rng(2)
     words = list({"".join(rng.choice(list("abc"), rng.integers(1, 90))) for _ in range(20_000)})
@@ -103,9 +133,9 @@ def test_blocks_are_bounded_by_length_even_for_one_id(spark, monkeypatch):
     sizes = []
     whole = dc.Query.__init__
 
-    def counted(self, items, size):
+    def counted(self, items, *rest):
         sizes.append(sum(map(len, items.column(1).to_pylist())))
-        whole(self, items, size)
+        whole(self, items, *rest)
 
     monkeypatch.setattr(dc.Query, "__init__", counted)
     items = spark.createDataFrame([(1, f"word{i} " * 140) for i in range(40)], "item_id bigint, text string")
