@@ -104,3 +104,18 @@ own AS (SELECT b, arg_max(verdict, length(h) + length(p)) AS verdict FROM member
 taken AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' ELSE 'allow' END AS taken FROM reach LEFT JOIN own USING (b) GROUP BY a)
 SELECT page_id, host, path, rule, coalesce(best.verdict, taken.taken, 'allow') AS verdict FROM u LEFT JOIN best USING (rid) LEFT JOIN taken USING (node)
 """
+
+#: Windows are compared as whole lists of words; a word goes if one of the 20 windows that end at or behind it was there before.
+SUBSTRINGS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+dups AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM wins) WHERE k > 1),
+tokens AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+marked AS (
+  SELECT t.doc_id, t.i, t.word, max(d.i IS NOT NULL) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM tokens t LEFT JOIN dups d ON d.doc_id = t.doc_id AND d.i = t.i
+),
+left_over AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over l ON l.doc_id = w.doc_id
+"""
