@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, milclassifier, minhash, pieces, pii, quality, secrets, sql, substrings, urls, warc
+from . import decontamination, licenses, milclassifier, minhash, pieces, pii, prefixes, quality, secrets, sql, substrings, urls, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents")).drop("factors")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_substring_dedup": op13_substring_dedup,
     "quality_ablation": quality_ablation,
 }
@@ -79,5 +84,6 @@ ORACLES = {
     "op4_quality_rules": sql.QUALITY,
     "quality_ablation": sql.ABLATION,
     "op9_decontamination": sql.DECONTAMINATION,
+    "op11_prefix_trie": sql.PREFIXES,
     "op13_substring_dedup": sql.SUBSTRINGS,
 }

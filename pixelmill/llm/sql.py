@@ -119,3 +119,24 @@ left_over AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' O
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN left_over l ON l.doc_id = w.doc_id
 """
+
+#: CRC-32 of a number's decimal digits, bit by bit (3988292384 is the polynomial, reflected).
+_CRC = "xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda v, b: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(v, b)), 4294967295::BIGINT), 4294967295)"
+
+PREFIXES = rf"""
+WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) - 1 AS place, {{'role': role, 'text': text}} AS said FROM said),
+convs AS (SELECT c, c - c % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, t.place, t.said FROM convs JOIN t ON t.c = convs.base AND t.place < convs.h
+  UNION ALL SELECT convs.c, 1, t.place, t.said FROM convs JOIN t ON t.c = convs.c AND t.place >= convs.h
+),
+paths AS (SELECT convs.c, coalesce(list(said ORDER BY part, place) FILTER (said IS NOT NULL), []) AS path FROM convs LEFT JOIN rebuilt ON rebuilt.c = convs.c GROUP BY convs.c),
+steps AS (SELECT c, path[1:d] AS node, d, len(path) = d AS ends FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM paths)),
+nodes AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended FROM steps GROUP BY node, d),
+kids AS (SELECT node[1:d-1] AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+worth AS (SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(nodes.node[-1].text, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes LEFT JOIN kids ON kids.node = nodes.node AND kids.d = nodes.d),
+below AS (SELECT node[1:k] AS node, k AS d, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT node, n_children, saved, unnest(range(d + 1)) AS k FROM worth) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, below.n_leaves::BIGINT AS n_leaves, below.saved_tokens::BIGINT AS saved_tokens, sha256(w.ended) AS ends_sha256
+FROM worth w JOIN below ON below.node = w.node AND below.d = w.d LEFT JOIN nodes p ON p.d = w.d - 1 AND p.node = w.node[1:w.d-1]
+"""
