@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, milclassifier, minhash, pieces, pii, prefixes, quality, secrets, sql, substrings, urls, warc
+from . import collocations, decontamination, licenses, milclassifier, minhash, pieces, pii, prefixes, quality, secrets, sql, substrings, urls, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents")).drop("factors")
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_substring_dedup": op13_substring_dedup,
     "quality_ablation": quality_ablation,
 }
@@ -85,5 +90,6 @@ ORACLES = {
     "quality_ablation": sql.ABLATION,
     "op9_decontamination": sql.DECONTAMINATION,
     "op11_prefix_trie": sql.PREFIXES,
+    "op12_collocations": sql.COLLOCATIONS,
     "op13_substring_dedup": sql.SUBSTRINGS,
 }

@@ -140,3 +140,25 @@ below AS (SELECT node[1:k] AS node, k AS d, sum((n_children = 0)::BIGINT) AS n_l
 SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, below.n_leaves::BIGINT AS n_leaves, below.saved_tokens::BIGINT AS saved_tokens, sha256(w.ended) AS ends_sha256
 FROM worth w JOIN below ON below.node = w.node AND below.d = w.d LEFT JOIN nodes p ON p.d = w.d - 1 AND p.node = w.node[1:w.d-1]
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+phrases AS (SELECT lang, 1 AS k, ws[i:i] AS p FROM places UNION ALL SELECT lang, 2, ws[i:i+1] FROM places WHERE i + 1 <= len(ws) UNION ALL SELECT lang, 3, ws[i:i+2] FROM places WHERE i + 2 <= len(ws)),
+f AS (SELECT lang, k, p, count(*) AS n FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, p, n AS a FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT lang, k, p, a, unnest(range(1, k)) AS c FROM cand),
+cut_scores AS (
+  SELECT cuts.*, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.p = cuts.p[1:c] JOIN f y ON y.lang = cuts.lang AND y.p = cuts.p[c+1:cuts.k]
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, c) AS o FROM cut_scores) WHERE o = 1),
+inner_parts AS (SELECT lang, unnest([p[1:2], p[2:3]]) AS p, a FROM cand WHERE k = 3),
+longer AS (SELECT lang, p, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.p = best.p WHERE best.k = 3 OR longer.most IS NULL OR 100 * longer.most < 50 * best.a),
+named AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM kept),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named)
+SELECT numbered.lang, rank, phrase, a, l, r, n, score FROM numbered JOIN totals ON totals.lang = numbered.lang WHERE rank <= 2000
+"""
