@@ -39,7 +39,9 @@ BITS = 27
 #: Phrases of a trie: some 40 MB.
 SHARD = 1 << 20
 #: Positions that walk through the tries together.
-POSITIONS = 1 << 21
+POSITIONS = 1 << 20
+#: Bytes of text that are cut into words at once; a longer text is cut alone.
+BLOCK_BYTES = 1 << 20
 
 _code = np.arange(256)
 _CUT = np.isin(_code, [ord(c) for c in ".,;:!?"]) | ((_code >= 0x0A) & (_code <= 0x0D))
@@ -88,13 +90,13 @@ def _print(lang: str, key: int) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, key=key.to_bytes(8, "little"), person=b"language").digest(), "little")
 
 
-def _blocks(batch: pa.RecordBatch, key: int, size: int) -> Iterator[tuple[_Tokens, list[str], np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, key: int) -> Iterator[tuple[_Tokens, list[str], np.ndarray]]:
     """Blocks of a batch (lang, text): words, names of languages and each row's number among them."""
     coded = batch.column(0).dictionary_encode()
     names, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     prints = np.array([_print(x, key) for x in names], dtype=np.uint64)
     data, offsets = texts_of(batch.column(1))
-    for first, last in blocks(offsets, size):
+    for first, last in blocks(offsets, BLOCK_BYTES):
         at = offsets[first : last + 1]
         own = number[first:last]
         yield _Tokens(data[at[0] : at[-1]], at - at[0], prints[own], key), names, own
@@ -103,7 +105,7 @@ def _blocks(batch: pa.RecordBatch, key: int, size: int) -> Iterator[tuple[_Token
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, total = [], []
-        for tokens, langs, own in _blocks(batch, 0, 1 << 19):
+        for tokens, langs, own in _blocks(batch, 0):
             many = np.bincount(own[tokens.row], minlength=len(langs))
             names += langs
             total += many.tolist()
@@ -116,9 +118,10 @@ def _counted(n: int, bits, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [b.value for b in bits]
         for batch in batches:
-            for tokens, _, _ in _blocks(batch, key, 1 << 24):
-                found, many = np.unique(tokens.phrases[n - 1][tokens.may(n, have)], return_counts=True)
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(many.astype(np.int64))], names=["print", "n"])
+            parts = [np.unique(tokens.phrases[n - 1][tokens.may(n, have)], return_counts=True) for tokens, _, _ in _blocks(batch, key)]
+            found, of = np.unique(np.concatenate([p for p, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            many = np.bincount(of, weights=np.concatenate([m for _, m in parts] or [np.zeros(0)]), minlength=len(found)).astype(np.int64)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(many)], names=["print", "n"])
 
     return run
 
@@ -147,7 +150,7 @@ def _named(bits, key: int):
         have = [b.value for b in bits]
         seen = [np.zeros(0, dtype=np.uint64)] * LONGEST
         for batch in batches:
-            for tokens, langs, own in _blocks(batch, key, 1 << 24):
+            for tokens, langs, own in _blocks(batch, key):
                 for n in range(2, LONGEST + 1):
                     at = tokens.may(n, have)
                     prints, first = np.unique(tokens.phrases[n - 1][at], return_index=True)
@@ -226,7 +229,7 @@ def _walked(tries: list, bits, key: int):
         held: dict[int, list] = {n: [] for n in range(2, LONGEST + 1)}
         size = 0
         for batch in batches:
-            for tokens, _, _ in _blocks(batch, key, 1 << 22):
+            for tokens, _, _ in _blocks(batch, key):
                 for n in held:
                     at = tokens.may(n, have)
                     held[n].append((np.stack([tokens.lang[at], *(tokens.prints[at + k] for k in range(n))], axis=1), (tokens.phrases[n - 1][at] % np.uint64(len(tries))).astype(np.int32)))
