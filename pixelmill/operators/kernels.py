@@ -7,7 +7,7 @@ shuffled; else Spark groups them by image. Both work on runs of pixels in rows,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import per_group
+
 
 def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest member of each node's component: roots hook onto smaller ones, then paths are halved."""
@@ -81,25 +83,7 @@ def _raster(table: pa.Table, flag: str) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _per_image(pixels: DataFrame, run: Callable[[pa.Table], pa.Table], added: list[T.StructField], clustered: bool) -> DataFrame:
-    schema = T.StructType([*pixels.schema.fields, *added])
-    if not clustered:
-        return pixels.groupBy("image_id").applyInArrow(run, schema)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            image = batch.column("image_id").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    if held and held[-1].column("image_id")[0].as_py() != image[a]:
-                        yield from run(pa.Table.from_batches(held)).to_batches()
-                        held = []
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from run(pa.Table.from_batches(held)).to_batches()
-
-    return pixels.mapInArrow(stream, schema)
+    return per_group(pixels, "image_id", run, T.StructType([*pixels.schema.fields, *added]), clustered)
 
 
 def with_flood(pixels: DataFrame, flags: dict[str, str], clustered: bool = False) -> DataFrame:

@@ -87,13 +87,19 @@ def placement(contents: DataFrame, cell_w: int, cell_h: int, margin: int) -> Dat
     ``contents``: image_id, seg, min_x, w, h, cx, bottom, body_w, body_h.
     """
     whole = Window.partitionBy("image_id")
+    shared = {"body_w": F.max("body_w").over(whole), "body_h": F.max("body_h").over(whole), "base": F.max("bottom").over(whole)}
+    return fitted(contents.withColumns(shared), cell_w, cell_h, margin).select("image_id", "seg", F.round("scale", 6).alias("scale"), "sw", "sh", "left", "top")
+
+
+def fitted(rows: DataFrame, cell_w: int, cell_h: int, margin: int) -> DataFrame:
+    """``rows`` with scale, sw, sh, left, top of each content; body_w, body_h and base (the lowest bottom) are its whole set's."""
     room_w, room_h = (cell_w - 2 * margin, cell_h - 2 * margin) if min(cell_w, cell_h) - 2 * margin >= 8 else (cell_w, cell_h)
-    scale = F.least(F.lit(1.0), F.lit(float(room_w)) / F.greatest(F.max("body_w").over(whole), F.lit(1)), F.lit(float(room_h)) / F.greatest(F.max("body_h").over(whole), F.lit(1)))
-    rows = contents.withColumn("scale", F.least(scale, F.lit(float(room_w)) / F.col("w"), F.lit(float(room_h)) / F.col("h"))).withColumn("base", F.max("bottom").over(whole))
+    scale = F.least(F.lit(1.0), F.lit(float(room_w)) / F.greatest("body_w", F.lit(1)), F.lit(float(room_h)) / F.greatest("body_h", F.lit(1)))
+    rows = rows.withColumn("scale", F.least(scale, F.lit(float(room_w)) / F.col("w"), F.lit(float(room_h)) / F.col("h")))
     rows = rows.withColumn("sw", F.greatest(F.lit(1), (F.col("w") * F.col("scale") + 0.5).cast("int"))).withColumn("sh", F.greatest(F.lit(1), (F.col("h") * F.col("scale") + 0.5).cast("int")))
     left = F.greatest(F.lit(0), (F.lit(cell_w / 2) - (F.col("cx") - F.col("min_x")) * F.col("scale") + 0.5).cast("int"))
     top = F.lit(cell_h - margin) - ((F.col("base") - F.col("bottom")) * F.col("scale") + 0.5).cast("int") - F.col("sh")
-    return rows.select("image_id", "seg", F.round("scale", 6).alias("scale"), "sw", "sh", F.when(left + F.col("sw") > cell_w, F.lit(cell_w) - F.col("sw")).otherwise(left).alias("left"), F.greatest(F.lit(0), top).alias("top"))
+    return rows.withColumns({"left": F.when(left + F.col("sw") > cell_w, F.lit(cell_w) - F.col("sw")).otherwise(left), "top": F.greatest(F.lit(0), top)})
 
 
 def box_placement(boxes: DataFrame, cell_w: int, cell_h: int, margin: int, shared: bool) -> DataFrame:

@@ -7,10 +7,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..constants import ALPHA_T
+from ..constants import ALPHA_T, NEAR_CHANNEL
 from ..functions import color
+from ..sources.images import pixels_of, rasters_of
 
 MERGE_BELOW = 600
 
@@ -152,22 +154,93 @@ def pixelized(pixels: DataFrame, scale: int, width: int, height: int) -> DataFra
     return rows.select("image_id", "frame", "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"), F.when(F.col("r").isNull(), 0).otherwise(255).alias("a"))
 
 
-def post_processed(frames: DataFrame, palette: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(image_id, frame, x, y, r, g, b, a): a set's frames in its palette, snapped to the grid that most of them show.
-
-    ``palette`` (image_id, ord, r, g, b) as from ``shared_palette``; ``sizes`` (image_id, w, h) of the frames. The grid's scale is
-    the upper median of the frames' own; sets with a scale under 2 keep their pixels.
+def colours_of(palette: DataFrame) -> DataFrame:
+    """(image_id, colours): each image's palette (image_id, ord, r, g, b) as an array in order."""
+    rows = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "r", "g", "b"))).alias("c"))
+    return rows.select("image_id", F.transform("c", lambda e: F.array(e["r"], e["g"], e["b"])).alias("colours"))
+
+
+def recoloured(image: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """A raster in palette colours, the first of equally near ones; alpha under 128 becomes empty, the rest opaque."""
+    kept = image[..., 3] >= 128
+    distinct, back = np.unique(image[kept][:, :3], axis=0, return_inverse=True)
+    d = distinct[:, None, :].astype(np.int64) - colours[None]
+    out = np.zeros_like(image)
+    out[kept, :3] = colours[(d * d * np.array([2, 4, 3])).sum(axis=2).argmin(axis=1)][back.reshape(-1)]
+    out[kept, 3] = 255
+    return out
+
+
+def scale_of(image: np.ndarray) -> int:
+    """The run length that covers most of a raster's rows and columns, but for the last run of each; the smaller of equals, 1 for small ones."""
+    height, width = image.shape[:2]
+    if min(height, width) < 32:
+        return 1
+    total = np.zeros(max(height, width) + 1, dtype=np.int64)
+    for lines in (image, image.transpose(1, 0, 2)):
+        opaque, rgb = lines[..., 3] > ALPHA_T, lines[..., :3].astype(np.int16)
+        like = (opaque[:, 1:] == opaque[:, :-1]) & (~opaque[:, 1:] | (np.abs(rgb[:, 1:] - rgb[:, :-1]).max(axis=2) <= NEAR_CHANNEL))
+        new = np.concatenate([np.ones((len(lines), 1), dtype=bool), ~like], axis=1)
+        row, at = np.nonzero(new)
+        same = row[1:] == row[:-1]
+        total += np.bincount((at[1:] - at[:-1])[same], minlength=len(total))[: len(total)]
+    length = np.arange(len(total))
+    total[(length < 2) | (length > min(32, min(height, width) // 8))] = 0
+    return int((total * length).argmax()) if total.any() else 1
+
+
+def snapped(image: np.ndarray, scale: int) -> np.ndarray:
+    """Blocks in their commonest opaque colour, ties by colour; blocks that are mostly empty become empty."""
+    if scale < 2:
+        return image
+    height, width = image.shape[:2]
+    across, down = -(-width // scale), -(-height // scale)
+    y, x = np.nonzero(image[..., 3] > ALPHA_T)
+    rgb = image[y, x, :3].astype(np.int64)
+    keys, n = np.unique(((y // scale) * across + x // scale) << 24 | rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2], return_counts=True)
+    block = keys >> 24
+    order = np.lexsort((keys, -n, block))
+    first = order[np.unique(block[order], return_index=True)[1]]
+    filled = np.bincount(block, weights=n, minlength=across * down).astype(np.int64)
+    area = np.minimum(scale, height - np.arange(down) * scale)[:, None] * np.minimum(scale, width - np.arange(across) * scale)[None]
+    small = np.zeros((across * down, 4), dtype=np.uint8)
+    main = keys[first]
+    small[block[first]] = np.stack([main >> 16 & 255, main >> 8 & 255, main & 255, np.full(len(main), 255)], axis=1)
+    small[2 * filled < area.reshape(-1)] = 0
+    return small.reshape(down, across, 4).repeat(scale, axis=0).repeat(scale, axis=1)[:height, :width]
+
+
+@F.arrow_udf(T.BinaryType())
+def _recoloured(w: pa.Array, h: pa.Array, pix: pa.Array, colours: pa.Array) -> pa.Array:
+    rows = zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), colours.to_pylist(), strict=True)
+    return pa.array([p if c is None else recoloured(np.frombuffer(p, np.uint8).reshape(b, a, 4), np.array(c, dtype=np.int64)).tobytes() for a, b, p, c in rows], pa.binary())
+
+
+@F.arrow_udf(T.IntegerType())
+def _scale(w: pa.Array, h: pa.Array, pix: pa.Array) -> pa.Array:
+    return pa.array([scale_of(np.frombuffer(p, np.uint8).reshape(b, a, 4)) for a, b, p in zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), strict=True)], pa.int32())
+
+
+@F.arrow_udf(T.BinaryType())
+def _snapped(w: pa.Array, h: pa.Array, pix: pa.Array, scale: pa.Array) -> pa.Array:
+    rows = zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), scale.to_pylist(), strict=True)
+    return pa.array([snapped(np.frombuffer(p, np.uint8).reshape(b, a, 4), s).tobytes() for a, b, p, s in rows], pa.binary())
+
+
+def post_processed_rasters(rasters: DataFrame, palette: DataFrame) -> DataFrame:
+    """(image_id, frame, w, h, scale, pix): a set's frames in its palette, snapped to the grid that most of them show.
+
+    ``palette`` (image_id, ord, r, g, b) as from ``shared_palette``. The grid's scale is the upper median of the frames' own; sets with a
+    scale under 2 keep their pixels. A frame is a row throughout; frames meet their palette and each other on ``image_id`` alone, which is one shuffle.
     """
-    coloured = applied(frames.select("image_id", "frame", "x", "y", "r", "g", "b", "a"), palette)
-    lengths = run_lengths(coloured.join(sizes, "image_id"), None, ("image_id", "frame"), F.least(F.lit(32), F.floor(F.least("w", "h") / 8)), F.least("w", "h") >= 32)
-    best = lengths.groupBy("image_id", "frame").agg(F.max_by("length", F.struct(F.col("n") * F.col("length"), -F.col("length"))).alias("scale"))
-    every = frames.select("image_id", "frame").distinct().join(best, ["image_id", "frame"], "left").withColumn("scale", F.coalesce("scale", F.lit(1)))
-    median = every.groupBy("image_id").agg(F.expr("element_at(array_sort(collect_list(scale)), cast(count(*) div 2 as int) + 1)").cast("int").alias("scale"))
-    rows = coloured.join(median, "image_id").join(sizes, "image_id")
-    rows = rows.withColumns({"bx": F.floor(F.col("x") / F.col("scale")), "by": F.floor(F.col("y") / F.col("scale"))})
-    counted = rows.where(F.col("a") > ALPHA_T).groupBy("image_id", "frame", "bx", "by", "r", "g", "b").agg(F.count("*").alias("n"), F.max(F.least("scale", F.col("w") - F.col("bx") * F.col("scale")) * F.least("scale", F.col("h") - F.col("by") * F.col("scale"))).alias("area"))
-    top = counted.groupBy("image_id", "frame", "bx", "by").agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("r"), -F.col("g"), -F.col("b"))).alias("c"), F.sum("n").alias("n"), F.max("area").alias("area"))
-    top = top.where("2 * n >= area").select("image_id", "frame", "bx", "by", "c")
-    snapped = rows.join(top, ["image_id", "frame", "bx", "by"], "left")
-    own = F.col("scale") < 2
-    return snapped.select("image_id", "frame", "x", "y", *(F.when(own, F.col(v)).otherwise(F.coalesce(F.col("c")[v], F.lit(0))).alias(v) for v in "rgb"), F.when(own, F.col("a")).when(F.col("c").isNull(), 0).otherwise(255).alias("a"))
+    rows = rasters.select("image_id", "frame", "w", "h", "pix").join(colours_of(palette), "image_id", "left")
+    rows = rows.withColumn("pix", _recoloured("w", "h", "pix", "colours")).drop("colours").withColumn("own", _scale("w", "h", "pix"))
+    every = F.array_sort(F.collect_list("own").over(Window.partitionBy("image_id")))
+    rows = rows.withColumn("scale", F.element_at(every, F.floor(F.size(every) / 2).cast("int") + 1))
+    return rows.select("image_id", "frame", "w", "h", "scale", _snapped("w", "h", "pix", "scale").alias("pix"))
+
+
+def post_processed(frames: DataFrame, palette: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``post_processed_rasters`` of a table of pixels: (image_id, frame, x, y, r, g, b, a); ``sizes`` (image_id, w, h) are the frames'."""
+    rows = frames.select("image_id", "frame", "x", "y", *"rgba").join(sizes.select("image_id", "w", "h"), "image_id")
+    return pixels_of(post_processed_rasters(rasters_of(rows, frame="frame"), palette), "image_id", "frame")

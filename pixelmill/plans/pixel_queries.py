@@ -29,6 +29,11 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return mat(spark, sf).select("image_id", F.col("pose").alias("frame"), F.col("lx").alias("x"), "y", "r", "g", "b", "a", F.col("slot").alias("w"), F.lit(HEIGHT).alias("h"))
 
 
+def mat_rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """Matted strips as rasters: a strip's pixels are made together, so they are packed where they are."""
+    return images.rasters_of(mat(spark, sf), clustered=True, also=("expected",))
+
+
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
     return profile.smoothed(profile.projected(mat(spark, sf)), SMOOTH)
 
@@ -337,7 +342,14 @@ def draw_rects(spark, sf):
 
 def extract_frames(spark, sf):
     """A strip's figures placed in cells, and how many were found."""
-    return extract.extracted(mat(spark, sf), strips(spark, sf), WIDTH, HEIGHT, 32, 4).select("image_id", "seg", "found", "scale", "sw", "sh", "left", "top")
+    return extract.placed(mat_rasters(spark, sf), 32, 32, 4).select("image_id", "seg", "found", "scale", "sw", "sh", "left", "top")
+
+
+def extract_cells(spark, sf):
+    """The pixels of a strip's cells, in cells that hold every figure at its own size."""
+    cells = images.pixels_of(extract.cells(mat_rasters(spark, sf), 128, 128, 4), "image_id", "frame")
+    mark = (F.col("x") + 1) * (F.col("y") + 1) * F.col("a")
+    return cells.groupBy("image_id", "frame").agg(F.count_if(F.col("a") > 0).alias("n"), F.sum(mark).alias("mark"), *(F.sum(c).alias(f"sum_{c}") for c in "rgba"))
 
 
 def opaque_columns(spark, sf):
@@ -442,10 +454,10 @@ def base_rules(spark, sf):
 
 def post_process(spark, sf):
     """Frames in a palette of eight colours, on the grid that they show."""
-    f = frames(spark, sf)
     top = palette.gif_palette(mat(spark, sf), 8).withColumnRenamed("rank", "ord")
-    sizes = strips(spark, sf).select("image_id", F.col("slot").alias("w"), F.lit(HEIGHT).alias("h"))
-    return palette.post_processed(f, top, sizes).groupBy("image_id", "frame").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgba"))
+    made = images.rasters_of(frames(spark, sf), clustered=True, frame="frame")
+    out = images.pixels_of(palette.post_processed_rasters(made, top), "image_id", "frame")
+    return out.groupBy("image_id", "frame").agg(*(F.sum(c).alias(f"sum_{c}") for c in "rgba"))
 
 
 def file_round_trip(spark, sf):
@@ -465,5 +477,5 @@ hist64 loo_palette_similarity base_similarity frame_reports inspect_rules motion
 systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixel_scale block_mode mirror direction_set_union atlas_rects sheet_json strip_concat cell_placement
 equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
 extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
-baked_frames stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip""".split()
+baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -340,3 +340,8 @@ ORACLES |= {
 }
 ORACLES["body_extent_ratio"] = f"""WITH a AS ({ORACLES["shared_box_placement"]}), b AS ({ORACLES["cell_placement"]}), pa AS (SELECT image_id, avg(sh) AS plain, count(*) AS n FROM a GROUP BY ALL), pb AS (SELECT image_id, avg(sh) AS own FROM b GROUP BY ALL)
       SELECT image_id, round(plain / own, 6) AS ratio FROM pa JOIN pb USING (image_id) WHERE n >= 2 AND own > 0 ORDER BY ratio, image_id LIMIT 12"""
+# cells of 128 hold every strip's figures at their own size, so that their pixels are the strip's
+_CELLS = ORACLES["extract_frames"].replace("24::double", "120::double").replace("trunc(16::double", "trunc(64::double").rsplit("SELECT image_id, (row_number()", 1)[0]
+ORACLES["extract_cells"] = f"""{_CELLS.rstrip()}, k3 AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY seg) - 1)::int AS frame, CASE WHEN lf + sw > 128 THEN 128 - sw ELSE lf END AS cl, greatest(0, 124 - trunc((base - bottom) * sc + 0.5::double)::int - sh) AS ct FROM k2),
+      kp AS (SELECT k3.image_id, frame, cl + oa.x - k3.x AS px, ct + oa.y - (k3.bottom - k3.h + 1) AS py, mat.r, mat.g, mat.b, mat.a FROM k3 JOIN oa ON oa.image_id = k3.image_id AND oa.seg = k3.seg JOIN mat ON mat.image_id = oa.image_id AND mat.x = oa.x AND mat.y = oa.y)
+      SELECT image_id, frame, count(*) AS n, sum((px + 1) * (py + 1) * a)::bigint AS mark, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum(a)::bigint AS sum_a FROM kp GROUP BY ALL"""

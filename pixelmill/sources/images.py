@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import per_group
+
 # File name endings of images and their media types; the largest file that is read.
 MEDIA = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp"}
 MOST_BYTES, MOST_FILES = 64 << 20, 2000  # of a listing for a person; None for all of a folder
@@ -229,34 +231,60 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, w int, h int, pix binary, error string")
 
 
-def pixels_of(rasters: DataFrame, key: str = "image_id") -> DataFrame:
-    """(key, x, y, r, g, b, a): rasters as a row a pixel, made in the raster's own task."""
+def pixels_of(rasters: DataFrame, key: str = "image_id", *also: str) -> DataFrame:
+    """(key, also, x, y, r, g, b, a): rasters as a row a pixel, made in the raster's own task."""
+    names = [key, *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, w, h, pix in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names) + 3)), strict=True):
+                w, h, pix = row[len(names) :]
                 flat = np.frombuffer(pix, np.uint8).reshape(-1, 4).astype(np.int32)
                 y, x = np.divmod(np.arange(w * h, dtype=np.int32), w)
                 for at in range(0, w * h, 1 << 16):
                     s = slice(at, at + (1 << 16))
                     n = len(x[s])
-                    yield pa.record_batch([pa.array([image] * n, batch.column(0).type), pa.array(x[s]), pa.array(y[s]), *(pa.array(np.ascontiguousarray(flat[s, c])) for c in range(4))], names=[key, "x", "y", "r", "g", "b", "a"])
+                    keys = [pa.array([v] * n, batch.column(i).type) for i, v in enumerate(row[: len(names)])]
+                    yield pa.record_batch([*keys, pa.array(x[s]), pa.array(y[s]), *(pa.array(np.ascontiguousarray(flat[s, c])) for c in range(4))], names=[*names, "x", "y", "r", "g", "b", "a"])
 
-    kind = dict(rasters.dtypes)[key]
-    return rasters.select(key, "w", "h", "pix").mapInArrow(run, f"`{key}` {kind}, x int, y int, r int, g int, b int, a int")
+    kinds = dict(rasters.dtypes)
+    return rasters.select(*names, "w", "h", "pix").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", x int, y int, r int, g int, b int, a int")
 
 
-def rasters_of(pixels: DataFrame, key: str = "image_id") -> DataFrame:
-    """(key, w, h, pix): a row a raster, from a row a pixel; a group is one image."""
+def rasters_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False, frame: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, [frame,] also, w, h, pix): a row a raster, from a row a pixel; a group is one image, or one set of frames.
 
-    def run(table: pa.Table) -> pa.Table:
+    With ``frame`` a set's rasters are as large as the columns ``w`` and ``h`` say, else as far as there are pixels; places without
+    a pixel are clear. ``clustered``: see ``per_group``. ``also`` are columns that an image has one value of.
+    """
+
+    def packed(table: pa.Table, size: tuple[int, int] | None) -> list:
         x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
-        image = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 4), dtype=np.uint8)
+        w, h = size or (int(x.max()) + 1, int(y.max()) + 1)
+        image = np.zeros((h, w, 4), dtype=np.uint8)
         image[y, x] = np.stack([table.column(c).to_numpy() for c in "rgba"], axis=1)
-        return pa.table([table.column(key).slice(0, 1), pa.array([image.shape[1]], pa.int32()), pa.array([image.shape[0]], pa.int32()), pa.array([image.tobytes()], pa.binary())], names=[key, "w", "h", "pix"])
+        return [w, h, image.tobytes()]
 
-    kind = dict(pixels.dtypes)[key]
-    return pixels.select(key, "x", "y", "r", "g", "b", "a").groupBy(key).applyInArrow(run, f"`{key}` {kind}, w int, h int, pix binary")
+    def run(table: pa.Table) -> pa.Table:
+        heads, rows = table.select([key, *also]).slice(0, 1), []
+        if frame is None:
+            rows.append([None, *packed(table, None)])
+        else:
+            number = table.column(frame).to_numpy()
+            for n in np.unique(number):
+                own = table.filter(pa.array(number == n))
+                rows.append([n, *packed(own, (own.column("w")[0].as_py(), own.column("h")[0].as_py()))])
+        out = heads.take(pa.array([0] * len(rows)))
+        if frame is not None:
+            out = out.add_column(1, frame, pa.array([r[0] for r in rows], table.schema.field(frame).type))
+        for i, (name, kind) in enumerate((("w", pa.int32()), ("h", pa.int32()), ("pix", pa.binary())), 1):
+            out = out.append_column(name, pa.array([r[i] for r in rows], kind))
+        return out
+
+    kinds = dict(pixels.dtypes)
+    names = [key, *([frame] if frame else []), *also]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", w int, h int, pix binary"
+    return per_group(pixels.select(*names, "x", "y", *"rgba", *(("w", "h") if frame else ())), key, run, schema, clustered)
 
 
 def thumbnails(rasters: DataFrame, most: int = 200, key: str = "image_id") -> DataFrame:
