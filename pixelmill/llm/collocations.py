@@ -75,6 +75,19 @@ class _Tokens:
             ok &= _have(bits[n - 1], self.phrases[n - 1])
         return np.flatnonzero(ok)
 
+    def spelled(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of ``n`` words at the places, their words joined by one space."""
+        word = (at[:, None] + np.arange(n)).reshape(-1)
+        size = self.ends[word] - self.starts[word]
+        first = np.cumsum(size + 1) - size - 1
+        source = np.repeat(self.starts[word] - first, size + 1) + np.arange(int(size.sum()) + len(size))
+        source[first + size] = len(self.data)  # the space behind each word, but for a phrase's last one
+        kept = np.ones(len(source), dtype=bool)
+        kept[(first + size)[n - 1 :: n]] = False
+        flat = np.append(self.data, np.uint8(0x20))[source[kept]]
+        offsets = np.concatenate([[0], np.cumsum((size + 1).reshape(-1, n).sum(axis=1) - 1)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes()))
+
     def _tails(self, n: int, bits: np.ndarray) -> np.ndarray:
         """Whether the last n - 1 words of the phrase at each place have their bit."""
         return _have(bits, self.phrases[n - 2])[1:]
@@ -157,10 +170,8 @@ def _named(bits, key: int):
                     new = ~np.isin(prints, seen[n - 1], assume_unique=True)
                     prints, at = prints[new], at[first[new]]
                     seen[n - 1] = np.union1d(seen[n - 1], prints)
-                    whole, starts, ends = tokens.data.tobytes(), tokens.starts, tokens.ends
-                    phrases = [b" ".join([whole[starts[i + k] : ends[i + k]] for k in range(n)]).decode() for i in at.tolist()]
-                    names = [langs[own[r]] for r in tokens.row[at].tolist()]
-                    yield pa.record_batch([pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(prints.view(np.int64)), pa.array(names, pa.string()), pa.array(phrases, pa.string())], names=["words", "print", "lang", "phrase"])
+                    names = pa.array(langs, pa.string()).take(pa.array(own[tokens.row[at]]))
+                    yield pa.record_batch([pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(prints.view(np.int64)), names, tokens.spelled(at, n)], names=["words", "print", "lang", "phrase"])
 
     return run
 
@@ -255,7 +266,9 @@ def candidates(rows: DataFrame, key: int, keep: Callable, least: int = LEAST) ->
     for n in range(2, LONGEST + 1):
         part = tables[n - 1].select(F.lit(n).alias("words"), "print")
         safe = part if safe is None else safe.unionByName(part)
-    found = named.join(safe, ["words", "print"], "left_semi").distinct()
+    # tasks name a phrase each, so it is named once before it meets the sums
+    named = named.groupBy("words", "print").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+    found = named.join(safe, ["words", "print"], "left_semi")
     return tables[0], keep(found, "candidates"), bits
 
 
