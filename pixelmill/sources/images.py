@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.batches import per_group
+from .decoders import frames_of
 
 # File name endings of images and their media types; the largest file that is read.
 MEDIA = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp"}
@@ -64,65 +65,10 @@ def data_url_bytes(url: Column) -> Column:
 
 
 def decode_png(content: bytes) -> np.ndarray:
-    """A PNG of 8 bits a channel (grey, RGB, palette, with or without alpha) as rows x columns x RGBA."""
+    """A PNG as rows x columns x RGBA: the still image, or the first frame of an animation."""
     if content[:8] != _SIGNATURE:
         raise ValueError("no PNG signature")
-    at, body, palette, clear = 8, b"", None, None
-    while at + 8 <= len(content):
-        size, kind = struct.unpack(">I4s", content[at : at + 8])
-        part = content[at + 8 : at + 8 + size]
-        if zlib.crc32(kind + part) != struct.unpack(">I", content[at + 8 + size : at + 12 + size])[0]:
-            raise ValueError("a chunk's checksum differs")
-        at += 12 + size
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", part)
-            if depth != 8 or interlaced:
-                raise ValueError("only 8 bits a channel, not interlaced")
-        elif kind == b"PLTE":
-            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            clear = np.frombuffer(part, np.uint8)
-        elif kind == b"IDAT":
-            body += part
-        elif kind == b"IEND":
-            break
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), dtype=np.uint8)
-    above = np.zeros(width * channels, dtype=np.int64)
-    for y, line in enumerate(lines):
-        above = _unfiltered(int(line[0]), line[1:].astype(np.int64), above, channels)
-        out[y] = above
-    raw = out.reshape(height, width, channels)
-    if colour == 3:
-        alpha = np.full(256, 255, np.uint8)
-        if clear is not None:
-            alpha[: len(clear)] = clear
-        return np.dstack([palette[raw[..., 0]], alpha[raw[..., 0]]])
-    rgb = raw[..., :1].repeat(3, axis=2) if channels < 3 else raw[..., :3]
-    return np.dstack([rgb, raw[..., -1] if channels in (2, 4) else np.full(raw.shape[:2], 255, np.uint8)])
-
-
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """A line without its filter; only the two that depend on the pixel before in a way that is no sum go pixel by pixel."""
-    if kind == 0:
-        return line
-    if kind == 1:
-        return (line.reshape(-1, step).cumsum(axis=0) & 255).reshape(-1)
-    if kind == 2:
-        return (line + above) & 255
-    out, before = [], above.tolist()
-    for i, value in enumerate(line.tolist()):
-        left = out[i - step] if i >= step else 0
-        up = before[i]
-        if kind == 3:
-            guess = (left + up) >> 1
-        else:
-            corner = before[i - step] if i >= step else 0
-            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-            guess = left if a <= b and a <= c else up if b <= c else corner
-        out.append((value + guess) & 255)
-    return np.array(out, dtype=np.int64)
+    return frames_of(content)[0]
 
 
 def _chunk(kind: bytes, part: bytes) -> bytes:
@@ -215,15 +161,15 @@ def encode_gif(images: list[np.ndarray], palette: np.ndarray, fps: int, loop: bo
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, w, h, pix, error) of (path, content): PNGs as rasters; what is none keeps its error."""
+    """(path, w, h, pix, error) of (path, content): the first frame of each file as a raster; what is no image keeps its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    image = decode_png(content.as_py() or b"")
+                    image = frames_of(content.as_py() or b"")[0]
                     row = [path, image.shape[1], image.shape[0], image.tobytes(), None]
-                except (ValueError, KeyError, zlib.error, struct.error) as problem:
+                except ValueError as problem:
                     row = [path, None, None, None, str(problem)]
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
                 yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["path", "w", "h", "pix", "error"])
@@ -231,6 +177,74 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, w int, h int, pix binary, error string")
 
 
+def animations(files: DataFrame) -> DataFrame:
+    """(path, frame, w, h, pix, error) of (path, content): every frame of each file; what is no image is one row with its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows = [[path, i, f.shape[1], f.shape[0], f.tobytes(), None] for i, f in enumerate(frames_of(content.as_py() or b""))]
+                except ValueError as problem:
+                    rows = [[path, None, None, None, None, str(problem)]]
+                for row in rows:
+                    yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["path", "frame", "w", "h", "pix", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, frame int, w int, h int, pix binary, error string")
+
+
+def animated(frames: DataFrame, kind: str, palette: DataFrame | None = None, fps: int = 8, loop: bool = True) -> DataFrame:
+    """(image_id, content): each set's rasters (image_id, frame, w, h, pix), which have one size, as an APNG or a GIF (``kind``).
+
+    A GIF takes its set's ``palette`` (image_id, rank, r, g, b). A group is one set's frames.
+    """
+    rows = frames.select("image_id", "frame", "w", "h", "pix")
+    if kind == "gif":
+        colours = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "r", "g", "b"))).alias("c"))
+        rows = rows.join(colours.select("image_id", F.transform("c", lambda e: F.array(e["r"], e["g"], e["b"])).alias("colours")), "image_id", "left")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        images = [np.frombuffer(p, np.uint8).reshape(h, w, 4) for w, h, p in zip(*(table.column(c).to_pylist() for c in ("w", "h", "pix")), strict=True)]
+        if kind == "gif":
+            content = encode_gif(images, np.array(table.column("colours")[0].as_py() or [[0, 0, 0]], dtype=np.uint8), fps, loop)
+        else:
+            content = encode_apng(images, fps, loop)
+        return pa.table([table.column("image_id").slice(0, 1), pa.array([content], pa.binary())], names=["image_id", "content"])
+
+    return per_group(rows, "image_id", run, f"image_id {dict(frames.dtypes)['image_id']}, content binary")
+
+
+def thumbnail_urls(files: DataFrame, most: int = 200) -> DataFrame:
+    """(path, url) of (path, content, media): a data URL that fits into a square; of what fits already, or is no known image, the file as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, media = [], batch.column(2).to_pylist()
+            for i, content in enumerate(batch.column(1)):
+                raw = content.as_py() or b""
+                try:
+                    image = frames_of(raw)[0]
+                    h, w = image.shape[:2]
+                    if max(w, h) > most:
+                        raw, media[i] = encode_png(resampled(image, max(1, w * most // max(w, h)), max(1, h * most // max(w, h)))), "image/png"
+                except ValueError:
+                    pass
+                out.append(raw)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(media, pa.string())], names=["path", "content", "media"])
+
+    small = files.select("path", "content", "media").mapInArrow(run, "path string, content binary, media string")
+    return small.select("path", data_url(F.col("content"), F.col("media")).alias("url"))
+
+
+def media_type(path: Column) -> Column:
+    """The media type that a file's ending tells; null for another ending."""
+    ending = F.regexp_extract(F.lower(path), r"(\.[a-z]+)$", 1)
+    kinds = F.create_map(*[F.lit(v) for pair in MEDIA.items() for v in pair])
+    return kinds[ending]
+
+
 def pixels_of(rasters: DataFrame, key: str = "image_id", *also: str) -> DataFrame:
     """(key, also, x, y, r, g, b, a): rasters as a row a pixel, made in the raster's own task."""
     names = [key, *also]
