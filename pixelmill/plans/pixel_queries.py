@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .. import session
 from ..constants import ALPHA_T, FLOOD_TOL
 from ..functions import color
-from ..operators import corpus, extract, frames as fr, kernels, layout, matte, palette, profile
-from ..sources import images
+from ..operators import corpus, export, extract, frames as fr, kernels, layout, matte, palette, profile
+from ..sources import folders, images
 from ..sources.strips import HEIGHT, WIDTH, pixels, strips
 
 SMOOTH, MIN_RUN = max(3, WIDTH // 220), max(4, WIDTH // 100)
@@ -471,11 +471,94 @@ def file_round_trip(spark, sf):
     return read.select("image_id", "w", "h", "error").join(marks, "image_id", "left")
 
 
+def _states(spark, sf):
+    return strips(spark, sf).selectExpr("image_id", "cast(image_id div 4 as bigint) as sheet", "cast(image_id % 4 as int) as row", "cast(4 + image_id % 3 * 4 as int) as fps", "image_id % 3 <> 0 as loop")
+
+
+_projects: dict[tuple[str, str], str] = {}
+
+
+def _project(spark, sf) -> str:
+    """Every four strips written as a project, once an application; where they are."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _projects:
+        path = session.shared_path(spark, "project")
+        folders.write_bundles(export.project(frames(spark, sf), _states(spark, sf), palette.gif_palette(mat(spark, sf), 8), 48, 32), path)
+        _projects[at] = path
+    return _projects[at]
+
+
+def bundle_round_trip(spark, sf):
+    """Projects written and read back: files as their manifests list them, whose contents are what was hashed, and the pixels of the sheet."""
+    path = _project(spark, sf)
+    found = folders.files(spark, path).withColumn("bundle", F.split("folder", "/")[0])
+    full = F.when(F.col("folder") == F.col("bundle"), F.col("name")).otherwise(F.concat(F.expr("substring(folder, length(bundle) + 2)"), F.lit("/"), F.col("name")))
+    same = folders.manifests(spark, path).join(found.select("bundle", full.alias("name"), F.sha2("content", 256).alias("own")), ["bundle", "name"], "left")
+    listed = same.groupBy("bundle").agg(F.count("*").alias("n_files"), F.count_if(F.col("own") == F.col("sha256")).alias("n_images"))
+    sheets = images.decoded(found.where(F.col("name").endswith("-sprite-sheet.png")).select(F.col("bundle").alias("path"), "content"))
+    marks = images.pixels_of(sheets, "path").groupBy(F.col("path").alias("bundle")).agg(F.sum((F.col("x") + 1) * (F.col("y") + 1) * F.col("a")).alias("mark"), F.sum(F.col("r") + F.col("g") + F.col("b")).alias("colour"))
+    return listed.join(marks, "bundle").select(F.col("bundle").cast("bigint").alias("bundle"), "n_files", "n_images", "mark", "colour")
+
+
+def project_manifest(spark, sf):
+    """A project's manifest, parsed again: its animations, their places and foot points."""
+    cells = layout.atlas(frames(spark, sf), _states(spark, sf), 48, 32).join(_states(spark, sf).select("image_id", "fps", "loop"), "image_id")
+    kind = "character string, sheet struct<width:int,height:int,cellWidth:int>, animations map<string,struct<row:int,frames:int,fps:int,loop:boolean,durationMs:int,pivot:struct<x:int,y:int>,rects:array<struct<x:int,y:int>>,trims:array<struct<w:int,h:int>>>>"
+    back = export.manifest_json(cells, 48, 32).select(F.from_json("json", kind).alias("j"))
+    rows = back.select(F.col("j.character").cast("bigint").alias("sheet"), "j.sheet.width", "j.sheet.height", F.explode("j.animations").alias("name", "v"))
+    last = F.element_at("v.rects", -1)
+    area = F.aggregate("v.trims", F.lit(0), lambda a, t: a + t["w"] * t["h"])
+    return rows.select("sheet", "width", "height", F.col("name").cast("bigint").alias("image_id"), "v.row", "v.frames", "v.fps", "v.loop", "v.durationMs", F.col("v.pivot.x").alias("pivot_x"), F.col("v.pivot.y").alias("pivot_y"), last["x"].alias("last_x"), last["y"].alias("last_y"), area.alias("area"))
+
+
+def frame_file_counts(spark, sf):
+    """How many frames each state's folder has, counted by file names without opening a file."""
+    found = folders.frame_counts(folders.files(spark, _project(spark, sf), content=False, prefix="frame-"))
+    parts = F.split("folder", "/")
+    return found.select(parts[0].cast("bigint").alias("sheet"), F.element_at(parts, -1).cast("bigint").alias("image_id"), "n")
+
+
+def first_files(spark, sf):
+    """The first two files by name of each project's folder of animations."""
+    found = folders.files(spark, _project(spark, sf), content=False).where(F.col("folder").endswith("/apng"))
+    return folders.listing(found, most=2).select(F.split("folder", "/")[0].cast("bigint").alias("sheet"), "name")
+
+
+def animations_read(spark, sf):
+    """Frames that come back from the APNG and the GIF of each state."""
+    found = folders.files(spark, _project(spark, sf)).where(F.col("folder").endswith("/apng") | F.col("folder").endswith("/gif"))
+    back = images.animations(found.select("path", "content"))
+    rows = back.select(F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint").alias("image_id"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("kind"), "frame", "w", "h", "pix")
+    out = images.pixels_of(rows, "image_id", "kind", "frame").groupBy("image_id", "kind", "frame")
+    return out.agg(F.count_if(F.col("a") >= 128).alias("n"), *(F.sum(F.when(F.col("a") >= 128, F.col(c) * (F.col("x") + 1)).otherwise(0)).alias(f"mark_{c}") for c in "rgb"))
+
+
+def raw_strip_list(spark, sf):
+    """Strips as files with a list of what they should hold; both read back."""
+    path = session.shared_path(spark, "raw")
+    folders.write_bundles(export.raw_strips(images.rasters_of(pixels(spark, sf), clustered=True, also=("expected",))), path)
+    listed = images.strip_entries(spark, f"{path}/raw-strips/strips.json")
+    read = images.decoded(folders.files(spark, path).select("path", "content")).select(F.element_at(F.split("path", "/"), -1).alias("path"), "w", "h")
+    return listed.join(read, "path").select(F.col("name").cast("bigint").alias("image_id"), "frames", "path", "w", "h")
+
+
+def thumbnails_read(spark, sf):
+    """Data URLs of strips: at half their size, and as they are where they fit."""
+    path = session.shared_path(spark, "raw")
+    folders.write_bundles(export.raw_strips(images.rasters_of(pixels(spark, sf), clustered=True, also=("expected",))), path)
+    found = folders.files(spark, path).where(F.col("name").endswith(".png")).select("path", "content", images.media_type(F.col("path")).alias("media"))
+    small, whole = images.thumbnail_urls(found, 48), images.thumbnail_urls(found, 96)
+    back = images.decoded(small.select("path", images.data_url_bytes(F.col("url")).alias("content")))
+    same = whole.join(found, "path").select("path", (F.col("url") == images.data_url(F.col("content"), F.col("media"))).alias("same"))
+    return back.join(same, "path").select(F.regexp_extract("path", "([0-9]+)-raw", 1).cast("bigint").alias("image_id"), "w", "h", "same")
+
+
 _NAMES = """pixel_derive ycbcr_project ycc_round_trip matte_alpha despill bg_key_mode magenta_residue column_projection profile_smooth content_runs drop_minor_runs
 upper_median_width pose_peaks pose_counts dp_cut pose_count_accuracy row_bands bbox weighted_centroid body_extent components label_owner_rangejoin flood_clear alpha_cleanup
 hist64 loo_palette_similarity base_similarity frame_reports inspect_rules motion_presence pairwise_identity contact_score score_overall jitter_report distinct_colors gif_top255
 systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixel_scale block_mode mirror direction_set_union atlas_rects sheet_json strip_concat cell_placement
 equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
 extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
-baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip""".split()
+baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip
+bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

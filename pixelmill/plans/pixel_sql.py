@@ -345,3 +345,19 @@ _CELLS = ORACLES["extract_frames"].replace("24::double", "120::double").replace(
 ORACLES["extract_cells"] = f"""{_CELLS.rstrip()}, k3 AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY seg) - 1)::int AS frame, CASE WHEN lf + sw > 128 THEN 128 - sw ELSE lf END AS cl, greatest(0, 124 - trunc((base - bottom) * sc + 0.5::double)::int - sh) AS ct FROM k2),
       kp AS (SELECT k3.image_id, frame, cl + oa.x - k3.x AS px, ct + oa.y - (k3.bottom - k3.h + 1) AS py, mat.r, mat.g, mat.b, mat.a FROM k3 JOIN oa ON oa.image_id = k3.image_id AND oa.seg = k3.seg JOIN mat ON mat.image_id = oa.image_id AND mat.x = oa.x AND mat.y = oa.y)
       SELECT image_id, frame, count(*) AS n, sum((px + 1) * (py + 1) * a)::bigint AS mark, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum(a)::bigint AS sum_a FROM kp GROUP BY ALL"""
+_STRIPS = "SELECT s_suppkey AS image_id, 2 + s_suppkey % 3 AS expected FROM supplier"
+# a project holds a sheet, two descriptions, every frame, and two animations a state; all but the descriptions are images
+ORACLES["bundle_round_trip"] = f"""WITH {F_}, n AS (SELECT image_id // 4 AS bundle, sum(expected + 2)::bigint AS n FROM ({_STRIPS}) GROUP BY ALL),
+      m AS (SELECT image_id // 4 AS bundle, sum((frame * 48 + x + 1) * (image_id % 4 * 32 + y + 1) * a)::bigint AS mark, sum(r + g + b)::bigint AS colour FROM fr GROUP BY ALL)
+      SELECT bundle, n + 3 AS n_files, n + 1 AS n_images, mark, colour FROM n JOIN m USING (bundle)"""
+ORACLES["project_manifest"] = f"""WITH a AS ({ORACLES["atlas_rects"].replace("64", "48")}), f AS (SELECT image_id, 4 + image_id % 3 * 4 AS fps, image_id % 3 <> 0 AS loop FROM ({_STRIPS}))
+      SELECT sheet, max(max(x)) OVER (PARTITION BY sheet)::int + 48 AS width, (max("row") OVER (PARTITION BY sheet) + 1)::int * 32 AS height, image_id, "row", count(*)::int AS frames, any_value(fps)::int AS fps, any_value(loop) AS loop, any_value(duration)::int AS "durationMs",
+        24 AS pivot_x, any_value(pivot_y)::int AS pivot_y, max(x)::int AS last_x, max(y)::int AS last_y, sum(trim_w * trim_h)::int AS area FROM a JOIN f USING (image_id) GROUP BY sheet, image_id, "row" """
+ORACLES["frame_file_counts"] = f"SELECT image_id // 4 AS sheet, image_id, expected::bigint AS n FROM ({_STRIPS})"
+ORACLES["first_files"] = f"SELECT sheet, name FROM (SELECT image_id // 4 AS sheet, image_id || '.png' AS name FROM ({_STRIPS})) QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY name) <= 2"
+ORACLES["animations_read"] = f"""WITH {F_},{GIF},{NEA}
+      SELECT image_id, 'png' AS kind, frame, count(*) FILTER (a >= 128) AS n, sum(CASE WHEN a >= 128 THEN r * (x + 1) ELSE 0 END)::bigint AS mark_r, sum(CASE WHEN a >= 128 THEN g * (x + 1) ELSE 0 END)::bigint AS mark_g, sum(CASE WHEN a >= 128 THEN b * (x + 1) ELSE 0 END)::bigint AS mark_b FROM fr GROUP BY ALL
+      UNION ALL SELECT fr.image_id, 'gif', frame, count(*) FILTER (a >= 128), sum(CASE WHEN a >= 128 THEN pr * (x + 1) ELSE 0 END)::bigint, sum(CASE WHEN a >= 128 THEN pg * (x + 1) ELSE 0 END)::bigint, sum(CASE WHEN a >= 128 THEN pb * (x + 1) ELSE 0 END)::bigint
+      FROM fr LEFT JOIN nea ON nea.image_id = fr.image_id AND nea.r = fr.r AND nea.g = fr.g AND nea.b = fr.b GROUP BY fr.image_id, frame"""
+ORACLES["raw_strip_list"] = f"SELECT image_id, expected::int AS frames, image_id || '-raw.png' AS path, 96 AS w, 32 AS h FROM ({_STRIPS})"
+ORACLES["thumbnails_read"] = f"SELECT image_id, 48 AS w, 16 AS h, true AS same FROM ({_STRIPS})"

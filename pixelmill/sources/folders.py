@@ -1,7 +1,8 @@
 """Folders of image files and bundles of sprite files, as Spark data sources.
 
 ``sprite_files`` reads: a partition is a folder (or a share of one), so that the driver lists folders and the tasks list files. Conditions on folder, name and
-time are checked before a file is opened, and files are opened only if the schema asks for ``content``.
+time are options, checked before a file is opened, and files are opened only if the schema asks for ``content``. (Spark 4.1 keeps the filters that it
+pushes to a Python source with the table they were first pushed to: the next query of the same DataFrame would lose rows. So none are taken from there.)
 
 ``sprite_bundles`` writes rows (bundle, name, content) as folders of files with a manifest. Tasks write beside the target; only when all of them have
 ended does the driver put the bundles in place, each by one rename, and a failure before or meanwhile leaves what was there before.
@@ -12,9 +13,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import UTC
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,7 +32,9 @@ BUNDLES = "bundle string, name string, content binary"
 #: Bytes of files that a reader hands on at once.
 CHUNK = 16 << 20
 
-_COMPARED = {ds.GreaterThan: lambda a, b: a > b, ds.GreaterThanOrEqual: lambda a, b: a >= b, ds.LessThan: lambda a, b: a < b, ds.LessThanOrEqual: lambda a, b: a <= b, ds.EqualTo: lambda a, b: a == b, ds.StringStartsWith: str.startswith, ds.StringEndsWith: str.endswith, ds.In: lambda a, b: a in b}
+def _time(text: str | None) -> datetime | None:
+    found = datetime.fromisoformat(text) if text else None
+    return found.replace(tzinfo=UTC) if found and found.tzinfo is None else found
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -53,36 +56,27 @@ class FilesReader(ds.DataSourceReader):
         self.path, self.schema = options["path"], schema
         self.shares, self.most = int(options.get("shares", 1)), int(options.get("most_bytes", MOST_BYTES))
         self.media = options.get("media", ",".join(MEDIA)).split(",")
-        self.wanted: list[tuple[str, type, object]] = []
-
-    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
-        for f in filters:
-            if type(f) in _COMPARED and len(f.attribute) == 1 and f.attribute[0] in ("folder", "name", "modified", "length"):
-                self.wanted.append((f.attribute[0], type(f), f.value))
-            elif not isinstance(f, ds.IsNotNull) or f.attribute[0] in ("content", "error"):
-                yield f
-
-    def _holds(self, **values) -> bool:
-        return all(_COMPARED[kind](values[name], value) for name, kind, value in self.wanted if name in values)
+        self.folder, self.prefix, self.suffix = options.get("folder"), options.get("prefix", ""), options.get("suffix", "")
+        self.since, self.before = (_time(options.get(c)) for c in ("since", "before"))
 
     def partitions(self) -> list[Share]:
         store, base = _opened(self.path)
-        below = [x.path for x in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == fs.FileType.Directory] if self.shares else []
+        below = [x.path for x in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == fs.FileType.Directory]
         names = [p[len(base) :].strip("/") for p in [base, *below]]
-        names = [n for n in names if not any(part.startswith(".") for part in n.split("/")) and self._holds(folder=n)]
+        names = [n for n in names if not any(part.startswith(".") for part in n.split("/")) and self.folder in (None, n)]
         return [Share(n, k, self.shares) for n in names for k in range(self.shares)]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         store, base = _opened(self.path)
         held, size = [], 0
-        for info in sorted(store.get_file_info(fs.FileSelector(f"{base}/{partition.folder}".rstrip("/"))), key=lambda x: x.base_name):
+        for info in sorted(store.get_file_info(fs.FileSelector(f"{base}/{partition.folder}".rstrip("/"), allow_not_found=True)), key=lambda x: x.base_name):
             name = info.base_name
             if info.type != fs.FileType.File or "." + info.extension.lower() not in self.media or name.startswith("."):
                 continue
             if partition.of > 1 and int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") % partition.of != partition.number:
                 continue
             modified = info.mtime.astimezone(UTC)
-            if not self._holds(name=name, modified=modified, length=info.size, folder=partition.folder):
+            if not name.startswith(self.prefix) or not name.endswith(self.suffix) or (self.since and modified < self.since) or (self.before and modified >= self.before):
                 continue
             row = {"folder": partition.folder, "name": name, "path": info.path, "length": info.size, "modified": modified, "content": None, "error": None}
             if "content" in self.schema.names:
@@ -105,7 +99,11 @@ class FilesReader(ds.DataSourceReader):
 
 
 class SpriteFiles(ds.DataSource):
-    """Image files under a path. Options: ``shares`` a folder is read in, ``most_bytes`` of a file that is opened, ``media`` (endings)."""
+    """Image files under a path.
+
+    Options: ``folder`` (one alone), ``prefix`` and ``suffix`` of names, ``since`` and ``before`` (times in ISO form, UTC unless they say so),
+    ``shares`` that a folder is read in, ``most_bytes`` of a file that is opened, ``media`` (endings).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -212,14 +210,13 @@ class SpriteBundles(ds.DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both sources known to a session, with filters pushed down to them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes both sources known to a session."""
     for source in (SpriteFiles, SpriteBundles):
         spark.dataSource.register(source)
 
 
 def files(spark: SparkSession, path: str, content: bool = True, **options: object) -> DataFrame:
-    """(folder, name, path, length, modified[, content, error]) of the image files under ``path``; ``folder`` is relative to it."""
+    """(folder, name, path, length, modified[, content, error]) of the image files under ``path``; ``folder`` is relative to it. See ``SpriteFiles`` for ``options``."""
     register(spark)
     wanted = FILES if content else FILES.split(", content")[0]
     return spark.read.format("sprite_files").schema(wanted).options(**options).load(path)
