@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,8 +16,13 @@ def best_attempts(attempts: DataFrame, keys: tuple[str, ...] = ("state",)) -> Da
     order = F.struct(F.when(passed, 1).otherwise(0).alias("p"), F.when(passed, F.lit(0)).otherwise(F.col("found") * 100 - F.col("n_errors") * 10).alias("s"), -F.col("attempt"))
     best = attempts.groupBy(*keys).agg(F.max_by(F.struct("attempt", "expected", "found", "n_errors"), order).alias("b"))
     rows = best.select(*keys, "b.*")
+    return rows.withColumn("status", status())
+
+
+def status() -> Column:
+    """What became of an attempt: ``ok``, ``frames`` (another number than expected), ``quality`` (errors), or ``partial`` where its errors are not known."""
     ok = (F.col("found") == F.col("expected")) & (F.col("n_errors") == 0)
-    return rows.withColumn("status", F.when(ok, "ok").when(F.col("found") != F.col("expected"), "frames").otherwise("quality"))
+    return F.when(ok, "ok").when(F.col("found") != F.col("expected"), "frames").when(F.col("n_errors") > 0, "quality").otherwise("partial")
 
 
 def quality_report(results: DataFrame, category: str = "category") -> DataFrame:
@@ -82,3 +87,30 @@ def crossings(profile: DataFrame, parts: DataFrame) -> DataFrame:
     lines = parts.where("n > 1").select("image_id", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"), "n", "width").selectExpr("image_id", "cast(k * width div n as int) as pos")
     met = lines.join(profile, ["image_id", "pos"]).join(top, "image_id")
     return met.groupBy("image_id").agg(F.count_if(F.col("mass") > F.lit(0.06) * F.col("top")).alias("crossed"))
+
+
+def top_lists(rows: DataFrame, key: str, lists: list[tuple[str, str, int]]) -> DataFrame:
+    """(list, rank, key, value): for each (name, measure, n) the n rows with the largest measure, ties by key; a null or NaN measure is in no list.
+
+    All lists come from one pass: rows are told apart by list where they are made, each task keeps its own best, and only those are shuffled.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("list"), F.lit(n).alias("most"), F.col(measure).cast("double").alias("value")) for name, measure, n in lists])
+    each = rows.select(key, F.inline(cells)).where("value IS NOT NULL AND NOT isnan(value)")
+    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("value"), key))
+    most = max(n for *_, n in lists)
+    return each.withColumn("rank", rank).where(F.col("rank") <= most).where("rank <= most").select("list", "rank", key, "value")
+
+
+def scanned(strips: DataFrame, even: tuple[DataFrame, DataFrame], cut: tuple[DataFrame, DataFrame], crossed: DataFrame, found: DataFrame) -> DataFrame:
+    """A row a strip with at least two figures: what even parts do to it beside what extraction does.
+
+    ``even`` and ``cut`` are (balance, spread) of the frames of both ways; ``crossed`` and ``found`` have image_id and one column of that name.
+    """
+    def named(pair, tail):
+        return pair[0].select("image_id", F.col("ratio").alias(f"balance_{tail}")).join(pair[1].select("image_id", F.col("spread").alias(f"spread_{tail}")), "image_id", "full")
+
+    rows = strips.select("image_id", "expected").where("expected >= 2")
+    for other in (named(even, "even"), named(cut, "cut"), crossed, found):
+        rows = rows.join(other, "image_id", "left")
+    gain = F.when(F.col("balance_cut") > 0, F.col("balance_even") / F.col("balance_cut")).otherwise(F.col("balance_even"))
+    return rows.withColumns({"segment_gain": gain, "centre_gain": F.col("spread_even") - F.col("spread_cut"), "missed": F.coalesce("found", F.lit(0)) != F.col("expected")})

@@ -475,6 +475,16 @@ def _states(spark, sf):
     return strips(spark, sf).selectExpr("image_id", "cast(image_id div 4 as bigint) as sheet", "cast(image_id % 4 as int) as row", "cast(4 + image_id % 3 * 4 as int) as fps", "image_id % 3 <> 0 as loop")
 
 
+def sample_scan(spark, sf):
+    """The strips for which even parts do worst beside extraction, by four measures: top lists of 8, 6, 8 and 6."""
+    cut = images.pixels_of(extract.cells(mat_rasters(spark, sf), 128, 128, 4), "image_id", "frame").withColumn("w", F.lit(128))
+    even = frames(spark, sf)
+    found = extract.placed(mat_rasters(spark, sf), 128, 128, 4).groupBy("image_id").agg(F.max("found").alias("found"))
+    rows = corpus.scanned(strips(spark, sf), *((fr.balance(f), fr.centroid_spread(f)) for f in (even, cut)), equal_split_crossings(spark, sf), found)
+    rows = rows.withColumns({c: r6(c) for c in ("segment_gain", "balance_even", "centre_gain")})
+    return corpus.top_lists(rows, "image_id", [("crossed", "crossed", 8), ("segments", "segment_gain", 6), ("balance", "balance_even", 8), ("centres", "centre_gain", 6)])
+
+
 _projects: dict[tuple[str, str], str] = {}
 
 
@@ -560,5 +570,5 @@ systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixe
 equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
 extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
 baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip
-bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read""".split()
+bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read sample_scan""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -361,3 +361,16 @@ ORACLES["animations_read"] = f"""WITH {F_},{GIF},{NEA}
       FROM fr LEFT JOIN nea ON nea.image_id = fr.image_id AND nea.r = fr.r AND nea.g = fr.g AND nea.b = fr.b GROUP BY fr.image_id, frame"""
 ORACLES["raw_strip_list"] = f"SELECT image_id, expected::int AS frames, image_id || '-raw.png' AS path, 96 AS w, 32 AS h FROM ({_STRIPS})"
 ORACLES["thumbnails_read"] = f"SELECT image_id, 48 AS w, 16 AS h, true AS same FROM ({_STRIPS})"
+_KEPT = ORACLES["extract_cells"].rsplit("SELECT image_id, frame, count(*) AS n", 1)[0].rstrip()
+
+
+def _scan(rows: str, width: str, tail: str) -> str:
+    """Balance and spread of frames, as b_ and c_ with the tail."""
+    return f"""n_{tail} AS (SELECT image_id, frame, count(*) FILTER (a > 10) AS n, coalesce(avg(x) FILTER (a > 10), max({width}) / 2) AS c FROM {rows} GROUP BY ALL),
+      b_{tail} AS (SELECT image_id, CASE WHEN min(n) > 0 THEN max(n)::double / min(n) ELSE 999 END AS ratio, stddev_pop(c) AS spread FROM n_{tail} GROUP BY ALL)"""
+
+
+ORACLES["sample_scan"] = f"""{_KEPT}, cf AS (SELECT image_id, frame, px AS x, a FROM kp), ef AS (SELECT image_id, pose AS frame, lx AS x, a, slot AS w FROM mat),{_scan("cf", "128", "cut")},{_scan("ef", "w", "even")}, ec AS ({ORACLES["equal_split_crossings"]}),
+      al AS (SELECT e.image_id, crossed::double AS crossed, round(CASE WHEN c.ratio > 0 THEN e.ratio / c.ratio ELSE e.ratio END, 6) AS segment_gain, round(e.ratio, 6) AS balance, round(e.spread - c.spread, 6) AS centre_gain FROM b_even e LEFT JOIN b_cut c USING (image_id) LEFT JOIN ec USING (image_id)),
+      ls AS (SELECT image_id, 'crossed' AS list, 8 AS most, crossed AS value FROM al UNION ALL SELECT image_id, 'segments', 6, segment_gain FROM al UNION ALL SELECT image_id, 'balance', 8, balance FROM al UNION ALL SELECT image_id, 'centres', 6, centre_gain FROM al)
+      SELECT list, rank::int AS rank, image_id, value FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY value DESC, image_id) AS rank FROM ls WHERE value IS NOT NULL) WHERE rank <= most"""

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from .. import session
 from ..functions import catalog, text
 from ..operators import corpus, profile
-from ..sources.settings import load_session, merged, pairs_of, save_session
+from ..streaming import live
+from ..sources.settings import configured, load_session, loaded, merged, pairs_of, save_session
 
 STATES = [row[1] for row in catalog.preset_rows()]
 DIRECTIONS_ = [d[0] for d in catalog.DIRECTIONS]
@@ -60,7 +61,10 @@ def first_n_per_category(spark, sf):
 
 
 def _attempts(spark, sf):
-    li = _read(spark, sf, "lineitem")
+    return _tries(_read(spark, sf, "lineitem"))
+
+
+def _tries(li):
     return li.select(
         F.col("l_orderkey").alias("state"), F.col("l_linenumber").alias("attempt"), F.lit(4).alias("expected"), (F.lit(2) + F.col("l_quantity").cast("int") % 4).alias("found"), (F.col("l_partkey") % 3).cast("int").alias("n_errors"),
     )
@@ -181,8 +185,34 @@ def named_states(spark, sf):
     return kept.select(F.col("preset").alias("name"), F.lit(True).alias("known")).unionByName(missing.select(F.col("asked").alias("name"), F.lit(False).alias("known")))
 
 
+def settings_loaded(spark, sf):
+    """Customers' settings, saved and from outside: the service in use and its key and model."""
+    c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("owner"), "c_name", F.concat(F.lit("key-"), F.col("c_nationkey").cast("string")).alias("secret"), "c_mktsegment")
+    name = lambda text, when: F.when(F.expr(when), F.lit(text))
+    pair = lambda n, v: F.struct(n.alias("name"), v.cast("string").alias("value"))
+    saved = c.select("owner", F.inline(F.array(
+        pair(name("gemini.key", "owner % 5 = 0"), F.col("secret")), pair(name("key", "owner % 4 = 0"), F.col("c_name")), pair(name("model", "owner % 8 = 0"), F.lit("old-model")), pair(name("openai.key", "owner % 7 = 0"), F.col("c_name")),
+        pair(name("openai.model", "owner % 14 = 0"), F.col("c_mktsegment")), pair(name("service", "owner % 11 = 0"), F.lit("fal")), pair(name("fal.key", "owner % 3 = 0"), F.lit("  ")),
+    ))).where("name IS NOT NULL")
+    layered = lambda k, n, v: F.struct(F.lit(k).alias("layer"), n.alias("name"), v.cast("string").alias("value"))
+    outside = c.select("owner", F.inline(F.array(
+        layered(1, name("FAL_API_KEY", "owner % 2 = 0"), F.col("secret")), layered(2, name("FAL_API_KEY", "owner % 2 = 0"), F.lit("later")), layered(2, name("FAL_KEY", "owner % 6 = 0"), F.col("c_name")),
+        layered(1, name("GOOGLE_API_KEY", "owner % 9 = 1"), F.col("secret")), layered(1, name("REPLICATE_API_TOKEN", "owner % 13 = 2"), F.lit("")), layered(2, name("REPLICATE_API_TOKEN", "owner % 13 = 2"), F.col("c_name")),
+    ))).where("name IS NOT NULL")
+    found = loaded(saved, outside)
+    return found.select("owner", "active", configured(found, F.col("active")).alias("c"), F.size("keys").alias("n_keys")).select("owner", "active", "c.key", "c.model", "n_keys")
+
+
+def best_attempt_stream(spark, sf):
+    """The best attempts as a stream of them leaves them."""
+    kind = _read(spark, sf, "lineitem").schema
+    read = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{sf}/lineitem.parque[t]")
+    updates = live.best_so_far(_tries(read))
+    return live.run_to_table(updates, session.shared_path(spark, "stream")).withColumn("status", corpus.status()).drop("closed")
+
+
 _NAMED = (base_state_name, preset_lookup_fallback, sanitize_name, aspect_for_frames, first_n_per_category, best_attempt, quality_report_rollup, settings_pairs, event_minute_runs, lineitem_centroid, embedding_neighbours, report_by_source,
-          facing_words, service_models, event_stamps, settings_merged, session_round_trip, roster_report, gallery_cards, report_change, named_states)
+          facing_words, service_models, event_stamps, settings_merged, session_round_trip, roster_report, gallery_cards, report_change, named_states, settings_loaded, best_attempt_stream)
 QUERIES = {f.__name__: f for f in _NAMED}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
@@ -249,3 +279,12 @@ ORACLES |= {
     "named_states": f"""WITH {_CATALOG}, {_BASED}, have AS (SELECT DISTINCT coalesce(x.name, y.name) AS name FROM ba LEFT JOIN cat x ON x.name = state LEFT JOIN cat y ON y.name = base), a(name) AS (VALUES ('idle'), ('walk'), ('attack'), ('no such state'), ('zz'))
       SELECT name, name IN (SELECT name FROM have WHERE name IS NOT NULL) AS known FROM a""",
 }
+
+ORACLES["best_attempt_stream"] = ORACLES["best_attempt"]
+ORACLES["settings_loaded"] = """WITH c AS (SELECT c_custkey AS o, c_name, 'key-' || c_nationkey AS secret, c_mktsegment FROM customer),
+      k AS (SELECT o, CASE WHEN o % 5 = 0 THEN secret WHEN o % 4 = 0 THEN c_name WHEN o % 9 = 1 THEN secret END AS gemini, CASE WHEN o % 5 <> 0 AND o % 8 = 0 THEN 'old-model' END AS gemini_model,
+        CASE WHEN o % 7 = 0 THEN c_name END AS openai, CASE WHEN o % 14 = 0 THEN c_mktsegment END AS openai_model, CASE WHEN o % 6 = 0 THEN c_name WHEN o % 2 = 0 THEN secret END AS fal, CASE WHEN o % 13 = 2 THEN c_name END AS replicate,
+        o % 5 = 0 OR o % 4 = 0 OR o % 7 = 0 OR o % 11 = 0 OR o % 3 = 0 OR o % 2 = 0 OR o % 9 = 1 OR o % 13 = 2 AS listed FROM c),
+      a AS (SELECT *, CASE WHEN o % 11 = 0 THEN 'fal' WHEN gemini IS NOT NULL THEN 'gemini' WHEN openai IS NOT NULL THEN 'openai' WHEN fal IS NOT NULL THEN 'fal' WHEN replicate IS NOT NULL THEN 'replicate' ELSE 'gemini' END AS active FROM k WHERE listed)
+      SELECT o AS owner, active, CASE active WHEN 'gemini' THEN gemini WHEN 'openai' THEN openai WHEN 'fal' THEN fal ELSE replicate END AS key, CASE active WHEN 'gemini' THEN gemini_model WHEN 'openai' THEN openai_model END AS model,
+        (gemini IS NOT NULL)::int + (openai IS NOT NULL)::int + (fal IS NOT NULL)::int + (replicate IS NOT NULL)::int AS n_keys FROM a"""
