@@ -49,7 +49,7 @@ def _cut(colours: np.ndarray, count: np.ndarray, size: int) -> list[tuple[int, i
             break
         c, n = boxes[widest]
         channel = int(spans[widest].argmax())
-        order = np.lexsort((c[:, 2], c[:, 1], c[:, 0], c[:, channel]))
+        order = np.argsort(c[:, channel] << 24 | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2])  # a box's colours are all different
         c, n = c[order], n[order]
         half, upto = int(n.sum()) // 2, np.cumsum(n)
         at = int(np.searchsorted(upto, half))  # the colour that the middle pixel falls in is shared by both halves

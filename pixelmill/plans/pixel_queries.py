@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import session
 from ..constants import ALPHA_T, FLOOD_TOL
 from ..functions import color
-from ..operators import corpus, export, extract, frames as fr, kernels, layout, matte, palette, profile
+from ..operators import corpus, export, extract, frames as fr, kernels, layout, matte, palette, profile, tiles
 from ..sources import folders, images
 from ..sources.strips import HEIGHT, WIDTH, pixels, strips
 
@@ -485,6 +485,20 @@ def sample_scan(spark, sf):
     return corpus.top_lists(rows, "image_id", [("crossed", "crossed", 8), ("segments", "segment_gain", 6), ("balance", "balance_even", 8), ("centres", "centre_gain", 6)])
 
 
+def tiled_components(spark, sf):
+    """Components of strips that are labelled in tiles of 20 by 20 and joined along the tiles' borders."""
+    return tiles.components(tiles.cut(mat(spark, sf).withColumn("is_opaque", F.col("a") > ALPHA_T), "is_opaque", 20))
+
+
+def tiled_flood(spark, sf):
+    """What of the background colour reaches a strip's border, in tiles: pixels of each image."""
+    key = pixels(spark, sf).withColumn("is_key", color.chroma_distance(color.ycc(F.col("r"), F.col("g"), F.col("b")), matte.key_of()) <= FLOOD_TOL)
+    cut = session.settled(tiles.cut(key, "is_key", 20))
+    sizes = strips(spark, sf).select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    hit = tiles.labelled(cut).select("image_id", "ty", "tx", "label", "n").join(tiles.outside(cut, sizes), ["image_id", "ty", "tx", "label"], "left_semi")
+    return hit.groupBy("image_id").agg(F.sum("n").alias("n"))
+
+
 _projects: dict[tuple[str, str], str] = {}
 
 
@@ -570,5 +584,5 @@ systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixe
 equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
 extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
 baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip
-bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read sample_scan""".split()
+bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read sample_scan tiled_components tiled_flood""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -374,3 +374,30 @@ ORACLES["sample_scan"] = f"""{_KEPT}, cf AS (SELECT image_id, frame, px AS x, a
       al AS (SELECT e.image_id, crossed::double AS crossed, round(CASE WHEN c.ratio > 0 THEN e.ratio / c.ratio ELSE e.ratio END, 6) AS segment_gain, round(e.ratio, 6) AS balance, round(e.spread - c.spread, 6) AS centre_gain FROM b_even e LEFT JOIN b_cut c USING (image_id) LEFT JOIN ec USING (image_id)),
       ls AS (SELECT image_id, 'crossed' AS list, 8 AS most, crossed AS value FROM al UNION ALL SELECT image_id, 'segments', 6, segment_gain FROM al UNION ALL SELECT image_id, 'balance', 8, balance FROM al UNION ALL SELECT image_id, 'centres', 6, centre_gain FROM al)
       SELECT list, rank::int AS rank, image_id, value FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY value DESC, image_id) AS rank FROM ls WHERE value IS NOT NULL) WHERE rank <= most"""
+ORACLES["tiled_components"] = f"""WITH RECURSIVE {M},{CMP} SELECT image_id, min(y * 96 + x0)::bigint // 96 AS first_y, min(y * 96 + x0)::bigint % 96 AS first_x, sum(x1 - x0 + 1)::bigint AS n, min(x0)::bigint AS min_x, min(y)::bigint AS min_y, max(x1)::bigint AS max_x, max(y)::bigint AS max_y FROM lb GROUP BY image_id, label"""
+ORACLES["tiled_flood"] = f"SELECT image_id, n FROM ({ORACLES['flood_clear']})"
+
+
+def _median_cut(size: int) -> str:
+    """Splits one after the other: of each image the box with the widest channel, at half of its pixels, which may part one colour's."""
+    out = "c0 AS (SELECT image_id, 0 AS box, r, g, b, count(*)::bigint AS n FROM mat WHERE a > 10 GROUP BY ALL)"
+    for k in range(1, size):
+        out += f""",
+      s{k} AS (SELECT image_id, box, sum(n) AS total, max(r) - min(r) AS wr, max(g) - min(g) AS wg, max(b) - min(b) AS wb FROM c{k - 1} GROUP BY image_id, box),
+      w{k} AS (SELECT image_id, box AS wide, total // 2 AS half, CASE WHEN wr >= wg AND wr >= wb THEN 0 WHEN wg >= wb THEN 1 ELSE 2 END AS ch FROM s{k} WHERE greatest(wr, wg, wb) > 0 AND total > 1 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY greatest(wr, wg, wb) DESC, box) = 1),
+      o{k} AS (SELECT c.*, wide, half, sum(n) OVER (PARTITION BY c.image_id, box ORDER BY CASE ch WHEN 0 THEN r WHEN 1 THEN g ELSE b END, r, g, b ROWS UNBOUNDED PRECEDING)::bigint - n AS before FROM c{k - 1} c LEFT JOIN w{k} w ON w.image_id = c.image_id AND w.wide = c.box),
+      c{k} AS MATERIALIZED (SELECT image_id, box, r, g, b, CASE WHEN wide IS NULL THEN n ELSE greatest(0, least(n, half - before)) END AS n FROM o{k} WHERE wide IS NULL OR half > before
+        UNION ALL SELECT image_id, {k}, r, g, b, n - greatest(0, least(n, half - before)) FROM o{k} WHERE wide IS NOT NULL AND n > half - before)"""
+    return out
+
+
+_D = "2 * (e.r - m.r) * (e.r - m.r) + 4 * (e.g - m.g) * (e.g - m.g) + 3 * (e.b - m.b) * (e.b - m.b)"
+# near colours are taken up one after the other, the largest first, by the first that is near
+ORACLES["median_cut"] = f"""WITH {M},{_median_cut(8)},
+      e AS (SELECT image_id, box, sum(n)::bigint AS n, (sum(r * n) // sum(n))::bigint AS r, (sum(g * n) // sum(n))::bigint AS g, (sum(b * n) // sum(n))::bigint AS b FROM c7 GROUP BY image_id, box),
+      l AS (SELECT image_id, list({{'n': n, 'r': r, 'g': g, 'b': b}} ORDER BY n DESC, box) AS es FROM e GROUP BY image_id),
+      f AS (SELECT image_id, list_reduce(es, lambda done, e: CASE WHEN len(list_filter(done, lambda m: {_D} < 600)) = 0 THEN list_append(done, e) ELSE
+          list_transform(done, lambda m, i: CASE WHEN i = list_position(list_transform(done, lambda m: {_D} < 600), true) THEN {{'n': m.n + e.n, 'r': (m.r * m.n + e.r * e.n) // (m.n + e.n), 'g': (m.g * m.n + e.g * e.n) // (m.n + e.n), 'b': (m.b * m.n + e.b * e.n) // (m.n + e.n)}} ELSE m END) END, [es[1]][:0]) AS ms FROM l),
+      p AS (SELECT image_id, CASE WHEN len(ms) < 2 THEN list_append(ms, {{'n': 1::bigint, 'r': 255::bigint, 'g': 255::bigint, 'b': 255::bigint}}) ELSE ms END AS ms FROM f),
+      q AS (SELECT image_id, ms, unnest(range(len(ms))) AS ord FROM p)
+      SELECT image_id, ord::int AS ord, ms[ord + 1].r::int AS r, ms[ord + 1].g::int AS g, ms[ord + 1].b::int AS b FROM q"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +62,23 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder: for small tables that a plan would otherwise make many times over."""
     _shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table to the shared folder and reads it again; the tables go at the end of the block.
+
+    It cuts lineage: a lost executor costs the tasks it ran, not the rounds before. What outlives the block must be written elsewhere.
+    """
+    folder = shared_path(spark, label)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
