@@ -65,3 +65,13 @@ def raw_strips(rasters: DataFrame, bundle: str = "raw-strips") -> DataFrame:
     entry = F.struct(F.col("image_id").cast("string").alias("name"), F.col("expected").alias("frames"), file.alias("path"))
     listed = rasters.select("image_id", "expected").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # a list of names: one file by its nature
     return strips.unionByName(listed.select(F.lit(bundle).alias("bundle"), F.lit("strips.json").alias("name"), F.to_json("e").cast("binary").alias("content")))
+
+
+def gallery(frames: DataFrame, named: DataFrame, bundle: str = "gallery") -> DataFrame:
+    """(bundle, name, content): each set's frames as one strip, in a file named by its state and a stamp; ``named`` has image_id, state, stamp.
+
+    ``frames``: pixels (image_id, frame, x, y, r, g, b, a), clear ones included, so that widths are known.
+    """
+    strips = images.png_bytes(images.rasters_of(layout.concatenated(frames)))
+    name = F.concat(sanitized_strip(F.col("state")), F.lit("-"), F.col("stamp"), F.lit(".png"))
+    return strips.join(named, "image_id").select(F.lit(bundle).alias("bundle"), name.alias("name"), "content")

@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from .. import session
 from ..constants import ALPHA_T, FLOOD_TOL
-from ..functions import color
-from ..operators import corpus, export, extract, frames as fr, kernels, layout, matte, palette, profile, tiles
+from ..functions import catalog, color, text
+from ..operators import corpus, export, extract, frames as fr, kernels, layout, matte, palette, profile, templates, tiles
 from ..sources import folders, images
 from ..sources.strips import HEIGHT, WIDTH, pixels, strips
+from .table_queries import _states as table_states
 
 SMOOTH, MIN_RUN = max(3, WIDTH // 220), max(4, WIDTH // 100)
 
@@ -499,6 +500,33 @@ def tiled_flood(spark, sf):
     return hit.groupBy("image_id").agg(F.sum("n").alias("n"))
 
 
+def gallery_strips(spark, sf):
+    """Each set's frames saved as a strip with a stamped name, listed and decoded again."""
+    path = session.shared_path(spark, "gallery")
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id") * 61)
+    named = strips(spark, sf).select("image_id", F.concat(F.lit("state "), F.col("image_id")).alias("state"), text.stamp(moment, F.col("image_id")).alias("stamp"))
+    folders.write_bundles(export.gallery(frames(spark, sf), named), path)
+    found = folders.files(spark, path)
+    read = images.decoded(found.select(F.col("name").alias("path"), "content"))
+    marks = images.pixels_of(read, "path").groupBy("path").agg(F.sum(F.col("x") * F.col("a")).alias("mark"))
+    return read.join(marks, "path").select(F.col("path").alias("name"), "w", "h", "mark")
+
+
+def template_coverage(spark, sf):
+    """States of the parts beside the pose templates that strips were saved as: by base name, where they are asked for."""
+    path = session.shared_path(spark, "templates")
+    names = F.array(*[F.lit(row[1]) for row in catalog.preset_rows()])
+    made = images.png_bytes(images.rasters_of(pixels(spark, sf), clustered=True)).withColumn("name", names[((F.col("image_id") * 3) % len(catalog.preset_rows())).cast("int")])
+    files = made.groupBy("name").agg(F.min_by("content", "image_id").alias("content")).select(F.lit("poses").alias("bundle"), F.concat("name", F.lit(".png")).alias("name"), "content")
+    folders.write_bundles(files, path)
+    poses = templates.templates_of(folders.files(spark, path, folder="poses"))
+    states = table_states(spark, sf)
+    rows = templates.with_template(states, poses, enabled=F.col("p_partkey") % 5 != 0, reference=F.col("p_partkey") % 7 == 0)
+    missing = templates.uncovered(states, poses).select(F.col("base").alias("b"), F.lit(True).alias("missing"))
+    rows = rows.withColumn("base", catalog.base_state(F.col("state"))).join(missing, F.col("base") == F.col("b"), "left")
+    return rows.groupBy("base").agg(F.count("*").alias("n"), F.count("template").alias("used"), F.coalesce(F.bool_or("missing"), F.lit(False)).alias("missing"))
+
+
 _projects: dict[tuple[str, str], str] = {}
 
 
@@ -584,5 +612,5 @@ systematic_sample median_cut nearest_palette apply_palette pixel_scale_runs pixe
 equal_split_crossings frame_balance centroid_spread body_heights grid_bands frame_metrics onion_skin segment_strip extract_contents remove_background tight_crop rescale_round_trip draw_rects
 extract_frames opaque_columns gap_run_boxes shared_box_placement equal_split_placement mean_body_height torso_spread body_extent_ratio plain_cut shade_gradient over_ground silhouette_outline
 baked_frames extract_cells stacked_panels crop_window sheet_raster retry_hints base_rules post_process file_round_trip
-bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read sample_scan tiled_components tiled_flood""".split()
+bundle_round_trip project_manifest frame_file_counts first_files animations_read raw_strip_list thumbnails_read sample_scan tiled_components tiled_flood gallery_strips template_coverage""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

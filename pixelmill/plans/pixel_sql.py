@@ -401,3 +401,5 @@ ORACLES["median_cut"] = f"""WITH {M},{_median_cut(8)},
       p AS (SELECT image_id, CASE WHEN len(ms) < 2 THEN list_append(ms, {{'n': 1::bigint, 'r': 255::bigint, 'g': 255::bigint, 'b': 255::bigint}}) ELSE ms END AS ms FROM f),
       q AS (SELECT image_id, ms, unnest(range(len(ms))) AS ord FROM p)
       SELECT image_id, ord::int AS ord, ms[ord + 1].r::int AS r, ms[ord + 1].g::int AS g, ms[ord + 1].b::int AS b FROM q"""
+ORACLES["gallery_strips"] = f"""WITH {F_}, f AS (SELECT image_id, max(frame * w + x)::int + 1 AS w, sum((frame * w + x) * a)::bigint AS mark FROM fr GROUP BY ALL)
+      SELECT 'state-' || image_id || '-' || strftime(to_timestamp(1700000000 + image_id * 61) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S') || '-' || lpad((image_id % 1000)::varchar, 3, '0') || '.png' AS name, w, 32 AS h, mark FROM f"""

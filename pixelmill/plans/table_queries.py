@@ -288,3 +288,5 @@ ORACLES["settings_loaded"] = """WITH c AS (SELECT c_custkey AS o, c_name, 'key-'
       a AS (SELECT *, CASE WHEN o % 11 = 0 THEN 'fal' WHEN gemini IS NOT NULL THEN 'gemini' WHEN openai IS NOT NULL THEN 'openai' WHEN fal IS NOT NULL THEN 'fal' WHEN replicate IS NOT NULL THEN 'replicate' ELSE 'gemini' END AS active FROM k WHERE listed)
       SELECT o AS owner, active, CASE active WHEN 'gemini' THEN gemini WHEN 'openai' THEN openai WHEN 'fal' THEN fal ELSE replicate END AS key, CASE active WHEN 'gemini' THEN gemini_model WHEN 'openai' THEN openai_model END AS model,
         (gemini IS NOT NULL)::int + (openai IS NOT NULL)::int + (fal IS NOT NULL)::int + (replicate IS NOT NULL)::int AS n_keys FROM a"""
+ORACLES["template_coverage"] = f"""WITH {_BASED}, t AS (SELECT DISTINCT {_LIST}[(s_suppkey * 3) % {len(STATES)} + 1] AS name FROM supplier)
+      SELECT base, count(*) AS n, count(*) FILTER (name IS NOT NULL AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) AS used, bool_or(name IS NULL) AS missing FROM ba LEFT JOIN t ON t.name = ba.base GROUP BY base"""
