@@ -3,7 +3,9 @@
 1. Candidates, level by level. Each task counts its phrases by fingerprint, Spark sums: an upper bound of a phrase's frequency (equal
    fingerprints can only add). A phrase is only counted if all shorter parts may be frequent, which tasks read off bitmaps of
    ``2 ** BITS`` bits, whatever the corpus: a bit that two phrases share lets one more be counted and never loses one.
-2. The candidates' words are collected and dealt into shards of ``SHARD`` phrases by the phrase's hash. Each shard becomes a double-array trie,
+   A phrase's fingerprint is made of that of its words but the last and the last one's in a way that can be undone, so that sums carry
+   one word's fingerprint and the phrase's words are found again by joins; only single words are spelled by tasks.
+2. The candidates are dealt into shards of ``SHARD`` phrases by the phrase's hash. Each shard becomes a double-array trie,
    broadcast; its size is bounded by the shard's.
 3. In one pass over the texts each position is dealt to the shard of the phrase that begins there. A task takes one trie at a
    time; all positions' states advance together, level by level (language, first word, second word ...), and those that
@@ -70,7 +72,7 @@ class _Tokens:
         m = len(ok)
         if len(bits) >= n - 1 and n > 1:
             part = _have(bits[n - 2], self.phrases[n - 2])
-            ok &= part[:m] & self._tails(n, bits[n - 2])
+            ok &= part[:m] & self._behind(n, bits[n - 2])
         if len(bits) >= n:
             ok &= _have(bits[n - 1], self.phrases[n - 1])
         return np.flatnonzero(ok)
@@ -88,7 +90,7 @@ class _Tokens:
         offsets = np.concatenate([[0], np.cumsum((size + 1).reshape(-1, n).sum(axis=1) - 1)]).astype(np.int32)
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes()))
 
-    def _tails(self, n: int, bits: np.ndarray) -> np.ndarray:
+    def _behind(self, n: int, bits: np.ndarray) -> np.ndarray:
         """Whether the last n - 1 words of the phrase at each place have their bit."""
         return _have(bits, self.phrases[n - 2])[1:]
 
@@ -126,15 +128,22 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(n: int, bits, key: int):
-    """How often each phrase of ``n`` words that may be frequent stands in a batch, by fingerprint."""
+    """How often each phrase of ``n`` words that may be frequent stands in a batch, by fingerprint, with its last word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [b.value for b in bits]
         for batch in batches:
-            parts = [np.unique(tokens.phrases[n - 1][tokens.may(n, have)], return_counts=True) for tokens, _, _ in _blocks(batch, key)]
-            found, of = np.unique(np.concatenate([p for p, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
-            many = np.bincount(of, weights=np.concatenate([m for _, m in parts] or [np.zeros(0)]), minlength=len(found)).astype(np.int64)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(many)], names=["print", "n"])
+            prints, lasts, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for tokens, _, _ in _blocks(batch, key):
+                at = tokens.may(n, have)
+                found, first, many = np.unique(tokens.phrases[n - 1][at], return_index=True, return_counts=True)
+                prints.append(found)
+                lasts.append(tokens.prints[at[first] + n - 1])
+                totals.append(many)
+            found, first, of = np.unique(np.concatenate(prints), return_index=True, return_inverse=True)
+            many = np.bincount(of, weights=np.concatenate(totals), minlength=len(found)).astype(np.int64)
+            last = np.concatenate(lasts)[first] if n > 1 else np.zeros(len(found), np.uint64)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(last.view(np.int64)), pa.array(many)], names=["print", "last", "n"])
 
     return run
 
@@ -156,22 +165,49 @@ def bitmap(prints: DataFrame) -> np.ndarray:
     return out
 
 
-def _named(bits, key: int):
-    """The words of phrases that may be frequent: each once a task."""
+def _spelled(bits, key: int):
+    """The words that may be frequent: each once a task, with its fingerprint as a phrase of one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [b.value for b in bits]
-        seen = [np.zeros(0, dtype=np.uint64)] * LONGEST
+        have, seen = [b.value for b in bits], np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for tokens, langs, own in _blocks(batch, key):
-                for n in range(2, LONGEST + 1):
-                    at = tokens.may(n, have)
-                    prints, first = np.unique(tokens.phrases[n - 1][at], return_index=True)
-                    new = ~np.isin(prints, seen[n - 1], assume_unique=True)
-                    prints, at = prints[new], at[first[new]]
-                    seen[n - 1] = np.union1d(seen[n - 1], prints)
-                    names = pa.array(langs, pa.string()).take(pa.array(own[tokens.row[at]]))
-                    yield pa.record_batch([pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(prints.view(np.int64)), names, tokens.spelled(at, n)], names=["words", "print", "lang", "phrase"])
+                at = tokens.may(1, have)
+                prints, first = np.unique(tokens.phrases[0][at], return_index=True)
+                new = ~np.isin(prints, seen, assume_unique=True)
+                prints, at = prints[new], at[first[new]]
+                seen = np.union1d(seen, prints)
+                names = pa.array(langs, pa.string()).take(pa.array(own[tokens.row[at]]))
+                yield pa.record_batch([pa.array(prints.view(np.int64)), names, tokens.spelled(at, 1)], names=["print", "lang", "word"])
+
+    return run
+
+
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` was given."""
+    first, second = (np.uint64(pow(c, -1, 1 << 64)) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * second
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * first
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprint of a phrase without its last word."""
+    back = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    for batch in batches:
+        whole, last = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.record_batch([*batch.columns, pa.array(((_unmixed(whole) - last) * back).view(np.int64))], names=["print", "last", "head"])
+
+
+def _tails(key: int):
+    """The fingerprint that a phrase's last word has as a phrase of its language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            langs = np.array([_print(x, key) for x in coded.dictionary.to_pylist()], dtype=np.uint64)[coded.indices.to_numpy()]
+            tail = mix(batch.column(1).to_numpy().view(np.uint64) ^ mix(langs))
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(tail.view(np.int64))], names=["print", "lang", "phrase", "tail"])
 
     return run
 
@@ -255,21 +291,24 @@ def _walked(tries: list, bits, key: int):
 
 
 def candidates(rows: DataFrame, key: int, keep: Callable, least: int = LEAST) -> tuple[DataFrame, DataFrame, list]:
-    """(frequencies of words by print, candidate phrases, bitmaps of phrases of each length): all phrases that may stand ``least`` times."""
+    """(words with their frequency, candidate phrases, bitmaps of phrases of each length): all phrases that may stand ``least`` times."""
     context, bits, tables = rows.sparkSession.sparkContext, [], []
     for n in range(1, LONGEST + 1):
-        sums = rows.mapInArrow(_counted(n, list(bits), key), "print bigint, n bigint").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        tables.append(keep(sums, f"level{n}"))
+        sums = rows.mapInArrow(_counted(n, list(bits), key), "print bigint, last bigint, n bigint").groupBy("print").agg(F.min("last").alias("last"), F.sum("n").alias("n"))
+        tables.append(keep(sums.where(F.col("n") >= least), f"level{n}"))
         bits.append(context.broadcast(bitmap(tables[-1])))
-    named = rows.mapInArrow(_named(bits, key), "words int, print bigint, lang string, phrase string")
-    safe = None
+    # tasks spell a word each, so it is named once before it meets the sums
+    spelled = rows.mapInArrow(_spelled(bits[:1], key), "print bigint, lang string, word string").groupBy("print").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
+    words = keep(spelled.join(tables[0].select("print", F.col("n").alias("f")), "print"), "words")
+    shorter, found = words.select(F.col("print").alias("head"), "lang", F.col("word").alias("phrase")), None
+    tails = words.select(F.col("print").alias("tail"), "word")
     for n in range(2, LONGEST + 1):
-        part = tables[n - 1].select(F.lit(n).alias("words"), "print")
-        safe = part if safe is None else safe.unionByName(part)
-    # tasks name a phrase each, so it is named once before it meets the sums
-    named = named.groupBy("words", "print").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-    found = named.join(safe, ["words", "print"], "left_semi")
-    return tables[0], keep(found, "candidates"), bits
+        headed = tables[n - 1].select("print", "last").mapInArrow(_heads, "print bigint, last bigint, head bigint")
+        begun = headed.join(shorter, "head").select("print", "last", "lang", "phrase").mapInArrow(_tails(key), "print bigint, lang string, phrase string, tail bigint")
+        part = keep(begun.join(tails, "tail").select(F.lit(n).alias("words"), "print", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase")), f"named{n}")
+        found = part if found is None else found.unionByName(part)
+        shorter = part.select(F.col("print").alias("head"), "lang", "phrase")
+    return words.select("lang", "word", "f"), found, bits
 
 
 def count(rows: DataFrame, found: DataFrame, bits: list, key: int, keep: Callable, shard: int = SHARD) -> DataFrame:
@@ -318,26 +357,12 @@ def ranked(counts: DataFrame, words: DataFrame, least: int = LEAST, top: int = T
     return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "score")
 
 
-def _printed(key: int):
-    """The fingerprint that a word of a language has among phrases of one word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            langs = np.array([_print(x, key) for x in coded.dictionary.to_pylist()], dtype=np.uint64)[coded.indices.to_numpy()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(mix(_word_prints(batch.column(1), key) ^ mix(langs)).view(np.int64))], names=["lang", "word", "print"])
-
-    return run
-
-
 def collocations(documents: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, shard: int = SHARD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``top`` phrases."""
     rows = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     key = new_key()
     with scratch(documents.sparkSession, "collocations") as keep:
         totals = rows.mapInArrow(_totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
-        single, found, bits = candidates(rows, key, keep, least)
+        words, found, bits = candidates(rows, key, keep, least)
         counts = count(rows, found, bits, key, keep, shard)
-        used = found.select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct().mapInArrow(_printed(key), "lang string, word string, print bigint")
-        words = keep(used.join(single, "print").select("lang", "word", F.col("n").alias("f")), "words")
         return stored(ranked(counts, words, least, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")

@@ -89,3 +89,10 @@ def test_duckdb_agrees(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({sql.COLLOCATIONS})").fetchall())
     assert sorted(tuple(r) for r in collocations.collocations(spark.read.parquet(f"{sf}/documents.parquet")).select(*COLUMNS).collect()) == want and want
+
+
+def test_fingerprints_can_be_undone():
+    from pixelmill.llm.words import mix
+
+    x = np.random.default_rng(1).integers(0, 1 << 64, 10_000, dtype=np.uint64)
+    assert (collocations._unmixed(mix(x)) == x).all() and (mix(collocations._unmixed(x)) == x).all()

@@ -38,13 +38,12 @@ def test_built_collisions_are_told_apart(spark):
 
 
 def test_second_halves_computed_without_the_key_do_not_collide(spark):
-    """Halves of 16 bytes that meet under a plain chain of bijections, and under this hash with another key."""
+    """A pair of 16 bytes that met under a plain chain of bijections, and many halves put together, under several keys."""
     from pixelmill.llm import words
 
     rng = np.random.default_rng(7)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
     pairs = [("rs18bf38il5pj3jo", "or4felip8wtexjf9")]
-    # for one half of a pair, look for second halves that make either lane equal under key 0
     halves = ["".join(map(chr, rng.choice(letters, 8))) for _ in range(2000)]
     for key in (0, 1, words.new_key()):
         data, offsets = texts_of(pa.array([a + b for a in halves[:40] for b in halves[40:90]] + list(pairs[0])))
