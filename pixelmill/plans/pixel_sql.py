@@ -350,7 +350,7 @@ _STRIPS = "SELECT s_suppkey AS image_id, 2 + s_suppkey % 3 AS expected FROM supp
 ORACLES["bundle_round_trip"] = f"""WITH {F_}, n AS (SELECT image_id // 4 AS bundle, sum(expected + 2)::bigint AS n FROM ({_STRIPS}) GROUP BY ALL),
       m AS (SELECT image_id // 4 AS bundle, sum((frame * 48 + x + 1) * (image_id % 4 * 32 + y + 1) * a)::bigint AS mark, sum(r + g + b)::bigint AS colour FROM fr GROUP BY ALL)
       SELECT bundle, n + 3 AS n_files, n + 1 AS n_images, mark, colour FROM n JOIN m USING (bundle)"""
-ORACLES["project_manifest"] = f"""WITH a AS ({ORACLES["atlas_rects"].replace("64", "48")}), f AS (SELECT image_id, 4 + image_id % 3 * 4 AS fps, image_id % 3 <> 0 AS loop FROM ({_STRIPS}))
+ORACLES["project_manifest"] = f"""WITH a AS ({ORACLES["atlas_rects"].replace("frame * 64", "frame * 48")}), f AS (SELECT image_id, 4 + image_id % 3 * 4 AS fps, image_id % 3 <> 0 AS loop FROM ({_STRIPS}))
       SELECT sheet, max(max(x)) OVER (PARTITION BY sheet)::int + 48 AS width, (max("row") OVER (PARTITION BY sheet) + 1)::int * 32 AS height, image_id, "row", count(*)::int AS frames, any_value(fps)::int AS fps, any_value(loop) AS loop, any_value(duration)::int AS "durationMs",
         24 AS pivot_x, any_value(pivot_y)::int AS pivot_y, max(x)::int AS last_x, max(y)::int AS last_y, sum(trim_w * trim_h)::int AS area FROM a JOIN f USING (image_id) GROUP BY sheet, image_id, "row" """
 ORACLES["frame_file_counts"] = f"SELECT image_id // 4 AS sheet, image_id, expected::bigint AS n FROM ({_STRIPS})"
