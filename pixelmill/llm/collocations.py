@@ -38,10 +38,12 @@ from .words import LOWER, blocks, fingerprints, mix, new_key, texts_of
 LEAST, TOP, LONGEST = 10, 2000, 3
 #: Bits of a bitmap of phrases that may be frequent, as a power of two: 16 MB.
 BITS = 27
-#: Phrases of a trie: some 40 MB.
-SHARD = 1 << 20
+#: Phrases of a trie: some 20 MB.
+SHARD = 1 << 19
 #: Positions that walk through the tries together.
-POSITIONS = 1 << 20
+POSITIONS = 1 << 19
+#: Counted phrases that are merged before they leave a task.
+MERGED = 1 << 19
 #: Bytes of text that are cut into words at once; a longer text is cut alone.
 BLOCK_BYTES = 1 << 20
 
@@ -130,20 +132,27 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(n: int, bits, key: int):
     """How often each phrase of ``n`` words that may be frequent stands in a batch, by fingerprint, with its last word's."""
 
+    def merged(parts: list[tuple]) -> pa.RecordBatch:
+        prints, lasts, totals = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        found, first, of = np.unique(prints, return_index=True, return_inverse=True)
+        many = np.bincount(of, weights=totals, minlength=len(found)).astype(np.int64)
+        last = lasts[first] if n > 1 else np.zeros(len(found), np.uint64)
+        return pa.record_batch([pa.array(found.view(np.int64)), pa.array(last.view(np.int64)), pa.array(many)], names=["print", "last", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [b.value for b in bits]
         for batch in batches:
-            prints, lasts, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            parts, size = [], 0
             for tokens, _, _ in _blocks(batch, key):
                 at = tokens.may(n, have)
                 found, first, many = np.unique(tokens.phrases[n - 1][at], return_index=True, return_counts=True)
-                prints.append(found)
-                lasts.append(tokens.prints[at[first] + n - 1])
-                totals.append(many)
-            found, first, of = np.unique(np.concatenate(prints), return_index=True, return_inverse=True)
-            many = np.bincount(of, weights=np.concatenate(totals), minlength=len(found)).astype(np.int64)
-            last = np.concatenate(lasts)[first] if n > 1 else np.zeros(len(found), np.uint64)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(last.view(np.int64)), pa.array(many)], names=["print", "last", "n"])
+                parts.append((found, tokens.prints[at[first] + n - 1], many))
+                size += len(found)
+                if size >= MERGED:
+                    yield merged(parts)
+                    parts, size = [], 0
+            if parts:
+                yield merged(parts)
 
     return run
 
