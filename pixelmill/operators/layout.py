@@ -125,9 +125,14 @@ def box_placement(boxes: DataFrame, cell_w: int, cell_h: int, margin: int, share
 
 
 def over(under: DataFrame, upper: DataFrame, keys: tuple[str, ...] = ("image_id", "x", "y")) -> DataFrame:
-    """``upper``'s pixels composed over ``under``'s by alpha; where one has no pixel the other stays."""
-    top = upper.select(*keys, *(F.col(c).alias(f"u{c}") for c in "rgba"))
-    rows = under.select(*keys, *"rgba").join(top, list(keys), "full")
+    """``upper``'s pixels composed over ``under``'s by alpha; where one has no pixel the other stays.
+
+    Both layers have at most one pixel a place. They are summed by place in one exchange, not joined.
+    """
+    none = F.lit(None).cast("int")
+    below = under.select(*keys, *(F.col(c).cast("int").alias(c) for c in "rgba"), *(none.alias(f"u{c}") for c in "rgba"))
+    above = upper.select(*keys, *(none.alias(c) for c in "rgba"), *(F.col(c).cast("int").alias(f"u{c}") for c in "rgba"))
+    rows = below.unionByName(above).groupBy(*keys).agg(*(F.max(c).alias(c) for layer in ("", "u") for c in (f"{layer}{v}" for v in "rgba")))
     ua, a = F.coalesce("ua", F.lit(0)), F.coalesce("a", F.lit(0))
     whole = ua * 255 + a * (255 - ua)  # 255 times the alpha of both
 
@@ -144,12 +149,15 @@ def silhouette(frames: DataFrame, colour: tuple[int, int, int]) -> DataFrame:
 
 
 def outline(frames: DataFrame, thickness: int = 1) -> DataFrame:
-    """(image_id, frame, x, y): places within ``thickness`` of an opaque pixel (in both directions) that are empty themselves."""
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-thickness, thickness + 1) for j in range(-thickness, thickness + 1) if i or j])
-    solid = frames.where("a > 0")
-    near = solid.select("image_id", "frame", "x", "y", "w", "h", F.explode(shifts).alias("s")).selectExpr("image_id", "frame", "x + s.i as x", "y + s.j as y", "w", "h")
-    inside = near.where("x >= 0 AND y >= 0 AND x < w AND y < h").select("image_id", "frame", "x", "y").distinct()
-    return inside.join(solid.select("image_id", "frame", "x", "y"), ["image_id", "frame", "x", "y"], "left_anti")
+    """(image_id, frame, x, y): places within ``thickness`` of an opaque pixel (in both directions) that are empty themselves.
+
+    Frames have a row a place, empty ones too. They are dealt by frame once; both directions are windows over that dealing.
+    """
+    dealt = frames.select("image_id", "frame", "x", "y", F.coalesce("a", F.lit(0)).alias("a")).repartition("image_id", "frame")
+    beside = Window.partitionBy("image_id", "frame", "y").orderBy("x").rangeBetween(-thickness, thickness)
+    above = Window.partitionBy("image_id", "frame", "x").orderBy("y").rangeBetween(-thickness, thickness)
+    near = dealt.withColumn("near", F.max("a").over(beside)).withColumn("near", F.max("near").over(above))
+    return near.where("a <= 0 AND near > 0").select("image_id", "frame", "x", "y")
 
 
 def cropped(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

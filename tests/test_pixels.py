@@ -376,3 +376,26 @@ def test_sheet_tags_and_durations(spark):
     sheet = json.loads(layout.sheet_json(cells, 32, 32).first().json)
     assert [f["duration"] for f in sheet["frames"]] == [125, 125, 83, 83, 83]
     assert [(t["from"], t["to"]) for t in sheet["meta"]["frameTags"]] == [(0, 1), (2, 4)]
+
+
+def test_layers_meet_by_place(spark):
+    under, upper = table(spark, [fill(canvas(3, 2, (10, 20, 30)), 0, 0, 1, 1, GREEN)]), table(spark, [canvas(4, 2, (200, 0, 0), 128)]).where("x > 0")
+    found = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in layout.over(under, upper).collect()}
+    assert len(found) == 8 and found[0, 0] == (*GREEN, 255)
+    assert found[3, 1] == (200, 0, 0, 128)  # nothing lies under it
+    assert found[1, 0] == tuple(int((c * 128 + d * 127) / 255 + 0.5) for c, d in zip((200, 0, 0), (10, 20, 30))) + (255,)
+    plan = layout.over(under, upper)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("thickness", [1, 2])
+def test_outlines_are_the_empty_neighbours_of_opaque_pixels(spark, thickness):
+    images = [fill(canvas(9, 7, (0, 0, 0), 0), 0, 2, 2, 3, GREEN), fill(canvas(9, 7, (0, 0, 0), 0), 4, 3, 5, 4, BLUE), canvas(9, 7), canvas(9, 7, (0, 0, 0), 0)]
+    want = set()
+    for i, image in enumerate(images):
+        solid = {(x, y) for y, x in zip(*np.nonzero(image[..., 3]))}
+        near = {(x + dx, y + dy) for x, y in solid for dx in range(-thickness, thickness + 1) for dy in range(-thickness, thickness + 1)}
+        want |= {(i, int(x), int(y)) for x, y in near - solid if 0 <= x < 9 and 0 <= y < 7}
+    ring = layout.outline(table(spark, images, frames=True), thickness)
+    assert {(r.frame, r.x, r.y) for r in ring.collect()} == want
+    assert layout.outline(table(spark, images, frames=True), thickness)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
