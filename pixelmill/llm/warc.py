@@ -14,7 +14,8 @@ with the next frame; only where a frame's own bounds cannot be told (cut off, or
 archive become one refused row. A damaged dictionary refuses the records that need it.
 
 Equal payloads are found by their digests alone: of digests with several pages the largest id is looked up,
-by broadcast up to ``SMALL`` of them and by a join beyond it; payloads themselves are not shuffled up to then.
+by broadcast up to ``SMALL`` of them. Beyond it the revisits are found over ids and digests alone, and payloads meet them by
+page, never by digest: an empty or boilerplate page that a third of all rows share is no hot key of the join that carries payloads.
 
 Defined cases: null html is the empty payload, null url leaves WARC-Target-URI out; a null id leaves
 WARC-Record-ID out, and such a row is a response only if its payload has no row with an id; rows with
@@ -57,10 +58,26 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
     first = stored(first.where("n > 1").drop("n"), "originals")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    joined = rows.join(F.broadcast(first) if first.count() <= SMALL else first, "digest", "left")
+    if first.count() <= SMALL:
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        joined = _by_page(rows, first)
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
+def _by_page(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``rows`` with ``original``: digests meet ``first`` without their payloads, and payloads meet the outcome by page.
+
+    A page is its id, its digest and a hash of its url, so that rows without an id do not lie on one key; rows that
+    agree in all three have one role.
+    """
+    page = [F.coalesce("page_id", F.lit(0)).alias("k_id"), F.col("page_id").isNull().alias("k_null"), F.xxhash64("url").alias("k_url")]
+    keyed = rows.select("*", *page)
+    names = ["digest", "k_id", "k_null", "k_url"]
+    originals = keyed.select(*names).distinct().join(first, "digest")
+    return keyed.join(originals, names, "left").drop("k_id", "k_null", "k_url")
+
+
 def _record(page_id, url, payload: bytes, digest: bytes, kind: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http

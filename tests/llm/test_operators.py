@@ -83,6 +83,18 @@ def test_warc_small_payloads_are_all_responses(spark):
     assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_warc_roles_by_page_are_those_of_the_broadcast(spark, monkeypatch):
+    rows = [(i, "u", "boilerplate") for i in range(200)] + [(None, f"u{i}", "boilerplate") for i in range(20)] + [(None, None, None)] * 3
+    rows += [(5, "u", "other"), (300, None, "other"), (300, None, "other"), (7, "v", ""), (9, "w", "alone")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    names = ["page_id", "url", "html", "record_type", "refers_to"]
+    want = rows_of(warc.roles(pages).select(*names).toPandas())
+    monkeypatch.setattr(warc, "SMALL", 0)
+    found = warc.roles(pages)
+    assert rows_of(found.select(*names).toPandas()) == want and len(want) == len(rows)
+    assert found.where("record_type = 'response'").count() == 5  # 199, both rows of 300, the largest id of the empty payload, the one alone
+
+
 def test_warc_reader_loads_dictionaries_and_refuses_damage():
     payloads = [f"<html><body>page {i} of the same site, with the same words</body></html>".encode() * 3 for i in range(300)]
     trained = zstandard.train_dictionary(4096, payloads)
