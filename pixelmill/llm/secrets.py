@@ -41,6 +41,8 @@ RULES = [
 ]
 BASE_KINDS = 3
 BLOCK_TEXTS = 2000
+#: Tasks over which the copies of a text are dealt where they meet their candidates.
+SALTS = 16
 #: Alternatives of a query; one that would have more is weakened to what is certain so far.
 MOST_ALTERNATIVES = 64
 
@@ -135,7 +137,9 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rows = _keyed(documents, id_col, text_col)
     index = build_index(rows, trigrams, documents.count())
     wanted = stored(candidates(index, queries), "candidates")
-    joined = rows.join(wanted, "key", "left")
+    # copies of one text have one key: they are dealt over SALTS tasks, each with a copy of the candidates' ids and rules
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left")
     text, named = F.col("text"), F.coalesce("rules", F.array().cast("array<int>"))
 
     def run(i: int) -> Column:
