@@ -38,8 +38,8 @@ from .words import LOWER, blocks, fingerprints, mix, new_key, texts_of
 LEAST, TOP, LONGEST = 10, 2000, 3
 #: Bits of a bitmap of phrases that may be frequent, as a power of two: 16 MB.
 BITS = 27
-#: Phrases of a trie: some 20 MB.
-SHARD = 1 << 19
+#: Phrases of a trie: some 5 MB.
+SHARD = 1 << 17
 #: Positions that walk through the tries together.
 POSITIONS = 1 << 19
 #: Counted phrases that are merged before they leave a task.
@@ -168,10 +168,12 @@ def bitmap(prints: DataFrame) -> np.ndarray:
     at = F.shiftrightunsigned("print", 64 - BITS)
     places = prints.select(F.shiftright(at, 15).alias("high"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("low")).distinct()
     chunks = places.groupBy("high").applyInArrow(_chunk, "high bigint, flags binary").toArrow()
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for high, flags in zip(chunks.column(0).to_pylist(), chunks.column(1).to_pylist(), strict=True):
-        out[high << 12 : (high + 1) << 12] = np.frombuffer(flags, np.uint8)
-    return out
+    out = np.zeros((1 << (BITS - 15), 1 << 12), dtype=np.uint8)
+    for batch in chunks.to_batches():
+        flags = batch.column(1)
+        first, last = np.frombuffer(flags.buffers()[1], np.int32)[[flags.offset, flags.offset + len(flags)]]
+        out[batch.column(0).to_numpy()] = np.frombuffer(flags.buffers()[2], np.uint8)[first:last].reshape(-1, 1 << 12)
+    return out.reshape(-1)
 
 
 def _spelled(bits, key: int):
@@ -251,9 +253,9 @@ def _trie(key: int):
 
 
 class Trie:
-    """A shard's trie in a worker."""
+    """A shard's trie in a worker, or on its way there."""
 
-    def __init__(self, alphabet: bytes, *arrays: bytes):
+    def __init__(self, alphabet, *arrays):
         self.alphabet = np.frombuffer(alphabet, np.uint64)
         self.arrays = tuple(np.frombuffer(x, np.int32) for x in arrays)
 
@@ -332,8 +334,10 @@ def count(rows: DataFrame, found: DataFrame, bits: list, key: int, keep: Callabl
     context = rows.sparkSession.sparkContext
     tries = []
     for k in range(shards):  # the driver holds one trie, of a bounded size, at a time
-        row = built.where(F.col("shard") == k).first()
-        tries.append(context.broadcast(Trie(*map(bytes, row[1:])) if row else Trie(np.zeros(1, np.uint64).tobytes(), *(x.tobytes() for x in doublearray.build(np.zeros((1, 1), np.int64), np.ones(1, np.int64))))))
+        row = built.where(F.col("shard") == k).drop("shard").toArrow()  # buffers, of which no copies are made here
+        empty = (np.zeros(1, np.uint64), *doublearray.build(np.zeros((1, 1), np.int64), np.ones(1, np.int64)))
+        tries.append(context.broadcast(Trie(*((c[0].as_buffer() for c in row.columns) if row.num_rows else empty))))
+        del row
     counts = rows.mapInArrow(_walked(tries, bits, key), "shard int, number int, n bigint").groupBy("shard", "number").agg(F.sum("n").alias("n"))
     return keep(numbered.join(counts, ["shard", "number"]).select("lang", "words", "phrase", "n"), "counts")
 
