@@ -137,6 +137,29 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(preset_rows(), "ord int, name string, category string, frames int, fps int, loop boolean")
 
 
+# What follows a state's name and comes first in its label; labels that are not made by the rule.
+QUALIFIERS = ["combat", "heavy", "fire", "ice", "lightning", "heal"]
+LABELS = {"death-fall": "Falling Death", "low-hp": "Low HP"}
+
+
+def label(name: str) -> str:
+    """A state's name for display: words capitalised, a qualifier first."""
+    parts = name.split("-")
+    if len(parts) == 2 and parts[1] in QUALIFIERS:
+        parts.reverse()
+    return LABELS.get(name) or " ".join(p.capitalize() for p in parts)
+
+
+def found_presets(query: Column) -> Column:
+    """array of names, in catalog order, whose name, label or category holds the trimmed words in any case; blank finds all, null none.
+
+    The catalog is a constant of the expression: nothing is joined.
+    """
+    q = F.lower(F.trim(query))
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f"{name}\n{label(name)}\n{category}".lower()).alias("words")) for _, name, category, *_ in preset_rows()])
+    return F.transform(F.filter(rows, lambda r: F.contains(r["words"], q)), lambda r: r["name"])
+
+
 def directions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DIRECTIONS, "key string, short string, mirror_of string, row int, col int")
 

@@ -43,6 +43,13 @@ def preset_lookup_fallback(spark, sf):
     return catalog.with_preset(_states(spark, sf)).drop("state")
 
 
+def preset_search(spark, sf):
+    """What a search for the second and third letter of each part's name finds in the catalog, a row a search."""
+    words = _read(spark, sf, "part").select(F.substring(F.upper("p_name"), 2, 2).alias("query")).groupBy("query").agg(F.count("*").alias("searches"))
+    found = words.withColumn("names", catalog.found_presets(F.col("query")))
+    return found.select("query", "searches", F.size("names").cast("bigint").alias("n"), F.array_join("names", ",").alias("names"))
+
+
 def sanitize_name(spark, sf):
     c = _read(spark, sf, "customer")
     raw = F.concat(F.lit(" #"), F.col("c_name"), F.lit(" / "), F.col("c_mktsegment"), F.lit("!"))
@@ -211,7 +218,7 @@ def best_attempt_stream(spark, sf):
     return live.run_to_table(updates, session.shared_path(spark, "stream")).withColumn("status", corpus.status()).drop("closed")
 
 
-_NAMED = (base_state_name, preset_lookup_fallback, sanitize_name, aspect_for_frames, first_n_per_category, best_attempt, quality_report_rollup, settings_pairs, event_minute_runs, lineitem_centroid, embedding_neighbours, report_by_source,
+_NAMED = (base_state_name, preset_lookup_fallback, preset_search, sanitize_name, aspect_for_frames, first_n_per_category, best_attempt, quality_report_rollup, settings_pairs, event_minute_runs, lineitem_centroid, embedding_neighbours, report_by_source,
           facing_words, service_models, event_stamps, settings_merged, session_round_trip, roster_report, gallery_cards, report_change, named_states, settings_loaded, best_attempt_stream)
 QUERIES = {f.__name__: f for f in _NAMED}
 
@@ -228,6 +235,8 @@ bs AS (SELECT state, attempt, expected, found, n_errors, CASE WHEN p = 1 THEN 'o
 ORACLES = {
     "base_state_name": f"WITH {_BASED} SELECT p_partkey, base FROM ba",
     "preset_lookup_fallback": f"WITH {_CATALOG}, {_BASED} SELECT p_partkey, coalesce(x.name, y.name) AS preset, coalesce(x.category, y.category) AS category, coalesce(x.frames, y.frames) AS frames, coalesce(x.fps, y.fps) AS fps, coalesce(x.loop, y.loop) AS loop FROM ba LEFT JOIN cat x ON x.name = state LEFT JOIN cat y ON y.name = base",
+    "preset_search": "WITH lab(ord, name, label, category) AS (VALUES " + ", ".join(f"({i}, '{n}', '{catalog.label(n)}', '{c}')" for i, n, c, *_ in catalog.preset_rows()) + """), q AS (SELECT upper(p_name)[2:3] AS query, count(*) AS searches FROM part GROUP BY ALL)
+      SELECT query, searches, count(name) AS n, coalesce(string_agg(name, ',' ORDER BY ord), '') AS names FROM q LEFT JOIN lab ON contains(name, trim(lower(query))) OR contains(lower(label), trim(lower(query))) OR contains(lower(category), trim(lower(query))) GROUP BY query, searches""",
     "sanitize_name": """WITH c AS (SELECT c_custkey, c_name, ' #' || c_name || ' / ' || c_mktsegment || '!' AS raw FROM customer)
       SELECT c_custkey, coalesce(nullif(trim(regexp_replace(trim(raw), '[^a-zA-Z0-9가-힣_-]+', '-', 'g'), '-'), ''), 'character') AS stem, coalesce(nullif(regexp_replace(raw, '[^a-zA-Z0-9_-]', '-', 'g'), ''), 'strip') AS strip,
       CASE WHEN length(c_name) > 8 THEN left(c_name, 4) || '····' || right(c_name, 4) ELSE '' END AS masked FROM c""",

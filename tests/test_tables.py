@@ -167,3 +167,13 @@ def test_running_report_on_a_stream(spark, tmp_path):
 
 def test_registry_has_no_orphan_texts():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_presets_are_found_by_name_label_and_category(spark):
+    from pixelmill.functions import catalog
+
+    rows = spark.createDataFrame([(" FALLING ",), ("low hp",), ("heavy att",), ("combat idle",), ("basics",), ("nothing",), ("",), (None,)], "q string")
+    found = {r.q: r.n for r in rows.select("q", catalog.found_presets(F.col("q")).alias("n")).collect()}
+    names = [row[1] for row in catalog.preset_rows()]
+    assert found[" FALLING "] == ["death-fall"] and found["low hp"] == ["low-hp"] and found["heavy att"] == ["attack-heavy"] and found["combat idle"] == ["idle-combat"]
+    assert found["basics"] == [row[1] for row in catalog.preset_rows() if row[2] == "Basics"] and found["nothing"] == [] and found[""] == names and not found[None]
