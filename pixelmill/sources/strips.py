@@ -11,21 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 96, 32
+#: Strips that a task makes pixels of, so that its memory does not grow with the table.
+STRIPS = 128
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, expected (figures that were drawn), slot (columns a figure has)."""
+    """image_id, expected (figures that were drawn), slot (columns a figure has); dealt by image.
+
+    A supplier is some bytes and its strip thousands of rows, so a scan's few tasks would not do. What groups or joins by image
+    finds its rows dealt already.
+    """
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"))
+    rows = rows.repartition(max(1, -(-rows.count() // STRIPS)), "image_id")
     rows = rows.withColumn("expected", (2 + F.col("image_id") % 3).cast("int"))
     return rows.withColumn("slot", F.expr(f"cast({WIDTH} div expected as int)"))
 
 
+def places(spark: SparkSession) -> DataFrame:
+    """p: the places of a strip, by rows."""
+    return spark.range(0, WIDTH * HEIGHT, 1, 1).select(F.col("id").alias("p"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, expected, slot, pose, lx (column in the figure's slot), x, y, r, g, b, a: a row a pixel.
 
-    Rows are made in the scan's own tasks; no row is moved.
+    Rows are made in the tasks of their strips; no row is moved. They come from a cross join with a strip's places, not from a generator, whose
+    number of rows Spark does not estimate: it would take pixels for small enough to broadcast.
     """
-    grid = strips(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("p"))
+    grid = strips(spark, sf_dir).crossJoin(F.broadcast(places(spark)))
     grid = grid.selectExpr("image_id", "expected", "slot", f"cast(p % {WIDTH} as int) as x", f"cast(p div {WIDTH} as int) as y")
     grid = grid.selectExpr("*", "cast(least(expected - 1, x div slot) as int) as pose", "cast(slot div 4 as int) as q")
     grid = grid.selectExpr("*", "x - pose * slot as lx", "cast(40 + (image_id * 37) % 160 as int) as fr", "cast(60 + (image_id * 53 + pose * 4) % 160 as int) as fg", "cast(30 + (image_id * 29) % 90 as int) as fb")
