@@ -83,16 +83,16 @@ def residue_share(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.count_if((F.col("a") > ALPHA_T) & (d < 55)) / F.count("*")).alias("share"))
 
 
-def cleaned(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def cleaned(pixels: DataFrame, width: int, height: int, dealt: bool = False) -> DataFrame:
     """Alpha with lone opaque pixels removed and pinholes (7 or 8 opaque neighbours) filled.
 
     Neighbour sums are separable: a row window of three columns, then a column window of three rows of
-    those sums. Pixels are dealt by image once, which both windows can work with.
+    those sums. Pixels are dealt by image once, which both windows can work with; ``dealt``: they are already.
     """
     on = (F.col("a") > ALPHA_T).cast("int")
     across = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1)
     down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
-    rows = pixels.repartition("image_id").withColumn("_on", on).withColumn("_row", F.sum("_on").over(across)).withColumn("_nb", F.sum("_row").over(down) - F.col("_on"))
+    rows = (pixels if dealt else pixels.repartition("image_id")).withColumn("_on", on).withColumn("_row", F.sum("_on").over(across)).withColumn("_nb", F.sum("_row").over(down) - F.col("_on"))
     if width < 3 or height < 3:
         return pixels
     return rows.withColumn("a", F.when((F.col("_on") == 1) & (F.col("_nb") == 0), 0).when((F.col("_on") == 0) & (F.col("_nb") >= 7), 255).otherwise(F.col("a"))).drop("_on", "_row", "_nb")
@@ -108,13 +108,13 @@ def without_background(pixels: DataFrame, width: int, height: int, clustered: bo
     pixels = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
     keys = background_key(pixels, width, height)
     own = color.ycc(*(F.col(f"k{c}") for c in "rgb"))
-    named = keys.select("image_id", *(F.col(c).alias(f"k{c}") for c in "rgb")).select("image_id", own.alias("key"), color.is_magenta(*(F.col(f"k{c}") for c in "rgb")).alias("magenta"))
-    rows = pixels.join(named, "image_id")
-    c = color.ycc(F.col("r"), F.col("g"), F.col("b"))
-    rows = rows.withColumns({"own_is_key": color.chroma_distance(c, F.col("key")) <= FLOOD_TOL, "pure_is_key": color.chroma_distance(c, key_of()) <= FLOOD_TOL, **{f"{v}0": F.col(v) for v in "rgba"}})
-    rows = matted(rows, F.col("key")).drop("key").withColumnsRenamed({v: f"{v}1" for v in "rgba"})
+    keys = keys.select("image_id", *(F.col(c).alias(f"k{c}") for c in "rgb")).select("image_id", own.alias("key"), color.is_magenta(*(F.col(f"k{c}") for c in "rgb")).alias("magenta"))
+    rows, c = pixels.join(keys, "image_id"), color.ycc(F.col("r"), F.col("g"), F.col("b"))
+    rows = rows.withColumns({"own_is_key": color.chroma_distance(c, F.col("key")) <= FLOOD_TOL, "pure_is_key": color.chroma_distance(c, key_of()) <= FLOOD_TOL})
+    # the kernel and the exchange see plain pixels; both mattes are made behind them
+    rows = kernels.with_flood(rows, {"own_out": "own_is_key", "pure_out": "pure_is_key"}, clustered).drop("own_is_key", "pure_is_key").repartition("image_id")
+    rows = matted(rows.withColumns({f"{v}0": F.col(v) for v in "rgba"}), F.col("key")).drop("key").withColumnsRenamed({v: f"{v}1" for v in "rgba"})
     rows = matted(rows.withColumnsRenamed({f"{v}0": v for v in "rgba"})).withColumnsRenamed({v: f"{v}2" for v in "rgba"})
-    rows = kernels.with_flood(rows, {"own_out": "own_is_key", "pure_out": "pure_is_key"}, clustered).repartition("image_id")
     whole = Window.partitionBy("image_id")
     for i, out in ((1, "own_out"), (2, "pure_out")):
         rows = rows.withColumn(f"a{i}", F.when(F.col(out), F.lit(0)).otherwise(F.col(f"a{i}")))
@@ -124,4 +124,4 @@ def without_background(pixels: DataFrame, width: int, height: int, clustered: bo
     symptom = (F.col("seen1") > MUCH_SEEN) | (F.col("left1") > MUCH_RESIDUE)
     better = (F.col("seen2") < F.col("seen1") - SEEN_LESS) | (F.col("left2") < F.col("left1"))
     again = (F.col("seen2") > LITTLE_SEEN) & ((symptom & better) | (~F.col("magenta") & (F.col("left2") < F.col("left1"))))
-    return cleaned(rows.select("image_id", "x", "y", *(F.when(again, F.col(f"{v}2")).otherwise(F.col(f"{v}1")).alias(v) for v in "rgba")), width, height)
+    return cleaned(rows.select("image_id", "x", "y", *(F.when(again, F.col(f"{v}2")).otherwise(F.col(f"{v}1")).alias(v) for v in "rgba")), width, height, dealt=True)

@@ -106,13 +106,13 @@ def applied(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return rows.select(*others, *(F.when(kept, F.col(f"p{c}")).otherwise(F.lit(0)).alias(c) for c in "rgb"), F.when(kept, F.lit(255)).otherwise(F.lit(0)).alias("a"))
 
 
-def run_lengths(pixels: DataFrame, most: int | None, keys: tuple[str, ...] = ("image_id",), limit: Column | None = None, where: Column | None = None) -> DataFrame:
+def run_lengths(pixels: DataFrame, most: int | None, keys: tuple[str, ...] = ("image_id",), limit: Column | None = None, where: Column | None = None, dealt: bool = False) -> DataFrame:
     """(keys, length, n): runs of like pixels in rows and columns, but for the last one of each line.
 
-    Runs of 2 to ``most`` pixels count, or to ``limit`` where that depends on the image; ``where`` leaves images out.
+    Runs of 2 to ``most`` pixels count, or to ``limit`` where that depends on the image; ``where`` leaves images out. ``dealt``: pixels are dealt by image already.
     """
     pixels = (pixels if where is None else pixels.where(where)).withColumn("limit", F.lit(most) if limit is None else limit)
-    found, pixels = None, pixels.repartition("image_id")
+    found, pixels = None, pixels if dealt else pixels.repartition("image_id")
     for line, along in (("y", "x"), ("x", "y")):
         order = Window.partitionBy(*keys, line).orderBy(along)
         before = [F.lag(c).over(order) for c in "rgba"]
@@ -126,13 +126,13 @@ def run_lengths(pixels: DataFrame, most: int | None, keys: tuple[str, ...] = ("i
     return found.groupBy(*keys, "length").agg(F.count("*").alias("n"))
 
 
-def pixel_scale(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def pixel_scale(pixels: DataFrame, width: int, height: int, dealt: bool = False) -> DataFrame:
     """(image_id, scale): the run length that covers most; the smaller of equals; 1 for small or native images."""
     ids = pixels.select("image_id").distinct()
     if min(width, height) < 32:
         return ids.withColumn("scale", F.lit(1))
     most = min(32, min(width, height) // 8)
-    best = run_lengths(pixels, most).groupBy("image_id").agg(F.max_by("length", F.struct(F.col("n") * F.col("length"), -F.col("length"))).alias("scale"))
+    best = run_lengths(pixels, most, dealt=dealt).groupBy("image_id").agg(F.max_by("length", F.struct(F.col("n") * F.col("length"), -F.col("length"))).alias("scale"))
     return ids.join(best, "image_id", "left").select("image_id", F.coalesce("scale", F.lit(1)).cast("int").alias("scale"))
 
 

@@ -127,12 +127,28 @@ def owners(labelled: DataFrame, spans: DataFrame) -> DataFrame:
 
     A column in several spans belongs to the last of them.
     """
-    at = labelled.groupBy("image_id", "label", "x").agg(F.count("*").alias("n"))
-    placed = at.join(spans, "image_id").where("x >= x0 AND x < x1").groupBy("image_id", "label", "x", "n").agg(F.max("seg").alias("seg"))
-    weighed = placed.groupBy("image_id", "label", "seg").agg(F.sum("n").alias("n"))
-    best = weighed.groupBy("image_id", "label").agg(F.max_by("seg", F.struct("n", -F.col("seg"))).alias("owner"))
-    every = labelled.select("image_id", "label").distinct()
-    return every.join(best, ["image_id", "label"], "left").select("image_id", "label", F.coalesce("owner", F.lit(-1)).alias("owner"))
+    at = _placed(labelled.groupBy("image_id", "label", "x").agg(F.count("*").alias("n")), spans)
+    weighed = at.groupBy("image_id", "label", "seg").agg(F.sum("n").alias("n"))
+    best = F.max_by("seg", F.when(F.col("seg").isNotNull(), F.struct("n", -F.col("seg"))))
+    return weighed.groupBy("image_id", "label").agg(F.coalesce(best, F.lit(-1)).alias("owner"))
+
+
+def _placed(columns: DataFrame, spans: DataFrame) -> DataFrame:
+    """``columns`` (image_id, x, ...) with ``seg``, the last span that holds the column, or null; an image's spans are one row, so no column is lost or doubled."""
+    held = spans.groupBy("image_id").agg(F.collect_list(F.struct("seg", "x0", "x1")).alias("_s"))
+    own = F.array_max(F.transform(F.filter("_s", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"])), lambda s: s["seg"]))
+    return columns.join(held.hint("merge"), "image_id", "left").withColumn("seg", own).drop("_s")
+
+
+def owned_boxes(labelled: DataFrame, spans: DataFrame) -> DataFrame:
+    """``contents`` of ``labelled`` and its ``owners``, from one aggregation of the pixels: components are labelled once."""
+    at = labelled.groupBy("image_id", "label", "x").agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("a").alias("s"))
+    kinds = F.sum("n").over(Window.partitionBy("image_id", "label", "seg"))
+    whole = Window.partitionBy("image_id", "label")
+    at = _placed(at, spans).withColumn("n", kinds).withColumn("owner", F.max_by("seg", F.when(F.col("seg").isNotNull(), F.struct("n", -F.col("seg")))).over(whole))
+    return at.where("owner IS NOT NULL").groupBy("image_id", F.col("owner").alias("seg")).agg(
+        F.min("x").alias("min_x"), F.min("y0").alias("min_y"), F.max("x").alias("max_x"), F.max("y1").alias("max_y"), (F.sum(F.col("x") * F.col("s")) / F.sum("s")).alias("cx")
+    )
 
 
 def bands(pixels: DataFrame, expected: DataFrame, height: int) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from pixelmill.operators import profile
 from pixelmill.sources import strips as source
 
 
@@ -34,3 +35,20 @@ def test_pixels_are_made_by_many_tasks(spark, many):
     per_task = [n for n in made.select("image_id").rdd.mapPartitions(lambda rows: [len({r.image_id for r in rows})]).collect() if n]
     assert sum(per_task) == 300 and len(per_task) >= 3 and max(per_task) < 2 * source.STRIPS
     assert made.count() == 300 * source.WIDTH * source.HEIGHT
+
+
+@pytest.mark.parametrize(("name", "passes"), [("extract_contents", 2), ("label_owner_rangejoin", 1)])
+def test_components_are_labelled_once(spark, many, name, passes):
+    """One pass over pixels for the labels, and one for the profile where spans come from it."""
+    plan = entry.queries()[name](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Range (0, 3072") == passes
+
+
+def test_owned_boxes_are_the_contents_of_owners(spark):
+    rows = [(1, x, y, 10 * x + y + 1, label) for label, xs in ((0, (0, 1, 2)), (1, (4, 5)), (2, (8, 9))) for x in xs for y in (0, label + 1)] + [(2, 3, 3, 7, 0)]
+    labelled = spark.createDataFrame(rows, "image_id bigint, x int, y int, a int, label int")
+    spans = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 1, 6), (3, 0, 0, 9)], "image_id bigint, seg int, x0 int, x1 int")
+    owner = profile.owners(labelled, spans)
+    assert {(r.image_id, r.label): r.owner for r in owner.collect()} == {(1, 0): 1, (1, 1): 1, (1, 2): -1, (2, 0): -1}
+    expected = profile.contents(labelled, owner)
+    assert sorted(profile.owned_boxes(labelled, spans).collect()) == sorted(expected.collect())
