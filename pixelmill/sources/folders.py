@@ -1,6 +1,7 @@
 """Folders of image files and bundles of sprite files, as Spark data sources.
 
-``sprite_files`` reads: a partition is a folder (or a share of one), so that the driver lists folders and the tasks list files. Conditions on folder, name and
+``sprite_files`` reads: a partition is a folder (or a share of one), or ``FOLDERS`` top folders with all below them where there are more than those, so that the
+driver lists folders, tasks list files, and a task has more to do than to start. Conditions on folder, name and
 time are options, checked before a file is opened, and files are opened only if the schema asks for ``content``. (Spark 4.1 keeps the filters that it
 pushes to a Python source with the table they were first pushed to: the next query of the same DataFrame would lose rows. So none are taken from there.)
 
@@ -31,6 +32,8 @@ FILES = "folder string, name string, path string, length bigint, modified timest
 BUNDLES = "bundle string, name string, content binary"
 #: Bytes of files that a reader hands on at once.
 CHUNK = 16 << 20
+#: Top folders that a partition walks, where a path has more than these.
+FOLDERS = 32
 
 def _time(text: str | None) -> datetime | None:
     found = datetime.fromisoformat(text) if text else None
@@ -44,11 +47,12 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Share(ds.InputPartition):
-    """A folder's files whose names fall into one of ``of`` shares."""
+    """Files of folders, and of those ``below`` them, whose names fall into one of ``of`` shares."""
 
-    folder: str
+    folders: list[str]
     number: int = 0
     of: int = 1
+    below: bool = False
 
 
 class FilesReader(ds.DataSourceReader):
@@ -59,17 +63,30 @@ class FilesReader(ds.DataSourceReader):
         self.folder, self.prefix, self.suffix = options.get("folder"), options.get("prefix", ""), options.get("suffix", "")
         self.since, self.before = (_time(options.get(c)) for c in ("since", "before"))
 
-    def partitions(self) -> list[Share]:
+    def _below(self, name: str, recursive: bool) -> list[str]:
+        """Folders below a folder, without hidden ones and what is in them."""
         store, base = _opened(self.path)
-        below = [x.path for x in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == fs.FileType.Directory]
-        names = [p[len(base) :].strip("/") for p in [base, *below]]
-        names = [n for n in names if not any(part.startswith(".") for part in n.split("/")) and self.folder in (None, n)]
-        return [Share(n, k, self.shares) for n in names for k in range(self.shares)]
+        found = store.get_file_info(fs.FileSelector(f"{base}/{name}".rstrip("/"), recursive=recursive, allow_not_found=True))
+        names = sorted(x.path[len(base) :].strip("/") for x in found if x.type == fs.FileType.Directory)
+        return [n for n in names if not any(part.startswith(".") for part in n.split("/"))]
+
+    def partitions(self) -> list[Share]:
+        top = self._below("", recursive=False)
+        if len(top) > FOLDERS and self.folder is None:
+            packs = [([""], False), *((top[i : i + FOLDERS], True) for i in range(0, len(top), FOLDERS))]
+        else:
+            packs = [([n], False) for n in ["", *self._below("", recursive=True)] if self.folder in (None, n)]
+        return [Share(names, k, self.shares, below) for names, below in packs for k in range(self.shares)]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        for top in partition.folders:
+            for folder in [top, *(self._below(top, recursive=True) if partition.below else [])]:
+                yield from self._read(folder, partition)
+
+    def _read(self, folder: str, partition: Share) -> Iterator[pa.RecordBatch]:
         store, base = _opened(self.path)
         held, size = [], 0
-        for info in sorted(store.get_file_info(fs.FileSelector(f"{base}/{partition.folder}".rstrip("/"), allow_not_found=True)), key=lambda x: x.base_name):
+        for info in sorted(store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)), key=lambda x: x.base_name):
             name = info.base_name
             if info.type != fs.FileType.File or "." + info.extension.lower() not in self.media or name.startswith("."):
                 continue
@@ -78,7 +95,7 @@ class FilesReader(ds.DataSourceReader):
             modified = info.mtime.astimezone(UTC)
             if not name.startswith(self.prefix) or not name.endswith(self.suffix) or (self.since and modified < self.since) or (self.before and modified >= self.before):
                 continue
-            row = {"folder": partition.folder, "name": name, "path": info.path, "length": info.size, "modified": modified, "content": None, "error": None}
+            row = {"folder": folder, "name": name, "path": info.path, "length": info.size, "modified": modified, "content": None, "error": None}
             if "content" in self.schema.names:
                 if info.size > self.most:
                     row["error"] = "too large"
@@ -134,6 +151,7 @@ class BundlesWriter(ds.DataSourceArrowWriter):
         folder = f"{self.stage}/{uuid.uuid4().hex}"  # an attempt that fails or comes twice leaves its own
         done: list[str] = []
         files: dict[str, dict] = {}
+        made: set[str] = set()
 
         def close() -> None:
             with store.open_output_stream(f"{base}/{folder}/{done[-1]}/{MANIFEST}") as out:
@@ -152,10 +170,14 @@ class BundlesWriter(ds.DataSourceArrowWriter):
                     if bundle in done or "/" in bundle:
                         raise ValueError(f"the files of bundle {bundle!r} do not come together")
                     done.append(bundle)
+                    made.clear()
                 if name in files or name == MANIFEST:
                     raise ValueError(f"bundle {bundle!r} has two files {name!r}")
                 target = f"{base}/{folder}/{bundle}/{name}"
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                parent = target.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with store.open_output_stream(target) as out:
                     out.write(content or b"")
                 files[name] = {"name": name, "bytes": len(content or b""), "sha256": hashlib.sha256(content or b"").hexdigest()}

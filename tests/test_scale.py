@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pixelmill.operators import profile
-from pixelmill.sources import strips as source
+from pixelmill.sources import folders, strips as source
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,22 @@ def test_owned_boxes_are_the_contents_of_owners(spark):
     assert {(r.image_id, r.label): r.owner for r in owner.collect()} == {(1, 0): 1, (1, 1): 1, (1, 2): -1, (2, 0): -1}
     expected = profile.contents(labelled, owner)
     assert sorted(profile.owned_boxes(labelled, spans).collect()) == sorted(expected.collect())
+
+
+def test_many_folders_are_few_partitions(spark, tmp_path):
+    expected = set()
+    for i in range(100):
+        for below in ("", "a", "a/b", ".hidden"):
+            folder = tmp_path / f"set-{i:03}" / below
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / "one.png").write_bytes(b"%d" % i)
+            if below != ".hidden":
+                expected.add((f"set-{i:03}/{below}".rstrip("/"), "one.png", b"%d" % i))
+    (tmp_path / ".stage").mkdir()
+    (tmp_path / ".stage" / "no.png").write_bytes(b"no")
+    (tmp_path / "top.png").write_bytes(b"top")
+    for shares in (1, 3):
+        found = folders.files(spark, f"file://{tmp_path}", shares=shares)
+        rows = found.collect()
+        assert {(r.folder, r.name, bytes(r.content)) for r in rows} == expected | {("", "top.png", b"top")} and len(rows) == 301
+        assert found.rdd.getNumPartitions() == 5 * shares
