@@ -33,11 +33,15 @@ def _rank(row: tuple) -> tuple:
 
 
 def best_so_far(attempts: DataFrame, key: str = "state", late: str | None = None, event_time: str = "made_at") -> DataFrame:
-    """(key, attempt, expected, found, n_errors, closed) whenever a state's best attempt changes: an ``update`` stream.
+    """(key, attempt, expected, found, n_errors, closed) whenever a state's best attempt changes, or without ``late`` may have: an ``update`` stream.
 
     The state kept for a key is one attempt, however many arrive and in whatever order. With ``late`` a key is closed, and its
     state dropped, once the watermark has passed its last attempt: a last row says so; what comes later begins anew. Without it keys stay.
     """
+    if not late:  # nothing is timed out, so Spark's own streaming aggregation keeps the best row of a key
+        passed = F.expr("found = expected AND n_errors = 0")
+        rank = F.struct(passed.alias("p"), F.when(passed, 0).otherwise(F.expr("found * 100 - n_errors * 10")).alias("s"), (-F.col("attempt")).alias("a"))
+        return attempts.groupBy(key).agg(F.max_by(F.struct(*_ATTEMPT), rank).alias("v")).select(key, "v.*", F.lit(False).alias("closed"))
     kinds = dict(attempts.dtypes)
     columns = ", ".join(f"{c} {kinds[c]}" for c in _ATTEMPT)
 
@@ -53,18 +57,15 @@ def best_so_far(attempts: DataFrame, key: str = "state", late: str | None = None
                 row = tuple(int(v) for v in row)
                 if best is None or _rank(row) > _rank(best):
                     best = row
-            if late:
-                newest = batch[event_time].max()
-                last = newest if last is None else max(last, newest)
+            newest = batch[event_time].max()
+            last = newest if last is None else max(last, newest)
         if best != before:
             state.update(best)
             yield pd.DataFrame([(*group, *best, False)], columns=[key, *_ATTEMPT, "closed"])
-        if late:
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
-    rows = attempts.withWatermark(event_time, late) if late else attempts
-    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {columns}, closed boolean", columns, "update", timeout)
+    rows = attempts.withWatermark(event_time, late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {columns}, closed boolean", columns, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(updates: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from pixelmill.operators import profile
 from pixelmill.sources import folders, strips as source
+from pixelmill.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,10 @@ def test_many_folders_are_few_partitions(spark, tmp_path):
         rows = found.collect()
         assert {(r.folder, r.name, bytes(r.content)) for r in rows} == expected | {("", "top.png", b"top")} and len(rows) == 301
         assert found.rdd.getNumPartitions() == 5 * shares
+
+
+def test_attempts_that_never_close_are_an_aggregation(spark, tmp_path):
+    """A Python call a key is kept for streams whose keys are timed out."""
+    read = spark.readStream.schema("state bigint, attempt int, expected int, found int, n_errors int, made_at timestamp").parquet(str(tmp_path))
+    plans = [live.best_so_far(read, late=late)._jdf.queryExecution().logical().toString() for late in (None, "1 hour")]
+    assert ["WithState" in p for p in plans] == [False, True]
