@@ -101,16 +101,16 @@ def top_lists(rows: DataFrame, key: str, lists: list[tuple[str, str, int]]) -> D
     return each.withColumn("rank", rank).where(F.col("rank") <= most).where("rank <= most").select("list", "rank", key, "value")
 
 
-def scanned(strips: DataFrame, even: tuple[DataFrame, DataFrame], cut: tuple[DataFrame, DataFrame], crossed: DataFrame, found: DataFrame) -> DataFrame:
+def scanned(strips: DataFrame, even: DataFrame, cut: DataFrame, crossed: DataFrame) -> DataFrame:
     """A row a strip with at least two figures: what even parts do to it beside what extraction does.
 
-    ``even`` and ``cut`` are (balance, spread) of the frames of both ways; ``crossed`` and ``found`` have image_id and one column of that name.
+    ``even`` and ``cut`` are (image_id, ratio, spread) of the frames of both ways, ``cut`` with the number ``found``; ``crossed`` has image_id and crossed.
     """
-    def named(pair, tail):
-        return pair[0].select("image_id", F.col("ratio").alias(f"balance_{tail}")).join(pair[1].select("image_id", F.col("spread").alias(f"spread_{tail}")), "image_id", "full")
+    def named(rows, tail):
+        return rows.withColumnsRenamed({"ratio": f"balance_{tail}", "spread": f"spread_{tail}"})
 
     rows = strips.select("image_id", "expected").where("expected >= 2")
-    for other in (named(even, "even"), named(cut, "cut"), crossed, found):
+    for other in (named(even, "even"), named(cut, "cut"), crossed):
         rows = rows.join(other, "image_id", "left")
     gain = F.when(F.col("balance_cut") > 0, F.col("balance_even") / F.col("balance_cut")).otherwise(F.col("balance_even"))
     return rows.withColumns({"segment_gain": gain, "centre_gain": F.col("spread_even") - F.col("spread_cut"), "missed": F.coalesce("found", F.lit(0)) != F.col("expected")})

@@ -93,7 +93,7 @@ def _found(grids: bool):
         rows = zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), expected.to_pylist(), strict=True)
         return pa.array([figures_of(np.frombuffer(p, np.uint8).reshape(b, a, 4), n, grids) for a, b, p, n in rows], kind)
 
-    return run
+    return run.asNondeterministic()  # else Catalyst runs it a second time below, to filter what the generator gets
 
 
 def strip_figures(rasters: DataFrame, grids: bool = True) -> DataFrame:

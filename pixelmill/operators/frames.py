@@ -207,6 +207,18 @@ def centroid_spread(frames: DataFrame, width: str = "w") -> DataFrame:
     return c.groupBy("image_id").agg(F.stddev_pop("c").alias("spread"))
 
 
+def steadiness(sums: DataFrame, *also: Column) -> DataFrame:
+    """(image_id, ratio, spread, also): ``balance`` and ``centroid_spread`` from (image_id, frame, opaque, opaque_x, w), a row a frame; ``also`` are aggregates."""
+    c = F.when(F.col("opaque") > 0, F.col("opaque_x") / F.col("opaque")).otherwise(F.col("w") / 2)
+    ratio = F.when(F.min("opaque") > 0, F.max("opaque") / F.min("opaque")).otherwise(F.lit(999.0))
+    return sums.groupBy("image_id").agg(ratio.alias("ratio"), F.stddev_pop(c).alias("spread"), *also)
+
+
+def opaque_sums(frames: DataFrame) -> DataFrame:
+    """(image_id, frame, opaque, opaque_x, w): opaque pixels of each frame and the sum of their columns."""
+    return frames.groupBy(*FRAME).agg(F.count_if(on()).alias("opaque"), F.sum(F.when(on(), F.col("x"))).alias("opaque_x"), F.max("w").alias("w"))
+
+
 def body_heights(frames: DataFrame) -> DataFrame:
     """(image_id, frame, height): the tallest column's extent."""
     per = frames.where(on()).groupBy(*FRAME, "x").agg((F.max("y") - F.min("y") + 1).alias("h"))

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..constants import ALPHA_T
 from ..functions.batches import per_group
 from .decoders import frames_of
 
@@ -265,6 +267,30 @@ def pixels_of(rasters: DataFrame, key: str = "image_id", *also: str) -> DataFram
     return rasters.select(*names, "w", "h", "pix").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", x int, y int, r int, g int, b int, a int")
 
 
+_SUMS = ("n", "opaque", "opaque_x", "mark", "sum_r", "sum_g", "sum_b", "sum_a")
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _SUMS]))
+def _summed(w: pa.Array, h: pa.Array, pix: pa.Array) -> pa.Array:
+    rows = []
+    for a, b, p in zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), strict=True):
+        image = np.frombuffer(p, np.uint8).reshape(b, a, 4)
+        alpha = image[..., 3]
+        on, x = alpha > ALPHA_T, np.arange(a)
+        mark = alpha.astype(np.int64) @ (x + 1) @ np.arange(1, b + 1)
+        rows.append((np.count_nonzero(alpha), np.count_nonzero(on), on.sum(axis=0) @ x, mark, *image.sum(axis=(0, 1), dtype=np.int64)))
+    values = np.array(rows, dtype=np.int64).reshape(-1, len(_SUMS))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(_SUMS))], names=list(_SUMS))
+
+
+def sums_of(rasters: DataFrame, *also: str) -> DataFrame:
+    """(also, n, opaque, opaque_x, mark, sum_r, sum_g, sum_b, sum_a): what a raster's pixels sum to, without a row a pixel.
+
+    n has alpha; ``opaque`` is above the threshold of empty pixels, ``opaque_x`` the sum of their columns; ``mark`` sums (x + 1) * (y + 1) * a.
+    """
+    return rasters.select(*also, _summed("w", "h", "pix").alias("s")).select(*also, "s.*")
+
+
 def rasters_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False, frame: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, [frame,] also, w, h, pix): a row a raster, from a row a pixel; a group is one image, or one set of frames.
 

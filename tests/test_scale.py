@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pixelmill.operators import profile
-from pixelmill.sources import folders, strips as source
+from pixelmill.operators import frames as fr, profile
+from pixelmill.sources import folders, images, strips as source
 from pixelmill.streaming import live
 
 
@@ -79,3 +80,27 @@ def test_attempts_that_never_close_are_an_aggregation(spark, tmp_path):
     read = spark.readStream.schema("state bigint, attempt int, expected int, found int, n_errors int, made_at timestamp").parquet(str(tmp_path))
     plans = [live.best_so_far(read, late=late)._jdf.queryExecution().logical().toString() for late in (None, "1 hour")]
     assert ["WithState" in p for p in plans] == [False, True]
+
+
+@pytest.mark.parametrize(("name", "kernels"), [("extract_frames", 1), ("extract_cells", 3), ("sample_scan", 3)])
+def test_figures_are_found_once(spark, many, name, kernels):
+    """A pass over a strip's figures, one over its cells and one over their sums; no row a pixel comes out of a cell."""
+    plan = entry.queries()[name](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == kernels and plan.count("MapInArrow") == 1
+
+
+def test_sums_of_rasters_are_those_of_their_pixels(spark):
+    rows = [(i, w, h, bytearray((j * 37 + i * 11) % 256 for j in range(w * h * 4))) for i, (w, h) in enumerate(((5, 3), (1, 9), (40, 30)))] + [(3, 2, 2, bytearray(16))]
+    made = spark.createDataFrame(rows, "image_id bigint, w int, h int, pix binary")
+    on = F.col("a") > 10
+    sums = images.pixels_of(made).groupBy("image_id").agg(
+        F.count_if(F.col("a") > 0), F.count_if(on), F.sum(F.when(on, F.col("x")).otherwise(0)), F.sum((F.col("x") + 1) * (F.col("y") + 1) * F.col("a")), *(F.sum(c) for c in "rgba")
+    )
+    assert sorted(map(tuple, images.sums_of(made, "image_id").collect())) == sorted(map(tuple, sums.collect()))
+
+
+def test_frames_sums_are_balance_and_spread(spark):
+    rows = [(i, f, x, y, 255 if f < 2 and (x * 7 + y * 3 + i) % (f + 2) else 0, 9) for i in range(3) for f in range(2 + i % 2) for x in range(9) for y in range(4)]
+    made = spark.createDataFrame(rows, "image_id bigint, frame int, x int, y int, a int, w int")
+    both = fr.balance(made).select("image_id", "ratio").join(fr.centroid_spread(made), "image_id")
+    assert sorted(fr.steadiness(fr.opaque_sums(made)).collect()) == sorted(both.collect())
