@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import per_group
 from ..session import settled
 from . import graph, kernels
 
@@ -20,21 +21,37 @@ _LABEL = "struct<label:int,first_y:bigint,first_x:bigint,n:bigint,min_x:bigint,m
 _MEET = "struct<side:int,at:bigint,first:bigint,last:bigint,label:int>"
 
 
-def cut(pixels: DataFrame, flag: str, size: int) -> DataFrame:
-    """Tiles of ``size`` by ``size`` of a table of pixels (image_id, x, y, flag); a group is a tile. Places without a pixel are empty."""
+def cut(pixels: DataFrame, flag: str, size: int, clustered: bool = False) -> DataFrame:
+    """Tiles of ``size`` by ``size`` of a table of pixels (image_id, x, y, flag); a group is a tile. Places without a pixel are empty.
+
+    ``clustered`` as in ``kernels``: whole images come together in a task that has room for one, a group is an image and nothing is shuffled.
+    """
+    kind = dict(pixels.dtypes)["image_id"]
 
     def run(table: pa.Table) -> pa.Table:
         x, y = (table.column(c).to_numpy() for c in "xy")
-        tx, ty = int(x[0] // size), int(y[0] // size)
-        x, y = x - tx * size, y - ty * size
-        mask = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=np.uint8)
-        mask[y, x] = table.column(flag).to_numpy(zero_copy_only=False)
-        row = [table.column("image_id")[0].as_py(), tx, ty, tx * size, ty * size, mask.shape[1], mask.shape[0], mask.tobytes()]
-        kinds = [table.schema.field("image_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["image_id", "tx", "ty", "x0", "y0", "w", "h", "mask"])
-
-    rows = pixels.select("image_id", "x", "y", flag, F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
-    return rows.groupBy("image_id", "tx", "ty").applyInArrow(run, f"image_id {dict(pixels.dtypes)['image_id']}, tx int, ty int, x0 bigint, y0 bigint, w int, h int, mask binary")
+        on = table.column(flag).to_numpy(zero_copy_only=False)
+        across = int(x.max()) // size + 1
+        tile = (y // size).astype(np.int64) * across + x // size
+        order = np.argsort(tile, kind="stable")
+        first = np.flatnonzero(np.diff(tile[order], prepend=-1))
+        rows = []
+        for own in np.split(order, first[1:]):
+            ty, tx = divmod(int(tile[own[0]]), across)
+            px, py = x[own] - tx * size, y[own] - ty * size
+            mask = np.zeros((int(py.max()) + 1, int(px.max()) + 1), dtype=np.uint8)
+            mask[py, px] = on[own]
+            rows.append((tx, ty, tx * size, ty * size, mask.shape[1], mask.shape[0], mask.tobytes()))
+        image = table.column("image_id").slice(0, 1).take(pa.array([0] * len(rows)))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.table([image, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["image_id", "tx", "ty", "x0", "y0", "w", "h", "mask"])
+
+    schema = f"image_id {kind}, tx int, ty int, x0 bigint, y0 bigint, w int, h int, mask binary"
+    rows = pixels.select("image_id", "x", "y", flag)
+    if clustered:
+        return per_group(rows, "image_id", run, schema, clustered=True)
+    at = [F.floor(F.col(c) / size).alias(f"t{c}") for c in "xy"]
+    return rows.select("*", *at).groupBy("image_id", "tx", "ty").applyInArrow(run, schema)
 
 
 def _border(line: np.ndarray, side: int, at: int, start: int) -> list[dict]:
@@ -44,26 +61,41 @@ def _border(line: np.ndarray, side: int, at: int, start: int) -> list[dict]:
     return [{"side": side, "at": at, "first": start + int(a), "last": start + int(b) - 1, "label": int(line[a])} for a, b in zip(cuts, ends, strict=True) if line[a] >= 0]
 
 
+#: Tiles whose labels leave a task together.
+TOGETHER = 256
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole, place = pa.int64(), pa.int32()
+    label = pa.struct([("label", place), *((c, whole) for c in ("first_y", "first_x", "n", "min_x", "min_y", "max_x", "max_y")), ("edge", pa.bool_())])
+    meet = pa.struct([("side", place), ("at", whole), ("first", whole), ("last", whole), ("label", place)])
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            w, h, x0, y0 = row["w"], row["h"], row["x0"], row["y0"]
-            labels = kernels._labels(np.frombuffer(row["mask"], np.uint8).reshape(h, w) > 0)
-            y, x = np.nonzero(labels >= 0)
-            own = labels[y, x]
-            n = np.bincount(own)
-            first = np.full(len(n), len(own))
-            np.minimum.at(first, own, np.arange(len(own)))
-            ends = {f"{name}_{c}": f(np.full(len(n), fill), own, v) for name, f, fill in (("min", _least, 1 << 62), ("max", _most, -1)) for c, v in (("x", x), ("y", y))}
-            found = [
-                {"label": k, "first_y": y0 + int(y[first[k]]), "first_x": x0 + int(x[first[k]]), "n": int(n[k]), **{name: int(v[k]) + (x0 if name[-1] == "x" else y0) for name, v in ends.items()}, "edge": False}
-                for k in range(len(n))
-            ]
-            meets = _border(labels[0], 0, y0, x0) + _border(labels[-1], 1, y0 + h, x0) + _border(labels[:, 0], 2, x0, y0) + _border(labels[:, -1], 3, x0 + w, y0)
-            kinds = [batch.schema.field("image_id").type, pa.int32(), pa.int32()]
-            lists = [pa.array([found], pa.list_(pa.struct([("label", pa.int32()), *((c, pa.int64()) for c in ("first_y", "first_x", "n", "min_x", "min_y", "max_x", "max_y")), ("edge", pa.bool_())]))), pa.array([meets], pa.list_(pa.struct([("side", pa.int32()), ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("label", pa.int32())])))]
-            yield pa.record_batch([*(pa.array([row[c]], k) for c, k in zip(("image_id", "tx", "ty"), kinds, strict=True)), *lists], names=["image_id", "tx", "ty", "labels", "meets"])
+        for start in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(start, TOGETHER)
+            labels, meets = [], []
+            for x0, y0, w, h, mask in zip(*(part.column(c).to_pylist() for c in ("x0", "y0", "w", "h", "mask")), strict=True):
+                found, met = _tile(np.frombuffer(mask, np.uint8).reshape(h, w) > 0, x0, y0)
+                labels.append(found)
+                meets.append(met)
+            yield pa.record_batch([*(part.column(c) for c in ("image_id", "tx", "ty")), pa.array(labels, pa.list_(label)), pa.array(meets, pa.list_(meet))], names=["image_id", "tx", "ty", "labels", "meets"])
+
+
+def _tile(mask: np.ndarray, x0: int, y0: int) -> tuple[list[dict], list[dict]]:
+    """A tile's labels, and the stretches of labels along its borders."""
+    h, w = mask.shape
+    if not mask.any():
+        return [], []
+    labels = kernels._labels(mask)
+    y, x = np.nonzero(labels >= 0)
+    own = labels[y, x]
+    n = np.bincount(own)
+    first = np.full(len(n), len(own))
+    np.minimum.at(first, own, np.arange(len(own)))
+    ends = [f(np.full(len(n), fill), own, v) for f, fill in ((_least, 1 << 62), (_most, -1)) for v in (x, y)]
+    columns = (np.arange(len(n)), y[first] + y0, x[first] + x0, n, ends[0] + x0, ends[1] + y0, ends[2] + x0, ends[3] + y0)
+    names = ("label", "first_y", "first_x", "n", "min_x", "min_y", "max_x", "max_y")
+    found = [{**dict(zip(names, row, strict=True)), "edge": False} for row in zip(*(c.tolist() for c in columns), strict=True)]
+    return found, _border(labels[0], 0, y0, x0) + _border(labels[-1], 1, y0 + h, x0) + _border(labels[:, 0], 2, x0, y0) + _border(labels[:, -1], 3, x0 + w, y0)
 
 
 def _least(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -105,12 +137,22 @@ def components(tiles: DataFrame) -> DataFrame:
     return found.select("image_id", "f.*", "n", "min_x", "min_y", "max_x", "max_y")
 
 
+def _reaching(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``labelled`` whose component reaches the border of its image: tiles are labelled once."""
+    rows = labelled(tiles)
+    reach = rows.groupBy("image_id", "component").agg(F.min("min_x").alias("l"), F.min("min_y").alias("t"), F.max("max_x").alias("r"), F.max("max_y").alias("b"))
+    hit = reach.join(sizes.where("width >= 3 AND height >= 3"), "image_id").where("l = 0 OR t = 0 OR r = width - 1 OR b = height - 1").select("image_id", "component")
+    return rows.join(hit, ["image_id", "component"], "left_semi")
+
+
 def outside(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
     """(image_id, ty, tx, label) of the labels whose component reaches the border of its image; ``sizes`` has image_id, width, height.
 
     Images under 3 pixels wide or high have none.
     """
-    rows = labelled(tiles)
-    reach = rows.groupBy("image_id", "component").agg(F.min("min_x").alias("l"), F.min("min_y").alias("t"), F.max("max_x").alias("r"), F.max("max_y").alias("b"))
-    hit = reach.join(sizes.where("width >= 3 AND height >= 3"), "image_id").where("l = 0 OR t = 0 OR r = width - 1 OR b = height - 1").select("image_id", "component")
-    return rows.join(hit, ["image_id", "component"], "left_semi").select("image_id", "ty", "tx", "label")
+    return _reaching(tiles, sizes).select("image_id", "ty", "tx", "label")
+
+
+def flooded(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, n): how many pixels of an image are in ``outside``; images that have none are left out."""
+    return _reaching(tiles, sizes).groupBy("image_id").agg(F.sum("n").alias("n"))

@@ -94,3 +94,21 @@ def test_a_palette_of_ten_million_colours():
     began = time.time()
     found = palette._cut(colours, np.ones(len(colours), dtype=np.int64), 32)
     assert 16 <= len(found) <= 32 and time.time() - began < 120
+
+
+def test_tiles_are_cut_where_images_are(spark):
+    """Tiles of images that come together, without a shuffle, are those that are grouped."""
+    rng = np.random.default_rng(3)
+    rows = [(i, x, y, bool(rng.random() < 0.6)) for i, (w, h) in enumerate(((31, 23), (7, 7), (50, 3))) for y in range(h) for x in range(w) if rng.random() < 0.9]
+    pixels = spark.createDataFrame(rows, "image_id bigint, x int, y int, on boolean").coalesce(1)
+    here, grouped = tiles.cut(pixels, "on", 7, clustered=True), tiles.cut(pixels, "on", 7)
+    assert sorted(here.collect()) == sorted(grouped.collect())
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_flood_labels_its_tiles_once(spark, monkeypatch):
+    masks = [np.pad(np.ones((6, 6), bool), 4), np.ones((9, 30), bool), np.ones((2, 30), bool)]
+    sizes = spark.createDataFrame([(i, m.shape[1], m.shape[0]) for i, m in enumerate(masks)], "image_id bigint, width int, height int")
+    calls, labelled = [], tiles.labelled
+    monkeypatch.setattr(tiles, "labelled", lambda t: calls.append(t) or labelled(t))
+    assert [tuple(r) for r in tiles.flooded(cut(spark, masks, 8), sizes).collect()] == [(1, 270)] and len(calls) == 1
