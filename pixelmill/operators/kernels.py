@@ -103,12 +103,36 @@ def flooded(pixels: DataFrame, flag: str = "is_key", clustered: bool = False) ->
     return with_flood(pixels.select("image_id", "x", "y", flag), {"hit": flag}, clustered).where("hit").select("image_id", "x", "y")
 
 
+def _mask(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a table's rows, and a raster that holds them."""
+    x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+    mask = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=bool)
+    mask[y, x] = True
+    return x, y, mask
+
+
 def components(pixels: DataFrame, flag: str = "is_opaque", clustered: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
-    """(image_id, x, y, also, label) of the pixels with the flag; labels count from 0 in scan order."""
+    """(image_id, x, y, also, label) of the pixels with the flag; labels count from 0 in scan order. Only those pixels reach the kernel."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, mask = _raster(table, flag)
+        x, y, mask = _mask(table)
         return table.append_column("label", pa.array(_labels(mask)[y, x].astype(np.int32)))
 
-    rows = pixels.select("image_id", "x", "y", *also, F.coalesce(flag, F.lit(False)).alias(flag))
-    return _per_image(rows, run, [T.StructField("label", T.IntegerType())], clustered).where("label >= 0").drop(flag)
+    return _per_image(pixels.where(flag).select("image_id", "x", "y", *also), run, [T.StructField("label", T.IntegerType())], clustered)
+
+
+def component_boxes(pixels: DataFrame, flag: str = "is_opaque", clustered: bool = False) -> DataFrame:
+    """(image_id, label, n, min_x, max_x, min_y, max_y) of ``components``: a row a component comes out of the kernel, no pixels."""
+
+    def run(table: pa.Table) -> pa.Table:
+        row, first, end, component = _run_labels(_mask(table)[2])
+        order = np.argsort(component, kind="stable")
+        row, first, end = row[order], first[order], end[order]
+        at = np.unique(component[order], return_index=True)[1]
+        found = {"n": np.add.reduceat(end - first, at), "min_x": np.minimum.reduceat(first, at), "max_x": np.maximum.reduceat(end, at) - 1, "min_y": row[at], "max_y": np.maximum.reduceat(row, at)}
+        image = table.column("image_id")[0].as_py()
+        columns = {"image_id": pa.array([image] * len(at), table.schema.field("image_id").type), "label": pa.array(np.arange(len(at), dtype=np.int32))}
+        return pa.table(columns | {c: pa.array(v.astype(np.int64 if c == "n" else np.int32)) for c, v in found.items()})
+
+    rows = pixels.where(flag).select("image_id", "x", "y")
+    return per_group(rows, "image_id", run, f"image_id {dict(pixels.dtypes)['image_id']}, label int, n bigint, min_x int, max_x int, min_y int, max_y int", clustered)

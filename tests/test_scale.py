@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pixelmill.operators import frames as fr, profile
+from pixelmill.operators import frames as fr, kernels, profile
 from pixelmill.sources import folders, images, strips as source
 from pixelmill.streaming import live
 
@@ -109,3 +110,20 @@ def test_frames_sums_are_balance_and_spread(spark):
 def test_files_are_made_where_their_pixels_are(spark, many):
     plan = entry.queries()["file_round_trip"](spark, many)._jdf.queryExecution().logical().toString()
     assert "FlatMapGroupsInArrow" not in plan
+
+
+def test_component_boxes_are_those_of_components(spark):
+    rng = np.random.default_rng(29)
+    rows = [(i, x, y, bool(rng.random() < 0.55) if i < 4 else i == 5) for i in range(6) for y in range(17) for x in range(23)]
+    made = spark.createDataFrame(rows, "image_id bigint, x int, y int, is_opaque boolean").unionByName(spark.createDataFrame([(9, 0, 0, None)], "image_id bigint, x int, y int, is_opaque boolean")).coalesce(1)
+    ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))]
+    expected = sorted(map(tuple, kernels.components(made).groupBy("image_id", "label").agg(F.count("*").alias("n"), *ends).collect()))
+    assert len(expected) > 20
+    for clustered in (False, True):
+        assert sorted(map(tuple, kernels.component_boxes(made, clustered=clustered).collect())) == expected
+
+
+def test_components_send_no_pixels_back(spark, many):
+    """What comes out of the kernel is a row a component, so nothing is summed behind it."""
+    plan = entry.queries()["components"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
