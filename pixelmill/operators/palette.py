@@ -163,8 +163,9 @@ def colours_of(palette: DataFrame) -> DataFrame:
 def recoloured(image: np.ndarray, colours: np.ndarray) -> np.ndarray:
     """A raster in palette colours, the first of equally near ones; alpha under 128 becomes empty, the rest opaque."""
     kept = image[..., 3] >= 128
-    distinct, back = np.unique(image[kept][:, :3], axis=0, return_inverse=True)
-    d = distinct[:, None, :].astype(np.int64) - colours[None]
+    rgb = image[kept][:, :3].astype(np.int64)
+    distinct, back = np.unique(rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2], return_inverse=True)
+    d = np.stack([distinct >> 16, distinct >> 8 & 255, distinct & 255], axis=1)[:, None] - colours[None]
     out = np.zeros_like(image)
     out[kept, :3] = colours[(d * d * np.array([2, 4, 3])).sum(axis=2).argmin(axis=1)][back.reshape(-1)]
     out[kept, 3] = 255
@@ -210,34 +211,64 @@ def snapped(image: np.ndarray, scale: int) -> np.ndarray:
     return small.reshape(down, across, 4).repeat(scale, axis=0).repeat(scale, axis=1)[:height, :width]
 
 
-@F.arrow_udf(T.BinaryType())
-def _recoloured(w: pa.Array, h: pa.Array, pix: pa.Array, colours: pa.Array) -> pa.Array:
-    rows = zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), colours.to_pylist(), strict=True)
-    return pa.array([p if c is None else recoloured(np.frombuffer(p, np.uint8).reshape(b, a, 4), np.array(c, dtype=np.int64)).tobytes() for a, b, p, c in rows], pa.binary())
+def common_colours(image: np.ndarray, size: int) -> np.ndarray:
+    """``gif_palette`` of one raster's pixels: the mean colours of the most frequent 5-bit buckets, ties by bucket."""
+    rgb = image[image[..., 3] >= 128][:, :3].astype(np.int64)
+    bucket, of, n = np.unique(rgb[:, 0] >> 3 << 10 | rgb[:, 1] >> 3 << 5 | rgb[:, 2] >> 3, return_inverse=True, return_counts=True)
+    total = np.zeros((len(bucket), 3), dtype=np.int64)
+    np.add.at(total, of.reshape(-1), rgb)
+    return (total // n[:, None])[np.argsort(-n, kind="stable")[:size]]
 
 
-@F.arrow_udf(T.IntegerType())
-def _scale(w: pa.Array, h: pa.Array, pix: pa.Array) -> pa.Array:
-    return pa.array([scale_of(np.frombuffer(p, np.uint8).reshape(b, a, 4)) for a, b, p in zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), strict=True)], pa.int32())
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _common(frames: pa.Array, size: pa.Array) -> pa.Array:
+    out = []
+    for own, most in zip(frames.to_pylist(), size.to_pylist(), strict=True):
+        found = common_colours(np.concatenate([np.frombuffer(f["pix"], np.uint8) for f in own]).reshape(-1, 1, 4), most)
+        out.append(found.tolist() or None)
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
 
-@F.arrow_udf(T.BinaryType())
-def _snapped(w: pa.Array, h: pa.Array, pix: pa.Array, scale: pa.Array) -> pa.Array:
-    rows = zip(w.to_pylist(), h.to_pylist(), pix.to_pylist(), scale.to_pylist(), strict=True)
-    return pa.array([snapped(np.frombuffer(p, np.uint8).reshape(b, a, 4), s).tobytes() for a, b, p, s in rows], pa.binary())
+def common_palette(sets: DataFrame, size: int = 255) -> DataFrame:
+    """``sets`` (``images.sets_of``) with ``colours``, each set's own palette (null where nothing shows): found where its frames are."""
+    return sets.withColumn("colours", _common("frames", F.lit(size)))
+
+
+_DONE = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("frame", "w", "h", "scale")), T.StructField("pix", T.BinaryType())]))
+
+
+@F.arrow_udf(_DONE)
+def _processed(frames: pa.Array, colours: pa.Array) -> pa.Array:
+    out = []
+    for own, c in zip(frames.to_pylist(), colours.to_pylist(), strict=True):
+        made = [np.frombuffer(f["pix"], np.uint8).reshape(f["h"], f["w"], 4) for f in own]
+        if c is not None:
+            made = [recoloured(image, np.array(c, dtype=np.int64)) for image in made]
+        scale = sorted(scale_of(image) for image in made)[len(made) // 2]
+        out.append([{**f, "scale": scale, "pix": snapped(image, scale).tobytes()} for f, image in zip(own, made, strict=True)])
+    return pa.array(out, pa.list_(pa.struct([*((c, pa.int32()) for c in ("frame", "w", "h", "scale")), ("pix", pa.binary())])))
+
+
+def post_processed_sets(sets: DataFrame) -> DataFrame:
+    """(image_id, frame, w, h, scale, pix): each set's frames in its ``colours``, snapped to the grid that most of them show.
+
+    ``sets`` are (image_id, frames, colours) as from ``common_palette``, a row a set, so nothing is shuffled. The grid's scale is the upper median
+    of the frames' own; sets with a scale under 2 keep their pixels.
+    """
+    done = _processed.asNondeterministic()("frames", "colours")  # else Catalyst runs it a second time, to filter what the generator gets
+    return sets.select("image_id", done.alias("done")).select("image_id", F.inline("done"))
 
 
 def post_processed_rasters(rasters: DataFrame, palette: DataFrame) -> DataFrame:
-    """(image_id, frame, w, h, scale, pix): a set's frames in its palette, snapped to the grid that most of them show.
+    """``post_processed_sets`` of rasters (image_id, frame, w, h, pix) in given palettes (image_id, ord, r, g, b) as from ``shared_palette``.
 
-    ``palette`` (image_id, ord, r, g, b) as from ``shared_palette``. The grid's scale is the upper median of the frames' own; sets with a
-    scale under 2 keep their pixels. A frame is a row throughout; frames meet their palette and each other on ``image_id`` alone, which is one shuffle.
+    Frames meet each other and their palette in one dealing by image. It has a fixed number of tasks: rasters of few colours are compressed
+    to so little that Spark would take them for one task's work.
     """
-    rows = rasters.select("image_id", "frame", "w", "h", "pix").join(colours_of(palette), "image_id", "left")
-    rows = rows.withColumn("pix", _recoloured("w", "h", "pix", "colours")).drop("colours").withColumn("own", _scale("w", "h", "pix"))
-    every = F.array_sort(F.collect_list("own").over(Window.partitionBy("image_id")))
-    rows = rows.withColumn("scale", F.element_at(every, F.floor(F.size(every) / 2).cast("int") + 1))
-    return rows.select("image_id", "frame", "w", "h", "scale", _snapped("w", "h", "pix", "scale").alias("pix"))
+    tasks = int(rasters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("frame", "w", "h")), "pix")))
+    sets = rasters.repartition(tasks, "image_id").groupBy("image_id").agg(frames.alias("frames"))
+    return post_processed_sets(sets.join(colours_of(palette), "image_id", "left"))
 
 
 def post_processed(frames: DataFrame, palette: DataFrame, sizes: DataFrame) -> DataFrame:

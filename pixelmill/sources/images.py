@@ -291,6 +291,35 @@ def sums_of(rasters: DataFrame, *also: str) -> DataFrame:
     return rasters.select(*also, _summed("w", "h", "pix").alias("s")).select(*also, "s.*")
 
 
+#: Frames of a set in a row.
+SET = pa.list_(pa.struct([("frame", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("pix", pa.binary())]))
+
+
+def _rgba() -> Column:
+    """A pixel's bytes as one integer, as they lie in a raster: fewer columns on their way to Python."""
+    r, g, b, a = (F.coalesce(c, F.lit(0)).cast("int").bitwiseAND(255) for c in "rgba")
+    return r.bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(F.shiftleft(b, 16)).bitwiseOR(F.shiftleft(a, 24)).alias("rgba")
+
+
+def _raster(table: pa.Table, rows, size: tuple[int, int] | None = None) -> list:
+    """Width, height and packed pixels of some of a table's rows."""
+    x, y, pix = (table.column(c).to_numpy()[rows] for c in ("x", "y", "rgba"))
+    w, h = size or (int(x.max()) + 1, int(y.max()) + 1)
+    image = np.zeros((h, w), dtype="<i4")
+    image[y, x] = pix
+    return [w, h, image.tobytes()]
+
+
+def _by_frame(table: pa.Table, frame: str) -> list:
+    """(frame, w, h, pix) of each of a set's frames, in order."""
+    number, w, h = (table.column(c).to_numpy() for c in (frame, "w", "h"))
+    out = []
+    for n in np.unique(number):
+        own = np.flatnonzero(number == n)
+        out.append([n, *_raster(table, own, (int(w[own[0]]), int(h[own[0]])))])
+    return out
+
+
 def rasters_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False, frame: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, [frame,] also, w, h, pix): a row a raster, from a row a pixel; a group is one image, or one set of frames.
 
@@ -298,22 +327,12 @@ def rasters_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False
     a pixel are clear. ``clustered``: see ``per_group``. ``also`` are columns that an image has one value of.
     """
 
-    def packed(table: pa.Table, size: tuple[int, int] | None) -> list:
-        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
-        w, h = size or (int(x.max()) + 1, int(y.max()) + 1)
-        image = np.zeros((h, w, 4), dtype=np.uint8)
-        image[y, x] = np.stack([table.column(c).to_numpy() for c in "rgba"], axis=1)
-        return [w, h, image.tobytes()]
-
     def run(table: pa.Table) -> pa.Table:
         heads, rows = table.select([key, *also]).slice(0, 1), []
         if frame is None:
-            rows.append([None, *packed(table, None)])
+            rows.append([None, *_raster(table, slice(None))])
         else:
-            number = table.column(frame).to_numpy()
-            for n in np.unique(number):
-                own = table.filter(pa.array(number == n))
-                rows.append([n, *packed(own, (own.column("w")[0].as_py(), own.column("h")[0].as_py()))])
+            rows = _by_frame(table, frame)
         out = heads.take(pa.array([0] * len(rows)))
         if frame is not None:
             out = out.add_column(1, frame, pa.array([r[0] for r in rows], table.schema.field(frame).type))
@@ -324,7 +343,19 @@ def rasters_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False
     kinds = dict(pixels.dtypes)
     names = [key, *([frame] if frame else []), *also]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", w int, h int, pix binary"
-    return per_group(pixels.select(*names, "x", "y", *"rgba", *(("w", "h") if frame else ())), key, run, schema, clustered)
+    return per_group(pixels.select(*names, "x", "y", _rgba(), *(("w", "h") if frame else ())), key, run, schema, clustered)
+
+
+def sets_of(pixels: DataFrame, key: str = "image_id", clustered: bool = False, frame: str = "frame") -> DataFrame:
+    """(key, frames): a row a set, its frames in order as an array of (frame, w, h, pix); pixels as for ``rasters_of`` with ``frame``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frames = [dict(zip(("frame", "w", "h", "pix"), row, strict=True)) for row in _by_frame(table, frame)]
+        return table.select([key]).slice(0, 1).append_column("frames", pa.array([frames], SET))
+
+    kinds = dict(pixels.dtypes)
+    rows = pixels.select(key, F.col(frame).cast("int").alias(frame), "x", "y", _rgba(), "w", "h")
+    return per_group(rows, key, run, f"`{key}` {kinds[key]}, frames array<struct<frame:int,w:int,h:int,pix:binary>>", clustered)
 
 
 def thumbnails(rasters: DataFrame, most: int = 200, key: str = "image_id") -> DataFrame:

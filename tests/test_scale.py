@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pixelmill.operators import frames as fr, kernels, profile
+from pixelmill.operators import frames as fr, kernels, palette, profile
 from pixelmill.sources import folders, images, strips as source
 from pixelmill.streaming import live
 
@@ -127,3 +127,38 @@ def test_components_send_no_pixels_back(spark, many):
     """What comes out of the kernel is a row a component, so nothing is summed behind it."""
     plan = entry.queries()["components"](spark, many)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
+
+
+def noisy(spark, seed: int, most: int = 4):
+    """Sets of frames of several sizes as pixels in one partition; set 3 shows nothing."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(4):
+        for f in range(1 + i % most):
+            w, h = (33 + f, 36) if i % 2 else (7, 5 + f)
+            level = rng.integers(0, 4, (h, w, 4)) * 64 + rng.integers(0, 3, (h, w, 4))
+            rows += [(i, f, x, y, *(int(v) for v in level[y, x, :3]), 0 if i == 3 else int(level[y, x, 3]), w, h) for y in range(h) for x in range(w)]
+    return spark.createDataFrame(rows, "image_id bigint, frame int, x int, y int, r int, g int, b int, a int, w int, h int").coalesce(1)
+
+
+def test_a_sets_common_palette_is_the_gif_palette(spark):
+    frames = noisy(spark, 24)
+    top = palette.gif_palette(frames, 6).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "r", "g", "b"))).alias("c"))
+    expected = {r.image_id: [[c.r, c.g, c.b] for c in r.c] for r in top.collect()}
+    for clustered in (False, True):
+        found = {r.image_id: r.colours for r in palette.common_palette(images.sets_of(frames, clustered=clustered), 6).collect()}
+        assert found == expected | {3: None}
+
+
+def test_sets_are_post_processed_as_their_rasters(spark):
+    frames = noisy(spark, 25)
+    sets = palette.common_palette(images.sets_of(frames, clustered=True), 6)
+    top = palette.gif_palette(frames, 6).withColumnRenamed("rank", "ord")
+    own = palette.post_processed_rasters(images.rasters_of(frames, frame="frame"), top)
+    assert sorted(map(tuple, palette.post_processed_sets(sets).collect())) == sorted(map(tuple, own.collect()))
+    assert own.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not joined into one task for being small
+
+
+def test_post_process_is_one_scan(spark, many):
+    plan = entry.queries()["post_process"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (0, 3072") == 1 and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Window" not in plan
