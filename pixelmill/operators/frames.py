@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..constants import (
     ALPHA_T, BASE_ERROR, BASE_WARN, DRIFT_ERROR, DRIFT_WARN, EDGE_MARGIN, EDGE_MAX, KEY_DIST, KEY_MAX, LARGE_RATIO, MAGENTA, MIN_CONTENT, MIN_CONTENT_SHARE, SMALL_RATIO,
 )
 from ..functions import color
+from ..sources.images import pixels_of, sets_of
 
 FRAME = ["image_id", "frame"]
 
@@ -248,15 +252,29 @@ def metrics(frames: DataFrame) -> DataFrame:
     )
 
 
-def onion_skin(frames: DataFrame, alpha: int = 90) -> DataFrame:
-    """(image_id, x, y, r, g, b): a set's frames blended over each other in order, at a fixed alpha.
+@F.arrow_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType()), T.StructField("pix", T.BinaryType())]))
+def _blended(frames: pa.Array, alpha: pa.Array) -> pa.Array:
+    out = []
+    for own, share in zip(frames.to_pylist(), alpha.to_pylist(), strict=True):
+        w, h = max(f["w"] for f in own), max(f["h"] for f in own)
+        under = np.zeros((h, w, 4), dtype=np.int32)
+        for f in own:
+            over = np.frombuffer(f["pix"], np.uint8).reshape(f["h"], f["w"], 4)
+            part, seen = under[: f["h"], : f["w"]], over[..., 3] > ALPHA_T
+            part[seen, :3] = (part[seen, :3] * (255 - share) + over[seen, :3] * np.int32(share)) // 255
+            part[seen, 3] = 255
+        out.append({"w": w, "h": h, "pix": under.astype(np.uint8).tobytes()})
+    return pa.array(out, pa.struct([("w", pa.int32()), ("h", pa.int32()), ("pix", pa.binary())]))
 
-    The fold needs a place's frames in order; a list holds as many values as the set has frames.
+
+def onion_rasters(sets: DataFrame, alpha: int = 90) -> DataFrame:
+    """(image_id, w, h, pix): a set's frames (``images.sets_of``) blended over each other in order, at a fixed alpha; clear where none shows anything.
+
+    A set is a row, as the fold needs a place's frames in order; as many as there are.
     """
-    values = F.array_sort(F.collect_list(F.struct("frame", "r", "g", "b", "a")))
-    rows = frames.groupBy("image_id", "x", "y").agg(values.alias("v"))
+    return sets.select("image_id", _blended("frames", F.lit(alpha)).alias("s")).select("image_id", "s.*")
 
-    def fold(c: str) -> Column:
-        return F.aggregate("v", F.lit(0), lambda under, p: F.when(p["a"] > ALPHA_T, color.blend(under, p[c], alpha)).otherwise(under))
 
-    return rows.select("image_id", "x", "y", *(fold(c).alias(c) for c in "rgb"))
+def onion_skin(frames: DataFrame, alpha: int = 90, clustered: bool = False) -> DataFrame:
+    """(image_id, x, y, r, g, b): ``onion_rasters`` of a table of pixels, as pixels."""
+    return pixels_of(onion_rasters(sets_of(_sized(frames), clustered=clustered), alpha)).drop("a")

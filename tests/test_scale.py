@@ -162,3 +162,21 @@ def test_sets_are_post_processed_as_their_rasters(spark):
 def test_post_process_is_one_scan(spark, many):
     plan = entry.queries()["post_process"](spark, many)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Range (0, 3072") == 1 and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_onion_skins_fold_frames_in_order(spark):
+    frames = noisy(spark, 26)
+    expected = {}
+    for r in sorted(frames.collect(), key=lambda r: (r.image_id, r.frame)):
+        under = expected.setdefault((r.image_id, r.x, r.y), (0, 0, 0))
+        if r.a > 10:
+            expected[r.image_id, r.x, r.y] = tuple((u * 165 + v * 90) // 255 for u, v in zip(under, (r.r, r.g, r.b), strict=True))
+    for clustered in (False, True):
+        found = {(r.image_id, r.x, r.y): (r.r, r.g, r.b) for r in fr.onion_skin(frames, clustered=clustered).collect()}
+        assert {k: v for k, v in found.items() if any(v)} == {k: v for k, v in expected.items() if any(v)} and set(expected) <= set(found)
+
+
+def test_onion_skins_are_blended_in_a_row_a_set(spark, many):
+    """No list of structs a place: places are blended as a raster where they are made."""
+    plan = entry.queries()["onion_skin"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
