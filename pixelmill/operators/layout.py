@@ -148,16 +148,22 @@ def silhouette(frames: DataFrame, colour: tuple[int, int, int]) -> DataFrame:
     return frames.withColumns({c: F.when(F.col("a") > 0, F.lit(v)).otherwise(0) for c, v in zip("rgb", colour, strict=True)})
 
 
-def outline(frames: DataFrame, thickness: int = 1) -> DataFrame:
-    """(image_id, frame, x, y): places within ``thickness`` of an opaque pixel (in both directions) that are empty themselves.
+def ringed(frames: DataFrame, thickness: int = 1, dealt: bool = False) -> DataFrame:
+    """Frames with ``ring``: whether a place is empty, but within ``thickness`` of an opaque pixel (in both directions).
 
     Frames have a row a place, empty ones too. They are dealt by frame once; both directions are windows over that dealing.
+    ``dealt``: they are dealt by frame, or by image, already.
     """
-    dealt = frames.select("image_id", "frame", "x", "y", F.coalesce("a", F.lit(0)).alias("a")).repartition("image_id", "frame")
+    rows = (frames if dealt else frames.repartition("image_id", "frame")).withColumn("_a", F.coalesce("a", F.lit(0)))
     beside = Window.partitionBy("image_id", "frame", "y").orderBy("x").rangeBetween(-thickness, thickness)
     above = Window.partitionBy("image_id", "frame", "x").orderBy("y").rangeBetween(-thickness, thickness)
-    near = dealt.withColumn("near", F.max("a").over(beside)).withColumn("near", F.max("near").over(above))
-    return near.where("a <= 0 AND near > 0").select("image_id", "frame", "x", "y")
+    rows = rows.withColumn("_near", F.max("_a").over(beside)).withColumn("_near", F.max("_near").over(above))
+    return rows.withColumn("ring", F.expr("_a <= 0 AND _near > 0")).drop("_a", "_near")
+
+
+def outline(frames: DataFrame, thickness: int = 1, dealt: bool = False) -> DataFrame:
+    """(image_id, frame, x, y): the places of ``ringed``."""
+    return ringed(frames.select("image_id", "frame", "x", "y", "a"), thickness, dealt).where("ring").select("image_id", "frame", "x", "y")
 
 
 def cropped(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

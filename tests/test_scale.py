@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pixelmill.operators import frames as fr, kernels, palette, profile
+from pixelmill.operators import frames as fr, kernels, layout, palette, profile
 from pixelmill.sources import folders, images, strips as source
 from pixelmill.streaming import live
 
@@ -180,3 +180,20 @@ def test_onion_skins_are_blended_in_a_row_a_set(spark, many):
     """No list of structs a place: places are blended as a raster where they are made."""
     plan = entry.queries()["onion_skin"](spark, many)._jdf.queryExecution().sparkPlan().toString()
     assert "collect_list" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def test_outlines_and_silhouettes_are_one_scan(spark, many):
+    """Frames are not dealt again, nor joined with themselves."""
+    plan = entry.queries()["silhouette_outline"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (0, 3072") == 1 and plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
+def test_rings_are_the_empty_places_beside_content(spark):
+    on = {(2, 2), (3, 2), (7, 5)}
+    rows = [(1, 0, x, y, 255 if (x, y) in on else None if x == 4 else 0, i) for i, (x, y) in enumerate((x, y) for y in range(8) for x in range(9))]
+    made = spark.createDataFrame(rows, "image_id bigint, frame int, x int, y int, a int, n int").coalesce(1)
+    expected = {(x, y) for x in range(9) for y in range(8) if (x, y) not in on and any(abs(x - u) <= 1 and abs(y - v) <= 1 for u, v in on)}
+    for dealt in (False, True):
+        found = layout.ringed(made, 1, dealt)
+        assert found.columns == [*made.columns, "ring"] and {(r.x, r.y) for r in found.where("ring").collect()} == expected
+        assert {(r.x, r.y) for r in layout.outline(made, 1, dealt).collect()} == expected
