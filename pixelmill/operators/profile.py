@@ -95,10 +95,11 @@ def cuts(profile: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("image_id", "x0", ln.on_lines(cheapest, T.ArrayType(T.IntegerType()))("pos", "mass", "x0", "x1", "n").alias("cuts"))
 
 
-def _sides(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, x, y): columns and rows with mass, each as an array of (pos, mass), from one aggregation of the pixels."""
+def _sides(pixels: DataFrame, keys: tuple[str, ...], empty: bool = False) -> DataFrame:
+    """(keys, x, y): columns and rows with mass, each as an array of (pos, mass), from one aggregation of the pixels; ``empty``: those without mass too."""
     axes = F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("pos")) for i, c in enumerate("xy")])
-    mass = pixels.where("a > 0").select(*keys, "a", F.inline(axes)).groupBy(*keys, "axis", "pos").agg(F.sum("a").cast("double").alias("mass"))
+    seen = pixels.withColumn("a", F.when(F.col("a") > 0, F.col("a")).otherwise(0)) if empty else pixels.where("a > 0")
+    mass = seen.select(*keys, "a", F.inline(axes)).groupBy(*keys, "axis", "pos").agg(F.sum("a").cast("double").alias("mass"))
     rows = mass.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("axis", "pos", "mass"))).alias("c"))
     return rows.select(*keys, F.filter("c", lambda s: s["axis"] == 0).alias("x"), F.filter("c", lambda s: s["axis"] == 1).alias("y"))
 
@@ -109,9 +110,11 @@ def _span(side: str, share: float):
 
 
 def extents(pixels: DataFrame, keys: tuple[str, ...] = ("image_id",), share: float = BODY_SHARE) -> DataFrame:
-    """(keys, body_w, body_h): the shortest stretches of columns and of rows that hold the share of the mass (0 where there is none)."""
-    found = _sides(pixels, keys).select(*keys, _span("x", share).alias("body_w"), _span("y", share).alias("body_h"))
-    return pixels.select(*keys).distinct().join(found, list(keys), "left").select(*keys, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("body_w", "body_h")))
+    """(keys, body_w, body_h): the shortest stretches of columns and of rows that hold the share of the mass (0 where there is none).
+
+    Places without mass are kept, so that images without any need no second pass over the pixels and no join.
+    """
+    return _sides(pixels, keys, empty=True).select(*keys, _span("x", share).alias("body_w"), _span("y", share).alias("body_h"))
 
 
 def measured(owned: DataFrame, share: float = BODY_SHARE) -> DataFrame:

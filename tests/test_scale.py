@@ -197,3 +197,14 @@ def test_rings_are_the_empty_places_beside_content(spark):
         found = layout.ringed(made, 1, dealt)
         assert found.columns == [*made.columns, "ring"] and {(r.x, r.y) for r in found.where("ring").collect()} == expected
         assert {(r.x, r.y) for r in layout.outline(made, 1, dealt).collect()} == expected
+
+
+def test_extents_take_one_pass(spark, many):
+    plan = entry.queries()["body_extent"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (0, 3072") == 1 and plan.count("Join") == plan.count("BroadcastNestedLoopJoin") == 1
+
+
+def test_extents_of_images_without_mass_are_zero(spark):
+    rows = [(1, x, y, 200 if 3 <= x < 7 and 2 <= y < 5 else 0) for y in range(9) for x in range(12)] + [(2, x, 0, None if x else 0) for x in range(3)] + [(3, 40, 60, 9), (4, 5, 5, -7)]
+    made = spark.createDataFrame(rows, "image_id bigint, x int, y int, a int")
+    assert sorted(map(tuple, profile.extents(made, share=1.0).collect())) == [(1, 4, 3), (2, 0, 0), (3, 1, 1), (4, 0, 0)]
